@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 
 from .base import unit
 from .exact import EXACT_SQL, exact_groups
+from .decontam import contamination
+from .html import extract
+from .langid import identify
 from .mixing import MIXING_SQL, curriculum
 from .secrets import scan_secrets
 from .sharding import shard_rows
+from .substring import repeated_words
+from .suffix import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(_table(spark, sf_dir, "documents"))
     # range-sorted by the first training position; documents not taken follow
@@ -23,10 +32,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy(F.coalesce(F.get("positions", F.lit(0)), after)).drop("positions")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -36,5 +57,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op8_sharding, op9_secrets)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+_ALL = (
+    op1_decontamination, op2_mixing, op3_substring_dedup, op4_exact_dedup, op6_language_id,
+    op7_suffix_dedup, op8_sharding, op9_secrets, op10_html_extraction,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op2_mixing": MIXING_SQL, "op4_exact_dedup": EXACT_SQL}
