@@ -11,6 +11,7 @@ from .decontam import contamination
 from .html import extract
 from .langid import identify
 from .mixing import MIXING_SQL, curriculum
+from .nearby import near_groups
 from .secrets import scan_secrets
 from .sharding import shard_rows
 from .substring import repeated_words
@@ -40,6 +41,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -62,8 +67,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_decontamination, op2_mixing, op3_substring_dedup, op4_exact_dedup, op6_language_id,
-    op7_suffix_dedup, op8_sharding, op9_secrets, op10_html_extraction,
+    op1_decontamination, op2_mixing, op3_substring_dedup, op4_exact_dedup, op5_near_dedup,
+    op6_language_id, op7_suffix_dedup, op8_sharding, op9_secrets, op10_html_extraction,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op2_mixing": MIXING_SQL, "op4_exact_dedup": EXACT_SQL}
