@@ -87,26 +87,47 @@ class QGramIndex:
         return t
 
 
-def band_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int:
-    """Least edits between item and any region of text whose alignment stays on
-    diagonals low..high (text place minus item place); most + 1 if above most."""
-    big, width = most + 1, high - low + 1
-    diag = np.arange(low, high + 1)
-    ramp = np.arange(width)
-    row = np.where((diag >= 0) & (diag <= len(text)), 0, big)
-    for i, c in enumerate(item):
-        j = diag + i  # the text character that this step reads
-        ok = (j >= 0) & (j < len(text))
-        same = np.zeros(width, bool)
-        same[ok] = text[j[ok]] == c
-        step = np.where(ok, row + ~same, big)
-        up = np.append(row[1:], big) + 1  # item character without partner: next diagonal's row
-        place = diag + i + 1
-        row = np.where((place >= 0) & (place <= len(text)), np.minimum(step, up), big)
-        row = np.minimum(np.minimum.accumulate(row - ramp) + ramp, big)  # text characters without partner
-        if row.min() > most:
-            return big
-    return int(row.min())
+def band_distances(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each pair the least edits between item and any region of text whose
+    alignment stays on diagonals low..high (text place minus item place);
+    most + 1 if above most.  Pairs are aligned side by side, a row of all
+    their tables at a time, the longest item first."""
+    out = most + 1
+    left = np.argsort([-len(x) for x in items], kind="stable")
+    for a in range(0, len(left), 256):
+        pick = left[a : a + 256]
+        sizes = np.array([len(items[c]) for c in pick])
+        n = np.array([len(texts[c]) for c in pick])
+        width, m = int((high[pick] - low[pick]).max()) + 1, int(sizes[0])
+        item, text = np.full((len(pick), m), 0xFFFFFFFF, np.uint32), np.full((len(pick), m + width), 0xFFFFFFFE, np.uint32)
+        for r, c in enumerate(pick):
+            item[r, : sizes[r]] = items[c]
+            start, stop = max(0, int(low[c])), min(len(texts[c]), int(low[c]) + m + width)
+            if start < stop:
+                text[r, start - low[c] : stop - low[c]] = texts[c][start:stop]
+        place = low[pick][:, None] + np.arange(m + width + 1)
+        on = (place >= 0) & (place <= n[:, None])  # places before, between and after the text's characters
+        ramp, big = np.arange(width, dtype=np.int32), np.int32(1 << 20)
+        row = np.where(on[:, :width], np.int32(0), big)
+        row[np.arange(width) > (high - low)[pick][:, None]] = big
+        beyond = np.arange(width) > (high - low)[pick][:, None]
+        alive = np.arange(len(pick))
+        for i in range(m):
+            step = row + (text[alive, i : i + width] != item[alive, i : i + 1])
+            step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # an item character without partner
+            step[~on[alive, i + 1 : i + 1 + width] | beyond[alive]] = big
+            row = np.minimum(np.minimum.accumulate(step - ramp, axis=1) + ramp, big)  # text characters without partner
+            row[~on[alive, i + 1 : i + 1 + width] | beyond[alive]] = big
+            ended = sizes[alive] == i + 1
+            if ended.any() or i % 16 == 15:
+                least = row.min(axis=1)
+                c = pick[alive[ended]]
+                out[c] = np.minimum(out[c], least[ended])
+                on_ = ~ended & (least <= most[pick[alive]])
+                alive, row = alive[on_], row[on_]
+                if not len(alive):
+                    break
+    return out
 
 
 def search(index: QGramIndex, table: np.ndarray, texts: list[str | None]) -> list[list[tuple]]:
@@ -130,23 +151,37 @@ def search(index: QGramIndex, table: np.ndarray, texts: list[str | None]) -> lis
     step = np.maximum(k, 16)  # a band is step + k wide and starts every step: any k-wide range is inside one
     band = diag // step
     low = diag - band * step < k
+    place = index.at_pos[post]
     keys = np.concatenate([item * (1 << 40) + band + (1 << 20), item[low] * (1 << 40) + band[low] - 1 + (1 << 20)])
-    keys, count = np.unique(keys, return_counts=True)
-    keep = count >= index.need[keys >> 40]
-    for key in keys[keep]:
-        i, b = int(key >> 40), int(key & ((1 << 40) - 1)) - (1 << 20)
-        k, m = int(index.budget[i]), len(index.items[i])
+    place = np.concatenate([place, place[low]])
+    full, count = np.unique(keys, return_counts=True)
+    full = full[count >= index.need[full >> 40]]
+    near = np.minimum(np.searchsorted(full, keys), max(0, len(full) - 1))
+    inside = full[near] == keys if len(full) else np.zeros(len(keys), bool)
+    # the bound is on places of the item: one that is hit twice counts once
+    keys, place = keys[inside], place[inside]
+    order = np.lexsort((place, keys))
+    keys, place = keys[order], place[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (place[1:] != place[:-1]))[: len(keys)]
+    keys, count = np.unique(keys[new], return_counts=True)
+    pairs = []
+    for key in keys[count >= index.need[keys >> 40]].tolist():
+        i, b = key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
+        k = int(index.budget[i])
         step = max(k, 16)
         lo, hi = b * step, b * step + step + k
         # the band may touch several documents where these are short
         for d in range(max(0, int(np.searchsorted(begin, lo, "right")) - 1), len(texts)):
             if begin[d] > hi:
                 break
-            if found[d].get(i, k + 1) == 0 or begin[d] + len(chars[d]) < lo:
-                continue
-            edits = band_distance(index.items[i], chars[d], lo - int(begin[d]), hi - int(begin[d]), min(k, found[d].get(i, k + 1) - 1))
-            if edits <= min(k, found[d].get(i, k + 1) - 1):
-                found[d][i] = edits
+            if begin[d] + len(chars[d]) >= lo:
+                pairs.append((d, i, lo - int(begin[d]), hi - int(begin[d]), k))
+    if pairs:
+        d, i, lo, hi, k = (np.array(x) for x in zip(*pairs, strict=True))
+        edits = band_distances([index.items[x] for x in i], [chars[x] for x in d], lo, hi, k)
+        for x in np.flatnonzero(edits <= k):
+            f = found[d[x]]
+            f[i[x]] = min(int(edits[x]), f.get(i[x], int(k[x])))
     return [sorted((index.ids[i], e) for i, e in f.items()) for f in found]
 
 
