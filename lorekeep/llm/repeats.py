@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .base import small_batches, stored
 
-#: Words that a task compares by itself at once (some 100 MB).
-BATCH_WORDS = 4_000_000
+#: Words that a task compares by itself at once (some 200 MB of arrays).
+BATCH_WORDS = 1_500_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PASS = 2  # decided already; passes by
 
@@ -40,7 +40,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, remembered; forgets all when it has grown."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 5)
         return h

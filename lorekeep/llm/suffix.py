@@ -10,10 +10,11 @@ right to passages of ``length`` words, which are sorted and compared in turn.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,34 @@ def minimisers(length: int, gram: int = GRAM):
     return select
 
 
+def _passages(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Joins windows that overlap on the same line (same earlier row, same
+    distance) to passages; one inside another passage of its row is left out.
+    Rows come sorted; what may go on in the next batch waits for it."""
+    names = ["row", "src_row", "pos", "src_pos", "n"]
+    held: list[np.ndarray] | None = None
+    for b in itertools.chain(batches, [None]):
+        cols = None if b is None else [b.column(c).to_numpy() for c in names]
+        if held is not None:
+            cols = held if cols is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if cols is None or not len(cols[0]):
+            continue
+        ready = len(cols[0]) if b is None else int(np.searchsorted(cols[0], cols[0][-1]))
+        held = [c[ready:] for c in cols]
+        if not ready:
+            continue
+        row, src, pos, src_pos, n = (c[:ready] for c in cols)
+        end, line = pos + n - 1 + length, pos - src_pos
+        cut = (row[1:] != row[:-1]) | (src[1:] != src[:-1]) | (line[1:] != line[:-1]) | (pos[1:] > end[:-1])
+        first = np.flatnonzero(np.append(True, cut))
+        row, pos, src, src_pos, end = row[first], pos[first], src[first], src_pos[first], end[np.append(first[1:], len(end)) - 1]
+        order = np.lexsort((src, -end, pos, row))
+        row, pos, src, src_pos, end = row[order], pos[order], src[order], src_pos[order], end[order]
+        own = np.cumsum(np.append(True, row[1:] != row[:-1])) * (1 << 40) + end
+        keep = np.append(True, own[1:] > np.maximum.accumulate(own)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (row, src, pos, end - pos, src_pos)], names=["row", "src_row", "start", "n_words", "earlier_start"])
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """A row for each passage of at least ``length`` words that also stands in
     a row with a smaller id: id, ``start``, ``n_words``, ``earlier_id``,
@@ -54,13 +83,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = keyed(docs, id_col, text_col)
     found = repeated(rows, length, GRAM, minimisers(length), across=True)
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(line=pdf["pos"] - pdf["src_pos"]).sort_values(["src_row", "line", "pos"])
-        new = (pdf["src_row"].diff() != 0) | (pdf["line"].diff() != 0) | (pdf["pos"] > pdf["end"].shift())
-        g = pdf.assign(run=new.cumsum()).groupby("run")
-        return pd.DataFrame({"row": key[0], "src_row": g["src_row"].first(), "start": g["pos"].first(), "n_words": g["end"].max() - g["pos"].first() + length - 1, "earlier_start": g["src_pos"].first()})
-
-    spans = found.withColumn("end", F.col("pos") + F.col("n")).groupBy("row").applyInPandas(merge, "row long, src_row long, start long, n_words long, earlier_start long")
+    lines = found.repartition("row").sortWithinPartitions("row", "src_row", F.col("pos") - F.col("src_pos"), "pos")
+    spans = lines.select("row", "src_row", "pos", "src_pos", "n").mapInArrow(lambda it: _passages(it, length), "row long, src_row long, start long, n_words long, earlier_start long")
     ids = rows.select("row", "id")
     mine, theirs = ids.select(F.col("row").alias("r1"), F.col("id").alias(id_col)), ids.select(F.col("row").alias("r2"), F.col("id").alias("earlier_id"))
     if rows.columns[0] == "row" and not _numbered(rows):
