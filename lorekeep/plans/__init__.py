@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import episodes, graph, identity, lifecycle, retrieval, texts  # noqa: F401  they register
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
