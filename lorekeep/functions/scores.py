@@ -9,14 +9,14 @@ from .text import clamp
 
 
 def age_days(as_of: Column, at: Column) -> Column:
-    """Days from at to as_of, not negative (microsecond precision)."""
+    """Days from at to as_of, not negative (microsecond precision); null without a time."""
     micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
-    return F.greatest(F.lit(0.0), micros / F.lit(86_400_000_000.0))
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0.0), micros / F.lit(86_400_000_000.0)))
 
 
 def recency_boost(as_of: Column, at: Column, most: float = 0.15, half_life: float = 14.0) -> Column:
     """SC-8: most x 2^(-age / half-life), four decimals; 0 without a time."""
-    return F.coalesce(F.round(F.least(F.lit(most), F.lit(most) * F.pow(F.lit(2.0), -age_days(as_of, at) / half_life)), 4), F.lit(0.0))
+    return F.coalesce(F.round(F.lit(most) * F.pow(F.lit(2.0), -age_days(as_of, at) / half_life), 4), F.lit(0.0))
 
 
 def aged_importance(base: Column, n_links: Column, days: Column) -> Column:

@@ -67,8 +67,8 @@ def truncate_words(text: Column, most: int) -> Column:
 
 def excerpt(text: Column, most: int) -> Column:
     """SC-27."""
-    t = F.trim(text)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most)), F.lit("\n\n...")))
+    t = strip(text)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, most), r"\s+$", ""), F.lit("\n\n...")))
 
 
 def lessons(text: Column) -> Column:
@@ -259,5 +259,10 @@ def iso_timestamp(value: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    """SC-33."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """SC-33: null stays null (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def strip(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -22,7 +22,7 @@ def parsed(notes: DataFrame) -> DataFrame:
 
     def strings(name: str) -> Column:
         one, many = get(name), F.from_json(get(name), "array<string>")
-        listed = F.when(one.startswith("["), many).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+        listed = F.coalesce(F.when(one.startswith("["), many), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
         nested = F.transform(listed, lambda x: F.regexp_replace(x, r'^[\["\]]+|[\["\]]+$', ""))
         return T.string_list(F.coalesce(nested, F.array().cast("array<string>")))
 

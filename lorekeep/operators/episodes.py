@@ -12,9 +12,13 @@ from ..functions import text as T
 from ..functions import vocab
 
 
+def _low(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def emotions(text: Column, words: Mapping[str, str] = vocab.EMOTION_WORDS) -> dict[str, Column]:
     """EP-2: the share of each list's words that occur."""
-    low = F.lower(text)
+    low = _low(text)
     return {k: T.contains_count(low, vocab.listed(v)) / float(len(vocab.listed(v))) for k, v in words.items()}
 
 
@@ -31,7 +35,7 @@ def dominant(parts: Mapping[str, Column]) -> Column:
 
 def goal_relevance(text: Column, words: str = vocab.GOAL_WORDS) -> Column:
     w = vocab.listed(words)
-    return F.least(F.lit(1.0), T.contains_count(F.lower(text), w) / float(len(w)) * 2)
+    return F.least(F.lit(1.0), T.contains_count(_low(text), w) / float(len(w)) * 2)
 
 
 def repetition(mentions: Column) -> Column:
@@ -44,7 +48,7 @@ def weighted(emotion: Column, novelty: Column, goal: Column, repeated: Column) -
 
 def importance_a(text: Column, mentions: Column, words: Mapping[str, str] = vocab.EMOTION_WORDS, goals: str = vocab.GOAL_WORDS) -> Column:
     """EP-3."""
-    own = F.array_distinct(T.split_words(F.lower(text)))
+    own = F.array_distinct(T.split_words(_low(text)))
     new = F.size(F.array_except(own, F.array(*map(F.lit, vocab.listed(vocab.PLAIN_WORDS)))))
     novelty = F.least(F.lit(1.0), new / F.greatest(F.size(own), F.lit(1)) * 3)
     return weighted(intensity(list(emotions(text, words).values())), novelty, goal_relevance(text, goals), repetition(mentions))
@@ -52,19 +56,19 @@ def importance_a(text: Column, mentions: Column, words: Mapping[str, str] = voca
 
 def keyword_emotion(text: Column) -> Column:
     """EP-4 without a state: weights of words that occur, by the number of words."""
-    low, n = F.lower(text), float(len(vocab.EMOTION_WEIGHTS))
+    low, n = _low(text), float(len(vocab.EMOTION_WEIGHTS))
     hit = [F.when(low.contains(w), F.lit(v)).otherwise(0.0) for w, v in vocab.EMOTION_WEIGHTS.items()]
     return F.least(F.lit(1.0), sum(hit[1:], hit[0]) / n)
 
 
 def significant(text: Column) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{2,})\b"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(_low(text), F.lit(r"\b([a-z]{2,})\b"), F.lit(1)))
     return F.array_except(found, F.array(*map(F.lit, vocab.listed(vocab.COMMON_WORDS))))
 
 
 def novelty(text: Column, corpus: Column | None = None) -> Column:
     """EP-4, AG-23: share of significant words not in the corpus' vocabulary, or x 1.5 of all words."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{2,})\b"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(_low(text), F.lit(r"\b([a-z]{2,})\b"), F.lit(1)))
     own = significant(text)
     if corpus is not None:
         return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_except(own, corpus)) / F.size(own))

@@ -34,8 +34,9 @@ def write_decisions(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def updated_body(old: Column, new: Column, title: Column, day: Column) -> Column:
     """RET-18: the old body with a dated section of the new one (without its title line)."""
     head = F.concat(F.lit("# "), title)
-    rest = F.trim(F.when(F.trim(new).startswith(head), F.substr(F.trim(new), F.length(head) + 1)).otherwise(new))
-    return F.concat(F.trim(old), F.lit("\n\n## Update ("), F.date_format(day, "yyyy-MM-dd"), F.lit(")\n"), rest)
+    bare = T.strip(new)
+    rest = T.strip(F.when(bare.startswith(head), F.substr(bare, F.length(head) + 1)).otherwise(bare))
+    return F.concat(T.strip(old), F.lit("\n\n## Update ("), F.date_format(day, "yyyy-MM-dd"), F.lit(")\n"), rest)
 
 
 def edit(text: Column, old: Column, new: Column, expected_hash: Column | None = None) -> Column:
@@ -50,7 +51,7 @@ def edit(text: Column, old: Column, new: Column, expected_hash: Column | None =
 def add_link(text: Column, target: Column) -> Column:
     """SNK-18: no-op if the link is there."""
     link = F.concat(F.lit("[["), target, F.lit("]]"))
-    return F.when(F.contains(text, link), text).otherwise(F.concat(F.rtrim(text), F.lit("\n\n"), link, F.lit("\n")))
+    return F.when(F.contains(text, link), text).otherwise(F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n\n"), link, F.lit("\n")))
 
 
 def archived_path(path: Column) -> Column:

@@ -38,10 +38,10 @@ fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + pos) ORDER BY source D
 """
 BASE = """
 (0.40::DOUBLE * rrf / max(rrf) OVER (PARTITION BY query_id)
- + 0.40::DOUBLE * greatest(coalesce(greatest(0, least(1, semantic)), 0), CASE WHEN lexical IS NOT NULL THEN 0.5 ELSE 0 END, coalesce(greatest(0, least(1, lexical)), 0))
+ + 0.40::DOUBLE * greatest(CASE WHEN semantic IS NULL THEN 0 ELSE greatest(0, least(1, semantic)) END, CASE WHEN lexical IS NULL THEN 0 ELSE greatest(0.5, least(1, lexical)) END)
  + 0.20::DOUBLE * (n_lists / 2))
 """
-RECENCY = "coalesce(round(least(0.15, 0.15::DOUBLE * pow(2.0, -(greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us({})) / 86400000000.0)) / 14)), 4), 0)"
+RECENCY = "CASE WHEN {0} IS NULL THEN 0 ELSE round(0.15::DOUBLE * pow(2.0, -(greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us({0})) / 86400000000.0)) / 14), 4) END"
 
 
 def queries_of(t: Tables) -> DataFrame:
