@@ -12,6 +12,7 @@ from .html import extract
 from .langid import identify
 from .mixing import MIXING_SQL, curriculum
 from .nearby import near_groups
+from .oracle import NEAR_SQL, SECRETS_SQL, SUBSTRING_SQL
 from .secrets import scan_secrets
 from .sharding import shard_rows
 from .substring import repeated_words
@@ -50,7 +51,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(_table(spark, sf_dir, "documents"))
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("earlier_id", "earlier_doc_id")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +73,4 @@ _ALL = (
     op6_language_id, op7_suffix_dedup, op8_sharding, op9_secrets, op10_html_extraction,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op2_mixing": MIXING_SQL, "op4_exact_dedup": EXACT_SQL}
+SQL = {"op2_mixing": MIXING_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op4_exact_dedup": EXACT_SQL, "op5_near_dedup": NEAR_SQL, "op9_secrets": SECRETS_SQL}
