@@ -118,3 +118,18 @@ def pack_lines(lines: Column, most: int) -> Column:
         return F.struct(done.alias("done"), part.alias("part"), size.alias("size"))
 
     return F.aggregate(lines, zero, step, lambda acc: F.when(F.size(acc["part"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["part"], "\n")))).otherwise(acc["done"]))
+
+
+def chunk_udtf():
+    """UX-8: the chunker as a table function: (path, body) -> (ordinal, heading_path, text); for ``spark.udtf.register``."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="ordinal int, heading_path array<string>, text string")
+    class Chunks:
+        def eval(self, path: str, body: str):
+            stem = (path or "").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            parts = [(h, s) for h, t in blocks(body or "", stem) for s in split_long(t)]
+            for i, (h, s) in enumerate(parts):
+                yield i, h, s.strip()
+
+    return Chunks

@@ -112,3 +112,15 @@ def embedded(vectors: DataFrame, dim: int) -> DataFrame:
 def without(vectors: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """SNK-14: vectors after deletion by (memory, revision), by memory, or by id."""
     return vectors.join(gone.select(*on).distinct(), on, "left_anti")
+
+
+def with_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """JN-13: whether a document's current revision has a chunk, as a column."""
+    has = chunks.select(F.col("revision_id").alias("_r")).distinct()
+    return documents.join(has, F.col("current_revision_id") == F.col("_r"), "left").withColumn("has_chunks", F.col("_r").isNotNull()).drop("_r")
+
+
+def payload(joined: DataFrame) -> DataFrame:
+    """PRJ-14: a search result's payload: chunk id and a struct of what is served with it."""
+    cols = ("memory_id", "revision_id", "memory_type", "source_file", "entity_keys", "text")
+    return joined.select("chunk_id", F.struct(*[c for c in cols if c in joined.columns]).alias("payload"))

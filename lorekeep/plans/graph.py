@@ -155,3 +155,29 @@ def gr_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Tables(spark, sf_dir).documents
     text = F.regexp_replace("text", r"\b(the|de|der|la) ([A-Za-z]+)", "uses [[$2]] and fixes [[$2x]]")
     return G.prose(d.select(name("d", "doc_id").alias("source_file"), text.alias("text")))
+
+
+@query("""
+WITH n AS (SELECT p_partkey AS memory_id, p_name || ' ' || p_partkey AS title, p_type, replace(p_brand, '#', '-') AS p_brand, p_size FROM part),
+e AS (SELECT memory_id, title AS name, 'concept' AS kind FROM n UNION ALL SELECT memory_id, p_brand, 'concept' FROM n UNION ALL SELECT memory_id, p_type, 'concept' FROM n),
+c AS (SELECT memory_id, lower(title) AS subject, 'related_to' AS predicate, lower(p_brand) AS object, 1.0::DOUBLE AS confidence FROM n
+  UNION ALL SELECT memory_id, lower(title), 'uses', lower(p_type), CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE FROM n)
+SELECT 'entity' AS what, lower(name) AS a, arg_min(name, (memory_id, name)) AS b, count(*) > 0 AS seen, 0.0::DOUBLE AS confidence FROM e GROUP BY lower(name)
+UNION ALL SELECT 'claim', subject, predicate || '>' || object, true, confidence FROM c
+UNION ALL SELECT 'mention', memory_id::VARCHAR, lower(p_type), true, 0.0 FROM n
+""")
+def gr_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR-1, SNK-4, SNK-6: parts as parsed notes: the brand is related, the type is linked and used."""
+    p = Tables(spark, sf_dir).part.withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("-")))
+    rel = F.array(F.struct(F.lit("uses").alias("predicate"), F.col("p_type").alias("target"), F.when(F.col("p_size") % 2 == 0, "verified").otherwise("candidate").alias("status")))
+    notes = p.select(
+        F.col("p_partkey").alias("memory_id"), F.col("p_partkey").alias("seq"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("title"), F.lit("concept").alias("memory_type"),
+        F.array(F.concat(F.lit("[["), "p_brand", F.lit("]]"))).alias("entities"), F.array(F.concat(F.lit("[["), "p_brand", F.lit("|x]]"))).alias("related_to"), rel.alias("relationships"),
+        F.concat(F.lit("made as [["), "p_type", F.lit("]]")).alias("body"), F.lit(None).cast("string").alias("occurred"), F.lit("2024-01-01").alias("created"),
+    )
+    made = G.project(notes)
+    none = F.lit(0.0)
+    e = made["entities"].select(F.lit("entity").alias("what"), F.col("entity_key").alias("a"), F.col("canonical_name").alias("b"), F.lit(True).alias("seen"), none.alias("confidence"))
+    c = made["claims"].select(F.lit("claim").alias("what"), F.col("subject").alias("a"), F.concat_ws(">", "predicate", "object").alias("b"), F.lit(True).alias("seen"), "confidence")
+    m = made["mentions"].select(F.lit("mention").alias("what"), F.col("memory_id").cast("string").alias("a"), F.col("entity_key").alias("b"), F.lit(True).alias("seen"), none.alias("confidence"))
+    return e.unionAll(c).unionAll(m)

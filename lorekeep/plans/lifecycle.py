@@ -347,3 +347,42 @@ def src_vault_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = p.unionByName(t.labels.select(F.concat(F.lit(head), i, F.lit(".md")).alias("path")))
     p = p.unionByName(spark.range(1).select(F.lit("Daily/README.md").alias("path")))
     return p.filter(vault.note_path(F.col("path"))).select("path", vault.daily_note(F.col("path")).alias("daily"))
+
+
+@query("SELECT o_orderkey AS memory_id, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) AS has_chunks FROM orders")
+def pf_has_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-13, PF-4."""
+    t = Tables(spark, sf_dir)
+    d = t.orders.select(F.col("o_orderkey").alias("memory_id"), F.col("o_orderkey").alias("current_revision_id"))
+    return L.with_chunks(d, t.lineitem.filter("l_quantity > 30").select(F.col("l_orderkey").alias("revision_id"))).select("memory_id", "has_chunks")
+
+
+@query("SELECT doc_id AS chunk_id, source AS memory_type, 'f' || doc_id AS source_file, length(text) AS n FROM documents")
+def ret_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-14."""
+    d = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("memory_type"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_file"), "text")
+    return L.payload(d).select("chunk_id", "payload.memory_type", "payload.source_file", F.length("payload.text").cast("long").alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'conflict' WHEN contains(p_name, 'red') THEN 'edited' ELSE 'not_found' END AS outcome,
+CASE WHEN p_size % 3 <> 0 AND contains(p_name, 'red') THEN left(p_name, instr(p_name, 'red') - 1) || 'blue' || substr(p_name, instr(p_name, 'red') + 3) ELSE p_name END AS text,
+p_name || chr(10) || chr(10) || '[[' || p_brand || ']]' || chr(10) AS linked, 'Archive/' || p_name AS archived FROM part""")
+def lc_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-18."""
+    from ..operators import writing as W
+
+    n = F.col("p_name")
+    expected = F.when(F.col("p_size") % 3 == 0, "stale").otherwise(F.sha2(n, 256))
+    e = Tables(spark, sf_dir).part.select("p_partkey", W.edit(n, F.lit("red"), F.lit("blue"), expected).alias("e"), W.add_link(n, F.col("p_brand")).alias("linked"), W.archived_path(n).alias("archived"))
+    return e.select("p_partkey", "e.outcome", "e.text", "linked", "archived")
+
+
+@query("SELECT s_suppkey, upper(s_name) AS agent FROM supplier WHERE s_nationkey IN (1, 2, 3)")
+def lc_allowed_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AX-1, FLT-2: an allow-list matched without case."""
+    from ..operators import lexical
+
+    t = Tables(spark, sf_dir)
+    agents = [f"nation_{i}" for i in (1, 2, 3)]
+    chunks = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("source_agent", F.lower("n_name"))
+    return lexical.filtered(chunks, agents=agents).select("s_suppkey", F.upper("s_name").alias("agent"))
