@@ -12,10 +12,13 @@ so a text costs about its shingles plus m log m.
 
 Search.  Equal texts collapse first.  Signatures are cut into bands; texts
 that agree in a band are candidates and are compared with a pivot of their
-bucket, not with each other.  Verified links make components.  A bucket whose
-members are not all in one component then gets more pivots, until every pair
-of its members is in one component or was compared; so no link of the buckets
-is lost, and a family of near copies costs about one comparison a member.
+bucket (the most central member), not with each other.  Verified links make
+components.  A bucket whose members are not all in one component then gets
+more pivots, until every pair of its members is in one component or was
+compared; so no link of the buckets is lost, and a family of near copies costs
+about one comparison a member.  Before texts are compared, a bitmap of their
+shingles bounds the overlap from above: each bit of one that the other lacks
+is a shingle that they don't share.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ from .repeats import mixed, window_hashes, word_hashes
 SHINGLE, SIMILAR = 5, 0.8
 #: 24 bands of 4: a pair at 0.8 is missed with probability 3e-6.
 BANDS, ROWS = 24, 4
+#: Bits of a text's bitmap; from some thousand shingles on, it fills and bounds little.
+BITS = 2048
+#: Up to so many links (2 MB) are joined to components in one task.
+SMALL_GRAPH = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,12 +122,27 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) ->
 
 def _bags(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rep, bag = [], []
+        rep, bag, bits = [], [], []
         for r, key, text in zip(b.column("rep").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
             if text_key(text) == key:  # rows that repeat an id may have other texts
+                own = numbered(shingles(text, k))
                 rep.append(r)
-                bag.append(numbered(shingles(text, k)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(bag, pa.binary())], names=["rep", "bag"])
+                bag.append(own.tobytes())
+                bits.append(bitmap(own).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(bag, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["rep", "bag", "bits"])
+
+
+def bitmap(bag: np.ndarray) -> np.ndarray:
+    on = np.zeros(BITS, np.uint8)
+    on[(bag >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(on, bitorder="little").view(np.int64)
+
+
+def may_overlap(na: Column, nb: Column, a: Column, b: Column, similar: float) -> Column:
+    """False only if the bitmaps show that fewer shingles are shared than the similarity needs."""
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, v: acc + v)
+    need = (na + nb) * (similar / (1 + similar)) - 1e-6
+    return (na - lacks(a, b) >= need) & (nb - lacks(b, a) >= need)
 
 
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -133,24 +155,45 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over all edges of a task; the least node is the root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    for b in batches:
+        for x, y in zip(b["a"].tolist(), b["b"].tolist(), strict=True):
+            x, y = sorted((root(x), root(y)))
+            up[y] = x
+    yield pd.DataFrame({"node": list(up), "label": [root(x) for x in up]}, dtype="int64")
+
+
+def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b).
 
-    Alternating large and small stars; each step is a partial aggregate and a
-    join on the node, and a stored table.  Nothing goes to the driver but
-    counts."""
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    Up to ``small`` edges (counted first) are joined in one task.  More go by
+    alternating large and small stars: each step is a partial aggregate and a
+    join on the node, and a stored table.  Nothing goes to the driver but counts."""
+    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if e.count() <= small:
+        return stored(e.coalesce(1).mapInPandas(_joined, "node long, label long"), "labels")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    e = e.filter("a <> b")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("s"))
-        e = stored(small.select("s.a", "s.b").filter("a <> b").distinct(), "stars")
+        made = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("s"))
+        e = stored(made.select("s.a", "s.b").filter("a <> b").distinct(), "stars")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+            labels = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("label"))
+            return nodes.join(labels, F.col("node") == F.col("u"), "left").select("node", F.coalesce("label", "node").alias("label"))
         before = now
 
 
@@ -175,16 +218,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = stored(signed.select("row", "id", "key").join(least, F.col("key") == F.col("g")).drop("g"), "members")
     reps = signed.join(least.select("rep"), F.col("row") == F.col("rep"), "left_semi")
 
-    # buckets of at least two texts, each with its first pivot
+    # buckets of at least two texts; a member is central if its buckets are large
     banded = reps.select(F.col("row").alias("rep"), "n", F.explode("bands").alias("bucket"))
-    pivots = banded.groupBy(F.col("bucket").alias("b")).agg(F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pn"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    buckets = stored(banded.join(pivots, F.col("bucket") == F.col("b")).drop("b"), "buckets")
+    full = banded.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = stored(banded.join(full, F.col("bucket") == F.col("b")).drop("b"), "shared")
+    central = shared.groupBy(F.col("rep").alias("r")).agg(F.sum("c").alias("w"))
+    weighed = shared.join(central, F.col("rep") == F.col("r")).drop("r")
+    first = F.max(F.struct("w", (-F.col("rep")).alias("r"), "n")).alias("p")
+    pivots = weighed.groupBy(F.col("bucket").alias("b")).agg(first).select("b", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pn"))
+    buckets = stored(weighed.join(pivots, F.col("bucket") == F.col("b")).drop("b"), "buckets")
     alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similar  # noqa: E731  J is at most the ratio of sizes
 
     wanted = buckets.select(F.col("rep").alias("w")).distinct()
     wanted = signed.select("row", "id", "key").join(wanted, F.col("row") == F.col("w")).select(F.col("row").alias("rep"), F.col("id").alias("wid"), "key")
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("wid"))).select("rep", "key", "text")
-    bags = texts.mapInArrow(lambda it: _bags(it, k), "rep long, bag binary")
+    bags = texts.mapInArrow(lambda it: _bags(it, k), "rep long, bag binary, bits array<long>")
     bags = stored(bags.dropDuplicates(["rep"]), "bags")
     overlap = F.pandas_udf(_overlap, "double")
 
@@ -193,30 +241,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(one, F.col("a") == F.col("ra")).join(two, F.col("b") == F.col("rb"))
         return stored(both.select("a", "b", overlap("ba", "bb").alias("j")).filter(F.col("j") >= similar).select("a", "b"), "links")
 
-    pairs = buckets.filter((F.col("rep") != F.col("pivot")) & alike(F.col("n"), F.col("pn"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    sketch = lambda suffix: bags.select(F.col("rep").alias(f"r{suffix}"), F.col("bits").alias(f"bits{suffix}"))
+    star = buckets.filter((F.col("rep") != F.col("pivot")) & alike(F.col("n"), F.col("pn"))).select("rep", "pivot", "n", "pn").distinct()
+    star = star.join(sketch("1"), F.col("rep") == F.col("r1")).join(sketch("2"), F.col("pivot") == F.col("r2"))
+    pairs = star.filter(may_overlap(F.col("n"), F.col("pn"), F.col("bits1"), F.col("bits2"), similar)).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     links = verified(pairs)
     labels = components(links)
-    done = buckets.filter("rep = pivot").select(F.col("bucket").alias("db"), F.col("rep").alias("dr"))
-    count = 4
+    # members of buckets of three or more; done: compared with all of its bucket
+    state = buckets.filter("c > 2").join(sketch("1"), F.col("rep") == F.col("r1")).select("bucket", "rep", "n", "w", "bits1", (F.col("rep") == F.col("pivot")).alias("done"))
+    count = 16
     while True:
-        at = buckets.select("bucket", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        at = at.join(done, (F.col("bucket") == F.col("db")) & (F.col("rep") == F.col("dr")), "left").select("bucket", "rep", "n", "label", F.col("dr").isNotNull().alias("done"))
-        open_ = at.filter("not done").groupBy(F.col("bucket").alias("ob")).agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("ob")
-        at = stored(at.join(open_, F.col("bucket") == F.col("ob"), "left_semi"), "open")
+        at = state.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        here, same = Window.partitionBy("bucket"), Window.partitionBy("bucket", "label")
+        todo = F.when(~F.col("done"), F.col("label"))
+        at = at.withColumn("l1", F.min(todo).over(here)).withColumn("l2", F.max(todo).over(here)).filter("l1 <> l2").drop("l1", "l2")
+        # the members of small components first: once all but one component's are done, the bucket is
+        order = here.orderBy("done", "c", "label", F.desc("w"), "rep")
+        at = at.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("chosen", ~F.col("done") & (F.row_number().over(order) <= count)).drop("c")
+        at = stored(at, "open")
         if not at.limit(1).count():
             break
-        sizes = at.groupBy(F.col("bucket").alias("sb"), F.col("label").alias("sl")).agg(F.count(F.lit(1)).alias("c"))
-        order = Window.partitionBy("bucket").orderBy("c", "label", "rep")
-        ranked = at.filter("not done").join(sizes, (F.col("bucket") == F.col("sb")) & (F.col("label") == F.col("sl"))).withColumn("rank", F.row_number().over(order))
-        chosen = stored(ranked.filter(F.col("rank") <= count).select(F.col("bucket").alias("pb"), F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl")), "pivots")
-        next_ = at.join(chosen, (F.col("bucket") == F.col("pb")) & (F.col("label") != F.col("pl")) & alike(F.col("n"), F.col("pn")))
-        pairs = next_.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        new = verified(pairs)
+        chosen = at.filter("chosen").select(F.col("bucket").alias("pb"), F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("bits1").alias("bits2"))
+        may = may_overlap(F.col("n"), F.col("pn"), F.col("bits1"), F.col("bits2"), similar)
+        near = at.join(chosen, (F.col("bucket") == F.col("pb")) & (F.col("label") != F.col("pl")) & alike(F.col("n"), F.col("pn")) & may)
+        new = verified(near.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct())
         if new.limit(1).count():
             links = links.unionByName(new)
             labels = components(links)
-        done = done.unionByName(chosen.select(F.col("pb").alias("db"), F.col("pivot").alias("dr")))
-        count *= 8
+        state = at.withColumn("done", F.col("done") | F.col("chosen")).drop("chosen", "label")
+        count *= 64
 
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("row", "id", "key", F.coalesce("label", "rep").alias("class"))
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
