@@ -46,7 +46,8 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     held = letter.copy()
     held[1:] |= letter[:-1]
-    s = np.concatenate([[0], np.where(letter, c, 0)[held], [0]]).astype(np.uint64)
+    s = np.where(letter, c, 0)[held]
+    s = np.concatenate([[0], s[:-1] if s[-1] == 0 else s, [0]]).astype(np.uint64)
     return np.unique((s[:-2] << np.uint64(42)) | (s[1:-1] << np.uint64(21)) | s[2:], return_counts=True)
 
 
@@ -119,7 +120,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             for lang, v in zip(b["lang"], bundle(b["text"].tolist()), strict=True):
                 sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     total: dict[str, np.ndarray] = {}
     for r in sample.mapInPandas(profiles, "lang string, v array<double>").toLocalIterator():
