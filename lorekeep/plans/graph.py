@@ -11,7 +11,7 @@ from .base import Tables, query
 CLAIMS = """c AS (SELECT 'p' || l_partkey AS subject, 's' || l_suppkey AS object, CASE l_returnflag WHEN 'A' THEN 'fixes' WHEN 'N' THEN 'depends_on' ELSE 'mentions' END AS predicate,
   l_discount * 10 AS confidence, l_orderkey AS evidence, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS claim_id, CASE l_linestatus WHEN 'F' THEN 'explicit' ELSE 'candidate' END AS status FROM lineitem)"""
 EDGES = """ed AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'in' AS relation FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'of' FROM supplier
-  UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'makes' FROM lineitem WHERE l_quantity >= 50)"""
+  UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'makes' FROM lineitem)"""
 
 
 def name(prefix: str, col: str):
@@ -28,7 +28,7 @@ def claims_of(t: Tables) -> DataFrame:
 
 
 def edges_of(t: Tables) -> DataFrame:
-    made = t.lineitem.filter("l_quantity >= 50").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).distinct()
+    made = t.lineitem.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).distinct()
     return (
         t.nation.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"), F.lit("in").alias("relation"))
         .unionAll(t.supplier.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"), F.lit("of").alias("relation")))
@@ -122,13 +122,13 @@ def gr_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CLAIMS}, d AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'),
-k AS (SELECT 's' || (o_custkey % 50) AS k FROM orders WHERE o_orderkey IN (SELECT * FROM d) AND o_totalprice > 400000 UNION SELECT subject FROM c WHERE status = 'explicit' AND evidence IN (SELECT * FROM d) UNION SELECT object FROM c WHERE status = 'explicit' AND evidence IN (SELECT * FROM d))
+k AS (SELECT 's' || (o_custkey % 50) AS k FROM orders WHERE o_orderkey IN (SELECT * FROM d) UNION SELECT subject FROM c WHERE status = 'explicit' AND evidence IN (SELECT * FROM d) UNION SELECT object FROM c WHERE status = 'explicit' AND evidence IN (SELECT * FROM d))
 SELECT DISTINCT canonical_name FROM (SELECT 'p' || p_partkey AS k, p_name AS canonical_name FROM part UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier) WHERE k IN (SELECT k FROM k)""")
 def gr_evidenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-7, JN-12, AG-5."""
     t = Tables(spark, sf_dir)
     e = t.part.select(name("p", "p_partkey").alias("entity_key"), F.col("p_name").alias("canonical_name")).unionByName(t.supplier.select(name("s", "s_suppkey").alias("entity_key"), F.col("s_name").alias("canonical_name")))
-    m = t.orders.filter("o_totalprice > 400000").select(F.col("o_orderkey").alias("memory_id"), F.col("o_orderkey").alias("revision_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("entity_key"))
+    m = t.orders.select(F.col("o_orderkey").alias("memory_id"), F.col("o_orderkey").alias("revision_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("entity_key"))
     return G.evidenced(e, m, claims_of(t), documents_of(t))
 
 

@@ -349,12 +349,12 @@ def src_vault_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter(vault.note_path(F.col("path"))).select("path", vault.daily_note(F.col("path")).alias("daily"))
 
 
-@query("SELECT o_orderkey AS memory_id, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) AS has_chunks FROM orders")
+@query("SELECT o_orderkey AS memory_id, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_chunks FROM orders")
 def pf_has_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-13, PF-4."""
     t = Tables(spark, sf_dir)
     d = t.orders.select(F.col("o_orderkey").alias("memory_id"), F.col("o_orderkey").alias("current_revision_id"))
-    return L.with_chunks(d, t.lineitem.filter("l_quantity > 30").select(F.col("l_orderkey").alias("revision_id"))).select("memory_id", "has_chunks")
+    return L.with_chunks(d, t.lineitem.select(F.col("l_orderkey").alias("revision_id"))).select("memory_id", "has_chunks")
 
 
 @query("SELECT doc_id AS chunk_id, source AS memory_type, 'f' || doc_id AS source_file, length(text) AS n FROM documents")

@@ -235,7 +235,7 @@ def ret_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH ed AS (SELECT 'n' || s_nationkey AS a, 'p' || (l_partkey % 100) AS b, CASE l_returnflag WHEN 'A' THEN 'fixes' WHEN 'N' THEN 'depends_on' ELSE 'mentions' END AS relation
-            FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45),
+            FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 w AS (SELECT a, b, CASE relation WHEN 'fixes' THEN 0.4 WHEN 'depends_on' THEN 0.15 ELSE 0.1 END::DOUBLE AS w FROM ed),
 bo AS (SELECT a, b, w FROM w UNION ALL SELECT b, a, w FROM w),
 r AS (SELECT n_nationkey AS query_id, p_partkey AS chunk_id, 'n' || n_nationkey AS qa, 'p' || (p_partkey % 100) AS rb FROM nation, part WHERE p_size = n_nationkey)
@@ -246,7 +246,7 @@ def ret_old_graph_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     relation = F.when(F.col("l_returnflag") == "A", "fixes").when(F.col("l_returnflag") == "N", "depends_on").otherwise("mentions")
-    ed = t.lineitem.filter("l_quantity > 45").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(name("N", F.col("s_nationkey")).alias("src"), name("P", F.col("l_partkey") % 100).alias("dst"), relation.alias("relation"))
+    ed = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(name("N", F.col("s_nationkey")).alias("src"), name("P", F.col("l_partkey") % 100).alias("dst"), relation.alias("relation"))
     q = t.nation.select(F.col("n_nationkey").alias("query_id"), F.array(name("n", F.col("n_nationkey"))).alias("entities"))
     r = t.nation.join(t.part, F.col("p_size") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("query_id"), F.col("p_partkey").alias("chunk_id"), F.array(name("p", F.col("p_partkey") % 100)).alias("entities"))
     return legacy.graph_boosts(q, r, ed).withColumn("graph_boost", F.round("graph_boost", 4))
@@ -265,19 +265,18 @@ def ret_graph_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT x.o_orderkey AS query_id, c2.o_orderkey AS memory_id, 0.08::DOUBLE AS profile_boost
-FROM (SELECT o_orderkey, 'about ' || lower(o_orderpriority) || ' and ' || lower(c_mktsegment) AS q FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 490000) x
-JOIN (SELECT DISTINCT lower(c_mktsegment) AS k FROM customer) p ON contains(q, k)
-JOIN (SELECT o_orderkey, lower(c_mktsegment) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_totalprice > 495000) c2 ON c2.k = p.k
+WITH q AS (SELECT DISTINCT c_nationkey * 100 + length(c_mktsegment) AS query_id, 'about ' || lower(c_mktsegment) || ' in nation ' || c_nationkey AS q FROM customer)
+SELECT DISTINCT query_id, c_custkey AS memory_id, 0.08::DOUBLE AS profile_boost FROM q JOIN customer ON contains(q, lower(c_mktsegment)) WHERE c_acctbal >= 0
 """)
 def ret_profile_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET-7, JN-8, JN-21, FLT-8: profiles are market segments, facts finished orders."""
+    """RET-7, JN-8, JN-21, FLT-8: profiles are market segments, customers in credit are evidence for theirs."""
     t = Tables(spark, sf_dir)
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("k", F.lower("c_mktsegment"))
-    q = o.filter("o_totalprice > 490000").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("about "), F.lower("o_orderpriority"), F.lit(" and "), "k").alias("query_key"), F.array().cast("array<string>").alias("entity_keys"))
-    p = t.customer.select(F.lower("c_mktsegment").alias("profile_id")).distinct().withColumn("canonical_key", F.col("profile_id"))
-    f = o.filter("o_totalprice > 495000").select(F.col("k").alias("profile_id"), F.when(F.col("o_orderstatus") == "F", "active").otherwise("superseded").alias("status"), F.col("o_orderkey").alias("evidence_memory_id"), F.col("o_orderkey").alias("evidence_revision_id"))
-    d = t.orders.select(F.col("o_orderkey").alias("memory_id"), F.lit("active").alias("doc_status"), F.col("o_orderkey").alias("current_revision_id"))
+    k = F.lower("c_mktsegment")
+    text = F.concat(F.lit("about "), k, F.lit(" in nation "), F.col("c_nationkey").cast("string"))
+    q = t.customer.select((F.col("c_nationkey") * 100 + F.length("c_mktsegment")).cast("long").alias("query_id"), text.alias("query_key"), F.array().cast("array<string>").alias("entity_keys")).distinct()
+    p = t.customer.select(k.alias("profile_id")).distinct().withColumn("canonical_key", F.col("profile_id"))
+    f = t.customer.select(k.alias("profile_id"), F.when(F.col("c_acctbal") >= 0, "active").otherwise("superseded").alias("status"), F.col("c_custkey").alias("evidence_memory_id"), F.col("c_custkey").alias("evidence_revision_id"))
+    d = t.customer.select(F.col("c_custkey").alias("memory_id"), F.lit("active").alias("doc_status"), F.col("c_custkey").alias("current_revision_id"))
     return profiles.profile_boosts(q, p, f, d)
 
 
@@ -298,9 +297,8 @@ def ret_write_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH terms AS (SELECT item_id AS task_id, list_distinct(list_filter(regexp_extract_all(lower(left(text, 60)), '[a-z0-9_]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from'))) AS ts FROM benchmark),
-c AS (SELECT conv_id, text FROM conversations WHERE turn = 0),
-notes AS (SELECT 'Tasks/c' || conv_id || '.md' AS path, text, text || ' c' || conv_id AS f FROM c),
+WITH terms AS (SELECT item_id AS task_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from'))) AS ts FROM benchmark),
+notes AS (SELECT 'Tasks/c' || conv_id || '_' || turn || '.md' AS path, text, text || ' c' || conv_id || '_' || turn AS f FROM conversations),
 sc AS (SELECT task_id, path, CAST(list_sum(list_transform(ts, lambda x: (length(lower(f)) - length(replace(lower(f), x, ''))) // length(x))) AS BIGINT) AS score FROM terms, notes),
 r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, path) AS pos FROM sc WHERE score > 0)
 SELECT task_id, pos, path FROM r WHERE pos <= 4
@@ -308,8 +306,8 @@ SELECT task_id, pos, path FROM r WHERE pos <= 4
 def ret_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-20, TK-9, SC-26, SC-27."""
     t = Tables(spark, sf_dir)
-    tasks = t.benchmark.select(F.col("item_id").alias("task_id"), F.substring("text", 1, 60).alias("text"))
-    notes = t.conversations.filter("turn = 0").select(F.concat(F.lit("Tasks/c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    tasks = t.benchmark.select(F.col("item_id").alias("task_id"), "text")
+    notes = t.conversations.select(F.format_string("Tasks/c%d_%d.md", "conv_id", "turn").alias("path"), "text")
     return writing.procedures(tasks, notes).select("task_id", F.col("pos").cast("long").alias("pos"), "path")
 
 
