@@ -15,7 +15,6 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FRONT = re.compile(r"\A﻿?---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\Z)", re.S)
 
@@ -159,7 +158,11 @@ def porter_stem(w: str) -> str:
 
 
 def entity_key_udf():
-    return F.pandas_udf(lambda s: s.map(entity_key), T.StringType(), F.PandasUDFType.SCALAR)
+    @F.pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(entity_key)
+
+    return f
 
 
 def front_matter_udf():
