@@ -66,33 +66,42 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     ``max_blocks``: a rerun of a lost task sees the same block.  Slots come
     from a running count over buckets of a shard, so no task holds a shard.
     Null text: 8 bytes, crc 0.  Null or repeated ids are rows like any other;
-    rows equal in id and text are interchangeable.  Empty table: no rows.
+    rows equal in all columns are interchangeable.  Empty table: no rows.
+
+    Places are found on slim rows (ids, sizes and hashes); other columns are
+    joined to them at the end, so texts move once.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     id_ = F.coalesce(docs[id_col].cast("string"), F.lit(""))
-    extra = [docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)]
+    names = [f"_keep{i}" for i in range(len(keep))]
     rows = docs.select(
         docs[id_col].alias("id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.coalesce(docs[id_col].cast("string"), F.lit("null")).alias("idk"),
         F.crc32(text.cast("binary")).alias("crc"),
+        (F.xxhash64(*[docs[c] for c in keep]) if keep else F.lit(0).cast("long")).alias("h"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(f"{seed}a"), id_)).alias("key"),
         F.md5(F.concat_ws(":", F.lit(f"{seed}b"), id_)).alias("key2"),
-        *extra,
+        *[docs[c].alias(n) for c, n in zip(keep, names, strict=True)],
     )
-    bare = rows.select("id", "crc")
+    slim = rows.drop(*names)
     n = docs.count()
     blocks = max(1, min(max_blocks, math.isqrt(n)))
     block = F.pmod(F.xxhash64("id", "crc"), F.lit(blocks)).cast("int").alias("block")
-    counts = {r[0]: r[1] for r in bare.groupBy(block).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[0]: r[1] for r in slim.groupBy(block).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     places = [total // shards + (j < total % shards) for j in range(shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], places, seed).cumsum(axis=1)
     edges = docs.sparkSession.createDataFrame([(b, m) for b, m in enumerate(matrix.tolist())], "b int, edges array<long>")
-    local = Window.partitionBy("block").orderBy("key", "crc")
-    rows = rows.withColumn("block", block).withColumn("rank", F.row_number().over(local) - 1)
-    rows = rows.join(edges, rows["block"] == edges["b"])
-    rows = rows.withColumn("shard", F.size(F.filter("edges", lambda e: e <= F.col("rank"))))
-    names = [f"_keep{i}" for i in range(len(extra))]
-    sent = stored(rows.select("id", "size", "crc", "key2", "shard", *names).withColumn("draw", unit(F.col("key2"))), "shards")
-    placed = running(sent, ["shard"], "draw", ["key2", "crc"], F.lit(1).cast("long"), "slot", sent.select("shard", "draw"))
-    return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot", *[F.col(x).alias(c) for x, c in zip(names, keep, strict=True)])
+    local = Window.partitionBy("block").orderBy("key", "crc", "h")
+    dealt = slim.withColumn("block", block).withColumn("rank", F.row_number().over(local) - 1)
+    dealt = dealt.join(edges, dealt["block"] == edges["b"]).withColumn("shard", F.size(F.filter("edges", lambda e: e <= F.col("rank"))))
+    sent = stored(dealt.select("id", "idk", "crc", "h", "size", "key2", "shard").withColumn("draw", unit(F.col("key2"))), "shards")
+    placed = running(sent, ["shard"], "draw", ["key2", "crc", "h"], F.lit(1).cast("long"), "slot", sent.select("shard", "draw"))
+    out = [F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot"]
+    if not keep:
+        return placed.select(*out)
+    # texts move once: one of rows that are equal in all columns, to all their places
+    whole = rows.groupBy("idk", "crc", "h").agg(F.first(F.struct(*names)).alias("whole"))
+    both = placed.join(whole, ["idk", "crc", "h"])
+    return both.select(*out, *[F.col("whole")[x].alias(c) for x, c in zip(names, keep, strict=True)])
