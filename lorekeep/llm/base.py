@@ -53,7 +53,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lorekeep/{tag}-{uuid.uuid4().hex}"
     with _conf(spark, _CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,7 +92,8 @@ def running(df: DataFrame, keys: list[str], draw: str, order: list, value: Colum
     b, v, off, n, base = (fresh(cols, x) for x in ("_bucket", "_value", "_offset", "_rows", "_total"))
     mine = [fresh(cols, f"_key{i}") for i in range(len(keys))]
     sizes = slim.groupBy(*[F.col(k).alias(m) for k, m in zip(keys, mine, strict=True)])
-    sizes = sizes.agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias(n))
+    # small tables are stored, so that their joins are planned by their true size
+    sizes = stored(sizes.agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias(n)), "sizes")
     same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, mine, strict=True)]
 
     def cut(d: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def running(df: DataFrame, keys: list[str], draw: str, order: list, value: Colum
     at = fresh(cols, "_at")
     totals = cut(slim).groupBy(*[F.col(k).alias(m) for k, m in zip(keys, mine, strict=True)], F.col(b).alias(at)).agg(F.sum(v).alias(base))
     before = Window.partitionBy(*mine).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*mine, at, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(off))
+    totals = stored(totals.select(*mine, at, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(off)), "totals")
     inside = Window.partitionBy(*keys, b).orderBy(draw, *order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut(df).withColumn(out, F.coalesce(F.sum(v).over(inside), F.lit(0)))
     joined = ranked.join(totals, [*same, F.col(b) == F.col(at)])

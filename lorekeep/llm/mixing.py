@@ -95,7 +95,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("draw", unit(F.col("key")))
     # words are counted once; texts, if kept, only pass by in the last step
     slim = stored(rows.drop(*[f"_keep{i}" for i in range(len(extra))]), "mix")
-    targets = source_targets(slim.select("src", "size"), "src", "size", weights, budget, most)
+    targets = stored(source_targets(slim.select("src", "size"), "src", "size", weights, budget, most), "targets")
     rows = running(rows if extra else slim, ["src"], "draw", ["key", "size"], F.col("size"), "before", slim)
     rows = rows.join(targets, rows["src"].eqNullSafe(targets["source"])).drop("source")
     mid = F.col("before") + F.col("size") / 2.0
@@ -121,7 +121,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = {c: n for c, n in zip(cols, names, strict=True)}
     picked = curriculum(plain, at[id_col], at[text_col], at[source_col], keep=[n for n in names if n != at[id_col]], **params)
     tie = F.xxhash64(at[id_col])
-    picked = picked.select(*names, F.explode("positions").alias("position"))
+    # a stored table between the two moves of the texts: the disk holds the files of one
+    picked = stored(picked.filter(F.size("positions") > 0), "picked").select(*names, F.explode("positions").alias("position"))
     return picked.orderBy("position", tie).select(*[F.col(n).alias(c) for c, n in zip(cols, names, strict=True)])
 
 
