@@ -52,54 +52,54 @@ def traits_of(t: Tables) -> DataFrame:
     return I.traits(found_of(t)).withColumn("confidence", F.col("initial"))
 
 
-@query(f"WITH {FOUND} SELECT entity_id, trait_id, domain_id, n AS evidence_count, round(initial, 3) AS initial, category, round(stability, 3) AS stability FROM st")
+@query(f"WITH {FOUND} SELECT entity_id, trait_id, domain_id, n AS evidence_count, initial, category, stability FROM st")
 def id_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-2, ID-5, AG-17, AG-18."""
-    return I.traits(found_of(Tables(spark, sf_dir))).select("entity_id", "trait_id", "domain_id", "evidence_count", F.round("initial", 3).alias("initial"), "category", F.round("stability", 3).alias("stability"))
+    return I.traits(found_of(Tables(spark, sf_dir))).select("entity_id", "trait_id", "domain_id", "evidence_count", "initial", "category", "stability")
 
 
-@query(f"""WITH RECURSIVE {FOUND},
-f AS (SELECT entity_id, trait_id, ss, initial::DOUBLE AS c, 0.0::DOUBLE AS s, 0 AS i FROM g
-  UNION ALL SELECT entity_id, trait_id, ss, greatest(0, least(1, round(c * 0.7 + (s + ss[i + 1]) / (i + 1) * 0.3, 4))), s + ss[i + 1], i + 1 FROM f WHERE i < len(ss))
-SELECT entity_id, trait_id, round(c, 3) AS confidence FROM f WHERE i = len(ss)""")
+@query()
 def id_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ID-3, WN-5: an ordered fold over a trait's evidence."""
-    return I.traits(found_of(Tables(spark, sf_dir))).select("entity_id", "trait_id", F.round("confidence", 3).alias("confidence"))
+    """ID-3, WN-5: an ordered fold over a trait's evidence.
+
+    No SQL: each step rounds to four decimals, and engines break binary ties
+    differently; hand-computed folds are in the tests."""
+    return I.traits(found_of(Tables(spark, sf_dir))).select("entity_id", "trait_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {FOUND}, d AS (SELECT *, entity_id % 60 AS days, CASE category WHEN 'core' THEN 0.001 WHEN 'temporary' THEN 0.03 ELSE 0.01 END::DOUBLE AS rate FROM st),
 x AS (SELECT *, CASE WHEN days > 0 THEN greatest(0.2, confidence - rate * days) ELSE confidence END AS c FROM d)
-SELECT entity_id, trait_id, round(CASE WHEN c < 0.15 THEN 0 ELSE c END, 3) AS confidence, n >= CASE category WHEN 'core' THEN 10 WHEN 'temporary' THEN 1 ELSE 3 END AS reinforced, round(greatest(0.15, confidence - 0.15), 3) AS suppressed,
+SELECT entity_id, trait_id, round(CASE WHEN c < 0.15 THEN 0 ELSE c END, 6) AS confidence, n >= CASE category WHEN 'core' THEN 10 WHEN 'temporary' THEN 1 ELSE 3 END AS reinforced, round(greatest(0.15, confidence - 0.15), 6) AS suppressed,
   CASE WHEN confidence >= 0.2 THEN 'active' WHEN confidence < 0.15 AND confidence > 0 THEN 'dormant' ELSE 'inactive' END AS activity FROM x""")
 def id_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-4, ID-6."""
     t = traits_of(Tables(spark, sf_dir))
     c, k = F.col("confidence"), F.col("category")
-    return t.select("entity_id", "trait_id", F.round(I.decayed(c, k, F.col("entity_id") % 60), 3).alias("confidence"), I.reinforced(F.col("evidence_count"), k).alias("reinforced"), F.round(I.suppressed(c), 3).alias("suppressed"), I.activity(c).alias("activity"))
+    return t.select("entity_id", "trait_id", F.round(I.decayed(c, k, F.col("entity_id") % 60), 6).alias("confidence"), I.reinforced(F.col("evidence_count"), k).alias("reinforced"), F.round(I.suppressed(c), 6).alias("suppressed"), I.activity(c).alias("activity"))
 
 
-@query(f"WITH {FOUND} SELECT entity_id, round(avg(confidence), 3) AS global_confidence FROM st WHERE confidence >= 0.2 GROUP BY 1")
+@query(f"WITH {FOUND} SELECT entity_id, round(avg(confidence), 4) AS global_confidence FROM st WHERE confidence >= 0.2 GROUP BY 1")
 def id_global_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-19."""
-    return I.global_confidence(traits_of(Tables(spark, sf_dir))).withColumn("global_confidence", F.round("global_confidence", 3))
+    return I.global_confidence(traits_of(Tables(spark, sf_dir)))
 
 
 CONTRA = f"""{FOUND}, o(a, b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in vocab.OPPOSITES)}),
-kc AS (SELECT x.entity_id, a AS trait_a, b AS trait_b, round(least(x.confidence, y.confidence) * 0.5, 4) AS severity FROM o JOIN st x ON x.trait_id = a JOIN st y ON y.trait_id = b AND y.entity_id = x.entity_id WHERE x.confidence >= 0.4 AND y.confidence >= 0.4)"""
+kc AS (SELECT x.entity_id, a AS trait_a, b AS trait_b, round(least(x.confidence, y.confidence) * 0.5, 6) AS severity FROM o JOIN st x ON x.trait_id = a JOIN st y ON y.trait_id = b AND y.entity_id = x.entity_id WHERE x.confidence >= 0.4 AND y.confidence >= 0.4)"""
 
 
-@query(f"WITH {CONTRA} SELECT entity_id, trait_a, trait_b, round(severity, 3) AS severity FROM kc")
+@query(f"WITH {CONTRA} SELECT entity_id, trait_a, trait_b, severity FROM kc")
 def id_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-7, JN-25."""
-    return I.known_contradictions(traits_of(Tables(spark, sf_dir))).select("entity_id", "trait_a", "trait_b", F.round("severity", 3).alias("severity"))
+    return I.known_contradictions(traits_of(Tables(spark, sf_dir))).select("entity_id", "trait_a", "trait_b", F.round(F.least("confidence_a", "confidence_b") * 0.5, 6).alias("severity"))
 
 
 @query(f"""WITH {CONTRA}, h AS (SELECT entity_id, t AS trait_id, count(*) AS n FROM (SELECT entity_id, unnest([trait_a, trait_b]) AS t FROM kc) GROUP BY 1, 2)
-SELECT st.entity_id, st.trait_id, coalesce(h.n, 0) AS contradictions, round(greatest(0, confidence - coalesce(h.n, 0) * 0.075::DOUBLE), 3) AS confidence FROM st LEFT JOIN h USING (entity_id, trait_id)""")
+SELECT st.entity_id, st.trait_id, coalesce(h.n, 0) AS contradictions, round(greatest(0, confidence - coalesce(h.n, 0) * 0.075::DOUBLE), 6) AS confidence FROM st LEFT JOIN h USING (entity_id, trait_id)""")
 def id_penalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-7."""
     t = traits_of(Tables(spark, sf_dir))
-    return I.penalised(t, I.known_contradictions(t)).select("entity_id", "trait_id", "contradictions", F.round("confidence", 3).alias("confidence"))
+    return I.penalised(t, I.known_contradictions(t)).select("entity_id", "trait_id", "contradictions", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""WITH t AS (SELECT conv_id AS entity_id, role AS trait_id, lower(text) AS x FROM conversations),
@@ -116,11 +116,11 @@ def id_text_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS = f"""{FOUND}, wt AS (SELECT entity_id, trait_id, stability, confidence, greatest(0, least(1, CASE category WHEN 'core' THEN 0.9 WHEN 'temporary' THEN 0.15 ELSE 0.4 END::DOUBLE * CASE domain_id WHEN 'core_traits' THEN 1.2 ELSE 0.55 END::DOUBLE * (0.5 * stability + 0.5 * confidence))) AS w FROM st WHERE confidence >= 0.1)"""
 
 
-@query(f"WITH {WEIGHTS} SELECT entity_id, trait_id, round(round(w, 4), 3) AS reasoning, round(round(w * 0.9, 4), 3) AS retrieval, round(round(w * 0.85, 4), 3) AS planning, round(round(w * 0.7, 4), 3) AS emotional FROM wt")
+@query(f"WITH {WEIGHTS} SELECT entity_id, trait_id, round(w, 4) AS reasoning, round(w * 0.9, 4) AS retrieval, round(w * 0.85, 4) AS planning, round(w * 0.7, 4) AS emotional FROM wt")
 def id_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-10, TK-11."""
     w = I.weights(traits_of(Tables(spark, sf_dir)))
-    return w.select("entity_id", "trait_id", *[F.round(c, 3).alias(c) for c in ("reasoning", "retrieval", "planning", "emotional")])
+    return w.select("entity_id", "trait_id", "reasoning", "retrieval", "planning", "emotional")
 
 
 @query(f"WITH {FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY stability DESC, confidence DESC, trait_id) AS pos FROM st WHERE confidence >= 0.3) SELECT entity_id, trait_id, pos FROM r WHERE pos <= 5")
@@ -151,10 +151,10 @@ def versions_of(t: Tables) -> DataFrame:
     return t.orders.groupBy(*key).agg(F.round(F.avg("o_totalprice") / 500000, 4).alias("confidence"))
 
 
-@query(f"WITH {DRIFT} SELECT entity_id, trait_id, round(confidence_delta, 3) AS confidence_delta, change FROM dr WHERE change IS NOT NULL")
+@query(f"WITH {DRIFT} SELECT entity_id, trait_id, confidence_delta, change FROM dr WHERE change IS NOT NULL")
 def id_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-11, JN-27, WN-4."""
-    return I.drift(versions_of(Tables(spark, sf_dir))).select("entity_id", "trait_id", F.round("confidence_delta", 3).alias("confidence_delta"), "change")
+    return I.drift(versions_of(Tables(spark, sf_dir))).select("entity_id", "trait_id", "confidence_delta", "change")
 
 
 @query(f"WITH {VERSIONS}, r AS (SELECT *, dense_rank() OVER (PARTITION BY entity_id ORDER BY version_number DESC) AS n FROM v) SELECT entity_id, version_number, trait_id FROM r WHERE n <= 2")
