@@ -26,13 +26,24 @@ UNREAD = set("script style noscript template svg math iframe object canvas audio
 MAIN = set("article main".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar "
-    "sidebar side breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription "
-    "signup login share sharing social related recommended comment comments commentlist respond replies disqus discussion popup modal overlay "
-    "masthead toolbar pagination pager widget".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar breadcrumb breadcrumbs "
+    "cookie cookies consent gdpr newsletter subscribe signup login pagination pager masthead popup".split()
+)
+#: Readers' comments.
+READERS = set("comments commentlist respond replies disqus".split())
+#: Names that content bears too: its lines decide.
+PERHAPS = set(
+    "banner promotion navigation menu menubar sidebar side footer notification subscription share sharing social related recommended "
+    "comment discussion modal overlay toolbar widget".split()
 )
 #: Tokens and elements that are page furniture only outside the article.
-OUTER = {"header", "topbar"}
+OUTER = {"header", "topbar", "alert", "notice", "notices"}
+NAMES = NOISE | READERS | PERHAPS | OUTER
+#: Words that may stand beside one of these in a compound; any other word makes it a name of its own (side-effects, has-sidebar).
+BESIDE = set("posts articles links list buttons icons bar area box site page".split())
+#: Inside the article an id is mostly a section's title; only these are names of furniture there.
+IDS_INSIDE = READERS | set("ad ads advert advertisement share sharing social related recommended".split())
+UNNAMED = set("html body article main h1 h2 h3 h4 h5 h6".split())
 #: A start tag of these ends an open element of those before it.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 WHITE = re.compile(r"\s+")
@@ -41,12 +52,14 @@ SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """Collects lines: [text, tags, elements that hold it, is furniture]."""
+    """Collects lines: text, tags, elements that hold it, those of them named like furniture."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, furniture, in an article
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...]]] = []
+        self.open: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # name, number, furniture, in an article, named elements
+        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...], tuple[int, ...]]] = []
+        self.named: dict[int, set[str]] = {}  # number of an element named like furniture -> its names
+        self.around: dict[int, int] = {}  # and the next such element around it, or 0
         self.parts: list[str] = []
         self.tags = self.made = 0
 
@@ -55,23 +68,37 @@ class Lines(HTMLParser):
         self.parts.clear()
         if text:
             if not (self.open and self.open[-1][2]):
-                self.lines.append((text, self.tags, tuple((n, k) for n, k, _, _ in self.open)))
+                self.lines.append((text, self.tags, tuple((n, k) for n, k, *_ in self.open), self.open[-1][4] if self.open else ()))
             self.tags = 0
 
     def noisy(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-        if tag in UNREAD or tag in OUTER and not inside:
+        if tag in UNREAD or tag == "header" and not inside:
             return True
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
             if k == "role" and (v or "").lower() in ROLES:
                 return True
-            if k in ("class", "id") and v and tag not in ("html", "body", "article", "main"):
-                words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
-                if words & NOISE or words & OUTER and not inside:
-                    return True
         return False
 
+    def names(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str]:
+        """The names of furniture that an element bears: whole tokens, or compounds of such names and words of BESIDE."""
+        out: set[str] = set()
+        if tag in UNNAMED:
+            return out
+        for k, v in attrs:
+            if k in ("class", "id") and v:
+                known = NAMES - OUTER if inside else NAMES
+                if inside and k == "id":
+                    known = IDS_INSIDE
+                if tag in INLINE:
+                    known = known & NOISE
+                for token in v.split():
+                    words = {w for w in re.split(r"[\W_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w}
+                    if words <= NAMES | BESIDE:
+                        out |= words & known
+        return out
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
@@ -86,12 +113,16 @@ class Lines(HTMLParser):
                 self.open.pop()
         if tag in VOID:
             return
-        over = self.open[-1] if self.open else ("", 0, False, False)
+        over = self.open[-1] if self.open else ("", 0, False, False, ())
         self.made += 1
         noise = over[2] or self.noisy(tag, attrs, over[3])
-        if noise and not over[2]:
+        names = set() if noise else self.names(tag, attrs, over[3])
+        if names or noise and not over[2]:
             self.flush()
-        self.open.append((tag, self.made, noise, over[3] or tag in MAIN))
+        if names:
+            self.named[self.made] = names
+            self.around[self.made] = over[4][-1] if over[4] else 0
+        self.open.append((tag, self.made, noise, over[3] or tag in MAIN, (*over[4], self.made) if names else over[4]))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,12 +132,14 @@ class Lines(HTMLParser):
         if tag in VOID or all(x[0] != tag for x in self.open):
             return
         was = self.open[-1][2]
+        at = [i for i, x in enumerate(self.open) if x[0] == tag][-1]
         if tag not in INLINE:
             self.flush()
-        elif any(x[0] not in INLINE for x in self.open[[i for i, x in enumerate(self.open) if x[0] == tag][-1] :]):
+        elif any(x[0] not in INLINE for x in self.open[at:]):
             return  # an inline end tag does not close blocks
-        while self.open.pop()[0] != tag:
-            pass
+        elif not was and self.open[-1][4] != (self.open[at - 1][4] if at else ()):
+            self.flush()
+        del self.open[at:]
         if was and not (self.open and self.open[-1][2]):
             self.parts.clear()
 
@@ -114,14 +147,17 @@ class Lines(HTMLParser):
         self.parts.append(data)
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Which lines have a smoothed ratio above the two-means threshold."""
-    if len(ratios) < 2:
-        return np.ones(len(ratios), bool)
+def smoothed(ratios: np.ndarray) -> np.ndarray:
     x = np.arange(-3, 4)
     kernel = np.exp(-(x**2) / (2 * SIGMA**2))
-    pad = np.pad(ratios, 3, mode="edge")
-    smooth = np.convolve(pad, kernel / kernel.sum(), mode="valid")
+    return np.convolve(np.pad(ratios, 3, mode="edge"), kernel / kernel.sum(), mode="valid")
+
+
+def threshold(ratios: np.ndarray) -> float:
+    """The two-means threshold of smoothed ratios; 0 for fewer than two."""
+    if len(ratios) < 2:
+        return 0.0
+    smooth = smoothed(ratios)
     low, high = smooth.min(), smooth.max()
     for _ in range(50):
         t = (low + high) / 2
@@ -130,7 +166,46 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
         if new == (low, high):
             break
         low, high = new
-    return smooth >= (low + high) / 2
+    return (low + high) / 2
+
+
+def content_lines(ratios: np.ndarray) -> np.ndarray:
+    """Which lines have a smoothed ratio above the two-means threshold."""
+    return smoothed(ratios) >= threshold(ratios) if len(ratios) > 1 else np.ones(len(ratios), bool)
+
+
+def holder(path: tuple[tuple[str, int], ...]) -> int | None:
+    return next((k for n, k in path if n in MAIN), None)
+
+
+def wrappers(parser: Lines) -> set[int]:
+    """Elements that are named like furniture but wrap the page's content: they
+    have more text than all that is outside of named elements.  A certain name
+    (NOISE) must also hold the only article; readers' comments never wrap."""
+    given: set[int] = set()
+    plain, size, holds = 0, dict.fromkeys(parser.named, 0), set()
+    direct: dict[int, int] = {}  # characters under no named element but this one and those around it
+    for text, _, path, own in parser.lines:
+        article = holder(path) is not None
+        if not own:
+            if article:
+                return given
+            plain += len(text)
+            continue
+        direct[own[-1]] = direct.get(own[-1], 0) + len(text)
+        for k in reversed(own):
+            size[k] += len(text)
+            if article:
+                holds.add(k)
+            if parser.named[k] & (NOISE | READERS):
+                break
+    for number, names in sorted(parser.named.items()):  # outer before inner
+        if names & READERS or names & NOISE and number not in holds or parser.around[number] and parser.around[number] not in given:
+            continue
+        if size[number] > plain:
+            given.add(number)
+            plain += direct.get(number, 0)
+    return given
 
 
 def main_text(html: str | None) -> str:
@@ -140,6 +215,8 @@ def main_text(html: str | None) -> str:
     elements with text, if no line of theirs is above the threshold); without
     any, the innermost element that holds all content lines.  Every block of
     the region counts, however short; menus, forms and the like never do.
+    Of the blocks in the region that are only named like furniture, those
+    with a content line count, unless the name is certain.
     """
     if not html:
         return ""
@@ -147,24 +224,30 @@ def main_text(html: str | None) -> str:
     parser.feed(CUT_TAG.sub("", html))
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if not lines:
+    given = wrappers(parser) if parser.named else set()
+    lines = [(text, max(1, n), path, [k for k in own if k not in given]) for text, n, path, own in parser.lines]
+    plain = [(text, n, path) for text, n, path, own in lines if not own]
+    if not plain:
         return ""
-    content = content_lines(np.array([len(t) / max(1, n) for t, n, _ in lines], float))
-    holders = [next((k for n, k in path if n in MAIN), None) for _, _, path in lines]
+    ratios = np.array([len(t) / n for t, n, _ in plain], float)
+    content = content_lines(ratios)
+    holders = [holder(path) for _, _, path in plain]
     if any(h is not None for h in holders):
         best = {h for h, c in zip(holders, content, strict=True) if c and h is not None} or {h for h in holders if h is not None}
-        chosen = [t for (t, _, _), h in zip(lines, holders, strict=True) if h in best]
+        inside = lambda path: holder(path) in best
     else:
-        paths = [path for (_, _, path), c in zip(lines, content, strict=True) if c]
+        paths = [path for (_, _, path), c in zip(plain, content, strict=True) if c]
         depth = 0
         while all(len(p) > depth for p in paths) and len({p[depth] for p in paths}) == 1:
             depth += 1
         while depth and paths[0][depth - 1][0] not in ("div", "section", "body", "html", "td", "table", "center"):
             depth -= 1
         root = paths[0][:depth]
-        chosen = [t for t, _, path in lines if path[:depth] == root]
-    return "\n".join(chosen)
+        inside = lambda path: path[:depth] == root
+    sure = {k for k, names in parser.named.items() if names & (NOISE | READERS)}
+    least = threshold(ratios)
+    kept = {own[0] for text, n, _, own in lines if own and len(text) / n >= least and not sure & set(own)}
+    return "\n".join(text for text, _, path, own in lines if inside(path) and (not own or own[0] in kept and not sure & set(own)))
 
 
 @F.pandas_udf(T.StringType())

@@ -48,3 +48,32 @@ def test_query_shape(spark):
     df = spark.createDataFrame([(1, "u", "<p>hé</p>"), (None, None, None)], "page_id long, url string, html string")
     assert sorted(map(tuple, extract(df).collect()), key=str) == [(1, "u", "hé", 2), (None, None, "", 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+PARA = "<p>" + "lorem ipsum dolor sit amet " * 8 + "</p>"
+SAID = ("lorem ipsum dolor sit amet " * 8).strip()
+
+
+@pytest.mark.parametrize(
+    "block, want",
+    [
+        ("<section id='discussion'><h2 id='discussion'>Discussion</h2><p>Short.</p></section>", "Discussion\nShort."),
+        ("<h2 id='side-effects'>Side effects</h2><h2 class='banner'>Other</h2>", "Side effects\nOther"),
+        ("<h2 id='related-work'>Related work</h2><div class='elementor-widget'>In a widget</div>", "Related work\nIn a widget"),
+        ("<div class='alert alert-warning'>Mind the gap.</div><section id='consent'><p>All agreed.</p></section>", "Mind the gap.\nAll agreed."),
+        (f"<div class='discussion'>{PARA}<p>End.</p></div>", f"{SAID}\nEnd."),
+        ("<pre>x = 1 <span class='token comment'># one</span> y</pre>", "x = 1 # one y"),
+        ("<p>Text</p><div class='related-posts'><a href='/a'>A</a></div><div class='share'>Share</div><div id='comments'>" + PARA + "</div><div class='cookie-notice'>We</div>", "Text"),
+    ],
+)
+def test_names_of_furniture_on_content(block, want):
+    for open_, close in (("<article>", "</article>"), ("<div class='sidebar'><main>", "</main></div>")):
+        assert main_text(f"{CHROME}{open_}<h1>T</h1>{PARA}{block}{close}{END}") == f"T\n{SAID}\n{want}"
+
+
+def test_wrappers_named_like_furniture():
+    for name in ("content has-sidebar", "content sidebar", "page-widget"):
+        assert main_text(f"<body><div class='{name}'><h1>T</h1>{PARA}<div class='ad'>Buy</div>{PARA}</div></body>") == f"T\n{SAID}\n{SAID}"
+    assert main_text(f"<body><div id='content'>{PARA}{PARA}</div><div class='sidebar'>{PARA}</div></body>") == f"{SAID}\n{SAID}"
+    assert main_text(f"<body><div class='sidebar content'><div class='widget'>{PARA}<div class='ad'>Buy</div>{PARA}</div></div></body>") == f"{SAID}\n{SAID}"
+    assert main_text("<body><div class='ad'>Buy now</div></body>") == ""
