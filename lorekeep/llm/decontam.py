@@ -3,7 +3,8 @@
 A region of a document within k edits of an item of m characters shares at
 least m - q + 1 - k*q q-grams with it, all on diagonals at most k apart.
 Shared q-grams are counted in overlapping diagonal bands; bands that meet the
-bound are verified by a banded alignment.
+bound are verified by a banded alignment.  Items of fewer than q characters
+have no q-gram; they are looked for as whole words, without edits.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from .base import small_batches
 Q = 8
 #: Edits allowed for each character of an item.
 RATE = 0.1
-#: Items with fewer normalised characters are no evidence and aren't looked for.
-MIN_CHARS = 20
 #: Items are indexed and broadcast in blocks of at most so many characters.
 BLOCK_CHARS = 4_000_000
 NOT_WORD = re.compile(r"[\W_]+")
 _SLOTS = 22
+#: First and last characters of scripts that put no spaces between words (Thai to Tibetan, Myanmar, Khmer, kana, Han).
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 
 
 def normal(text: str | None) -> str:
@@ -52,6 +53,18 @@ def grams(folded: np.ndarray) -> np.ndarray:
     return np.ndarray((len(folded) - Q + 1,), dtype="<u8", buffer=np.ascontiguousarray(folded), strides=(1,)).copy()
 
 
+def _words(chars: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` characters."""
+    out = np.zeros(max(0, len(chars) - size + 1), np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + chars[i : i + len(out)]
+    return out
+
+
+def _unspaced(chars: np.ndarray) -> np.ndarray:
+    return np.any([(chars >= a) & (chars <= b) for a, b in UNSPACED], axis=0)
+
+
 def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
 
@@ -66,20 +79,27 @@ class QGramIndex:
     starts: np.ndarray  # of each one's postings
     at_item: np.ndarray
     at_pos: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # size under q -> hashes, sorted, and their items
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], rate: float = RATE) -> QGramIndex:
         rows = [(i, _chars(t)) for i, t in rows]
-        rows = [(i, t) for i, t in rows if len(t) >= MIN_CHARS]
+        rows = [(i, t) for i, t in rows if len(t)]
         sizes = np.array([len(t) for _, t in rows], np.int64)
         budget = np.minimum((sizes * rate).astype(np.int64), np.maximum(0, (sizes - Q) // Q))
         codes = [grams(_folded(t)) for _, t in rows]
         flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(rows)), [len(c) for c in codes])
         pos = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.empty(0, np.int64)
+        short = {}
+        for size in sorted(set(sizes[sizes < Q].tolist())):
+            of = np.flatnonzero(sizes == size)
+            hashes = np.concatenate([_words(rows[x][1], size) for x in of])
+            by = np.argsort(hashes, kind="stable")
+            short[size] = hashes[by], of[by]
         order = np.argsort(flat, kind="stable")
         own, starts = np.unique(flat[order], return_index=True)
-        return cls([i for i, _ in rows], [t for _, t in rows], budget, sizes - Q + 1 - budget * Q, own, np.append(starts, len(flat)), item[order], pos[order])
+        return cls([i for i, _ in rows], [t for _, t in rows], budget, sizes - Q + 1 - budget * Q, own, np.append(starts, len(flat)), item[order], pos[order], short)
 
     def table(self) -> np.ndarray:
         t = np.zeros(1 << _SLOTS, bool)
@@ -130,15 +150,44 @@ def band_distances(items: list[np.ndarray], texts: list[np.ndarray], low: np.nda
     return out
 
 
+def search_short(index: QGramIndex, joined: np.ndarray, begin: np.ndarray, found: list[dict[int, int]]) -> None:
+    """Adds the items of fewer than q characters that stand in a text as whole
+    words; next to characters of scripts without spaces any place will do."""
+    ends = np.concatenate([[0], joined, [0]]).astype(np.uint32)  # 0 stands between texts
+    free = (ends == 0) | (ends == 32) | _unspaced(ends)
+    for size, (hashes, of) in index.short.items():
+        codes = _words(joined, size)
+        first, last = np.arange(len(codes)) + 1, np.arange(len(codes)) + size
+        whole = np.flatnonzero((free[first - 1] | free[first]) & (free[last] | free[last + 1]))
+        a, b = np.searchsorted(hashes, codes[whole]), np.searchsorted(hashes, codes[whole], "right")
+        hits, a, n = whole[b > a], a[b > a], (b - a)[b > a]
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hits, item = np.repeat(hits, n), of[at]
+        real = (joined[hits[:, None] + np.arange(size)] == np.stack([index.items[x] for x in of])[at]).all(axis=1)
+        hits, item = hits[real], item[real]
+        doc = np.searchsorted(begin, hits, "right") - 1
+        for d, i in zip(*divmod(np.unique(doc * len(index.items) + item), len(index.items)), strict=True):
+            found[d][int(i)] = 0
+
+
 def search(index: QGramIndex, table: np.ndarray, texts: list[str | None]) -> list[list[tuple]]:
     """For each text the items found: (item id, edits)."""
     found: list[dict[int, int]] = [{} for _ in texts]
-    if not len(index.codes):
+    if not index.items or not texts:
         return [[] for _ in texts]
     chars = [_chars(normal(t)) for t in texts]
     gap = np.zeros(Q, np.uint32)
     joined = np.concatenate([x for c in chars for x in (c, gap)])
     begin = np.concatenate([[0], np.cumsum([len(c) + Q for c in chars])])
+    if index.short:
+        search_short(index, joined, begin, found)
+    if len(index.codes):
+        search_long(index, table, texts, chars, joined, begin, found)
+    return [sorted(((index.ids[i], e) for i, e in f.items()), key=lambda x: (x[0] is None, x[0] or 0, x[1])) for f in found]
+
+
+def search_long(index: QGramIndex, table: np.ndarray, texts: list[str | None], chars: list[np.ndarray], joined: np.ndarray, begin: np.ndarray, found: list[dict[int, int]]) -> None:
+    """Adds the items of q characters or more, with the edits found."""
     codes = grams(_folded(joined))
     hits = np.flatnonzero(table[_slot(codes)])
     at = np.minimum(np.searchsorted(index.codes, codes[hits]), len(index.codes) - 1)
@@ -182,7 +231,6 @@ def search(index: QGramIndex, table: np.ndarray, texts: list[str | None]) -> lis
         for x in np.flatnonzero(edits <= k):
             f = found[d[x]]
             f[i[x]] = min(int(edits[x]), f.get(i[x], int(k[x])))
-    return [sorted((index.ids[i], e) for i, e in f.items()) for f in found]
 
 
 def _looker(shared: Broadcast):
@@ -196,7 +244,8 @@ def _looker(shared: Broadcast):
 
 
 def finder(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS):
-    """A column function: text -> array of (item_id, edits), over all items.
+    """A column function: text -> array of (item_id, edits), over all items
+    that have a letter or digit, whatever their length; a null id stays null.
 
     The benchmark is a query set.  Its characters are summed first; blocks of
     at most ``block_chars`` are collected, indexed and broadcast one by one,
@@ -204,13 +253,13 @@ def finder(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     """
     spark = benchmark.sparkSession
     small_batches(spark, 256)
-    items = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].alias("t")).filter("i is not null and t is not null")
+    items = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
     made = []
     for b in range(blocks):
         rows = [(r["i"], normal(r["t"])) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).toLocalIterator()]
-        made.append(_looker(spark.sparkContext.broadcast(QGramIndex.build(sorted(rows), rate))))
+        made.append(_looker(spark.sparkContext.broadcast(QGramIndex.build(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))))
 
     def found(text: Column) -> Column:
         return F.concat(*[f(text) for f in made]) if len(made) > 1 else made[0](text)
@@ -223,14 +272,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     An item is contained if a region of the text is within ``rate`` edits a
     character of it, both normalised (case, and runs of other than letters
-    and digits).  Null and empty texts or items contain and name nothing.
-    Items that repeat text or id are all reported.  Repeated rows are searched
+    and digits); items of under 8 characters must stand as whole words.
+    Null and empty texts or items contain and name nothing; an item with null
+    id has no name to report, though ``decontaminate`` looks for it.  Items that repeat text or id are all reported.  Repeated rows are searched
     each; an empty table on either side gives no rows.  No shuffle.
     """
     found = finder(benchmark, rate=rate)(docs[text_col])
-    return docs.select(docs[id_col].alias(id_col), F.explode(found).alias("f")).select(id_col, "f.item_id", "f.edits")
+    return docs.select(docs[id_col].alias(id_col), F.explode(found).alias("f")).filter("f.item_id is not null").select(id_col, "f.item_id", "f.edits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of docs that contain no item, columns as they are."""
+    """The rows of docs that contain no item, those with null id included; columns as they are."""
     return docs.filter(F.size(finder(benchmark, rate=rate)(docs[text_col])) == 0)

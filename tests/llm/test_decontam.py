@@ -91,3 +91,33 @@ def test_blocks_find_the_same(spark):
     one, many = finder(bench), finder(bench, block_chars=200)
     for r in df.select(one(df["text"]).alias("a"), many(df["text"]).alias("b")).collect():
         assert sorted(r.a) == sorted(r.b)
+
+
+def test_short_items_match_brute_force():
+    rng = random.Random(10)
+    items = [prose(rng, 1)[: rng.randrange(1, 8)] for _ in range(30)] + [prose(rng, 2)[:7].strip() for _ in range(10)] + ["a", "a"]
+    texts = [prose(rng, rng.randrange(0, 60)) for _ in range(150)] + ["", None, items[0], items[1] + "x"]
+    index = QGramIndex.build([(i, normal(t)) for i, t in enumerate(items)])
+    for t, found in zip(texts, search(index, index.table(), texts), strict=True):
+        assert found == [(i, 0) for i, item in enumerate(items) if f" {normal(item)} " in f" {normal(t)} "]
+
+
+def test_items_of_8_to_20_characters_match_brute_force():
+    rng = random.Random(11)
+    items = [prose(rng, 6)[: rng.randrange(8, 21)].strip() for _ in range(30)]
+    items = [x for x in items if len(x) >= 8]
+    texts = [" ".join([prose(rng, 9), edited(rng, rng.choice(items), rng.randrange(0, 3)), prose(rng, 9)]) for _ in range(80)]
+    index = QGramIndex.build(list(enumerate(items)))
+    for t, found in zip(texts, search(index, index.table(), texts), strict=True):
+        want = {i: least_edits(item, normal(t)) for i, item in enumerate(items)}
+        assert dict(found) == {i: e for i, e in want.items() if e <= index.budget[i]}
+
+
+def test_items_of_any_length_and_null_ids(spark):
+    items = ["Who is he?", "天気がいい", "今日はとても天気がいいですね", "why", "None has this id, long enough to be found", "ok go", "!?"]
+    bench = spark.createDataFrame([(None if "None" in t else i, t) for i, t in enumerate(items)], "item_id long, text string")
+    texts = ["So: who is HE then", "今日は天気がいいから", "昨日、今日はとても天気がいいですね。", "Why?", items[4], "whyever look gone", "plain words only"]
+    df = docs(spark, texts)
+    got = {(r.doc_id, r.item_id, r.edits) for r in contamination(df, bench).collect()}
+    assert got == {(0, 0, 0), (1, 1, 0), (2, 1, 0), (2, 2, 0), (3, 3, 0)}
+    assert sorted(r.doc_id for r in decontaminate(df, bench).collect()) == [5, 6]
