@@ -10,19 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm.base import stored
 from lorekeep.llm.decontam import decontaminate
-from lorekeep.llm.langid import fit, language_of
+from lorekeep.llm.langid import fit, in_learned_language
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.nearby import near_dedup
 from lorekeep.llm.sharding import shard_rows
 
-#: A text whose best cosine is below this is in none of the languages.
-MIN_SCORE = 0.05
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language: null, without letters, or like none of the prototypes."""
-    predicted = language_of(fit(docs))(docs["text"])
-    return docs.filter((predicted["lang_pred"] != "und") & (predicted["score"] >= MIN_SCORE))
+    """Drops documents in no known language: null, without letters, or not like a text of its size in one of them.
+    If no row is labelled, every text with letters stays."""
+    return docs.filter(in_learned_language(fit(docs))(docs["text"]))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

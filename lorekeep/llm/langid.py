@@ -8,8 +8,10 @@ gets the language whose prototype has the largest cosine with its vector.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +27,12 @@ SEED = 17
 FIT_ROWS = 2000
 #: Trigrams bound at once, which bounds memory whatever the texts.
 CHUNK = 8192
+#: A script is learned if it has this share of the letters of a language; a text needs half of its letters in learned scripts.
+SCRIPT_SHARE, TEXT_SHARE = 0.01, 0.5
+#: A text is in a learned language if its cosine is at least half of what a text
+#: of its variety in that language has, less two standard deviations of the vectors'
+#: noise and one (about sqrt(q)) of the draw of its trigrams.
+FIT_SHARE, NOISE = 0.5, 2 / DIM**0.5
 
 
 @lru_cache(maxsize=1)
@@ -51,6 +59,26 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((s[:-2] << np.uint64(42)) | (s[1:-1] << np.uint64(21)) | s[2:], return_counts=True)
 
 
+@lru_cache(maxsize=200_000)
+def _script(code: int) -> str:
+    return unicodedata.name(chr(code), "?").split()[0]
+
+
+def scripts(grams: tuple[np.ndarray, np.ndarray]) -> Counter:
+    """Letters of a text by script (first word of their Unicode names), from its trigrams."""
+    own, at = np.unique((grams[0] >> np.uint64(21)) & np.uint64(0x1FFFFF), return_inverse=True)
+    out: Counter = Counter()
+    for code, n in zip(own.tolist(), np.bincount(at, grams[1], len(own)).tolist(), strict=True):
+        if code:
+            out[_script(code)] += int(n)
+    return out
+
+
+def variety(counts: np.ndarray) -> float:
+    """How many equally frequent trigrams would be as spread: a text of one repeated word has only that word's."""
+    return float(counts.sum()) ** 2 / float((counts.astype(np.float64) ** 2).sum())
+
+
 def bind(codes: np.ndarray) -> np.ndarray:
     """Vectors of trigram codes: roll(a, 2) * roll(b, 1) * c."""
     out = None
@@ -61,9 +89,9 @@ def bind(codes: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def bundle(texts: list[str | None]) -> np.ndarray:
+def bundle(texts: list[str | None], grams: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
     """A unit vector for each text; zeros where it has no letters."""
-    grams = [trigrams(t) for t in texts]
+    grams = [trigrams(t) for t in texts] if grams is None else grams
     out = np.zeros((len(texts), DIM), np.float32)
     codes = np.concatenate([g[0] for g in grams]) if grams else np.empty(0, np.uint64)
     if not len(codes):
@@ -86,9 +114,11 @@ def bundle(texts: list[str | None]) -> np.ndarray:
 class LanguageModel:
     langs: list[str]
     prototypes: np.ndarray  # a unit row a language
+    likeness: dict[str, float] = field(default_factory=dict)  # chance that two trigrams of a language are equal; 0: not known
+    scripts: frozenset[str] = frozenset()
 
-    def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        v = bundle(texts)
+    def predict(self, texts: list[str | None], grams: list[tuple[np.ndarray, np.ndarray]] | None = None) -> pd.DataFrame:
+        v = bundle(texts, grams)
         if not self.langs:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})
         cos = v @ self.prototypes.T
@@ -98,6 +128,28 @@ class LanguageModel:
         return pd.DataFrame({"lang_pred": np.where(some, np.array(self.langs, object)[best], "und"), "score": np.where(some, score, 0.0)})
 
 
+    def learned(self, texts: list[str | None]) -> list[bool]:
+        """Whether texts are in one of the languages.
+
+        Texts that are null or have no letters are not.  If nothing was
+        learned, all others are.  Most letters must be of learned scripts, and
+        the cosine must not be far under what texts of the language have,
+        sqrt(n q) with n their ``variety`` and q the language's ``likeness``;
+        the fewer trigrams, the less is asked, so a text of a few words passes.
+        """
+        grams = [trigrams(t) for t in texts]
+        best = self.predict(texts, grams)
+        out = []
+        for g, lang, score in zip(grams, best["lang_pred"], best["score"], strict=True):
+            ok = len(g[0]) > 0
+            if ok and self.langs:
+                n, q, letters = variety(g[1]), self.likeness.get(lang, 0.0), scripts(g)
+                ok = sum(c for x, c in letters.items() if x in self.scripts) >= TEXT_SHARE * sum(letters.values())
+                ok = ok and score >= FIT_SHARE * min(1.0, n * q) ** 0.5 - NOISE - q**0.5
+            out.append(ok)
+        return out
+
+
 def held_out(id_: Column) -> Column:
     """crc32 of the id as text, mod 4, is 2 (a null id: false)."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -117,19 +169,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+        seen: dict[str, Counter] = {}
         for b in batches:
-            for lang, v in zip(b["lang"], bundle(b["text"].tolist()), strict=True):
-                sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
+            grams = [trigrams(t) for t in b["text"]]
+            for lang, v, g in zip(b["lang"], bundle(b["text"].tolist(), grams), grams, strict=True):
+                some = len(g[0]) > 0  # the vector, texts with letters, logarithms of their variety
+                sums[lang] = sums.get(lang, 0) + np.append(v.astype(np.float64), [some, np.log(variety(g[1])) if some else 0])
+                seen.setdefault(lang, Counter()).update(scripts(g))
         if sums:
-            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()], "scripts": [list(seen[x]) for x in sums], "letters": [list(seen[x].values()) for x in sums]})
 
     total: dict[str, np.ndarray] = {}
-    for r in sample.mapInPandas(profiles, "lang string, v array<double>").toLocalIterator():
+    seen: dict[str, Counter] = {}
+    for r in sample.mapInPandas(profiles, "lang string, v array<double>, scripts array<string>, letters array<long>").toLocalIterator():
         total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"])
+        seen.setdefault(r["lang"], Counter()).update(dict(zip(r["scripts"], r["letters"], strict=True)))
     langs = sorted(total)
-    rows = np.array([total[x] for x in langs], np.float64).reshape(len(langs), DIM)
+    rows = np.array([total[x][:DIM] for x in langs], np.float64).reshape(len(langs), DIM)
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return LanguageModel(langs, np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0).astype(np.float32))
+    likeness = {x: _likeness(float(n), *total[x][DIM:].tolist()) for x, n in zip(langs, norm[:, 0], strict=True)}
+    known = {k for c in seen.values() for k, n in c.items() if n >= SCRIPT_SHARE * sum(c.values())}
+    return LanguageModel(langs, np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0).astype(np.float32), likeness, frozenset(known))
+
+
+def _likeness(norm: float, texts: float, logs: float) -> float:
+    """From the length of a sum of unit vectors: the mean product of two texts, over their (geometric) mean variety."""
+    if texts < 2:
+        return 0.0
+    pair = min(0.999, max(0.0, (norm**2 - texts) / (texts * (texts - 1))))
+    return float(pair / np.exp(logs / texts))
 
 
 def language_of(model: LanguageModel):
@@ -143,6 +211,17 @@ def language_of(model: LanguageModel):
     return predict
 
 
+def in_learned_language(model: LanguageModel):
+    """A column function: text -> whether it is in one of the model's languages."""
+
+    @F.pandas_udf("boolean")
+    def learned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(model.learned(s.tolist()), dtype=bool)
+
+    return learned
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row for each row of docs: id, ``held_out``, ``lang_pred``, ``score``.
 

@@ -61,3 +61,16 @@ def test_sample_bound(spark):
     rng = random.Random(12)
     df = docs(spark, [text(rng, "xx", 5) for _ in range(200)], langs=["xx"] * 200)
     assert langid.fit(df, fit_rows=10).langs == ["xx"]
+
+
+def test_learned_languages_by_script_and_size(spark):
+    rng = random.Random(13)
+    langs = [rng.choice(list(LANGS)) for _ in range(240)]
+    model = langid.fit(docs(spark, [text(rng, x, 60) for x in langs], langs=langs))
+    clean = [text(rng, x, n) for x in LANGS for n in (1, 2, 5, 30, 300) for _ in range(10)] + ["Avec.", "bada " * 300]
+    assert all(model.learned(clean))
+    other = ["".join(chr(rng.randrange(0x430, 0x450)) if rng.random() < 0.8 else " " for _ in range(n)) for n in (5, 20, 100, 1000) for _ in range(25)]
+    other += [" ".join("".join(rng.choice("quxwfjkyhv") for _ in range(5)) for _ in range(n)) for n in (40, 400) for _ in range(25)]
+    assert not any(model.learned([*other, None, "", "12 !"]))
+    none = langid.fit(docs(spark, clean, langs=[None] * len(clean)))
+    assert none.learned(["abc", None, "12", other[0]]) == [True, False, False, True]
