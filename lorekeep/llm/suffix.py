@@ -1,11 +1,11 @@
-"""Suffix dedup with sparse suffix arrays.
-
-Of all suffixes (a suffix starts at a word) only those at minimiser positions
-are kept: the place of the least hash among each ``length - 7`` consecutive
-runs of eight words.  The choice depends on content alone, so every repeated
-passage keeps the same suffixes in all its copies.  Suffixes are sorted and
-neighbours compared; where neighbours agree, the match is extended left and
-right to passages of ``length`` words, which are sorted and compared in turn.
+"""Suffix dedup by minimiser anchors and window hashes.
+
+Of all places (words) only those at minimisers are anchors: the place of the
+least hash among each ``length - 7`` consecutive runs of eight words.  The
+choice depends on content alone, so every repeated passage keeps the same
+anchors in all its copies.  Equal anchors are found by their hashes; windows of
+``length`` words around them are hashed and compared in turn, and adjacent
+ones are joined to passages.  No suffix is sorted and no match is extended.
 """
 
 from __future__ import annotations
