@@ -31,7 +31,7 @@ CHUNK = 8192
 SCRIPT_SHARE, TEXT_SHARE = 0.01, 0.5
 #: A text is in a learned language if its cosine is at least half of what a text
 #: of its variety in that language has, less two standard deviations of the vectors'
-#: noise and one (about sqrt(q)) of the draw of its trigrams.
+#: noise and two (about sqrt(q) each) of the draw of its trigrams.
 FIT_SHARE, NOISE = 0.5, 2 / DIM**0.5
 
 
@@ -145,7 +145,7 @@ class LanguageModel:
             if ok and self.langs:
                 n, q, letters = variety(g[1]), self.likeness.get(lang, 0.0), scripts(g)
                 ok = sum(c for x, c in letters.items() if x in self.scripts) >= TEXT_SHARE * sum(letters.values())
-                ok = ok and score >= FIT_SHARE * min(1.0, n * q) ** 0.5 - NOISE - q**0.5
+                ok = ok and score >= FIT_SHARE * min(1.0, n * q) ** 0.5 - NOISE - 2 * q**0.5
             out.append(ok)
         return out
 
