@@ -1,13 +1,23 @@
 """Main text of web pages by text-to-tag ratios.
 
 A streaming standard-library parser turns a page into lines (blocks) with the
-number of tags around each.  Text-to-tag ratios are smoothed by a Gaussian and
-split by a two-means threshold; lines above it mark the content region.
+number of tags around each, and into elements that know their parent.
+Text-to-tag ratios of the lines are smoothed by a Gaussian and split by a
+two-means threshold; lines above it are content lines, and their characters
+are an element's *mass*.  Mass chooses the regions:
+
+* An element that looks like furniture (by its tag, role or name) is dropped,
+  unless it holds most of the page's mass: names advise, ratios decide.
+* What is left is clustered anew.  The region is the article or main elements
+  that hold most of the mass, or else the innermost element that holds all
+  content lines, with those beside it that are no lists of links.
+* Every line of the region counts, however short.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,7 +32,12 @@ from .base import small_batches
 # Element names and attribute words of the HTML standard and of common pages.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNREAD = set("script style noscript template svg math iframe object canvas audio video head title button select option optgroup datalist textarea input label fieldset form nav aside footer menu dialog".split())
+#: Never text of the page, whatever they hold.
+UNREAD = set("script style template title".split())
+#: Furniture by tag, outside and inside the article.
+FURNITURE = set(
+    "noscript svg iframe object canvas audio video button select option optgroup datalist textarea label fieldset form nav aside footer menu dialog".split()
+)
 MAIN = set("article main".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE = set(
@@ -31,7 +46,7 @@ NOISE = set(
 )
 #: Readers' comments.
 READERS = set("comments commentlist respond replies disqus".split())
-#: Names that content bears too: its lines decide.
+#: Names that content bears too.
 PERHAPS = set(
     "banner promotion navigation menu menubar sidebar side footer notification subscription share sharing social related recommended "
     "comment discussion modal overlay toolbar widget".split()
@@ -46,48 +61,80 @@ IDS_INSIDE = READERS | set("ad ads advert advertisement share sharing social rel
 UNNAMED = set("html body article main h1 h2 h3 h4 h5 h6".split())
 #: A start tag of these ends an open element of those before it.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What a head may hold; any other tag ends it.
+IN_HEAD = set("base link meta noscript script style template title".split())
+#: Elements that can be a region of their own.
+BOXES = set("div section td table center body html form main article".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 WHITE = re.compile(r"\s+")
-CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
 SIGMA = 1.0
 
+#: What an element looks like: by name perhaps furniture, by tag or role furniture, by name certainly, by readers, no text at all.
+PLAIN, WEAK, STRONG, CERTAIN, SAID, NEVER = range(6)
+
 
-class Lines(HTMLParser):
-    """Collects lines: text, tags, elements that hold it, those of them named like furniture."""
+class Page(HTMLParser):
+    """Lines of a page and the elements that hold them, each with its parent.
+
+    Time and memory are in proportion to the page, however deep its markup:
+    the last open element of each name is known by its place on the stack.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # name, number, furniture, in an article, named elements
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...], tuple[int, ...]]] = []
-        self.named: dict[int, set[str]] = {}  # number of an element named like furniture -> its names
-        self.around: dict[int, int] = {}  # and the next such element around it, or 0
+        # elements; number 0 is the page
+        self.parent, self.tag, self.looks, self.inside = [0], ["html"], [PLAIN], [False]
+        # lines: text, tags around it, characters in links, element
+        self.texts: list[str] = []
+        self.tags: list[int] = []
+        self.linked: list[int] = []
+        self.at: list[int] = []
+        self.stack = [0]
+        self.places: dict[str, list[int]] = defaultdict(list)  # open elements of a name: places on the stack
+        self.blocks = [0]  # places of open blocks
         self.parts: list[str] = []
-        self.tags = self.made = 0
+        self.seen = self.links = 0
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            if not (self.open and self.open[-1][2]):
-                self.lines.append((text, self.tags, tuple((n, k) for n, k, *_ in self.open), self.open[-1][4] if self.open else ()))
-            self.tags = 0
-
-    def noisy(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-        if tag in UNREAD or tag == "header" and not inside:
-            return True
+            self.texts.append(text)
+            self.tags.append(max(1, self.seen))
+            self.linked.append(min(len(text), self.links))
+            self.at.append(self.stack[-1])
+            self.seen = 0
+        self.links = 0
+
+    def pop(self, place: int) -> None:
+        """Closes open elements down to a place on the stack."""
+        while len(self.stack) > place:
+            self.places[self.tag[self.stack.pop()]].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def look(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+        if tag in UNREAD:
+            return NEVER
+        looks = STRONG if tag in FURNITURE or tag == "header" and not inside else PLAIN
         for k, v in attrs:
-            if k == "hidden" or k == "aria-hidden" and v == "true":
-                return True
-            if k == "role" and (v or "").lower() in ROLES:
-                return True
-        return False
+            if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and (v or "").lower() in ROLES:
+                looks = STRONG
+        names = self.names(tag, attrs, inside)
+        if names & READERS:
+            return SAID
+        return max(looks, CERTAIN if names & NOISE else WEAK if names else PLAIN)
 
     def names(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str]:
         """The names of furniture that an element bears: whole tokens, or compounds of such names and words of BESIDE."""
         out: set[str] = set()
-        if tag in UNNAMED:
-            return out
         for k, v in attrs:
             if k in ("class", "id") and v:
+                if tag in UNNAMED:
+                    if tag == "article" and k == "class" and "comment" in v.split():
+                        out.add("comments")  # an article that is a reader's
+                    continue
                 known = NAMES - OUTER if inside else NAMES
                 if inside and k == "id":
                     known = IDS_INSIDE
@@ -100,51 +147,64 @@ class Lines(HTMLParser):
         return out
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
+        self.seen += 1
+        if self.places["head"] and tag not in IN_HEAD:
+            self.flush()
+            self.pop(self.places["head"][-1])
         if tag == "br":
             self.parts.append(" ")
             return
         if tag not in INLINE:
             self.flush()
             ends = ENDS.get(tag, {"p"})
-            while self.open and self.open[-1][0] in INLINE and any(n in ends for n, *_ in self.open):
-                self.open.pop()
-            if self.open and self.open[-1][0] in ends:
-                self.open.pop()
+            if len(self.blocks) > 1 and self.tag[self.stack[self.blocks[-1]]] in ends:
+                self.pop(self.blocks[-1])
         if tag in VOID:
             return
-        over = self.open[-1] if self.open else ("", 0, False, False, ())
-        self.made += 1
-        noise = over[2] or self.noisy(tag, attrs, over[3])
-        names = set() if noise else self.names(tag, attrs, over[3])
-        if names or noise and not over[2]:
+        over = self.stack[-1]
+        looks = NEVER if tag == "head" else self.look(tag, attrs, self.inside[over])
+        if looks and tag in INLINE:
             self.flush()
-        if names:
-            self.named[self.made] = names
-            self.around[self.made] = over[4][-1] if over[4] else 0
-        self.open.append((tag, self.made, noise, over[3] or tag in MAIN, (*over[4], self.made) if names else over[4]))
+        self.parent.append(over)
+        self.tag.append(tag)
+        self.looks.append(looks)
+        self.inside.append(self.inside[over] or tag in MAIN)
+        self.places[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(len(self.parent) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
-        if tag in VOID or all(x[0] != tag for x in self.open):
+        self.seen += 1
+        if tag in VOID or not self.places[tag]:
             return
-        was = self.open[-1][2]
-        at = [i for i, x in enumerate(self.open) if x[0] == tag][-1]
+        place = self.places[tag][-1]
         if tag not in INLINE:
             self.flush()
-        elif any(x[0] not in INLINE for x in self.open[at:]):
+        elif place < self.blocks[-1]:
             return  # an inline end tag does not close blocks
-        elif not was and self.open[-1][4] != (self.open[at - 1][4] if at else ()):
+        elif self.looks[self.stack[place]]:
             self.flush()
-        del self.open[at:]
-        if was and not (self.open and self.open[-1][2]):
-            self.parts.clear()
+        self.pop(place)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.places["a"]:
+            self.links += len(data)
+
+
+def parsed(html: str) -> Page:
+    """A page's lines and elements.  A tag that the end of the page cuts is no text, as the HTML standard has it."""
+    page = Page()
+    last = html.rfind(">") + 1
+    cut = CUT_TAG.search(html, last)
+    page.feed(html[: cut.start()] if cut else html)
+    page.close()
+    page.flush()
+    return page
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -160,94 +220,116 @@ def threshold(ratios: np.ndarray) -> float:
     smooth = smoothed(ratios)
     low, high = smooth.min(), smooth.max()
     for _ in range(50):
-        t = (low + high) / 2
-        up = smooth >= t
+        up = smooth >= (low + high) / 2
         new = smooth[~up].mean() if (~up).any() else low, smooth[up].mean()
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return float(low + high) / 2
 
 
 def content_lines(ratios: np.ndarray) -> np.ndarray:
     """Which lines have a smoothed ratio above the two-means threshold."""
-    return smoothed(ratios) >= threshold(ratios) if len(ratios) > 1 else np.ones(len(ratios), bool)
-
-
-def holder(path: tuple[tuple[str, int], ...]) -> int | None:
-    return next((k for n, k in path if n in MAIN), None)
-
-
-def wrappers(parser: Lines) -> set[int]:
-    """Elements that are named like furniture but wrap the page's content: they
-    have more text than all that is outside of named elements.  A certain name
-    (NOISE) must also hold the only article; readers' comments never wrap."""
-    given: set[int] = set()
-    plain, size, holds = 0, dict.fromkeys(parser.named, 0), set()
-    direct: dict[int, int] = {}  # characters under no named element but this one and those around it
-    for text, _, path, own in parser.lines:
-        article = holder(path) is not None
-        if not own:
-            if article:
-                return given
-            plain += len(text)
-            continue
-        direct[own[-1]] = direct.get(own[-1], 0) + len(text)
-        for k in reversed(own):
-            size[k] += len(text)
-            if article:
-                holds.add(k)
-            if parser.named[k] & (NOISE | READERS):
-                break
-    for number, names in sorted(parser.named.items()):  # outer before inner
-        if names & READERS or names & NOISE and number not in holds or parser.around[number] and parser.around[number] not in given:
+    return smoothed(ratios) >= threshold(ratios)
+
+
+def summed(page: Page, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each element the sum of values over the lines in it."""
+    out = np.bincount(at, values, len(page.parent)).tolist()
+    parent = page.parent
+    for e in range(len(out) - 1, 0, -1):  # parents come before their children
+        out[parent[e]] += out[e]
+    return np.array(out)
+
+
+def dropped(page: Page, at: np.ndarray, size: np.ndarray, content: np.ndarray) -> tuple[list[bool], list[bool]]:
+    """For each element, whether it is (in) furniture; and whether it is in a spared one, outside of articles.
+
+    What readers say is always dropped.  Other elements that look like
+    furniture are spared if no article outside of furniture has text and they
+    hold more mass than what is outside of furniture: any more if a name says
+    so, three times as much if their tag does; what bears a certain name must
+    also hold an article or a first heading.  Within an article, what looks
+    like furniture is spared if it holds most of the page's mass, or, by an
+    uncertain name, any.
+    """
+    parent, looks, inside, n = page.parent, page.looks, page.inside, len(page.parent)
+    sure, near, lead = [False] * n, [0] * n, [False] * n  # weighs nothing; nearest furniture around or at an element
+    for e in range(1, n):
+        sure[e] = sure[parent[e]] or looks[e] >= SAID
+        near[e] = e if looks[e] and not inside[e] else near[parent[e]]
+    for e in range(n - 1, 0, -1):
+        lead[parent[e]] |= lead[e] or page.tag[e] in MAIN or page.tag[e] == "h1"
+    weighs = ~np.array(sure)[at]
+    if not (content & weighs).any():
+        content = weighs
+    mass = summed(page, at, size * (content & weighs))
+    of = np.array(near)[at]
+    loose = np.bincount(of, size * (content & weighs), n)
+    article = np.bincount(of, size * (weighs & np.array(inside)[at]), n)
+    out, spared = [False] * n, [False] * n
+    open_, written = loose[0], article[0]
+    for e in range(1, n):
+        p = parent[e]
+        out[e], spared[e] = out[p] or sure[e], spared[p] and not inside[e]
+        if out[e] or looks[e] == PLAIN:
             continue
-        if size[number] > plain:
-            given.add(number)
-            plain += direct.get(number, 0)
-    return given
+        if inside[e]:
+            out[e] = not (mass[e] > 0 if looks[e] == WEAK else 2 * mass[e] > mass[0])
+        elif written or mass[e] <= open_ * (1 if looks[e] == WEAK else 3) or looks[e] == CERTAIN and not lead[e]:
+            out[e] = True
+        else:
+            spared[e] = True
+            open_, written = open_ + loose[e], written + article[e]
+    return out, spared
+
+
+def region(page: Page, at: np.ndarray, size: np.ndarray, links: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which of the lines (those outside of furniture) are in the region that the content lines mark."""
+    parent, n = page.parent, len(page.parent)
+    article = [0] * n  # the outermost article or main element around
+    for e in range(1, n):
+        article[e] = article[parent[e]] or (e if page.tag[e] in MAIN else 0)
+    of = np.array(article)[at]
+    mass = size * content
+    if of.any() and 4 * mass[of > 0].sum() >= mass[of == 0].sum():
+        best = set(of[(of > 0) & content].tolist()) or set(of[of > 0].tolist())
+        beside = {parent[e] for e in best}
+        return np.array([e in best or e > 0 and parent[e] in beside for e in of.tolist()])
+    lines = summed(page, at, content.astype(float))
+    root = int(np.flatnonzero(lines == content.sum())[-1])  # they are nested, the innermost has the largest number
+    while root and page.tag[root] not in BOXES:
+        root = parent[root]
+    whole = page.tag[parent[root]] in ("body", "html")
+    under = [0] * n  # the child of the region's parent that holds an element
+    for e in range(1, n):
+        under[e] = e if parent[e] == parent[root] else under[parent[e]]
+    beside = np.array(under)[at]
+    inside = beside == root
+    if root and (~inside).any():
+        # what stands beside the region joins it, but for lists of links; in the body, only headings do
+        text, linked = np.bincount(beside, size, n), np.bincount(beside, links, n)
+        for e in set(beside[~inside & (beside > 0)].tolist()):
+            if 2 * linked[e] < text[e] and (not whole or page.tag[e] in HEADINGS):
+                inside |= beside == e
+        inside |= (at == parent[root]) & (not whole)
+    return inside if root else np.ones(len(at), bool)
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, joined by newlines; empty if there is none.
-
-    Region: the article or main elements that hold content lines (all such
-    elements with text, if no line of theirs is above the threshold); without
-    any, the innermost element that holds all content lines.  Every block of
-    the region counts, however short; menus, forms and the like never do.
-    Of the blocks in the region that are only named like furniture, those
-    with a content line count, unless the name is certain.
-    """
-    if not html:
+    """The article's blocks, joined by newlines; empty if there is none (see the module's head)."""
+    page = parsed(html or "")
+    if not page.texts:
         return ""
-    parser = Lines()
-    parser.feed(CUT_TAG.sub("", html))
-    parser.close()
-    parser.flush()
-    given = wrappers(parser) if parser.named else set()
-    lines = [(text, max(1, n), path, [k for k in own if k not in given]) for text, n, path, own in parser.lines]
-    plain = [(text, n, path) for text, n, path, own in lines if not own]
-    if not plain:
+    at, size = np.array(page.at), np.array([len(t) for t in page.texts], float)
+    tags, links = np.array(page.tags, float), np.array(page.linked, float)
+    out, spared = dropped(page, at, size, size / tags >= threshold(size / tags))  # a line beside content does not weigh for it
+    # a list of links in a menu that was spared, because it was never closed, is furniture still
+    left = np.flatnonzero(~np.array(out)[at] & ~(np.array(spared)[at] & (links >= 0.9 * size)))
+    if not len(left):
         return ""
-    ratios = np.array([len(t) / n for t, n, _ in plain], float)
-    content = content_lines(ratios)
-    holders = [holder(path) for _, _, path in plain]
-    if any(h is not None for h in holders):
-        best = {h for h, c in zip(holders, content, strict=True) if c and h is not None} or {h for h in holders if h is not None}
-        inside = lambda path: holder(path) in best
-    else:
-        paths = [path for (_, _, path), c in zip(plain, content, strict=True) if c]
-        depth = 0
-        while all(len(p) > depth for p in paths) and len({p[depth] for p in paths}) == 1:
-            depth += 1
-        while depth and paths[0][depth - 1][0] not in ("div", "section", "body", "html", "td", "table", "center"):
-            depth -= 1
-        root = paths[0][:depth]
-        inside = lambda path: path[:depth] == root
-    sure = {k for k, names in parser.named.items() if names & (NOISE | READERS)}
-    least = threshold(ratios)
-    kept = {own[0] for text, n, _, own in lines if own and len(text) / n >= least and not sure & set(own)}
-    return "\n".join(text for text, _, path, own in lines if inside(path) and (not own or own[0] in kept and not sure & set(own)))
+    inside = region(page, at[left], size[left], links[left], content_lines(size[left] / tags[left]))
+    return "\n".join(page.texts[i] for i in left[inside].tolist())
 
 
 @F.pandas_udf(T.StringType())
@@ -260,8 +342,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row for each row of pages: id, url, ``text``, ``n_chars``.
 
     Null or empty html, and pages without content: empty text, 0.  Whole
-    pages are read.  Malformed or cut markup is read as far as it goes.
-    Repeated rows are extracted each; empty table: no rows.
+    pages are read, in time and memory in proportion to them.  Malformed
+    markup is read as far as it goes.  Null ids and urls stay null.  Repeated
+    rows are extracted each; other columns are not read, whatever their
+    names; empty table: no rows.
     """
     small_batches(pages.sparkSession, 512)
     out = pages.select(pages[id_col].alias(id_col), pages[url_col].alias(url_col), main_text_of(pages[html_col]).alias("text"))

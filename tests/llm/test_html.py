@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import random
+import tracemalloc
 
 import pytest
 
@@ -77,3 +78,60 @@ def test_wrappers_named_like_furniture():
     assert main_text(f"<body><div id='content'>{PARA}{PARA}</div><div class='sidebar'>{PARA}</div></body>") == f"{SAID}\n{SAID}"
     assert main_text(f"<body><div class='sidebar content'><div class='widget'>{PARA}<div class='ad'>Buy</div>{PARA}</div></div></body>") == f"{SAID}\n{SAID}"
     assert main_text("<body><div class='ad'>Buy now</div></body>") == ""
+
+
+MENU = "<nav><ul><li><a href='/a'>Aaa</a><li><a href='/b'>Bbb</a></ul></nav>"
+FOUR = "<h1>T</h1>" + PARA * 4
+WANT = "\n".join(["T", *[SAID] * 4])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{MENU}<form id='page'><div id='c'>{FOUR}</div><label>Mail</label><button>Go</button></form><footer>End</footer></body>",
+        f"<body><div class='content has-sidebar'>{FOUR}</div></body>",
+        f"<body><div class='post comments-open'>{FOUR}</div><div class='comments'>{PARA * 9}</div></body>",
+        f"<body><div class='notice-of-award'>{FOUR}</div></body>",
+        f"<body>{MENU.removesuffix('</nav>')}<article>{FOUR}</article></body>",
+        f"<body>{MENU.removesuffix('</nav>')}<div id='c'>{FOUR}</div><aside>{PARA}</aside><footer>End</footer></body>",
+        f"<head><title>T</title><body><div class='w'>{FOUR}</div><div class='x'><article><a href='/t'>Teaser</a></article></div></body>",
+        f"<body><article>{FOUR}</article><footer>{PARA * 9}</footer><label>Never closed</body>",
+    ],
+)
+def test_names_do_not_empty_a_page(page):
+    assert main_text(page) == WANT
+
+
+def test_region_grows_to_what_stands_beside_it():
+    page = f"<body>{MENU}<div class='w'><div><p>Short start.</p></div><div>{PARA * 4}</div><div><p>End.</p></div><div><a>x</a> <a>y</a></div></div></body>"
+    assert main_text(page) == "\n".join(["Short start.", *[SAID] * 4, "End."])
+    two = f"<main><article><h1>A</h1><p>Hi.</p></article><article>{PARA}</article></main><section class='related'><article><p>No</p></article></section>"
+    assert main_text(f"<body>{two}</body>") == f"A\nHi.\n{SAID}"
+
+
+def test_deep_markup_takes_memory_in_proportion():
+    tracemalloc.start()
+    assert len(main_text("<b>x<div>w" * 4000)) > 4000
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_planted_pages_precision_and_recall():
+    """Articles of invented words in pages of several layouts, with and without article tags."""
+    rng = random.Random(29)
+    kept = found = planted = 0
+    for i in range(120):
+        para = lambda: " ".join(f"a{rng.randrange(900)}" for _ in range(rng.randrange(2, 70)))  # noqa: B023, E731
+        body = [para() for _ in range(rng.randrange(3, 12))]
+        inner = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<p>{} </p>"]).format(p) for p in body)
+        frame = ["<article>{}</article>", "<main><div>{}</div></main>", "<div id='content'>{}</div>", "<form><div class='post'>{}</div></form>", "<div class='content has-sidebar'>{}</div>"][i % 5]
+        side = "<div class='sidebar'><ul><li><a href='/x'>side one</a><li><a href='/y'>side two</a></ul></div>"
+        got = main_text(CHROME + side + frame.format(inner) + END).split()
+        want = " ".join(body).split()
+        planted, found, kept = planted + len(want), found + len(got), kept + len([w for w in got if w.startswith("a") and w[1:].isdigit()])
+    assert kept / planted > 0.99 and kept / found > 0.99
+
+
+def test_other_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>", 7, "x")], "page_id long, url string, html string, n_chars int, text string")
+    assert [tuple(r) for r in extract(df).collect()] == [(1, "u", "a", 1)]
