@@ -178,11 +178,11 @@ def contains_count(text: Column, words: Sequence[str]) -> Column:
     return sum((text.contains(w).cast("int") for w in words[1:]), text.contains(words[0]).cast("int"))
 
 
-def category(text: Column, words: Mapping[str, str] = vocab.CATEGORY_WORDS) -> Column:
+def category(text: Column, words: Mapping[str, Sequence[str]] = vocab.CATEGORY_WORDS) -> Column:
     """EP-1: the first category of which a word occurs, else episodic."""
     low, out = F.lower(text), None
     for name, list_ in words.items():
-        hit = contains_count(low, vocab.listed(list_)) > 0
+        hit = contains_count(low, list_) > 0
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("episodic")
 
@@ -221,7 +221,7 @@ def entity_type(name: Column) -> Column:
 def task_terms(task: Column) -> Column:
     """SC-26: distinct tokens of three or more characters, without stop words."""
     found = F.regexp_extract_all(F.lower(task), F.lit("([a-z0-9_]{3,})"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*vocab.listed(vocab.TASK_STOPS))))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*vocab.TASK_STOPS)))
 
 
 def term_score(text: Column, terms: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,66 +41,73 @@ def parsed(notes: DataFrame) -> DataFrame:
     )
 
 
-def blocks(body: str, stem: str) -> list[tuple[list[str], str]]:
-    """(headings, text) of a body's sections: fences hide headings, empty sections go, the title leads."""
-    lines, title = body.split("\n"), None
-    stack: list[str] = []
-    out: list[tuple[list[str], str]] = []
-    held: list[str] = []
-    fenced = False
-
-    def close() -> None:
-        text = "\n".join(held).strip()
-        held.clear()
-        if text:
-            out.append((list(stack), text))
-
-    for line in lines:
-        level = len(line) - len(line.lstrip("#"))
-        is_heading = 1 <= level <= 6 and line[level : level + 1].isspace()
-        if is_heading and level == 1 and title is None:
-            title = line[level:].strip()
-        fence = line.strip().startswith("```")
-        fenced ^= fence
-        if fence or fenced or not is_heading:
-            held.append(line)
-            continue
-        close()
-        if level <= len(stack):
-            del stack[level - 1 :]
-        stack.append(line[level:].strip())
-    close()
-    title = title or stem or "Memory"
-    lead = lambda path: path if path and path[0] == title else [title, *path]
-    return [(lead(p), t) for p, t in out]
+def sections(notes: pd.DataFrame) -> pd.DataFrame:
+    """Structural sections of notes (path, body): the note's number, its ordinal, ``heading_path``, ``text``.
+
+    All lines of all notes are one column.  Fence parity and the number of the
+    section are running sums over it, so a heading in a fence is a line like
+    any other; a heading's path is what its level leaves of the path before
+    it.  The first H1 (or the file's stem) leads every path.
+    """
+    line = notes["body"].fillna("").str.split("\n").explode()
+    note = line.index.to_series().set_axis(range(len(line)))
+    line = line.set_axis(range(len(line)))
+    fence = line.str.strip().str.startswith("```")
+    inside = fence.astype(int).groupby(note).cumsum() % 2 == 1
+    head = line.str.extract(r"^(#{1,6})\s(.*)$").set_axis(["marks", "title"], axis=1)
+    title, level = head["title"].str.strip(), head["marks"].str.len()
+    heading = level.notna() & ~fence & ~inside
+    number = heading.astype(int).groupby(note).cumsum()
+    text = line[~heading].groupby([note[~heading], number[~heading]], sort=True).agg("\n".join).str.strip()
+    text = text[text != ""]
+    stem = notes["path"].fillna("").str.rsplit("/", n=1).str[-1].str.replace(r"\.[^.]*$", "", regex=True)
+    first = title[level == 1].groupby(note[level == 1]).first()
+    lead = first.reindex(notes.index).where(lambda x: x.notna(), stem).replace("", "Memory")
+    below = lambda path, at: (*path[: at[0] - 1], at[1])
+    paths: dict[int, list[tuple[str, ...]]] = {}
+    for n, own in pd.DataFrame({"level": level[heading].astype(int), "title": title[heading]}).groupby(note[heading]):
+        paths[n] = list(accumulate(own.itertuples(index=False), below, initial=()))
+    path = [paths.get(n, [()])[k] for n, k in text.index]
+    full = [list(p) if p[:1] == (lead[n],) else [lead[n], *p] for p, (n, _) in zip(path, text.index, strict=True)]
+    return pd.DataFrame({"note": [n for n, _ in text.index], "heading_path": full, "text": text.to_list()})
 
 
 def split_long(text: str, most: int = MOST) -> list[str]:
-    """PRJ-9: paragraphs packed up to ``most`` characters; the last one is repeated at the start of the next part."""
-    out, part, size = [], [], 0
-    for p in pd.Series([text]).str.split(r"\n\n+", regex=True)[0]:
-        if part and size + len(p) > most:
-            out.append("\n\n".join(part))
-            part, size = [part[-1]], len(part[-1])
-        part.append(p)
-        size += len(p)
-    return [*out, "\n\n".join(part)]
+    """PRJ-9: paragraphs packed up to ``most`` characters; the last one of a part also starts the next.
+
+    The state of a paragraph is its part, where that starts, and its size so
+    far; a part so ends where the next one starts."""
+    paragraphs = re.split(r"\n\n+", text)
+    size = [len(p) for p in paragraphs]
+
+    def state(before: tuple[int, int, int], i: int) -> tuple[int, int, int]:
+        part, start, used = before
+        return (part, start, used + size[i]) if used + size[i] <= most else (part + 1, i - 1, size[i - 1] + size[i])
+
+    starts = list({part: start for part, start, _ in accumulate(range(1, len(paragraphs)), state, initial=(0, 0, size[0]))}.values())
+    ends = [*starts[1:], len(paragraphs) - 1]
+    return ["\n\n".join(paragraphs[a : b + 1]) for a, b in zip(starts, ends, strict=True)]
+
+
+def _cut(notes: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The chunks of notes: (note, ordinal, heading_path, text)."""
+    made = sections(notes)
+    made = made.assign(text=[split_long(t, most) for t in made["text"]]).explode("text", ignore_index=True)
+    return made.assign(text=[t.strip() for t in made["text"]], ordinal=made.groupby("note").cumcount())
 
 
 def chunks(notes: DataFrame, most: int = MOST) -> DataFrame:
     """PRJ-8: chunks of notes (memory_id, path, body, content_hash): structural
     sections, split where long, with heading context.  A map over notes; no shuffle."""
+    keys = ["memory_id", "path", "content_hash"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for memory, path, body, digest in zip(b["memory_id"], b["path"], b["body"], b["content_hash"], strict=True):
-                stem = (path or "").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                parts = [(h, s) for h, t in blocks(body or "", stem) for s in split_long(t, most)]
-                rows += [(memory, path, digest, i, h, s.strip()) for i, (h, s) in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["memory_id", "path", "content_hash", "ordinal", "heading_path", "text"])
-
-    made = notes.select("memory_id", "path", "body", "content_hash").mapInPandas(cut, "memory_id string, path string, content_hash string, ordinal int, heading_path array<string>, text string")
+            made = _cut(b, most)
+            yield pd.concat([b.loc[made["note"], keys].reset_index(drop=True), made[["ordinal", "heading_path", "text"]]], axis=1)
+
+    schema = "memory_id string, path string, content_hash string, ordinal int, heading_path array<string>, text string"
+    made = notes.select("memory_id", "path", "content_hash", "body").mapInPandas(cut, schema)
     return made.select(
         I.chunk_id(F.col("memory_id"), F.col("content_hash"), F.col("ordinal")).alias("chunk_id"), "memory_id", "path", "ordinal", "heading_path",
         F.concat(T.heading_context(F.col("heading_path")), F.lit("\n\n"), "text").alias("content"), T.links(F.col("text")).alias("entities"), T.tags(F.col("text")).alias("tags"),
@@ -127,9 +136,7 @@ def chunk_udtf():
     @udtf(returnType="ordinal int, heading_path array<string>, text string")
     class Chunks:
         def eval(self, path: str, body: str):
-            stem = (path or "").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            parts = [(h, s) for h, t in blocks(body or "", stem) for s in split_long(t)]
-            for i, (h, s) in enumerate(parts):
-                yield i, h, s.strip()
+            made = _cut(pd.DataFrame({"path": [path], "body": [body]}), MOST)
+            yield from made[["ordinal", "heading_path", "text"]].itertuples(index=False, name=None)
 
     return Chunks

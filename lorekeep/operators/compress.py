@@ -1,79 +1,85 @@
 """RET-16, RET-17, RET-19: near-duplicate merge and token-budget packing of a query's results.
 
-Only the k results of a query meet in a task, so grouped maps are bounded.
+A query's results (at most k) are one array; merging and packing are folds over
+it.  Only the similarity of two texts is computed outside of the plan's
+expressions, by one Arrow UDF over the arrays.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.udfs import ratio, surely_different
 
-END = re.compile(r"(?<=[.!?])\s+")
+#: A text is shortened only if so many tokens are left.
+LEAST = 40
+
+
+def similar_udf(threshold: float):
+    """texts -> for each the numbers of the earlier ones that are alike beyond the threshold."""
+
+    def alike(a: str, b: str) -> bool:
+        return not surely_different(a, b, threshold) and ratio(a, b) > threshold
+
+    @F.pandas_udf("array<array<int>>")
+    def earlier(s: pd.Series) -> pd.Series:
+        return pd.Series([[[j for j in range(i) if alike(t, texts[j])] for i, t in enumerate(texts)] for texts in s], dtype=object)
 
+    return earlier
 
-def tokens(text: str) -> int:
-    return int(len(text.split()) * 1.3)
 
+def owners(earlier: Column) -> Column:
+    """For each number the first kept one that it is like, or itself, which keeps it."""
 
-def shortened(text: str, left: int) -> str:
-    parts = [s for s in (p.strip() for p in END.split(text)) if s]
-    if tokens(text) <= left or len(parts) <= 4:
-        return text
-    return " ".join(parts[:2]) + "\n... [Content Compressed] ...\n" + " ".join(parts[-2:])
+    def step(made: Column, near: Column) -> Column:
+        kept = F.filter(near, lambda j: F.get(made, j) == j)
+        return F.concat(made, F.array(F.coalesce(F.get(kept, F.lit(0)), F.size(made))))
 
+    return F.aggregate(earlier, F.array().cast("array<int>"), step)
 
-def merged(rows: list[dict], threshold: float, lists: list[str]) -> list[dict]:
-    """The first similar row kept absorbs the lists of a later one."""
-    kept: list[dict] = []
-    for r in rows:
-        twin = next((x for x in kept if not surely_different(r["text"], x["text"], threshold) and ratio(r["text"], x["text"]) > threshold), None)
-        if twin is None:
-            kept.append(dict(r))
-            continue
-        for c in lists:
-            twin[c] = list(dict.fromkeys([*twin[c], *r[c]]))
-    return kept
 
+def packed(rows: Column, budget: int, kind: str) -> Column:
+    """The rows (structs with a text) that fit the budget, in order; one that
+    doesn't is shortened if LEAST tokens are left, and then kept if it fits."""
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("out"))
 
-def packed(rows: list[dict], budget: int) -> list[dict]:
-    """Rows that fit, in order; one that doesn't is shortened if 40 tokens are left and it then fits."""
-    out, used = [], 0
-    for r in rows:
-        left, need = budget - used, tokens(r["text"])
-        if need > left:
-            if left < 40:
-                continue
-            r = {**r, "text": shortened(r["text"], left)}
-            need = tokens(r["text"])
-            if need > left:
-                continue
-        out.append(r)
-        used += need
-    return out
+    def step(acc: Column, r: Column) -> Column:
+        left = F.lit(budget) - acc["used"]
+        whole = T.token_estimate(r["text"])
+        text = F.when((whole <= left) | (left < LEAST), r["text"]).otherwise(T.extractive(r["text"], left))
+        size = T.token_estimate(text)
+        taken = F.struct((acc["used"] + size).alias("used"), F.concat(acc["out"], F.array(r.withField("text", text))).alias("out"))
+        return F.when(size <= left, taken).otherwise(acc)
+
+    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
 
 def compress(results: DataFrame, budget: int = 2000, threshold: float = 0.85, lists: list[str] | None = None) -> DataFrame:
     """results: query_id, pos, text and any further columns; array columns named
-    in ``lists`` are merged.  Keeps the order, renumbers ``pos``."""
+    in ``lists`` are merged.  Keeps the order, renumbers ``pos``.  Null texts are empty."""
     names = [c for c in ("entities", "evidence_ids", "rank_sources") if c in results.columns] if lists is None else lists
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos").to_dict("records")
-        for r in rows:
-            r["text"] = r["text"] or ""
-            for c in names:
-                r[c] = [] if r[c] is None else list(r[c])
-        out = packed(merged(rows, threshold, names), budget)
-        for i, r in enumerate(out, 1):
-            r["pos"] = i
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return results.groupBy("query_id").applyInPandas(work, results.schema)
+    empty = {c: F.coalesce(F.col(c), F.array().cast(results.schema[c].dataType)) for c in names}
+    clean = results.withColumns({"text": F.coalesce("text", F.lit("")), **empty})
+    fields = ["pos", *[c for c in clean.columns if c not in ("query_id", "pos")]]
+    kind = clean.select(F.struct(*fields).alias("r")).schema["r"].dataType.simpleString()
+    one = clean.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    one = one.withColumn("owner", owners(similar_udf(threshold)(F.transform("rows", lambda r: r["text"]))))
+    at = F.sequence(F.lit(0), F.size("rows") - 1)
+
+    def merged(i: Column) -> Column:
+        row = F.get("rows", i)
+        for c in names:
+            of = F.filter(F.transform("rows", lambda r, j: F.when(F.get("owner", j) == i, r[c])), lambda x: x.isNotNull())  # noqa: B023
+            row = row.withField(c, F.array_distinct(F.flatten(of)))
+        return row
+
+    one = one.withColumn("rows", F.transform(F.filter(at, lambda i: F.get("owner", i) == i), merged))
+    out = one.select("query_id", F.posexplode(packed(F.col("rows"), budget, kind)).alias("at", "r"))
+    value = {"query_id": F.col("query_id"), "pos": (F.col("at") + 1).cast(results.schema["pos"].dataType)}
+    return out.select(*[value.get(c, F.col(f"r.{c}")).alias(c) for c in results.columns])
 
 
 def context(results: DataFrame) -> DataFrame:
@@ -85,6 +91,4 @@ def context(results: DataFrame) -> DataFrame:
 
 def token_total(results: DataFrame) -> DataFrame:
     """AG-22."""
-    from ..functions.text import split_words
-
-    return results.groupBy("query_id").agg(F.floor(F.sum(F.size(split_words(F.col("text")))) * 1.3).cast("long").alias("tokens"))
+    return results.groupBy("query_id").agg(F.floor(F.sum(F.size(T.split_words(F.col("text")))) * 1.3).cast("long").alias("tokens"))

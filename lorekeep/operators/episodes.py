@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +16,10 @@ def _low(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def emotions(text: Column, words: Mapping[str, str] = vocab.EMOTION_WORDS) -> dict[str, Column]:
+def emotions(text: Column, words: Mapping[str, Sequence[str]] = vocab.EMOTION_WORDS) -> dict[str, Column]:
     """EP-2: the share of each list's words that occur."""
     low = _low(text)
-    return {k: T.contains_count(low, vocab.listed(v)) / float(len(vocab.listed(v))) for k, v in words.items()}
+    return {k: T.contains_count(low, v) / float(len(v)) for k, v in words.items()}
 
 
 def intensity(parts: list[Column]) -> Column:
@@ -33,9 +33,8 @@ def dominant(parts: Mapping[str, Column]) -> Column:
     return F.coalesce(*[F.when(v == best, F.lit(k)) for k, v in parts.items()])
 
 
-def goal_relevance(text: Column, words: str = vocab.GOAL_WORDS) -> Column:
-    w = vocab.listed(words)
-    return F.least(F.lit(1.0), T.contains_count(_low(text), w) / float(len(w)) * 2)
+def goal_relevance(text: Column, words: Sequence[str] = vocab.GOAL_WORDS) -> Column:
+    return F.least(F.lit(1.0), T.contains_count(_low(text), words) / float(len(words)) * 2)
 
 
 def repetition(mentions: Column) -> Column:
@@ -46,10 +45,10 @@ def weighted(emotion: Column, novelty: Column, goal: Column, repeated: Column) -
     return F.round(S.clamp(emotion * 0.3 + novelty * 0.2 + goal * 0.3 + repeated * 0.2), 4)
 
 
-def importance_a(text: Column, mentions: Column, words: Mapping[str, str] = vocab.EMOTION_WORDS, goals: str = vocab.GOAL_WORDS) -> Column:
+def importance_a(text: Column, mentions: Column, words: Mapping[str, Sequence[str]] = vocab.EMOTION_WORDS, goals: Sequence[str] = vocab.GOAL_WORDS) -> Column:
     """EP-3."""
     own = F.array_distinct(T.split_words(_low(text)))
-    new = F.size(F.array_except(own, F.array(*map(F.lit, vocab.listed(vocab.PLAIN_WORDS)))))
+    new = F.size(F.array_except(own, F.array(*map(F.lit, vocab.PLAIN_WORDS))))
     novelty = F.least(F.lit(1.0), new / F.greatest(F.size(own), F.lit(1)) * 3)
     return weighted(intensity(list(emotions(text, words).values())), novelty, goal_relevance(text, goals), repetition(mentions))
 
@@ -63,7 +62,7 @@ def keyword_emotion(text: Column) -> Column:
 
 def significant(text: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(_low(text), F.lit(r"\b([a-z]{2,})\b"), F.lit(1)))
-    return F.array_except(found, F.array(*map(F.lit, vocab.listed(vocab.COMMON_WORDS))))
+    return F.array_except(found, F.array(*map(F.lit, vocab.COMMON_WORDS)))
 
 
 def novelty(text: Column, corpus: Column | None = None) -> Column:

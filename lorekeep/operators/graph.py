@@ -146,15 +146,15 @@ def prose(docs: DataFrame, text_col: str = "text", name_col: str = "source_file"
     doc = F.concat(F.lit("DOC:"), F.col(name_col))
     parts = F.split(F.regexp_replace(F.col(text_col), r"([.!?\n])\s+", "$1\u0001"), "\u0001")
     each = docs.select(doc.alias("doc"), F.posexplode(parts).alias("at", "s")).withColumn("names", T.links(F.col("s"))).filter(F.size("names") > 0)
-    refs = each.select("doc", "at", F.lit(0).alias("rule"), F.lit(0).alias("i"), F.col("doc").alias("src"), F.explode("names").alias("dst"), F.lit("references").alias("relation"))
-    stated = []
-    for rule, (relation, words) in enumerate(vocab.RELATION_WORDS.items(), 1):
-        found = F.regexp_extract_all("s", F.lit(rf"(?i)(?:{words})\s+\[\[(.*?)\]\]"), F.lit(1))
-        hit = each.select("doc", "at", "names", F.posexplode(found).alias("i", "raw")).withColumn("dst", T.clean_link(F.col("raw"))).filter("dst <> ''")
-        first = F.element_at("names", 1)
-        src = F.when((F.size("names") > 1) & (first != F.col("dst")), first).otherwise(F.col("doc"))
-        stated.append(hit.select("doc", "at", F.lit(rule).alias("rule"), "i", src.alias("src"), "dst", F.lit(relation).alias("relation")))
-    edges = refs
-    for s in stated:
-        edges = edges.unionByName(s)
+
+    def stated(rule: int, relation: str, names: Column) -> Column:
+        as_edge = lambda x, i: F.struct(F.lit(rule).alias("rule"), i.alias("i"), F.lit(relation).alias("relation"), T.clean_link(x).alias("dst"))
+        return F.transform(names, as_edge)
+
+    rules = [stated(n, r, F.regexp_extract_all("s", F.lit(rf"(?i)(?:{'|'.join(words)})\s+\[\[(.*?)\]\]"), F.lit(1))) for n, (r, words) in enumerate(vocab.RELATION_WORDS.items(), 1)]
+    # one pass: what a sentence states by all rules is one array
+    edges = each.select("doc", "at", "names", F.explode(F.concat(stated(0, "references", F.col("names")), *rules)).alias("e")).filter("e.dst <> ''")
+    first = F.element_at("names", 1)
+    src = F.when((F.col("e.rule") > 0) & (F.size("names") > 1) & (first != F.col("e.dst")), first).otherwise(F.col("doc"))
+    edges = edges.select("doc", "at", "e.rule", "e.i", src.alias("src"), "e.dst", "e.relation")
     return edges.groupBy("src", "dst").agg(F.max_by("relation", F.struct("doc", "at", "rule", "i")).alias("relation"))

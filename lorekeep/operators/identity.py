@@ -6,7 +6,7 @@ fold is an ``aggregate`` over an entity's sorted evidence.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +17,19 @@ from ..functions import vocab
 FLOOR, DORMANT, PENALTY = 0.2, 0.15, 0.15
 
 
-def evidence(memories: DataFrame, domains: Mapping[str, str] = vocab.DOMAIN_WORDS, traits: Mapping[str, str] = vocab.TRAIT_WORDS) -> DataFrame:
+def evidence(memories: DataFrame, domains: Mapping[str, Sequence[str]] = vocab.DOMAIN_WORDS, traits: Mapping[str, Sequence[str]] = vocab.TRAIT_WORDS) -> DataFrame:
     """ID-1: (entity_id, memory_id, trait_id, domain_id, strength, matched, detected_at) of memories (entity_id, memory_id, text, detected_at).
 
     The word lists are literals of the plan: one pass over the memories, no join."""
     low = F.lower("text")
 
-    def found(name: str, words: list[str], domain: str | None, factor: float) -> Column:
+    def found(name: str, words: Sequence[str], domain: str | None, factor: float) -> Column:
         n = T.contains_count(low, words)
         strength = F.least(F.lit(1.0), n / float(len(words)) * factor)
         key = F.lit(f"domain_{domain}" if domain else name)
         return F.struct(key.alias("trait_id"), F.lit(domain or "core_traits").alias("domain_id"), strength.alias("strength"), n.alias("matched"))
 
-    all_ = [found(d, vocab.listed(w), d, 2.0) for d, w in domains.items()] + [found(t, vocab.listed(w), None, 2.5) for t, w in traits.items()]
+    all_ = [found(d, w, d, 2.0) for d, w in domains.items()] + [found(t, w, None, 2.5) for t, w in traits.items()]
     each = memories.select("entity_id", "memory_id", "detected_at", F.explode(F.filter(F.array(*all_), lambda x: x["matched"] > 0)).alias("e"))
     return each.select("entity_id", "memory_id", "detected_at", "e.*")
 
@@ -37,7 +37,7 @@ def evidence(memories: DataFrame, domains: Mapping[str, str] = vocab.DOMAIN_WORD
 def category(trait: Column) -> Column:
     """ID-2."""
     return (
-        F.when(T.contains_count(trait, vocab.listed(vocab.CORE_TRAITS)) > 0, "core")
+        F.when(T.contains_count(trait, vocab.CORE_TRAITS) > 0, "core")
         .when(T.contains_count(trait, ["long_term", "drive", "motivation"]) > 0, "persistent")
         .when(T.contains_count(trait, ["stress", "pressure"]) > 0, "adaptive")
         .when(trait.contains("trigger"), "temporary")

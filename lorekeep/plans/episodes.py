@@ -12,16 +12,16 @@ from ..functions import vocab
 from ..operators import episodes as E
 from .base import Tables, query
 
-WORDS = {"frustration": "the, and", "excitement": "that, for, with", "confidence": "die, der, und", "stress": "les, des", "satisfaction": "que, los, las"}
-GOALS = "the, la, el, un, ich"
-KINDS = {"goal": "ingin, theat", "procedural": "keit, ung", "reflection": "ción, mente", "relationship": "eaux, elle", "identity": "sh, th"}
+WORDS = {"frustration": ("the", "and"), "excitement": ("that", "for", "with"), "confidence": ("die", "der", "und"), "stress": ("les", "des"), "satisfaction": ("que", "los", "las")}
+GOALS = ("the", "la", "el", "un", "ich")
+KINDS = {"goal": ("ingin", "theat"), "procedural": ("keit", "ung"), "reflection": ("ción", "mente"), "relationship": ("eaux", "elle"), "identity": ("sh", "th")}
 
 
-def _hits(words: str, text: str = "lower(text)") -> str:
-    return " + ".join(f"contains({text}, '{w}')::INT" for w in vocab.listed(words))
+def _hits(words: tuple[str, ...], text: str = "lower(text)") -> str:
+    return " + ".join(f"contains({text}, '{w}')::INT" for w in words)
 
 
-EMO = {k: f"(({_hits(v)}) / {len(vocab.listed(v))}.0::DOUBLE)" for k, v in WORDS.items()}
+EMO = {k: f"(({_hits(v)}) / {len(v)}.0::DOUBLE)" for k, v in WORDS.items()}
 MEAN = f"(({' + '.join(EMO.values())}) / 5.0::DOUBLE)"
 
 
@@ -38,8 +38,8 @@ def ep_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).conversations.select("conv_id", "turn", T.category(F.col("text"), KINDS).alias("category"))
 
 
-PLAIN = ", ".join(f"'{w}'" for w in vocab.listed(vocab.PLAIN_WORDS))
-COMMON = ", ".join(f"'{w}'" for w in vocab.listed(vocab.COMMON_WORDS))
+PLAIN = ", ".join(f"'{w}'" for w in vocab.PLAIN_WORDS)
+COMMON = ", ".join(f"'{w}'" for w in vocab.COMMON_WORDS)
 OWN = r"list_distinct(regexp_extract_all(lower(text), '[^\s]+'))"
 FOUND = r"list_distinct(regexp_extract_all(lower(text), '\b[a-z]{2,}\b'))"
 GOAL = f"least(1, ({_hits(GOALS)}) / 5.0::DOUBLE * 2)"

@@ -10,16 +10,16 @@ from ..functions import vocab
 from ..operators import identity as I
 from .base import Tables, query
 
-DOMAINS = {"core_traits": "the, und, que", "values": "ing, keit, mente"}
-TRAITS = {"systems_thinker": "tion, ción", "deadline_driver": "eaux, elle, ent"}
+DOMAINS = {"core_traits": ("the", "und", "que"), "values": ("ing", "keit", "mente")}
+TRAITS = {"systems_thinker": ("tion", "ción"), "deadline_driver": ("eaux", "elle", "ent")}
 
 
-def _n(words: str) -> str:
-    return "(" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in vocab.listed(words)) + ")"
+def _n(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in words) + ")"
 
 
 EVIDENCE = "ev AS (" + " UNION ALL ".join(
-    f"SELECT conv_id, turn, '{k}' AS trait_id, '{d}' AS domain_id, least(1, {_n(w)} / {len(vocab.listed(w))}.0::DOUBLE * {f}) AS strength, {_n(w)} AS matched FROM conversations WHERE {_n(w)} > 0"
+    f"SELECT conv_id, turn, '{k}' AS trait_id, '{d}' AS domain_id, least(1, {_n(w)} / {len(w)}.0::DOUBLE * {f}) AS strength, {_n(w)} AS matched FROM conversations WHERE {_n(w)} > 0"
     for k, d, w, f in [*((f"domain_{d}", d, w, 2.0) for d, w in DOMAINS.items()), *((t, "core_traits", w, 2.5) for t, w in TRAITS.items())]
 ) + ")"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,9 +105,9 @@ def test_graph(spark):
     assert rows(graph.reached(seed, e, 2)) == [("a", 0), ("b", 1), ("c", 2)]
     assert rows(graph.reached(seed, e, 99).select("node")) == [("a",), ("b",), ("c",), ("d",)]
     assert rows(graph.ego(F.lit("B"), e, 2).select("node")) == [("b",), ("c",), ("d",)]
-    assert rows(graph.induced(graph.reached(seed, e, 1), e)) == [("b", "a", "uses")] or rows(graph.induced(graph.reached(seed, e, 1), e).select("src", "dst")) == [("a", "b")]
+    assert rows(graph.induced(graph.reached(seed, e, 1), e).select("src", "dst")) == [("a", "b")]
     p = spark.createDataFrame([("n", "X uses [[B]]. [[A]] depends on [[B]]!\nSee also [[C|see]]")], "source_file string, text string")
-    assert rows(graph.prose(p)) == [("A", "B", "depends_on"), ("DOC:n", "A", "references"), ("DOC:n", "B", "uses"), ("DOC:n", "C", "references")] or rows(graph.prose(p))[0] == ("A", "B", "depends_on")
+    assert rows(graph.prose(p)) == [("A", "B", "depends_on"), ("DOC:n", "A", "references"), ("DOC:n", "B", "references"), ("DOC:n", "C", "references")]
     claims = spark.createDataFrame([("a", "b", "fixes", 1.0), ("a", "c", "other", 1.0)], "subject string, object string, predicate string, confidence double")
     seeds = spark.createDataFrame([(1, "a")], "query_id long, entity_key string")
     assert rows(graph.expand(seeds, claims)) == [(1, "b", 0.1), (1, "c", 0.03)]
@@ -145,7 +146,7 @@ def test_notes_and_chunks(spark, tmp_path):
 def test_long_sections_overlap():
     parts = chunking.split_long("\n\n".join(c * 600 for c in "abcd"), 1500)
     assert parts == ["a" * 600 + "\n\n" + "b" * 600, "b" * 600 + "\n\n" + "c" * 600, "c" * 600 + "\n\n" + "d" * 600]
-    assert chunking.split_long("x") == ["x"] and chunking.blocks("", "s") == []
+    assert chunking.split_long("x") == ["x"] and chunking.sections(pd.DataFrame({"path": ["s"], "body": [""]})).empty
 
 
 def test_write_path(spark):
