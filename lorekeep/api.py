@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import scores as S
 from .functions import text as T
 from .operators import compress, dense, episodes, fusion, graph, lexical, lifecycle, profiles, readiness, writing
 
@@ -88,7 +87,8 @@ class Memory:
         if options.prefilter:
             chunks = chunks.join(seen, ["memory_id", "revision_id"], "left_semi")
         k = fusion.over_fetch(options.limit)
-        lists = lexical.lexical_search(queries, lexical.index(chunks), k).select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
+        matches = lexical.lexical_matches(queries, lexical.index(chunks, queries=queries))
+        lists = lexical.top_k(matches, ["query_id"], lexical.lexical_order(), k).select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
         if self.vectors is not None and "vec" in queries.columns:
             try:
                 vectors = self.vectors.join(chunks.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
@@ -110,10 +110,11 @@ class Memory:
             q = queries.select("query_id", T.entity_key(F.col("text")).alias("query_key"), F.transform(T.query_entities(F.col("text")), lambda x: T.entity_key(x)).alias("entity_keys"))
             scored = scored.join(profiles.profile_boosts(q, self.profiles, self.facts, self.documents), ["query_id", "memory_id"], "left")
         combined = fusion.combine(scored, as_of).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-        own = T.lexemes(F.col("query"))
-        heuristic = S.heuristic_rerank(F.size(F.array_intersect(own, T.lexemes(F.col("text")))), F.size(own), F.length("text"))
-        rerank = self.reranker(F.col("query"), F.col("text")) if self.reranker else heuristic
-        top = fusion.rerank(combined, rerank, options.limit, options.min_score).withColumn("evidence_ids", F.array(F.concat_ws(":", F.col("memory_id").cast("string"), F.col("revision_id").cast("string"), F.col("chunk_id").cast("string"))))
+        if self.reranker:
+            combined = combined.withColumn("rerank", self.reranker(F.col("query"), F.col("text")))
+        else:
+            combined = fusion.heuristic(combined.withColumn("n_chars", F.length("text")), matches)
+        top = fusion.rerank(combined, F.col("rerank"), options.limit, options.min_score).withColumn("evidence_ids", F.array(F.concat_ws(":", F.col("memory_id").cast("string"), F.col("revision_id").cast("string"), F.col("chunk_id").cast("string"))))
         out = top.select("query_id", F.col("final_pos").alias("pos"), "chunk_id", "memory_id", "revision_id", "memory_type", "source_file", "text", "score", F.col("importance_out").alias("importance"), "entity_keys", "rank_sources", "evidence_ids")
         return compress.compress(out, options.max_tokens, lists=["entity_keys", "rank_sources", "evidence_ids"]) if options.compress else out
 
@@ -122,9 +123,12 @@ class Memory:
         return compress.context(self.search(queries, as_of, SearchOptions(limit=limit)))
 
     def summarize(self, queries: DataFrame, as_of: Column, model: Callable[[Column], Column] | None = None) -> DataFrame:
-        """UX-6: a summary of each query's context: by a model's column function, or by first and last sentence."""
+        """UX-6: a summary of each query's context: by a model's column function,
+        which reads the first 4,000 characters (the limit of its prompt), or by
+        the first and last sentence of the whole context."""
         c = self.context(queries, as_of)
-        return c.select("query_id", (model or T.heuristic_summary)(F.substring("context", 1, 4000)).alias("summary"))
+        made = model(F.substring("context", 1, 4000)) if model else T.heuristic_summary(F.col("context"))
+        return c.select("query_id", made.alias("summary"))
 
     def remember(self, incoming: DataFrame, notes: DataFrame) -> DataFrame:
         """RET-18."""

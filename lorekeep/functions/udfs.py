@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -132,6 +133,36 @@ def fake_embedding(text: str, dim: int = 384) -> list[float]:
     return out[:dim]
 
 
+#: Lower-case letters and digits, as ``text.tokens`` has them.
+TOKEN = re.compile(r"[a-z0-9]+")
+
+
+class _Places(dict):
+    """token -> 32 bits of its MD5; forgets all when it has grown."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+        return h
+
+
+_PLACES = _Places()
+
+
+def hashed_embeddings(texts: list[str], dim: int = 256) -> np.ndarray:
+    """UX-1: the offline provider that knows words: signed counts of a text's
+    tokens, at place h % dim with the sign of the bit above (``dim`` is a power of
+    two).  Texts that share words are near by cosine; nothing is learned.
+    Whole numbers, so exact."""
+    found = [TOKEN.findall(t.lower()) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, count=len(found))
+    h = np.fromiter(map(_PLACES.__getitem__, itertools.chain.from_iterable(found)), np.int64, count=int(sizes.sum()))
+    at = np.repeat(np.arange(len(texts)), sizes) * dim + h % dim
+    out = np.bincount(at, 1.0 - 2 * (h // dim % 2), len(texts) * dim)
+    return out.reshape(len(texts), dim).astype(np.float32)
+
+
 def porter_stem(w: str) -> str:
     """A light English stemmer after Porter (1980), steps 1a-1c, for the optional analyser."""
     vowel = re.compile(r"[aeiou]|(?<=[^aeiou])y")
@@ -183,13 +214,13 @@ def ratio_udf():
     return f
 
 
-def embed_udf(provider: Callable[[list[str]], list[list[float]]] | None = None, dim: int = 384, most: int | None = None):
+def embed_udf(provider: Callable[[list[str]], list[list[float]] | np.ndarray] | None = None, dim: int = 384, most: int | None = None):
     """UX-1, UX-2: text -> vector.  ``provider`` embeds a batch.  A text over
     ``most`` characters is halved until its parts fit; their vectors are
     averaged by length and normalised."""
 
-    def batch(texts: list[str]) -> list[list[float]]:
-        return provider(texts) if provider else [fake_embedding(t, dim) for t in texts]
+    def batch(texts: list[str]) -> list:
+        return list(provider(texts)) if provider else [fake_embedding(t, dim) for t in texts]
 
     def whole(text: str) -> list[float]:
         if most is None or len(text) <= most:

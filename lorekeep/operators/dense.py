@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .lexical import top_k
 
-#: A block of queries is at most so many vectors; more queries make more blocks.
+#: Vectors of a block, of queries or of those searched; pairs of blocks are multiplied.
 BLOCK = 4096
+#: Cosines are compared to nine decimals, so that equal ones tie on any machine.
+DECIMALS = 9
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -20,55 +22,89 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, vec_id, score, pos): the k vectors of largest cosine a query.
+def blocks(vectors: DataFrame, id_col: str, prefix: str, provider: Callable | None = None) -> DataFrame:
+    """Vectors (id, vec) as rows of up to BLOCK vectors of one length: ids, length, matrix.
+    With a ``provider``, (id, text), and texts are embedded on the way."""
 
-    ``queries``: query_id, vec; ``vectors``: vec_id, vec.  The query set goes
-    through in blocks of bounded size; each task multiplies a block with its
-    batches and keeps k a query, so k rows a query and task are shuffled.
-    Vectors of another length than the query's have score null and are left
-    out; equal scores go by vec_id.
-    """
-    total = queries.count()
-    spark, parts = queries.sparkSession, []
-    numbered = queries.select("query_id", "vec").filter("vec is not null")
-    for b in range(max(1, -(-total // BLOCK))):
-        block = numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // BLOCK)))) == b).collect()
-        dims: dict[int, tuple[list, np.ndarray]] = {}
-        for r in block:
-            dims.setdefault(len(r["vec"]), ([], []))[0].append(r["query_id"])
-            dims[len(r["vec"])][1].append(r["vec"])
-        shared = spark.sparkContext.broadcast({d: (np.array(i), _unit(np.array(v, np.float64))) for d, (i, v) in dims.items()})
-        parts.append(vectors.select("vec_id", "vec").mapInArrow(_scorer(shared, k), "query_id long, vec_id long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
 
+        def row(dim: int) -> pa.RecordBatch:
+            ids, parts = zip(*held.pop(dim), strict=True)
+            cols = [pa.array([np.concatenate(ids)], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=[f"{prefix}_ids", f"{prefix}_dim", f"{prefix}_matrix"])
 
-def _scorer(shared, k: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
         for b in batches:
-            lists = b.column("vec")
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            ids = b.column("vec_id").to_numpy()
-            for dim, (qids, q) in shared.value.items():
-                rows = np.flatnonzero(sizes == dim)
-                if not len(rows) or not dim:
-                    continue
-                v = _unit(flat[at[rows][:, None] + np.arange(dim)])
-                scores = q @ v.T
-                for i, qid in enumerate(qids.tolist()):
-                    order = np.lexsort((ids[rows], -scores[i]))[:k]
-                    found = best.get(qid, []) + [(-scores[i, j], int(ids[rows[j]])) for j in order]
-                    best[qid] = sorted(found)[:k]
-        rows = [(qid, v, -s) for qid, found in best.items() for s, v in found]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    return score
+            ids = b.column(id_col).to_numpy()
+            for rows, matrix in _matrices(b, provider):
+                dim = matrix.shape[1]
+                for a in range(0, len(rows), BLOCK):
+                    held.setdefault(dim, []).append((ids[rows[a : a + BLOCK]], matrix[a : a + BLOCK]))
+                    if sum(len(x) for x, _ in held[dim]) >= BLOCK:
+                        yield row(dim)
+        for dim in list(held):
+            yield row(dim)
+
+    what = "text" if provider else "vec"
+    return vectors.select(id_col, what).filter(F.col(what).isNotNull()).mapInArrow(pack, f"{prefix}_ids array<long>, {prefix}_dim int, {prefix}_matrix binary")
+
+
+def _matrices(b: pa.RecordBatch, provider: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of a batch: the vectors of each length."""
+    if provider:
+        yield np.arange(len(b)), np.asarray(provider(b.column("text").to_pylist()))
+        return
+    lists = b.column("vec")
+    at = lists.offsets.to_numpy()
+    flat, at, sizes = lists.flatten().to_numpy(zero_copy_only=False), at - at[0], np.diff(at)
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        yield rows, flat[at[rows][:, None] + np.arange(dim)]
+
+
+def nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest scores of each row, the lesser id first of equals."""
+    k = min(k, scores.shape[1])
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(scores >= least)
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    some = np.arange(len(row)) - first[row] < k
+    return row[some], col[some]
+
+
+def _matrix(held: pa.BinaryScalar, rows: int, dim: int) -> np.ndarray:
+    """The vectors of a block, which are floats or doubles as their column was."""
+    raw = held.as_buffer()
+    return np.frombuffer(raw, np.float32 if raw.size == 4 * rows * dim else np.float64).reshape(rows, dim).astype(np.float64)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(len(b)):
+            dim = b.column("q_dim")[i].as_py()
+            qid, vid = (b.column(c)[i].values.to_numpy() for c in ("q_ids", "v_ids"))
+            q, v = (_unit(_matrix(b.column(c)[i], len(ids), dim)) for c, ids in (("q_matrix", qid), ("v_matrix", vid)))
+            scores = np.round(q @ v.T, DECIMALS)
+            row, col = nearest(scores, vid, k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[row], vid[col], scores[row, col])], names=["query_id", "vec_id", "score"])
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 20, provider: Callable | None = None) -> DataFrame:
+    """(query_id, vec_id, score, pos): the k vectors of largest cosine a query.
+
+    ``queries``: query_id, vec; ``vectors``: vec_id, vec; or, with an embedding
+    ``provider`` (texts -> vectors of one length), text in place of vec.  Both go through as
+    blocks of bounded size: one scan of the vectors, every block of queries
+    against every block of them, and k rows a query and pair of blocks are
+    shuffled.  Nothing goes to the driver.  Vectors of another length than
+    the query's are left out; equal scores go by vec_id.
+    """
+    q, v = blocks(queries, "query_id", "q", provider), blocks(vectors, "vec_id", "v", provider)
+    pairs = q.crossJoin(v).filter("q_dim = v_dim")  # the query set in blocks against all rows
+    out = pairs.mapInArrow(lambda it: _scored(it, k), "query_id long, vec_id long, score double")
+    return top_k(out, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def lsh_search(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 20, tables: int = 24, bits: int = 10, seed: int = 11) -> DataFrame:

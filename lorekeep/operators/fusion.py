@@ -58,6 +58,15 @@ def rerank(scored: DataFrame, rerank_score: Column, k: int, min_score: float = 0
     return top_k(final, ["query_id"], [F.desc("score"), F.desc("rrf"), F.asc("chunk_id")], max(k, 0), "final_pos")
 
 
+def heuristic(candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """RET-12: adds ``rerank`` to candidates (query_id, chunk_id, n_chars): what they
+    share with the query is known from the lexical matches, so no text is read again."""
+    known = matches.select("query_id", "chunk_id", "shared", "n")
+    both = candidates.join(known, ["query_id", "chunk_id"], "left")
+    rr = S.heuristic_rerank(F.coalesce("shared", F.lit(0)), F.coalesce("n", F.lit(1)), F.col("n_chars"))
+    return both.withColumn("rerank", rr).drop("shared", "n")
+
+
 def over_fetch(limit: int) -> int:
     """TK-3."""
     return max(4 * limit, 20)

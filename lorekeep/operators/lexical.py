@@ -11,25 +11,33 @@ from ..functions import text as T
 STRICT, DENSITY_CAP, DENSITY = 0.25, 0.25, 0.1
 
 
-def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", analyzer=T.tokens) -> DataFrame:
-    """Postings (chunk, lexeme, tf): a partial aggregate before the shuffle."""
+def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", analyzer=T.tokens, queries: DataFrame | None = None) -> DataFrame:
+    """Postings (chunk, lexeme, tf): a partial aggregate before the shuffle.
+
+    With ``queries`` (a batch that the index is made for), only tokens that
+    the batch asks for are kept, before anything moves; without, all are, for
+    a table to be stored and kept."""
     each = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(analyzer(F.col(text_col))).alias("lexeme"))
+    if queries is not None:
+        asked = queries.select(F.explode(T.lexemes(F.col("text"))).alias("lexeme")).distinct()
+        each = each.join(asked, "lexeme", "left_semi")
     return each.groupBy("chunk_id", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lexical_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, coverage, strict, rank) of chunks that share a lexeme with a query.
+    """(query_id, chunk_id, coverage, strict, rank, shared, n) of chunks that share a lexeme with a query:
+    ``shared`` of its ``n`` lexemes.
 
     An equi-join on the lexeme: only chunks with a shared lexeme are touched,
     never all pairs.  ``queries`` has query_id and text.
     """
     q = queries.select("query_id", T.lexemes(F.col("text")).alias("lexemes"))
     terms = q.select("query_id", F.size("lexemes").alias("n"), F.explode("lexemes").alias("lexeme"))
-    hits = terms.join(postings, "lexeme").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("shared"), F.sum("tf").alias("positions"))
+    hits = terms.join(postings, "lexeme").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared"), F.sum("tf").alias("positions"), F.max("n").alias("n"))
     coverage = F.col("shared") / F.greatest(F.col("n"), F.lit(1))
     strict = F.col("shared") == F.col("n")
     rank = coverage + F.when(strict, STRICT).otherwise(0.0) + F.least(F.lit(DENSITY_CAP), DENSITY * F.col("positions"))
-    return hits.select("query_id", "chunk_id", coverage.alias("coverage"), strict.alias("strict"), rank.alias("rank"))
+    return hits.select("query_id", "chunk_id", coverage.alias("coverage"), strict.alias("strict"), rank.alias("rank"), "shared", "n")
 
 
 def lexical_order() -> list[Column]:

@@ -60,9 +60,9 @@ def evaluate(results: DataFrame, expected: DataFrame, visible: DataFrame | None
     return out.join(leaks, "query_id", "left").fillna(0, ["leaks"])
 
 
-def summary(cases: DataFrame) -> DataFrame:
-    """AG-10."""
-    return cases.agg(F.avg(F.col("hit1").cast("double")).alias("hit1"), F.avg(F.col("hit5").cast("double")).alias("hit5"), F.avg("reciprocal_rank").alias("mrr"), F.sum("leaks").alias("leaks"), F.count(F.lit(1)).alias("cases"))
+def summary(cases: DataFrame, *more: Column) -> DataFrame:
+    """AG-10, with further aggregates if given."""
+    return cases.agg(F.avg(F.col("hit1").cast("double")).alias("hit1"), F.avg(F.col("hit5").cast("double")).alias("hit5"), F.avg("reciprocal_rank").alias("mrr"), F.sum("leaks").alias("leaks"), F.count(F.lit(1)).alias("cases"), *more)
 
 
 def gate(summary_: DataFrame, hit1: float = 0.8, hit5: float = 0.9) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from ..functions import udfs
 from ..functions.vectors import cosine
 from ..operators import compress as C
 from ..operators import dense, fusion, legacy, lexical, profiles, readiness, writing
@@ -29,9 +30,23 @@ qv AS (SELECT item_id AS query_id, e.embedding AS qe FROM benchmark JOIN embeddi
 ds AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]) AS score FROM qv, embeddings),
 dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM ds)
 """
-FUSED = f"""{LEXICAL}, {DENSE},
+PASSAGE, STRIDE = 64, 32
+_SIGNS = "SELECT *, CASE WHEN (h // 256) % 2 = 0 THEN 1 ELSE -1 END AS s, h % 256 AS b FROM (SELECT *, ('0x' || left(md5(lexeme), 8))::BIGINT AS h FROM ({0}))"
+#: The words' embedder over benchmark items and passages of documents: signed hashed counts, and their cosines.
+SEMANTIC = f"""
+ws AS (SELECT doc_id, regexp_extract_all(text, '[^\\s]+') AS ws FROM documents),
+ps AS (SELECT doc_id * 1000000 + (p - 1) // {STRIDE} AS vec_id, array_to_string(ws[p:p + {PASSAGE - 1}], ' ') AS text FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {STRIDE}) + 1, {STRIDE})) AS p FROM ws)),
+pv AS (SELECT vec_id, b, sum(s)::DOUBLE AS v FROM ({_SIGNS.format(f"SELECT vec_id, unnest({TOKENS.format('text')}) AS lexeme FROM ps")}) GROUP BY ALL),
+qv AS (SELECT item_id AS query_id, b, sum(s)::DOUBLE AS v FROM ({_SIGNS.format(f"SELECT item_id, unnest({TOKENS.format('text')}) AS lexeme FROM benchmark")}) GROUP BY ALL),
+pn AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM pv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qv GROUP BY 1),
+dt AS (SELECT query_id, vec_id, sum(qv.v * pv.v) AS d FROM qv JOIN pv USING (b) GROUP BY 1, 2),
+sc AS (SELECT query_id, vec_id, round(coalesce(d, 0) / qn.n / pn.n, 9) AS score FROM dt JOIN qn USING (query_id) JOIN pn USING (vec_id) WHERE qn.n > 0 AND pn.n > 0),
+sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS p FROM sc),
+dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM (SELECT query_id, vec_id // 1000000 AS chunk_id, max(score) AS score FROM sp WHERE p <= 20 GROUP BY 1, 2))
+"""
+FUSED = f"""{LEXICAL}, {SEMANTIC},
 ls AS (SELECT query_id, 'lexical' AS source, chunk_id, pos, rank AS score FROM lx WHERE pos <= 20
-       UNION ALL SELECT query_id, 'semantic', chunk_id, pos, score FROM dn WHERE pos <= 20),
+       UNION ALL SELECT query_id, 'semantic', chunk_id, pos, score FROM dn),
 fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + pos) ORDER BY source DESC) AS rrf, max(score) FILTER (WHERE source = 'semantic') AS semantic,
               max(score) FILTER (WHERE source = 'lexical') AS lexical, min(pos) AS best_pos, count(DISTINCT source) AS n_lists,
               string_agg(source, ',' ORDER BY source) AS rank_sources FROM ls GROUP BY ALL)
@@ -56,8 +71,27 @@ def vectors_of(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.col("embedding").alias("vec"), "label")
 
 
+def matches_of(t: Tables) -> DataFrame:
+    return lexical.lexical_matches(queries_of(t), lexical.index(chunks_of(t), queries=queries_of(t)))
+
+
 def lexical_top(t: Tables, k: int) -> DataFrame:
-    return lexical.lexical_search(queries_of(t), lexical.index(chunks_of(t)), k)
+    return lexical.top_k(matches_of(t), ["query_id"], lexical.lexical_order(), k)
+
+
+def passages_of(t: Tables) -> DataFrame:
+    """Documents as overlapping runs of words, numbered within their document."""
+    words = T.split_words(F.col("text"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - STRIDE - 1), F.lit(STRIDE))
+    each = t.documents.select("doc_id", words.alias("ws")).select("doc_id", "ws", F.posexplode(starts).alias("n", "p"))
+    return each.select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("vec_id"), F.array_join(F.slice("ws", F.col("p") + 1, F.lit(PASSAGE)), " ").alias("text"))
+
+
+def semantic_top(t: Tables, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, pos): the documents of the k passages nearest to a query by the words' embedder."""
+    near = dense.dense_search(queries_of(t), passages_of(t), k, udfs.hashed_embeddings)
+    best = near.groupBy("query_id", F.floor(F.col("vec_id") / 1_000_000).alias("chunk_id")).agg(F.max("score").alias("score"))
+    return lexical.top_k(best, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def dense_top(t: Tables, k: int) -> DataFrame:
@@ -67,7 +101,7 @@ def dense_top(t: Tables, k: int) -> DataFrame:
 
 def fused(t: Tables) -> DataFrame:
     lex = lexical_top(t, 20).select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
-    sem = dense_top(t, 20).select("query_id", F.lit("semantic").alias("source"), F.col("vec_id").alias("chunk_id"), "pos", "score")
+    sem = semantic_top(t, 20).select("query_id", F.lit("semantic").alias("source"), "chunk_id", "pos", "score")
     return fusion.fuse(lex.unionByName(sem))
 
 
@@ -82,7 +116,7 @@ def ret_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ret_lexical_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-5: chunks that hold all lexemes of a query."""
     t = Tables(spark, sf_dir)
-    return lexical.lexical_matches(queries_of(t), lexical.index(chunks_of(t))).filter("strict").select("query_id", "chunk_id")
+    return matches_of(t).filter("strict").select("query_id", "chunk_id")
 
 
 @query(f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 5) AS score, pos FROM dn WHERE pos <= 5")
@@ -133,17 +167,15 @@ def hybrid(t: Tables, k: int) -> DataFrame:
 
     Documents that ``labels`` marks as poor stand for archived ones; the event
     of the same number dates a document."""
-    visible = t.documents.select(F.col("doc_id").alias("memory_id"), F.col("doc_id").alias("revision_id")).join(t.labels.filter("quality = 0").select(F.col("doc_id").alias("memory_id")), "memory_id", "left_anti")
+    visible = visible_docs(t)
     f = fused(t).withColumn("memory_id", F.col("chunk_id")).withColumn("revision_id", F.col("chunk_id"))
     scored = fusion.base_scores(fusion.visible_only(f, visible))
-    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text"))
+    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("n_chars"))
     dated = t.events.select(F.col("event_id").alias("chunk_id"), F.col("ts").alias("created"))
     none = F.lit(None).cast("double")
     full = scored.join(texts, "chunk_id").join(dated, "chunk_id", "left").withColumns({"graph_boost": none, "profile_boost": none, "importance": none, "occurred": F.lit(None).cast("timestamp_ntz"), "updated": F.lit(None).cast("timestamp_ntz")})
-    combined = fusion.combine(full, stamp("2024-02-01")).join(queries_of(t).select("query_id", F.col("text").alias("query")), "query_id")
-    own = T.lexemes(F.col("query"))
-    rr = S.heuristic_rerank(F.size(F.array_intersect(own, T.lexemes(F.col("text")))), F.size(own), F.length("text"))
-    final = combined.withColumn("score", S.rerank_blend(F.col("score"), rr)).filter("score >= 0")
+    combined = fusion.heuristic(fusion.combine(full, stamp("2024-02-01")), matches_of(t))
+    final = combined.withColumn("score", S.rerank_blend(F.col("score"), F.col("rerank"))).filter("score >= 0")
     return lexical.top_k(final, ["query_id"], [F.desc(F.round("score", 9)), F.desc(F.round("rrf", 12)), F.asc("chunk_id")], k)
 
 
@@ -153,36 +185,52 @@ def ret_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(Tables(spark, sf_dir), 5).select("query_id", F.col("pos").cast("long").alias("pos"), "chunk_id", F.round("score", 5).alias("score"))
 
 
-EXPECTED = "e AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+EXPECTED = """e AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+f AS (SELECT query_id, min(pos) AS rank FROM r JOIN e USING (query_id, chunk_id) WHERE pos <= 5 GROUP BY 1),
+lk AS (SELECT query_id, count(*) AS leaks FROM r WHERE pos <= 5 AND chunk_id IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY 1),
+l1 AS (SELECT query_id, min(chunk_id) AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS p FROM lx WHERE pos <= 20 AND chunk_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) WHERE p = 1 GROUP BY 1),
+cs AS (SELECT query_id, coalesce(rank <= 1, false) AS hit1, coalesce(rank <= 5, false) AS hit5, coalesce(1.0::DOUBLE / rank, 0) AS reciprocal_rank, coalesce(leaks, 0)::BIGINT AS leaks,
+  (query_id, coalesce(l1.chunk_id, -1)) IN (SELECT (query_id, chunk_id) FROM e) AS lexical_hit1
+  FROM (SELECT DISTINCT query_id FROM e) q LEFT JOIN f USING (query_id) LEFT JOIN lk USING (query_id) LEFT JOIN l1 USING (query_id))"""
+
+
+def visible_docs(t: Tables) -> DataFrame:
+    """(memory_id, revision_id) of documents that ``labels`` doesn't mark as poor."""
+    poor = t.labels.filter("quality = 0").select(F.col("doc_id").alias("memory_id"))
+    return t.documents.select(F.col("doc_id").alias("memory_id"), F.col("doc_id").alias("revision_id")).join(poor, "memory_id", "left_anti")
 
 
 def expected(t: Tables) -> DataFrame:
-    """Documents that hold a passage word for word: candidates share all its lexemes, so no pair is tried that can't."""
-    q, d = queries_of(t), chunks_of(t)
-    near = lexical.lexical_matches(q, lexical.index(d)).filter("strict").select("query_id", "chunk_id")
-    both = near.join(q.withColumnRenamed("text", "passage"), "query_id").join(d, "chunk_id")
-    return both.filter(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("source_file"))
+    """Visible documents that hold a passage word for word: candidates share all its lexemes, so no pair is tried that can't."""
+    near = matches_of(t).filter("strict").select("query_id", "chunk_id")
+    both = near.join(queries_of(t).withColumnRenamed("text", "passage"), "query_id").join(chunks_of(t), "chunk_id")
+    held = both.filter(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("source_file"))
+    return held.join(visible_docs(t).select(F.col("memory_id").alias("source_file")), "source_file", "left_semi")
+
 
+def cases(t: Tables) -> DataFrame:
+    """A row for each benchmark item that a visible document holds, with what the lexical leg alone finds first."""
+    pair = [F.col("chunk_id").alias(c) for c in ("source_file", "memory_id", "revision_id")]
+    e, seen = expected(t), visible_docs(t)
+    scored = readiness.evaluate(hybrid(t, 5).select("query_id", "pos", *pair), e, seen)
+    alone = lexical_top(t, 20).select("query_id", "pos", *pair).join(seen, ["memory_id", "revision_id"], "left_semi")
+    first = lexical.top_k(alone, ["query_id"], [F.asc("pos")], 1, "p").join(e, ["query_id", "source_file"], "left_semi").select("query_id", F.lit(True).alias("lexical_hit1"))
+    return scored.join(first, "query_id", "left").fillna(False, ["lexical_hit1"])
 
-@query(f"""{HYBRID}, {EXPECTED}, f AS (SELECT query_id, min(pos) AS rank FROM r JOIN e USING (query_id, chunk_id) WHERE pos <= 5 GROUP BY 1)
-SELECT q.query_id, coalesce(rank <= 1, false) AS hit1, coalesce(rank <= 5, false) AS hit5, round(coalesce(1.0::DOUBLE / rank, 0), 6) AS reciprocal_rank, 0::BIGINT AS leaks
-FROM (SELECT DISTINCT query_id FROM e) q LEFT JOIN f USING (query_id)""")
+
+@query(f"{HYBRID}, {EXPECTED} SELECT query_id, hit1, hit5, round(reciprocal_rank, 6) AS reciprocal_rank, leaks, lexical_hit1 FROM cs")
 def ev_retrieval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV-1, JN-29."""
-    t = Tables(spark, sf_dir)
-    results = hybrid(t, 5).select("query_id", "pos", F.col("chunk_id").alias("source_file"))
-    return readiness.evaluate(results, expected(t)).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
+    return cases(Tables(spark, sf_dir)).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
 
-@query(f"""{HYBRID}, {EXPECTED}, f AS (SELECT query_id, min(pos) AS rank FROM r JOIN e USING (query_id, chunk_id) WHERE pos <= 5 GROUP BY 1),
-cc AS (SELECT coalesce(rank <= 1, false)::INT::DOUBLE AS h1, coalesce(rank <= 5, false)::INT::DOUBLE AS h5, coalesce(1.0::DOUBLE / rank, 0) AS rr FROM (SELECT DISTINCT query_id FROM e) q LEFT JOIN f USING (query_id))
-SELECT round(avg(h1), 6) AS hit1, round(avg(h5), 6) AS hit5, round(avg(rr), 6) AS mrr, 0::BIGINT AS leaks, count(*) AS cases, avg(h1) >= 0.8 AND avg(h5) >= 0.9 AS passed FROM cc""")
+@query(f"""{HYBRID}, {EXPECTED} SELECT round(avg(hit1::INT::DOUBLE), 6) AS hit1, round(avg(hit5::INT::DOUBLE), 6) AS hit5, round(avg(reciprocal_rank), 6) AS mrr, sum(leaks)::BIGINT AS leaks, count(*) AS cases,
+  avg(hit1::INT::DOUBLE) >= 0.8 AND avg(hit5::INT::DOUBLE) >= 0.9 AND sum(leaks) = 0 AS passed, round(avg(lexical_hit1::INT::DOUBLE), 6) AS lexical_hit1 FROM cs""")
 def ev_retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV-2, AG-10."""
-    t = Tables(spark, sf_dir)
-    results = hybrid(t, 5).select("query_id", "pos", F.col("chunk_id").alias("source_file"))
-    s = readiness.gate(readiness.summary(readiness.evaluate(results, expected(t))))
-    return s.select(F.round("hit1", 6).alias("hit1"), F.round("hit5", 6).alias("hit5"), F.round("mrr", 6).alias("mrr"), "leaks", "cases", "passed")
+    c = cases(Tables(spark, sf_dir))
+    s = readiness.gate(readiness.summary(c, F.round(F.avg(F.col("lexical_hit1").cast("double")), 6).alias("lexical_hit1")))
+    return s.select(F.round("hit1", 6).alias("hit1"), F.round("hit5", 6).alias("hit5"), F.round("mrr", 6).alias("mrr"), "leaks", "cases", "passed", "lexical_hit1")
 
 
 @query(f"SELECT event_id, {RECENCY.format('ts')} AS boost FROM events")
