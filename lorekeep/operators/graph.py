@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from ..scratch import discard, stored
 
 
 def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -36,29 +34,27 @@ def expand(seeds: DataFrame, claims: DataFrame, limit: int = 20) -> DataFrame:
     return top.groupBy("query_id", "entity_key").agg(F.max(weight).alias("weight"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-")
-    path = f"{root.rstrip('/')}/lorekeep/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def reached(seeds: DataFrame, edges: DataFrame, radius: int, directed: bool = False) -> DataFrame:
     """GR-4, GR-5: (node, hops) within ``radius`` (0 to 5) of the seeds (node).
 
-    Each hop joins the last frontier with the edges; what was reached is a
-    stored table, so plans stay short and lost executors cost one hop."""
+    Edges are made distinct and stored once.  Each hop joins the last frontier
+    with them and stores the next one, so plans stay short, lost executors
+    cost one hop, and what was reached is never written again."""
     radius = max(0, min(5, radius))
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     if not directed:
         e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = e.distinct()
-    known = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    known = front = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    if not radius:
+        return known
+    e = stored(e.distinct(), "edges")
     for hop in range(1, radius + 1):
-        front = known.filter(F.col("hops") == hop - 1)
         new = front.join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-        known = _stored(known.unionByName(new.withColumn("hops", F.lit(hop))))
+        front = stored(new.withColumn("hops", F.lit(hop)), "front")
+        known = known.unionByName(front)
+        if front.isEmpty():
+            break
+    discard(e)
     return known
 
 
