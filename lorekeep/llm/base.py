@@ -1,67 +1,53 @@
-"""What the training-data operators share: scratch tables, words, running sums.
-
-Scratch tables.  Operators cut lineage by writing a Parquet table under the
-folder that the cluster names in ``spark.checkpoint.dir``.  Executors and the
-driver share it, so a lost executor never takes intermediate rows with it.
-"""
+"""What the training-data operators share: batches, words, joins back to groups, running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import discard, setting, stored
+
+__all__ = ["SPACES", "WORD", "batches_of", "discard", "fresh", "joined_back", "running", "setting", "small_batches", "stored", "unit"]
+
 # The six characters that separate words, as a regex class.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A group with more than this share of all rows is hot; there are fewer than 1 / HOT of them.
+HOT = 1 / 1000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def _fewer(spark: SparkSession, rows: int) -> bool:
+    now = spark.conf.get(_BATCH, None)
+    return now is None or int(now) <= 0 or int(now) > rows
 
 
-@contextmanager
-def _conf(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+def batches_of(spark: SparkSession, rows: int):
+    """Bounds the rows of an Arrow batch (texts are long) for the time of a block; a smaller setting is kept."""
+    return setting(spark, _BATCH, str(rows) if _fewer(spark, rows) else spark.conf.get(_BATCH))
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a scratch table and returns a reader of it.
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """The same for the rest of the session: for filters over whole documents,
+    which the caller runs, and whose result is too large to be stored first."""
+    if _fewer(spark, rows):
+        spark.conf.set(_BATCH, str(rows))
 
-    The shuffle files of the job are removed when it ends, so that the disk
-    holds one phase of an operator at a time.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lorekeep/{tag}-{uuid.uuid4().hex}"
-    with _conf(spark, _CLEANUP, "true"):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def joined_back(rows: DataFrame, groups: DataFrame, key: str, group: str, size: str, total: int) -> DataFrame:
+    """Rows with the columns of their group (rows.key = groups.group; ``size`` is
+    its number of rows, of ``total``).
 
-def small_batches(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch (texts are long); a smaller setting is kept."""
-    now = spark.conf.get(_BATCH, None)
-    if now is None or int(now) <= 0 or int(now) > rows:
-        spark.conf.set(_BATCH, str(rows))
+    Hot groups are fewer than 1 / HOT and are broadcast, so their rows stay
+    where they are; all others meet by a shuffle in which no key has more than
+    the share HOT of the rows.
+    """
+    hot = groups.filter(F.col(size) > total * HOT)
+    rest = groups.filter(F.col(size) <= total * HOT)
+    large = rows.join(F.broadcast(hot), F.col(key) == F.col(group))
+    small = rows.join(F.broadcast(hot.select(F.col(group).alias("_hot"))), F.col(key) == F.col("_hot"), "left_anti")
+    return large.unionByName(small.join(rest, F.col(key) == F.col(group)))
 
 
 def unit(digest: Column) -> Column:

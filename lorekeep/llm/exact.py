@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACES, fresh, stored
+from .base import SPACES, fresh, joined_back, stored
 
 
 def normalised(text: Column) -> Column:
@@ -26,12 +26,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * The slim table (id, hash, digest, row number) is stored once; groups
       are formed over it with a partial aggregate, so a text that a third of
       all rows share collapses before it moves.
+    * Rows get their group's columns by a join that broadcasts the few hot
+      groups (see ``base.joined_back``).
     * Bytes are compared by a second aggregate that groups by hash *and*
       text: a hash that two texts share shows up there as two rows.  Only if
       there is such a hash, the whole assignment is made by the text itself.
     * Null texts equal empty ones.  Null ids sort after all others.  Of rows
       that repeat id and text, one is kept.  An empty table gives no rows.
-      Other columns are ignored, whatever their names.
+      Other columns are ignored, whatever their names.  Ids of any type.
     """
     rows = docs.select(docs[id_col].alias("id"), normalised(docs[text_col]).alias("norm"))
     rows = rows.withColumn("h", content_hash(F.col("norm")))
@@ -44,8 +46,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = stored(slim, "exact")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
     groups = slim.groupBy("h").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.col("h").alias("g"), "first", "group_size")
-    return slim.join(groups, slim["h"] == groups["g"]).select(
+    groups = stored(groups.select(F.col("h").alias("g"), "first", "group_size"), "groups")
+    return joined_back(slim, groups, "h", "g", "group_size", slim.count()).select(
         F.col("id").alias(id_col),
         F.col("first.id").alias("keep_id"),
         "group_size",

@@ -13,12 +13,16 @@ so a text costs about its shingles plus m log m.
 Search.  Equal texts collapse first.  Signatures are cut into bands; texts
 that agree in a band are candidates and are compared with a pivot of their
 bucket (the most central member), not with each other.  Verified links make
-components.  A bucket whose members are not all in one component then gets
-more pivots, until every pair of its members is in one component or was
-compared; so no link of the buckets is lost, and a family of near copies costs
-about one comparison a member.  Before texts are compared, a bitmap of their
-shingles bounds the overlap from above: each bit of one that the other lacks
-is a shingle that they don't share.
+components, so a family of near copies costs about one comparison a member.
+
+The rest.  Buckets whose members are then not all in one component are open.
+Links between their members are found by prefixes: with shingles in one order,
+rare ones first, two texts that are similar enough must share one of the first
+few of each.  Members that share one, are in different components and pass the
+bounds of size, place and bitmap (each bit of one that the other lacks is a
+shingle that they don't share) are compared.  That is exact for all pairs of
+such members, whatever the buckets; texts that only have boilerplate in common
+share no rare shingle and so are never paired.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACES, small_batches, stored
+from .base import SPACES, batches_of, discard, joined_back, stored
 from .repeats import mixed, window_hashes, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -40,8 +44,6 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Bits of a text's bitmap; from some thousand shingles on, it fills and bounds little.
 BITS = 2048
-#: Up to so many links (2 MB) are joined to components in one task.
-SMALL_GRAPH = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,46 +157,92 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over all edges of a task; the least node is the root."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y] if y in up else y
-        return x
-
-    for b in batches:
-        for x, y in zip(b["a"].tolist(), b["b"].tolist(), strict=True):
-            x, y = sorted((root(x), root(y)))
-            up[y] = x
-    yield pd.DataFrame({"node": list(up), "label": [root(x) for x in up]}, dtype="int64")
-
-
-def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b).
 
-    Up to ``small`` edges (counted first) are joined in one task.  More go by
-    alternating large and small stars: each step is a partial aggregate and a
+    Alternating large and small stars: each step is a partial aggregate and a
     join on the node, and a stored table.  Nothing goes to the driver but counts."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if e.count() <= small:
-        return stored(e.coalesce(1).mapInPandas(_joined, "node long, label long"), "labels")
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    e = e.filter("a <> b")
-    before = None
+    now = e.filter("a <> b")
+    before, last = None, None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         made = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("s"))
-        e = stored(made.select("s.a", "s.b").filter("a <> b").distinct(), "stars")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            labels = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("label"))
-            return nodes.join(labels, F.col("node") == F.col("u"), "left").select("node", F.coalesce("label", "node").alias("label"))
-        before = now
+        now = stored(made.select("s.a", "s.b").filter("a <> b").distinct(), "stars")
+        if last is not None:
+            discard(last)
+        last = now
+        sum_ = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if sum_ == before:
+            labels = now.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("label"))
+            out = stored(nodes.join(labels, F.col("node") == F.col("u"), "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+            discard(e, now)
+            return out
+        before = sum_
+
+
+def prefixes(size: Column, similar: float) -> tuple[Column, Column]:
+    """How many of a text's first shingles another one must meet if it is at least as large, and at any size."""
+    first = lambda share: size - F.ceil(size * share - 1e-6) + 1
+    return first(2 * similar / (1 + similar)), first(similar)
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, bag) -> (rep, s): a row for each numbered shingle."""
+    for b in batches:
+        bags = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("bag")]
+        sizes = np.array([len(x) for x in bags])
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + 1, 200_000)[1:], "right").tolist()
+        rep = b.column("rep").to_numpy()
+        for i, j in zip([0, *cuts], [*cuts, len(bags)], strict=True):
+            if i < j:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep[i:j], sizes[i:j])), pa.array(np.concatenate(bags[i:j]))], names=["rep", "s"])
+
+
+def may_pair(pairs: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, na, b, nb) whose bitmaps don't rule them out: (a, b)."""
+    sketch = lambda x: bags.select(F.col("rep").alias(f"r{x}"), F.col("bits").alias(f"bits{x}"))
+    both = pairs.join(sketch("1"), F.col("a") == F.col("r1")).join(sketch("2"), F.col("b") == F.col("r2"))
+    return both.filter(may_overlap(F.col("na"), F.col("nb"), F.col("bits1"), F.col("bits2"), similar)).select("a", "b")
+
+
+def open_pairs(members: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
+    """(a, b): pairs of members (rep, n, label) of different labels that may be similar.
+
+    Exact: a pair that is similar shares a shingle in both prefixes, and no
+    bound drops it.  Shingles of one text alone come first in its order and
+    meet nothing, so only shared ones are joined.  Of the members that share a
+    shingle, those of the label that has most of them are not paired with
+    each other: one side of the join is the rest, the other all.
+    """
+    own = bags.join(members.select(F.col("rep").alias("r"), "n", "label"), F.col("rep") == F.col("r")).drop("r")
+    rows = own.select("rep", "bag").mapInArrow(_shingle_rows, "rep long, s long")
+    shared = rows.groupBy(F.col("s").alias("t")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    order = F.sort_array(F.collect_list(F.struct("c", "s")))
+    first = rows.join(shared, F.col("s") == F.col("t")).groupBy(F.col("rep").alias("r")).agg(order.alias("first"))
+    have = own.select("rep", "n", "label").join(first, F.col("rep") == F.col("r"))
+    index, probe = prefixes(F.col("n"), similar)
+    alone = F.col("n") - F.size("first")
+    each = have.filter(alone < probe).select("rep", "n", "label", index.alias("index"), alone.alias("alone"), F.posexplode(F.slice("first", F.lit(1), (probe - alone).cast("int"))).alias("i", "x"))
+    each = stored(each.select("rep", "n", "label", "index", (F.col("alone") + F.col("i")).alias("at"), F.col("x.s").alias("s")), "prefixes")
+    labels = each.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("s").alias("t"))
+    major = labels.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    both = each.join(major, F.col("s") == F.col("t"))
+    side = lambda d, x: d.select(F.col("s").alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("rep", "n", "label", "index", "at")])
+    x, y = side(both.filter("label <> major"), "1"), side(both, "2")
+    # of two texts the lesser (by size, then by number) meets the other within its index prefix
+    less = F.struct("n1", "rep1") < F.struct("n2", "rep2")
+    need = F.ceil((F.col("n1") + F.col("n2")) * (similar / (1 + similar)) - 1e-6)
+    fits = F.when(less, F.col("at1") < F.col("index1")).otherwise(F.col("at2") < F.col("index2"))
+    bound = (F.col("n1") - F.col("at1") >= need) & (F.col("n2") - F.col("at2") >= need)
+    near = (F.col("s1") == F.col("s2")) & (F.col("label1") != F.col("label2")) & fits & bound
+    of = lambda c, first: F.when(less == first, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
+    pairs = x.join(y, near).select(of("rep", True).alias("a"), of("n", True).alias("na"), of("rep", False).alias("b"), of("n", False).alias("nb"))
+    return may_pair(pairs.distinct(), bags, similar)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -207,13 +255,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts have no words; texts without words are one class of exact
     copies and link to nothing else; texts of fewer than ``k`` words are one
-    shingle.  Null ids sort last.  Repeated rows are copies of each other.
-    Ties have the least row kept.  Empty table: no rows.
+    shingle; long texts count whole.  Null ids sort last; ids of any type.
+    Repeated rows are copies of each other.  Ties have the least row kept.
+    Other columns are not read, whatever their names.  Empty table: no rows.
     """
-    small_batches(docs.sparkSession, 256)
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    signed = source.mapInArrow(lambda it: _signed(it, bands, rows, k), "id long, key binary, n long, bands array<long>")
-    signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    signed = source.mapInArrow(lambda it: _signed(it, bands, rows, k), f"id {kind}, key binary, n long, bands array<long>")
+    with batches_of(docs.sparkSession, 256):
+        signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     least = signed.groupBy(F.col("key").alias("g")).agg(F.min("row").alias("rep"))
     members = stored(signed.select("row", "id", "key").join(least, F.col("key") == F.col("g")).drop("g"), "members")
     reps = signed.join(least.select("rep"), F.col("row") == F.col("rep"), "left_semi")
@@ -231,9 +281,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = buckets.select(F.col("rep").alias("w")).distinct()
     wanted = signed.select("row", "id", "key").join(wanted, F.col("row") == F.col("w")).select(F.col("row").alias("rep"), F.col("id").alias("wid"), "key")
-    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("wid"))).select("rep", "key", "text")
+    same = F.col("id").eqNullSafe(F.col("wid"))
+    if not signed.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+        same &= text_key_column(F.col("text")) == F.col("key")  # rows of one id meet those with their text only
+    texts = source.join(wanted, same).select("rep", "key", "text")
     bags = texts.mapInArrow(lambda it: _bags(it, k), "rep long, bag binary, bits array<long>")
-    bags = stored(bags.dropDuplicates(["rep"]), "bags")
+    with batches_of(docs.sparkSession, 256):
+        bags = stored(bags.dropDuplicates(["rep"]), "bags")
     overlap = F.pandas_udf(_overlap, "double")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -241,40 +295,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(one, F.col("a") == F.col("ra")).join(two, F.col("b") == F.col("rb"))
         return stored(both.select("a", "b", overlap("ba", "bb").alias("j")).filter(F.col("j") >= similar).select("a", "b"), "links")
 
-    sketch = lambda suffix: bags.select(F.col("rep").alias(f"r{suffix}"), F.col("bits").alias(f"bits{suffix}"))
-    star = buckets.filter((F.col("rep") != F.col("pivot")) & alike(F.col("n"), F.col("pn"))).select("rep", "pivot", "n", "pn").distinct()
-    star = star.join(sketch("1"), F.col("rep") == F.col("r1")).join(sketch("2"), F.col("pivot") == F.col("r2"))
-    pairs = star.filter(may_overlap(F.col("n"), F.col("pn"), F.col("bits1"), F.col("bits2"), similar)).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    star = buckets.filter((F.col("rep") != F.col("pivot")) & alike(F.col("n"), F.col("pn")))
+    pairs = may_pair(star.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("b"), F.col("pn").alias("nb")).distinct(), bags, similar)
     links = verified(pairs)
     labels = components(links)
-    # members of buckets of three or more; done: compared with all of its bucket
-    state = buckets.filter("c > 2").join(sketch("1"), F.col("rep") == F.col("r1")).select("bucket", "rep", "n", "w", "bits1", (F.col("rep") == F.col("pivot")).alias("done"))
-    count = 16
-    while True:
-        at = state.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-        here, same = Window.partitionBy("bucket"), Window.partitionBy("bucket", "label")
-        todo = F.when(~F.col("done"), F.col("label"))
-        at = at.withColumn("l1", F.min(todo).over(here)).withColumn("l2", F.max(todo).over(here)).filter("l1 <> l2").drop("l1", "l2")
-        # the members of small components first: once all but one component's are done, the bucket is
-        order = here.orderBy("done", "c", "label", F.desc("w"), "rep")
-        at = at.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("chosen", ~F.col("done") & (F.row_number().over(order) <= count)).drop("c")
-        at = stored(at, "open")
-        if not at.limit(1).count():
-            break
-        chosen = at.filter("chosen").select(F.col("bucket").alias("pb"), F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("bits1").alias("bits2"))
-        may = may_overlap(F.col("n"), F.col("pn"), F.col("bits1"), F.col("bits2"), similar)
-        near = at.join(chosen, (F.col("bucket") == F.col("pb")) & (F.col("label") != F.col("pl")) & alike(F.col("n"), F.col("pn")) & may)
-        new = verified(near.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct())
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            labels = components(links)
-        state = at.withColumn("done", F.col("done") | F.col("chosen")).drop("chosen", "label")
-        count *= 64
-
-    labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("row", "id", "key", F.coalesce("label", "rep").alias("class"))
+    # buckets of three or more whose members are in several components; those of two are decided
+    at = buckets.filter("c > 2").join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed_ = at.groupBy(F.col("bucket").alias("b")).agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2")
+    members_ = stored(at.join(mixed_, F.col("bucket") == F.col("b"), "left_semi").select("rep", "n", "label").distinct(), "open")
+    new = verified(open_pairs(members_, bags, similar))
+    if not new.isEmpty():
+        labels = components(links.unionByName(new))
+
+    labelled = stored(members.join(labels, F.col("rep") == F.col("node"), "left").select("row", "id", "key", F.coalesce("label", "rep").alias("class")), "labelled")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
-    classes = labelled.groupBy(F.col("class").alias("c")).agg(first, F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(classes, F.col("class") == F.col("c")).select(
+    classes = stored(labelled.groupBy(F.col("class").alias("c")).agg(first, F.count(F.lit(1)).alias("class_size")), "classes")
+    discard(signed, members, shared, buckets, bags, members_, new)
+    return joined_back(labelled, classes, "class", "c", "class_size", labelled.count()).select(
         F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"), F.col("key").alias("text_key")
     )
 
@@ -288,7 +325,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.toDF(*names)
     at = dict(zip(cols, names, strict=True))
     mine = plain.withColumn("key", text_key_column(F.col(at[text_col])))
-    stay = mine.join(kept, F.col(at[id_col]).cast("long").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
+    stay = mine.join(kept, F.col(at[id_col]).eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
     if repeated:  # rows that repeat an id and a text: one of them
         one = Window.partitionBy(at[id_col], "key").orderBy(F.xxhash64(*names))
         stay = stay.withColumn("number", F.row_number().over(one)).filter("number = 1")

@@ -35,7 +35,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeated_words(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,13 @@ Hashing all windows would move every word of the corpus several times over, so
 Hot passages.  Each task first compares what it has itself (one batch of
 documents): of equal hashes only one goes on to the comparison over all tasks,
 the others are decided there and then and pass by, dealt out at random.  A
-passage in a third of all documents so makes as many rows as there are
-batches.
+passage in a third of all documents so makes one row a batch of BATCH_WORDS
+words: slim rows that a task sorts as a stream, some ten million of them in
+100 TB of text.
+
+Equality.  Windows are equal if 64 bits of a hash over their words' hashes and
+31 bits of another, over hashes of the words by another seed, are: 95 bits
+that do not depend on each other.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches, stored
+from .base import batches_of, discard, stored
 
 #: Words that a task compares by itself at once (some 200 MB of arrays).
 BATCH_WORDS = 1_500_000
@@ -39,19 +44,23 @@ _PASS = 2  # decided already; passes by
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered; forgets all when it has grown."""
 
+    def __init__(self, seed: int) -> None:
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 5)
+        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return h
 
 
-_HASHES = WordHashes()
+_HASHES, _MORE = WordHashes(5), WordHashes(6)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, known: WordHashes = _HASHES) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at \x20 and \x09-\x0D only
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, count=len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,16 +91,18 @@ def window_hashes(h: np.ndarray, length: int, base: np.uint64 = _B1) -> np.ndarr
     return mixed((sums[length:] - sums[:n]) * down[:n])
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text): row is unique and sorts as the ids do, null last.  That
-    is the id itself where ids are unique, else a number given by a sort."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    n = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    odd = n.filter("id is null or n > 1").limit(1).count()
-    if not odd:
-        return rows.select(F.col("id").alias("row"), "id", "text")
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(row, id, text), and whether rows have numbers of their own.  ``row`` is
+    unique and sorts as the ids do, null last: the id itself where ids are
+    whole numbers and unique, else a number given by a sort."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    whole = rows.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole:
+        n = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        if not n.filter("id is null or n > 1").limit(1).count():
+            return rows.select(F.col("id").cast("long").alias("row"), "id", "text"), False
     ordered = rows.orderBy(F.col("id").isNull(), "id", F.xxhash64("text"))
-    return stored(ordered.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "keyed")
+    return stored(ordered.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "keyed"), True
 
 
 def _batches(source: Iterator[pa.RecordBatch], work: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -110,7 +121,9 @@ def _batches(source: Iterator[pa.RecordBatch], work: Callable, schema: pa.Schema
         for i, (row, text) in enumerate(zip(b.column("row").to_pylist(), b.column("text"), strict=True)):
             h = word_hashes(text.as_py())
             if len(h):
-                held.append((row, h, None if marks is None else marks[i].values.to_numpy(zero_copy_only=False)))
+                # windows are compared by hashes of both kinds
+                more = None if marks is None else (marks[i].values.to_numpy(zero_copy_only=False), word_hashes(text.as_py(), _MORE))
+                held.append((row, h, more))
                 words += len(h)
             if words >= BATCH_WORDS:
                 yield from made()
@@ -141,7 +154,7 @@ def _anchor_rows(held: list, length: int, select: Callable) -> list[np.ndarray]:
 
 def _window_rows(held: list, length: int, anchor: int, across: bool) -> list[np.ndarray]:
     parts = []
-    for row, h, marks in held:
+    for row, h, (marks, other) in held:
         n = len(h) - length + 1
         if n <= 0:
             continue
@@ -149,7 +162,7 @@ def _window_rows(held: list, length: int, anchor: int, across: bool) -> list[np.
         np.add.at(edge, np.maximum(0, marks - (length - anchor)), 1)
         np.add.at(edge, np.minimum(n, marks + 1), -1)
         at = np.flatnonzero(np.cumsum(edge[:n]) > 0)
-        parts.append((window_hashes(h, length)[at], window_hashes(h, length, _B2)[at], np.full(len(at), row, np.int64), at))
+        parts.append((window_hashes(h, length)[at], window_hashes(other, length, _B2)[at], np.full(len(at), row, np.int64), at))
     if not parts:
         return [np.empty(0, np.int64)] * (6 if across else 4)
     k, k2, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -241,13 +254,13 @@ def repeated(rows: DataFrame, length: int, anchor: int, select: Callable, across
     another row (then windows that repeat in their own row alone don't count).
     """
     spark = rows.sparkSession
-    small_batches(spark, 512)
     a_schema = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
     anchors = rows.select("row", "text").mapInArrow(lambda it: _batches(it, lambda held: _anchor_rows(held, anchor, select), a_schema), "k long, row long, at long")
     sorted_ = anchors.repartition("k").sortWithinPartitions("k", "row", "at")
     m_schema = pa.schema([("row", pa.int64()), ("pos", pa.int64())])
     marks = sorted_.mapInArrow(lambda it: _runs(it, ["k"], _dup_anchors, m_schema), "row long, pos long")
-    marks = stored(marks.groupBy("row").agg(F.collect_list(F.col("pos").cast("int")).alias("marks")), "anchors")
+    with batches_of(spark, 512):
+        marks = stored(marks.groupBy("row").agg(F.collect_list(F.col("pos").cast("int")).alias("marks")), "anchors")
 
     names = ["k", "k2", "row", "at"] + ["src_row", "src_pos"] * across
     w_schema = pa.schema([(c, pa.int64()) for c in names])
@@ -257,7 +270,10 @@ def repeated(rows: DataFrame, length: int, anchor: int, select: Callable, across
     out = ["row", "pos", "n"] + ["src_row", "src_pos"] * across
     o_schema = pa.schema([(c, pa.int64()) for c in out])
     found = sorted_.mapInArrow(lambda it: _runs(it, ["k", "k2"], _earlier_across if across else _earlier, o_schema), ", ".join(f"{c} long" for c in out))
-    return stored(found, "windows")
+    with batches_of(spark, 512):
+        found = stored(found, "windows")
+    discard(marks)
+    return found
 
 
 def covered(n_words: int, length: int, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -268,17 +284,18 @@ def covered(n_words: int, length: int, pos: np.ndarray, n: np.ndarray) -> np.nda
     return np.cumsum(edge[:n_words]) > 0
 
 
-def removal(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """Per row: id, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``
-    (words that no window covers, joined by one space)."""
+def removal(rows: DataFrame, windows: DataFrame, length: int, id_col: str, keep_text: bool) -> DataFrame:
+    """Per row: its id, ``n_words``, ``n_removed``, ``kept_sha256``, of the words
+    that no window covers, joined by one space; and if asked, that text, ``kept_text``."""
     packed = windows.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.shiftleft("pos", 32) + F.col("n")).alias("marks"))
     both = rows.join(packed, F.col("row") == F.col("r"), "left").select("id", "text", "marks")
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, id_, text in zip(range(len(b)), b.column("id").to_pylist(), b.column("text"), strict=True):
+            out: list[tuple] = []
+            for i, text in enumerate(b.column("text")):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 kept, m = words, b.column("marks")[i]
                 if m.is_valid and len(m.values):
@@ -286,8 +303,15 @@ def removal(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
                     gone = covered(len(words), length, v >> 32, v & 0xFFFFFFFF)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 joined = b" ".join(kept)
-                for col, v in zip(out, (id_, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass")), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    return both.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+                row = (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
+                out.append((*row, joined.decode("utf-8", "surrogatepass")) if keep_text else row)
+            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], names=["id", *names])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    kinds = [f"id {id_type}", "n_words long", "n_removed long", "kept_sha256 string", "kept_text string"][: len(names) + 1]
+    made = both.mapInArrow(cut, ", ".join(kinds))
+    with batches_of(rows.sparkSession, 512):
+        made = stored(made, "kept")
+    discard(windows)
+    return made.withColumnRenamed("id", id_col)

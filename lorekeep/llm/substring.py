@@ -24,16 +24,17 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS.get(period, (0,))
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """One row for each row of docs: id, ``n_words``, ``n_removed``,
-    ``kept_sha256``, ``kept_text``.
+    ``kept_sha256`` and, if ``keep_text``, ``kept_text``.
 
     A word is removed if a window of ``window`` words that covers it also
     starts earlier: in a row with a smaller id, or before it in its own row.
     Windows are judged on the input.  Null texts have no words; null ids sort
     last; rows that repeat an id are told apart and ordered by a hash of
-    their texts.  Texts shorter than a window keep all words.  Empty table:
-    no rows.
+    their texts.  Ids that are no whole numbers sort as their type does.
+    Texts shorter than a window keep all words; long ones count whole.  Other
+    columns are not read, whatever their names.  Empty table: no rows.
     """
     period, residues = cover_for(window)
     inside = np.zeros(period, bool)
@@ -44,6 +45,6 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return np.empty(0, np.int64)
         return np.flatnonzero(inside[np.arange(len(grams)) % period])
 
-    rows = keyed(docs, id_col, text_col)
+    rows, _ = keyed(docs, id_col, text_col)
     found = repeated(rows, window, window - period + 1, select, across=False)
-    return removal(rows, found, window).withColumnRenamed("id", id_col)
+    return removal(rows, found, window, id_col, keep_text)

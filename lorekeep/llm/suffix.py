@@ -77,30 +77,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Together the passages of a row cover every word that is in any such
     window; each names one earlier place.  Repeats inside one row alone don't
     count.  Null texts have no words; null ids sort last; rows that repeat an
-    id are told apart.  Texts shorter than ``length``: none.  Empty table: no
-    rows.
+    id are told apart.  Texts shorter than ``length``: none; long ones count
+    whole.  Other columns are not read, whatever their names.  Empty table:
+    no rows.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows, numbered = keyed(docs, id_col, text_col)
     found = repeated(rows, length, GRAM, minimisers(length), across=True)
-
     lines = found.repartition("row").sortWithinPartitions("row", "src_row", F.col("pos") - F.col("src_pos"), "pos")
     spans = lines.select("row", "src_row", "pos", "src_pos", "n").mapInArrow(lambda it: _passages(it, length), "row long, src_row long, start long, n_words long, earlier_start long")
     ids = rows.select("row", "id")
     mine, theirs = ids.select(F.col("row").alias("r1"), F.col("id").alias(id_col)), ids.select(F.col("row").alias("r2"), F.col("id").alias("earlier_id"))
-    if rows.columns[0] == "row" and not _numbered(rows):
+    if not numbered:
         return spans.select(F.col("row").alias(id_col), "start", "n_words", F.col("src_row").alias("earlier_id"), "earlier_start")
     spans = spans.join(mine, F.col("row") == F.col("r1")).join(theirs, F.col("src_row") == F.col("r2"))
     return spans.select(id_col, "start", "n_words", "earlier_id", "earlier_start")
 
 
-def _numbered(rows: DataFrame) -> bool:
-    """Whether rows have numbers of their own (ids were not unique)."""
-    return rows.filter("row <> id or id is null").limit(1).count() > 0
-
-
 def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row for each row of docs: id, ``n_words``, ``n_removed``, ``kept_sha256``,
     ``kept_text`` (words outside all passages that also stand in an earlier row)."""
-    rows = keyed(docs, id_col, text_col)
+    rows, _ = keyed(docs, id_col, text_col)
     found = repeated(rows, length, GRAM, minimisers(length), across=True)
-    return removal(rows, found.select("row", "pos", "n"), length).withColumnRenamed("id", id_col)
+    return removal(rows, found, length, id_col, keep_text=True)

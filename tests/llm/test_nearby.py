@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm.nearby import bag_minhash, components, near_dedup, near_groups, numbered, shingles, text_key, text_key_column
@@ -74,10 +73,9 @@ def test_classes_match_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_chain_of_components(spark, small):
+def test_chain_of_components(spark):
     rows = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 102), (101, 103), (7, 7), (200, 200)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long"), small).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 104)}, 200: 200}
 
 
@@ -93,3 +91,27 @@ def test_keys_agree(spark):
         assert bytes(r.k) == text_key(r.text)
     s = numbered(shingles("a a a a a a a"))
     assert len(set(s.tolist())) == 3
+
+
+def test_bucket_of_unlike_texts(spark):
+    """Texts that share most of their words, no two alike at 0.8, and a few near copies among them."""
+    rng = random.Random(8)
+    base = words(rng, 200, 10**6).split()
+    texts = []
+    for i in range(20_000):
+        w = list(base)
+        for j in rng.sample(range(len(w)), 8):
+            w[j] = f"own{i}x{j}"
+        texts.append(" ".join(w))
+    twins = [" ".join([*t.split()[:-1], "end"]) for t in texts[:5]]
+    got = near_groups(docs(spark, texts + twins).repartition(8)).filter("class_size > 1").collect()
+    assert {r.doc_id: r.class_id for r in got} == {**{i: i for i in range(5)}, **{20_000 + i: i for i in range(5)}}
+
+
+def test_text_ids_long_texts_and_clashing_columns(spark):
+    long_text = " ".join(f"w{i % 5000}" for i in range(30_000))
+    rows = [("b", long_text, 1, 1), ("a", long_text + " x", 2, 2), (None, "z", 3, 3), (None, "y", 4, 4), (None, "y", 5, 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, class_id int, bucket int")
+    got = sorted(((r.doc_id, r.class_id, r.class_size, r.kept) for r in near_groups(df).collect()), key=str)
+    assert got == sorted([("a", "a", 2, True), ("b", "a", 2, False), (None, None, 1, True), (None, None, 2, True), (None, None, 2, False)], key=str)
+    assert near_dedup(df).columns == df.columns and near_dedup(df).count() == 3
