@@ -10,7 +10,7 @@ have no q-gram; they are looked for as whole words, without edits.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +19,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import batches_of, small_batches, stored
 
 Q = 8
 #: Edits allowed for each character of an item.
 RATE = 0.1
 #: Items are indexed and broadcast in blocks of at most so many characters.
 BLOCK_CHARS = 4_000_000
+#: Postings of a batch's q-grams that are in memory at once.
+MOST_POSTINGS = 4_000_000
 NOT_WORD = re.compile(r"[\W_]+")
 _SLOTS = 22
 #: First and last characters of scripts that put no spaces between words (Thai to Tibetan, Myanmar, Khmer, kana, Han).
@@ -101,6 +103,15 @@ class QGramIndex:
         own, starts = np.unique(flat[order], return_index=True)
         return cls([i for i, _ in rows], [t for _, t in rows], budget, sizes - Q + 1 - budget * Q, own, np.append(starts, len(flat)), item[order], pos[order], short)
 
+    def ranges(self, first: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each q-gram where its postings of the items first..stop-1 are."""
+        if first == 0 and stop >= len(self.items):
+            return self.starts[:-1], self.starts[1:]
+        # postings are sorted by q-gram, then item: as one key
+        gram = np.repeat(np.arange(len(self.codes)), np.diff(self.starts)) * len(self.items) + self.at_item
+        own = np.arange(len(self.codes)) * len(self.items)
+        return np.searchsorted(gram, own + first), np.searchsorted(gram, own + min(stop, len(self.items)))
+
     def table(self) -> np.ndarray:
         t = np.zeros(1 << _SLOTS, bool)
         t[_slot(self.codes)] = True
@@ -194,7 +205,25 @@ def search_long(index: QGramIndex, table: np.ndarray, texts: list[str | None], c
     real = index.codes[at] == codes[hits]
     hits, at = hits[real], at[real]
     n = index.starts[at + 1] - index.starts[at]
-    post = np.repeat(index.starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    if n.sum() > MOST_POSTINGS and len(texts) > 1:
+        # q-grams that many items share: fewer texts at once
+        half = len(texts) // 2
+        cut = int(begin[half])
+        search_long(index, table, texts[:half], chars[:half], joined[:cut], begin[: half + 1], found[:half])
+        search_long(index, table, texts[half:], chars[half:], joined[cut:], begin[half:] - cut, found[half:])
+        return
+    parts = max(1, -(-int(n.sum()) // MOST_POSTINGS))
+    width = -(-len(index.items) // parts)
+    for first in range(0, len(index.items), width):
+        # one text meets so many: fewer items at once (a q-gram's postings are in order of the items)
+        _search_items(index, first, first + width, hits, at, texts, chars, begin, found)
+
+
+def _search_items(index: QGramIndex, first: int, stop: int, hits: np.ndarray, at: np.ndarray, texts: list[str | None], chars: list[np.ndarray], begin: np.ndarray, found: list[dict[int, int]]) -> None:
+    """Adds the items first..stop-1, from the places and numbers of the q-grams hit."""
+    starts, ends = index.ranges(first, stop)
+    starts, n = starts[at], ends[at] - starts[at]
+    post = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     item, diag = index.at_item[post], np.repeat(hits, n) - index.at_pos[post]
     k = index.budget[item]
     step = np.maximum(k, 16)  # a band is step + k wide and starts every step: any k-wide range is inside one
@@ -243,44 +272,59 @@ def _looker(shared: Broadcast):
     return look
 
 
-def finder(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS):
-    """A column function: text -> array of (item_id, edits), over all items
-    that have a letter or digit, whatever their length; a null id stays null.
+def lookers(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[Callable[[Column], Column], bool]]:
+    """Column functions, text -> array of (item_id, edits), and whether they are
+    the last one, which together look for all items that have a letter or digit, whatever their length; a null
+    id stays null.
 
     The benchmark is a query set.  Its characters are summed first; blocks of
-    at most ``block_chars`` are collected, indexed and broadcast one by one,
-    and every block is searched in every text.
+    about ``block_chars`` are collected, indexed and broadcast.  A block's
+    broadcast is destroyed before the next one is made, so what is searched
+    with a function must be stored by then.
     """
     spark = benchmark.sparkSession
-    small_batches(spark, 256)
     items = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
-    made = []
     for b in range(blocks):
         rows = [(r["i"], normal(r["t"])) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).toLocalIterator()]
-        made.append(_looker(spark.sparkContext.broadcast(QGramIndex.build(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))))
-
-    def found(text: Column) -> Column:
-        return F.concat(*[f(text) for f in made]) if len(made) > 1 else made[0](text)
-
-    return found
+        shared = spark.sparkContext.broadcast(QGramIndex.build(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))
+        last = b == blocks - 1
+        yield _looker(shared), last
+        if not last:
+            shared.destroy()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that it contains: id, ``item_id``, ``edits``.
 
     An item is contained if a region of the text is within ``rate`` edits a
     character of it, both normalised (case, and runs of other than letters
     and digits); items of under 8 characters must stand as whole words.
     Null and empty texts or items contain and name nothing; an item with null
-    id has no name to report, though ``decontaminate`` looks for it.  Items that repeat text or id are all reported.  Repeated rows are searched
-    each; an empty table on either side gives no rows.  No shuffle.
+    id has no name to report, though ``decontaminate`` looks for it.  Items
+    that repeat text or id are all reported.  Repeated rows are searched
+    each; texts of any length are searched whole; other columns are not read,
+    whatever their names; an empty table on either side gives no rows.  No
+    shuffle; a benchmark of several blocks takes a pass over the texts each.
     """
-    found = finder(benchmark, rate=rate)(docs[text_col])
-    return docs.select(docs[id_col].alias(id_col), F.explode(found).alias("f")).filter("f.item_id is not null").select(id_col, "f.item_id", "f.edits")
+    out = None
+    for look, _ in lookers(benchmark, rate=rate, block_chars=block_chars):
+        found = docs.select(docs[id_col].alias(id_col), F.explode(look(docs[text_col])).alias("f"))
+        with batches_of(docs.sparkSession, 256):
+            found = stored(found.filter("f.item_id is not null").select(id_col, "f.item_id", "f.edits"), "items")
+        out = found if out is None else out.unionByName(found)
+    return out
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that contain no item, those with null id included;
+    columns as they are, whatever their names.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of docs that contain no item, those with null id included; columns as they are."""
-    return docs.filter(F.size(finder(benchmark, rate=rate)(docs[text_col])) == 0)
+    As in ``contamination``, a null or empty text contains nothing and stays.
+    With several blocks, what one leaves is stored and searched for the next."""
+    small_batches(docs.sparkSession, 256)
+    for look, last in lookers(benchmark, rate=rate, block_chars=block_chars):
+        clean = docs.filter(F.size(look(docs[text_col])) == 0)
+        docs = clean if last else stored(clean, "clean")
+    return docs

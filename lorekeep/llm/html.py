@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import small_batches
+from .base import batches_of, stored
 
 # Element names and attribute words of the HTML standard and of common pages.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -347,6 +347,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows are extracted each; other columns are not read, whatever their
     names; empty table: no rows.
     """
-    small_batches(pages.sparkSession, 512)
     out = pages.select(pages[id_col].alias(id_col), pages[url_col].alias(url_col), main_text_of(pages[html_col]).alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    with batches_of(pages.sparkSession, 512):
+        return stored(out.withColumn("n_chars", F.length("text").cast("long")), "pages")

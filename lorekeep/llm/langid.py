@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import batches_of, small_batches, stored
 
 DIM = 1024
 SEED = 17
@@ -159,13 +159,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Prototypes from labelled rows that are not held out: all of them, or
     where a language has more than ``fit_rows``, about that many picked by a
     hash of the id.  Each text is bundled as a unit vector, so long ones do
-    not outweigh others.  The driver gets vectors of sampled rows' partitions
-    only, a number bounded by languages x fit_rows."""
-    small_batches(docs.sparkSession, 256)
+    not outweigh others.  Sums are made a partition, then a language (two
+    jobs, however many partitions); the driver gets one row a language."""
+    spark = docs.sparkSession
     known = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col])).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(sizes.withColumnRenamed("lang", "l")), F.col("lang") == F.col("l")).filter(draw * F.col("n") < fit_rows).select("lang", "text")
+    sample = known.join(sizes.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).filter(draw * F.col("n") < fit_rows).select("lang", "text")
 
     def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -179,11 +179,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()], "scripts": [list(seen[x]) for x in sums], "letters": [list(seen[x].values()) for x in sums]})
 
+    def summed(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        letters: Counter = Counter()
+        for own, n in zip(parts["scripts"], parts["letters"], strict=True):
+            letters.update(dict(zip(own, n, strict=True)))
+        v = np.sum(np.stack([np.asarray(x) for x in parts.sort_values("part")["v"]]), axis=0)
+        return pd.DataFrame({"lang": [key[0]], "v": [v.tolist()], "scripts": [list(letters)], "letters": [[int(n) for n in letters.values()]]})
+
+    shape = "lang string, v array<double>, scripts array<string>, letters array<long>"
+    made = sample.mapInPandas(profiles, shape).withColumn("part", F.spark_partition_id())
+    with batches_of(spark, 256):
+        made = stored(made, "profiles")
     total: dict[str, np.ndarray] = {}
     seen: dict[str, Counter] = {}
-    for r in sample.mapInPandas(profiles, "lang string, v array<double>, scripts array<string>, letters array<long>").toLocalIterator():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"])
-        seen.setdefault(r["lang"], Counter()).update(dict(zip(r["scripts"], r["letters"], strict=True)))
+    for r in made.groupBy("lang").applyInPandas(summed, shape).collect():
+        total[r["lang"]] = np.array(r["v"])
+        seen[r["lang"]] = Counter(dict(zip(r["scripts"], r["letters"], strict=True)))
     langs = sorted(total)
     rows = np.array([total[x][:DIM] for x in langs], np.float64).reshape(len(langs), DIM)
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -212,7 +223,7 @@ def language_of(model: LanguageModel):
 
 
 def in_learned_language(model: LanguageModel):
-    """A column function: text -> whether it is in one of the model's languages."""
+    """A column function: text -> whether it is in one of the model's languages (``learned``)."""
 
     @F.pandas_udf("boolean")
     def learned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -228,8 +239,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ``und`` with score 0 for texts that are null or have no letters, and for
     all texts if there is nothing to learn from.  Only texts enter a
     prediction.  Whole texts count.  Equal cosines: the first language by
-    name.  Repeated rows are predicted each; empty table: no rows.
+    name.  Repeated rows are predicted each; null ids are not held out; other
+    columns are not read, whatever their names; empty table: no rows.
     """
     model = fit(docs, id_col, text_col, lang_col, fit_rows)
     out = docs.select(docs[id_col].alias(id_col), held_out(docs[id_col]).alias("held_out"), language_of(model)(docs[text_col]).alias("p"))
-    return out.select(id_col, "held_out", "p.lang_pred", "p.score")
+    with batches_of(docs.sparkSession, 256):
+        return stored(out.select(id_col, "held_out", "p.lang_pred", "p.score"), "languages")

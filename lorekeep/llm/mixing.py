@@ -86,8 +86,9 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts have size 0; a null source is a source of its own, the last.
     Documents of size 0 are taken as the stream passes them.  Rows that repeat
-    an id and size are interchangeable.  Empty table: no rows.  The hot source
-    is never in one task (see ``base.running``).
+    an id and size are interchangeable.  Texts count whole.  Empty table: no
+    rows.  The hot source is never in one task (see ``base.running``); the
+    table of sources is.
     """
     extra = [docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)]
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
@@ -115,7 +116,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The training mix: a row of docs for every copy taken, range-sorted by
-    training position.  Columns are those of docs."""
+    training position.  Columns are those of docs, whatever their names."""
     cols, names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     at = {c: n for c, n in zip(cols, names, strict=True)}
@@ -144,16 +145,26 @@ WITH d AS (
 ), g AS (
   SELECT *, (pot - caps) * w > cap * left_w AS is_full FROM f
 ), t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, ordinal,
          CAST(CASE WHEN is_full THEN cap
               ELSE w * (pot - coalesce(CAST(sum(cap) FILTER (WHERE is_full) OVER () AS DOUBLE), 0)) / sum(w) FILTER (WHERE NOT is_full) OVER () END AS DOUBLE) AS target
   FROM g
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.ordinal,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2 AS mid
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       CAST(size * (CAST(mid < target AS INT) + CAST(source_size + mid < target AS INT)) AS BIGINT) AS taken
+       CAST(size * (CAST(mid < target AS INT) + CAST(source_size + mid < target AS INT)) AS BIGINT) AS taken,
+       round(CASE WHEN mid < target THEN CASE ordinal % 3
+         WHEN 0 THEN least(1.0, 2 * (mid / target) / (1.5 + sqrt(greatest(0, 2.25 - 2 * (mid / target)))))
+         WHEN 1 THEN CASE WHEN mid / target < 0.3125 THEN least(0.5, 2 * (mid / target) / (0.5 + sqrt(0.25 + mid / target)))
+                          ELSE least(1.0, 0.5 + 2 * (mid / target - 0.3125) / (0.75 + sqrt(0.5625 + 5 * (mid / target - 0.3125)))) END
+         ELSE mid / target END END, 9) AS position,
+       round(CASE WHEN source_size + mid < target THEN CASE ordinal % 3
+         WHEN 0 THEN least(1.0, 2 * ((source_size + mid) / target) / (1.5 + sqrt(greatest(0, 2.25 - 2 * ((source_size + mid) / target)))))
+         WHEN 1 THEN CASE WHEN (source_size + mid) / target < 0.3125 THEN least(0.5, 2 * ((source_size + mid) / target) / (0.5 + sqrt(0.25 + (source_size + mid) / target)))
+                          ELSE least(1.0, 0.5 + 2 * ((source_size + mid) / target - 0.3125) / (0.75 + sqrt(0.5625 + 5 * ((source_size + mid) / target - 0.3125)))) END
+         ELSE (source_size + mid) / target END END, 9) AS second_position
 FROM r
 """

@@ -29,9 +29,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(_table(spark, sf_dir, "documents"))
+    at = [F.round(F.get("positions", F.lit(i)), 9).alias(n) for i, n in enumerate(("position", "second_position"))]
+    mixed = mixed.select("doc_id", "size", "source_size", "target", "taken", *at)
     # range-sorted by the first training position; documents not taken follow
-    after = 1 + unit(F.md5(F.col("doc_id").cast("string")))
-    return mixed.orderBy(F.coalesce(F.get("positions", F.lit(0)), after)).drop("positions")
+    return mixed.orderBy(F.coalesce("position", 1 + unit(F.md5(F.col("doc_id").cast("string")))))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import joined_back, stored
 
 # The patterns of the base kinds, in the order that ranks kinds
 # at the same start.  Keyword letters are ASCII in either case.
@@ -23,6 +23,9 @@ KINDS = ("assign", "access", "hex", "live")
 #: A value is live-looking if it has at most so many owners and repositories.
 MAX_OWNERS, MAX_REPOS = 1, 2
 
+#: Matches of a text that are summed in one piece.
+PIECE = 64
+
 _FOUND = "array<struct<start:int,end:int,vstart:int,value:string>>"
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
@@ -32,7 +35,9 @@ def matches(text: Column, pattern: str, least: int) -> Column:
     (code points, end exclusive) and group 1, if it has ``least`` characters.
 
     Spark's functions give matched strings, not offsets.  ``split`` gives the
-    text between matches, so offsets are running sums of both lengths.
+    text between matches, so offsets are running sums of both lengths.  They
+    are made in pieces of PIECE matches, so that no array grows match by match
+    over a text that is full of them.
     """
     whole, group = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     both = F.zip_with(whole, group, lambda w, g: F.struct(F.length(w).alias("n"), g.alias("value")))
@@ -45,8 +50,16 @@ def matches(text: Column, pattern: str, least: int) -> Column:
         out = F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
         return F.struct(F.coalesce(end, start).cast("int").alias("at"), out.cast(_FOUND).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_FOUND))
+    length = lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / PIECE).cast("int")), lambda i: F.slice(pieces, i * PIECE + 1, F.lit(PIECE)))
+    ends = F.aggregate(
+        F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + length(x))),
+        F.array(F.lit(0)),
+        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
+    )
+    start = lambda at: F.struct(at.alias("at"), F.array().cast(_FOUND).alias("out"))
+    found = F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(ends) - 1), lambda b, at: F.aggregate(b, start(at), step, lambda acc: acc["out"]))
+    return F.when(text.rlike(pattern), F.flatten(found)).otherwise(F.array().cast(_FOUND))
 
 
 def joined(spans: Column) -> Column:
@@ -68,7 +81,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Value counts are aggregated by (value, owner, repository) before they
     move, so a value in a third of all rows collapses early.  Null text is
     empty; null owner or repository counts as one of its own.  Repeated rows
-    are scanned each.  Empty table: no rows.
+    are scanned each, of whatever length their texts are; ids of any type;
+    other columns are not read, whatever their names.  Empty table: no rows.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     repo = F.concat_ws("\x01", *[F.coalesce(docs[c].cast("string"), F.lit("\x02")) for c in repo_cols])
@@ -91,8 +105,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ), "secrets")
     each = found.filter(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.start", "c.end", "c.hash")
     owned = each.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count(F.lit(1)).alias("repos"))
-    owned = owned.select(F.col("hash").alias("h"), ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
-    judged = each.join(owned, each["hash"] == owned["h"]).groupBy("row").agg(
+    uses = each.groupBy("hash").agg(F.count(F.lit(1)).alias("uses"))
+    owned = owned.join(uses, "hash").select(F.col("hash").alias("h"), "uses", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    owned = stored(owned, "values")
+    total = owned.agg(F.sum("uses")).first()[0] or 0
+    judged = joined_back(each, owned, "hash", "h", "uses", total).groupBy("row").agg(
         F.collect_set(F.when(F.col("live"), F.struct("start", F.lit(3).alias("rank"), "end"))).cast(_SPANS).alias("added"),
         F.sum(F.when(F.col("live"), 0).otherwise(1)).cast("long").alias("n_copied"),
     )

@@ -17,40 +17,40 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import running, stored, unit
+from .base import fresh, running, stored, unit
 
 SHARDS = 24
 #: The matrix has at most so many rows (65,536 x 24 counts are 13 MB).
 MAX_BLOCKS = 65_536
+#: NumPy's hypergeometric draws are for populations under this.
+MOST_NUMPY = 10**9
 
 
-def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """An exact draw at any population (NumPy's own stops at 1e9): by inversion over mode +- 40 deviations."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if n and good else 0
-    low, high = max(0, n - bad), min(good, n)
-    total = good + bad
-    sd = math.sqrt(max(1.0, n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))))
-    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
-    a, b = max(low, mode - int(40 * sd) - 2), min(high, mode + int(40 * sd) + 2)
-    x = np.arange(a, b, dtype=np.float64)
-    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)
-    logp = np.concatenate([[0.0], np.cumsum(steps)])
-    cdf = np.cumsum(np.exp(logp - logp.max()))
-    return a + int(np.searchsorted(cdf, rng.random() * cdf[-1], side="right"))
+def drawn_places(rng: np.random.Generator, places: Sequence[int], n: int) -> np.ndarray:
+    """How many of n rows each shard gets if they take distinct places at
+    random: the hypergeometric law by its definition, at any population.  Places
+    taken twice are drawn again, so time and memory go with n alone."""
+    ends = np.cumsum(places)
+    taken = np.empty(0, np.int64)
+    while len(taken) < n:
+        taken = np.unique(np.concatenate([taken, rng.integers(0, ends[-1], n - len(taken))]))
+    return np.bincount(np.searchsorted(ends, taken, side="right"), minlength=len(ends))
 
 
-def communication_matrix(counts: Sequence[int], places: Sequence[int], seed: int) -> np.ndarray:
+def communication_matrix(counts: Sequence[int], places: Sequence[int], seed: int, most_numpy: int = MOST_NUMPY) -> np.ndarray:
     """Rows to send from each block to each shard: sums are ``counts`` by row, ``places`` by column."""
-    rng, left = np.random.default_rng(seed), list(places)
+    rng, left = np.random.default_rng(seed), np.array(places, dtype=np.int64)
     out = np.zeros((len(counts), len(left)), dtype=np.int64)
     for i, n in enumerate(counts):
-        rest = sum(left)
-        for j, place in enumerate(left):
-            rest -= place
-            out[i, j] = take = n if not rest else hypergeometric(rng, place, rest, n)
-            left[j] -= take
-            n -= take
+        if left.sum() >= most_numpy:
+            out[i] = drawn_places(rng, left, n)
+        else:
+            rest = int(left.sum())
+            for j, place in enumerate(left.tolist()):
+                rest -= place
+                out[i, j] = take = n if not rest else int(rng.hypergeometric(place, rest, n)) if n and place else 0
+                n -= take
+        left -= out[i]
     return out
 
 
@@ -59,17 +59,21 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
 
     Returns the id, ``size`` (UTF-8 bytes of the text plus 8), ``text_crc32``,
     ``shard``, ``slot`` (gapless from 0 in each shard) and the columns in
-    ``keep``.  Shard counts are at most one apart (law ``rows``); equal texts
-    are rows like any others and are spread as the shuffle falls.
+    ``keep``; one of those that has the name of another column returned gets
+    an underscore in front.  Shard counts are at most one apart (law
+    ``rows``); equal texts are rows like any others and are spread as the
+    shuffle falls.
 
     Blocks are cut by a hash of id and text, sqrt(rows) of them, up to
     ``max_blocks``: a rerun of a lost task sees the same block.  Slots come
     from a running count over buckets of a shard, so no task holds a shard.
     Null text: 8 bytes, crc 0.  Null or repeated ids are rows like any other;
-    rows equal in all columns are interchangeable.  Empty table: no rows.
+    rows equal in all columns are interchangeable.  Texts of any length.
+    Empty table: no rows.
 
-    Places are found on slim rows (ids, sizes and hashes); other columns are
-    joined to them at the end, so texts move once.
+    Places are found on slim rows (ids, sizes and hashes), which are made by
+    one pass over the texts and stored; other columns are joined to them at
+    the end, so texts move once.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     id_ = F.coalesce(docs[id_col].cast("string"), F.lit(""))
@@ -84,12 +88,11 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
         F.md5(F.concat_ws(":", F.lit(f"{seed}b"), id_)).alias("key2"),
         *[docs[c].alias(n) for c, n in zip(keep, names, strict=True)],
     )
-    slim = rows.drop(*names)
-    n = docs.count()
-    blocks = max(1, min(max_blocks, math.isqrt(n)))
+    slim = stored(rows.drop(*names), "slim")
+    total = slim.count()
+    blocks = max(1, min(max_blocks, math.isqrt(total)))
     block = F.pmod(F.xxhash64("id", "crc"), F.lit(blocks)).cast("int").alias("block")
     counts = {r[0]: r[1] for r in slim.groupBy(block).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
     places = [total // shards + (j < total % shards) for j in range(shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], places, seed).cumsum(axis=1)
     edges = docs.sparkSession.createDataFrame([(b, m) for b, m in enumerate(matrix.tolist())], "b int, edges array<long>")
@@ -104,4 +107,20 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     # texts move once: one of rows that are equal in all columns, to all their places
     whole = rows.groupBy("idk", "crc", "h").agg(F.first(F.struct(*names)).alias("whole"))
     both = placed.join(whole, ["idk", "crc", "h"])
-    return both.select(*out, *[F.col("whole")[x].alias(c) for x, c in zip(names, keep, strict=True)])
+    taken = [id_col, "size", "text_crc32", "shard", "slot"]
+    kept = []
+    for x, c in zip(names, keep, strict=True):
+        taken.append(fresh(taken, c))
+        kept.append(F.col("whole")[x].alias(taken[-1]))
+    return both.select(*out, *kept)
+
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """All rows of docs with their columns as they are, and ``shard`` and ``slot``
+    (with an underscore in front where docs has such columns).  Otherwise as ``shard_rows``."""
+    cols, names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(cols, names, strict=True))
+    rest = [n for n in names if n != at[id_col]]
+    placed = shard_rows(docs.toDF(*names), id_col=at[id_col], text_col=at[text_col], keep=rest, **params)
+    own = [F.col(c).alias(fresh(cols, c)) for c in ("shard", "slot")]
+    return placed.select(*[F.col(n).alias(c) for c, n in at.items()], *own)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from lorekeep.llm import decontam
 from lorekeep.llm.decontam import QGramIndex, band_distances, contamination, decontaminate, normal, search
 
 from .util import ODD, docs
@@ -82,15 +83,36 @@ def test_contamination_and_clean_documents(spark):
 
 
 def test_blocks_find_the_same(spark):
-    from lorekeep.llm.decontam import finder
-
     rng = random.Random(9)
     items = [prose(rng, 20) for _ in range(8)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    df = docs(spark, [items[2], items[5] + " " + items[6], "x"])
-    one, many = finder(bench), finder(bench, block_chars=200)
-    for r in df.select(one(df["text"]).alias("a"), many(df["text"]).alias("b")).collect():
-        assert sorted(r.a) == sorted(r.b)
+    df = docs(spark, [items[2], items[5] + " " + items[6], "x", None])
+    one, many = (sorted(map(tuple, contamination(df, bench, block_chars=n).collect())) for n in (10**6, 200))
+    assert one == many == [(0, 2, 0), (1, 5, 0), (1, 6, 0)]
+    assert [r.doc_id for r in decontaminate(df, bench, block_chars=200).collect()] == [2, 3]
+
+
+def test_few_postings_at_once_find_the_same(monkeypatch):
+    """Items that share most of their q-grams, in texts full of them."""
+    rng = random.Random(12)
+    base = prose(rng, 15)
+    items = [edited(rng, base, 3) for _ in range(12)]
+    texts = [" ".join([base, *rng.sample(items, 3), prose(rng, 5)]) for _ in range(6)] + ["", None]
+    index = QGramIndex.build([(i, normal(t)) for i, t in enumerate(items)])
+    want = search(index, index.table(), texts)
+    for most in (50, 2000):
+        monkeypatch.setattr(decontam, "MOST_POSTINGS", most)
+        assert search(index, index.table(), texts) == want
+
+
+def test_long_text_and_clashing_columns(spark):
+    rng = random.Random(13)
+    item = prose(rng, 20)
+    long_text = " ".join([prose(rng, 20_000), item, prose(rng, 20_000)])
+    df = spark.createDataFrame([(1, long_text, 5, "f"), (2, None, 6, "g")], "doc_id long, text string, item_id int, f string")
+    bench = spark.createDataFrame([(7, item, "x")], "item_id long, text string, doc_id string")
+    assert [tuple(r) for r in contamination(df, bench).collect()] == [(1, 7, 0)]
+    assert decontaminate(df, bench).columns == df.columns and decontaminate(df, bench).count() == 1
 
 
 def test_short_items_match_brute_force():

@@ -74,3 +74,11 @@ def test_learned_languages_by_script_and_size(spark):
     assert not any(model.learned([*other, None, "", "12 !"]))
     none = langid.fit(docs(spark, clean, langs=[None] * len(clean)))
     assert none.learned(["abc", None, "12", other[0]]) == [True, False, False, True]
+
+
+def test_clashing_columns_and_long_text(spark):
+    rng = random.Random(14)
+    df = docs(spark, [text(rng, "xx", 20_000), text(rng, "yy", 9), None], langs=["xx", "yy", "xx"], ids=[1, 1, None])
+    df = df.selectExpr("doc_id", "text", "lang", "lang AS lang_pred", "1 AS score", "2 AS p")
+    got = sorted((r.lang_pred, r.held_out) for r in langid.identify(df).collect())
+    assert got == [("und", False), ("xx", False), ("yy", False)]

@@ -20,6 +20,9 @@ def test_matches_sql_and_bounds(spark):
     want = duckdb.sql(MIXING_SQL).df().sort_values("doc_id").reset_index(drop=True)
     for c in ("size", "source_size", "target", "taken"):
         assert got[c].tolist() == want[c].tolist(), c
+    for i, c in enumerate(("position", "second_position")):
+        mine = [round(p[i], 9) if len(p) > i else None for p in got["positions"]]
+        assert mine == [None if x != x else x for x in want[c]], c
     assert (got["taken"] <= 2 * got["size"]).all()
     by = got.assign(source=sources).groupby("source", dropna=False).agg(t=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
     assert ((by["taken"] - by["t"]).abs() <= by["most"] / 2 + 1e-9).all()

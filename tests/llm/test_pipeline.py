@@ -35,3 +35,19 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(got["doc_id"]) == sorted(mixed)
     n = got.groupby("shard").size()
     assert n.max() - n.min() <= 1 and got.columns.tolist() == [*df.columns, "shard", "slot"]
+
+
+def test_clashing_columns_repeats_and_empty(spark, tmp_path):
+    rng = random.Random(15)
+    texts = [text(rng, x, 40) for x in ("xx", "yy", "zz") * 8]
+    df = docs(spark, [*texts, texts[0], None, ""], ids=[*range(24), 0, None, None], langs=["xx", "yy", "zz"] * 8 + ["xx"] * 3)
+    df = df.selectExpr("*", "1 AS size", "2 AS slot", "3 AS shard", "'k' AS `key`", "4 AS position", "5 AS rep", "6 AS h", "7 AS label")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for name, part in (("some", df), ("none", df.limit(0))):
+        part.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    assert got.columns == [*df.columns, "_shard", "_slot"]
+    rows = got.collect()
+    assert {r.doc_id for r in rows} <= set(range(24)) and all((r.size, r.slot, r.shard) == (1, 2, 3) for r in rows)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -74,4 +74,22 @@ def test_repeated_ids_nulls_and_empty(spark):
     got = sorted((r.doc_id is None, r.n_words, r.n_removed) for r in repeated_words(df).collect())
     assert got == [(False, 25, 0), (False, 25, 25), (True, 0, 0), (True, 25, 25)]
     assert repeated_words(df.limit(0)).count() == 0 and repeated_passages(df.limit(0)).count() == 0
-    assert repeated_passages(docs(spark, [t * 3, t * 3], ids=[1, 1])).count() >= 0
+    long = " ".join(f"w{i}" for i in range(60))
+    assert [tuple(r) for r in repeated_passages(docs(spark, [long, long], ids=[1, 1])).collect()] == [(1, 0, 60, 1, 0)]
+
+
+def test_passages_are_complete(spark):
+    """Every word that brute force finds in a window with an earlier place is in a passage, and no other."""
+    texts = corpus(3)
+    want = brute(list(enumerate(texts)), 50, True)
+    covered = {}
+    for r in repeated_passages(docs(spark, texts).repartition(5)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert {i: n for i, (_, n, _) in want.items() if n} == {i: len(x) for i, x in covered.items()}
+
+
+def test_text_ids_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    df = spark.createDataFrame([("b", long, 1, 2), ("a", "x " + long, 1, 2), ("c", None, 3, 4)], "doc_id string, text string, row int, start int")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in repeated_words(df).collect()) == [("a", 40_001, 0), ("b", 40_000, 40_000), ("c", 0, 0)]
+    assert [tuple(r) for r in repeated_passages(df).collect()] == [("b", 0, 40_000, "a", 1)]

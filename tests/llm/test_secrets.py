@@ -57,3 +57,12 @@ def test_nulls_and_empty(spark):
     df = docs(spark, ["password=abcdefgh1", None], ids=[None, None], sources=[None, None], langs=[None, None])
     assert sorted(r.n_assign for r in scan_secrets(df).collect()) == [0, 1]
     assert scan_secrets(df.limit(0)).count() == 0
+
+
+def test_text_full_of_matches_and_clashing_columns(spark):
+    text = " é ".join(f"token=abcdefgh{i % 7} deadbeef" for i in range(1000))
+    df = spark.createDataFrame([("x", text, "en", "s", 1)], "doc_id string, text string, lang string, source string, spans int")
+    r = scan_secrets(df).collect()[0]
+    a, k, x, base = brute(text)
+    assert (r.n_assign, r.n_access, r.n_hex) == (a, k, x) == (1000, 0, 0)
+    assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()

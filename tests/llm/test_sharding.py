@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from lorekeep.llm.sharding import communication_matrix, hypergeometric, shard_rows
+from lorekeep.llm.sharding import communication_matrix, shard_rows, sharded
 
 from .util import ODD, docs
 
@@ -15,9 +15,14 @@ def test_matrix_sums():
 
 
 def test_large_populations_have_the_law():
-    rng = np.random.default_rng(2)
-    x = [hypergeometric(rng, 10**9, 3 * 10**9, 1000) for _ in range(2000)]
-    assert abs(np.mean(x) - 250) < 1.5 and abs(np.var(x) - 187.5) < 20
+    """Both ways to draw have the hypergeometric law, and the one for large populations works there."""
+    for most in (10**9, 0):
+        x = [communication_matrix([60], [30, 40, 130], seed, most)[0] for seed in range(3000)]
+        assert np.abs(np.mean(x, axis=0) - np.array([9, 12, 39])).max() < 0.25
+        want = 60 * (200 - 60) / 199 * np.array([0.15 * 0.85, 0.2 * 0.8, 0.65 * 0.35])
+        assert np.abs(np.var(x, axis=0) / want - 1).max() < 0.12
+    m = communication_matrix([1000, 2000], [10**9, 3 * 10**9, 1], 3)
+    assert m.sum(axis=1).tolist() == [1000, 2000] and abs(m[:, 0].sum() - 750) < 150
 
 
 def test_uniform():
@@ -33,7 +38,7 @@ def test_shards_are_exact_and_gapless(spark):
     texts = (ODD * 40)[:391]
     df = docs(spark, texts).withColumnRenamed("n_chars", "shard")
     got = shard_rows(df, keep=["shard", "lang"]).toPandas()
-    assert got.columns.tolist() == ["doc_id", "size", "text_crc32", "shard", "slot", "shard", "lang"]
+    assert got.columns.tolist() == ["doc_id", "size", "text_crc32", "shard", "slot", "_shard", "lang"]
     got = shard_rows(docs(spark, texts)).toPandas()
     assert sorted(got["doc_id"]) == list(range(391))
     sizes = got.groupby("shard")["slot"].agg(list)
@@ -51,3 +56,10 @@ def test_repeated_null_and_empty(spark):
     got = shard_rows(df, shards=4).toPandas()
     assert got.groupby("shard").size().tolist() == [15, 15, 15, 14]
     assert shard_rows(df.limit(0)).count() == 0
+
+
+def test_columns_that_clash(spark):
+    df = docs(spark, ["a b", "c", None]).selectExpr("doc_id", "text", "1 AS size", "2 AS slot", "3 AS shard", "4 AS c1", "source AS whole")
+    got = sharded(df, shards=2)
+    assert got.columns == [*df.columns, "_shard", "_slot"]
+    assert sorted((r.doc_id, r.text, r.size, r.slot, r.shard, r.c1) for r in got.collect()) == [(0, "a b", 1, 2, 3, 4), (1, "c", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)]
