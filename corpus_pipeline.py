@@ -1,7 +1,10 @@
 """A training corpus from ``documents``: five stages, each by one operator.
 
 Each stage gets what its predecessor kept, written as Parquet and read again.
-All but the last return the columns of documents.
+All but the last return the columns of documents, and further ones, whatever
+their names, pass through.  Null ids are ids like any other, repeated rows are
+copies, texts of any length are read whole, and an empty table gives no rows;
+each stage says what it does with null and empty texts, and with ties.
 """
 
 from __future__ import annotations
@@ -13,34 +16,36 @@ from lorekeep.llm.decontam import decontaminate
 from lorekeep.llm.langid import fit, in_learned_language
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.nearby import near_dedup
-from lorekeep.llm.sharding import shard_rows
+from lorekeep.llm.sharding import sharded
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language: null, without letters, or not like a text of its size in one of them.
-    If no row is labelled, every text with letters stays."""
+    """Drops documents in no known language: null, empty, without letters, or not like a text of its size in one of
+    them.  If no row is labelled, every text with letters stays."""
     return docs.filter(in_learned_language(fit(docs))(docs["text"]))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one of least id, of each class of near copies."""
+    """Keeps one document, the one of least id, of each class of near copies; of
+    rows that repeat id and text, one; of texts without words, one."""
     return near_dedup(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item; null and empty texts contain none."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often (0 to 2 times) as its source's target asks, in training order."""
+    """Takes each document as often (0 to 2 times) as its source's target asks, in
+    training order (ties by id); a null source is one of its own, a text without words weighs nothing."""
     return mix(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shuffles all rows into 24 shards; documents' columns, ``shard`` and ``slot``."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return shard_rows(docs, keep=rest).select("doc_id", *rest, "shard", "slot")
+    """Shuffles all rows into 24 shards; documents' columns, ``shard`` and ``slot``
+    (``_shard`` and ``_slot`` where documents have such columns).  A null text is a row like any other."""
+    return sharded(docs)
 
 
 STAGES = [
