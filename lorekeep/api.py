@@ -1,7 +1,7 @@
 """The read and write surface as a Python object over tables.
 
 Each method takes a batch (a DataFrame of requests) and returns a DataFrame;
-nothing is executed until the caller acts on it.
+nothing but the optional legs of a search is executed until the caller acts on it.
 """
 
 from __future__ import annotations
@@ -15,10 +15,21 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import compress, dense, episodes, fusion, graph, lexical, lifecycle, profiles, readiness, writing
+from .scratch import stored
 
 log = logging.getLogger(__name__)
 
 
+def leg(name: str, make: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """What an optional leg finds, stored; nothing if it is absent or fails."""
+    try:
+        made = make()
+        return None if made is None else stored(made, name)
+    except Exception as e:  # noqa: BLE001  a leg may be down; the others answer
+        log.warning("%s leg left out: %s", name, e)
+        return None
+
+
 @dataclass(frozen=True)
 class SearchOptions:
     """What a search may ask for; the defaults are the serving defaults."""
@@ -75,11 +86,19 @@ class Memory:
         aliases = self.aliases if self.aliases is not None else self.entities.limit(0).select(F.col("entity_key").alias("alias_key"), "entity_key")
         return graph.expand(graph.resolve(names, self.entities, aliases), self.claims.filter(F.col("status").isin("explicit", "verified")))
 
+    def _profile_boosts(self, queries: DataFrame) -> DataFrame | None:
+        if self.profiles is None or self.facts is None:
+            return None
+        q = queries.select("query_id", T.entity_key(F.col("text")).alias("query_key"), F.transform(T.query_entities(F.col("text")), lambda x: T.entity_key(x)).alias("entity_keys"))
+        return profiles.profile_boosts(q, self.profiles, self.facts, self.documents)
+
     def search(self, queries: DataFrame, as_of: Column, options: SearchOptions = SearchOptions()) -> DataFrame:
         """RET-1 to RET-17.  queries: query_id, text and, for the dense leg, vec.
 
-        RET-15: without vectors, claims or profiles (or if building a leg
-        fails) the others answer; a failing lexical leg is an error."""
+        RET-15: without vectors, claims or profiles the others answer.  So they
+        do if one of these legs fails, when it is planned or when it runs: what
+        a leg finds (k rows a query) is stored before the rest is planned.  A
+        failing lexical leg is an error."""
         chunks = lexical.filtered(self.chunks, options.memory_types, options.chosen_projects(), options.source_agents, options.tags)
         if self.allowed_agents:  # AX-1
             chunks = chunks.filter(F.lower("source_agent").isin([a.lower() for a in self.allowed_agents]))
@@ -90,25 +109,26 @@ class Memory:
         matches = lexical.lexical_matches(queries, lexical.index(chunks, queries=queries))
         lists = lexical.top_k(matches, ["query_id"], lexical.lexical_order(), k).select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
         if self.vectors is not None and "vec" in queries.columns:
-            try:
+            def semantic() -> DataFrame:
                 vectors = self.vectors.join(chunks.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
                 found = dense.dense_search(queries.select("query_id", "vec"), vectors, k)
-                lists = lists.unionByName(found.select("query_id", F.lit("semantic").alias("source"), F.col("vec_id").alias("chunk_id"), "pos", "score"))
-            except Exception as e:  # noqa: BLE001  a leg may be down; the others answer
-                log.warning("dense leg left out: %s", e)
+                return found.select("query_id", F.lit("semantic").alias("source"), F.col("vec_id").alias("chunk_id"), "pos", "score")
+
+            found = leg("dense", semantic)
+            lists = lists if found is None else lists.unionByName(found)
         fused = fusion.fuse(lists).join(chunks, "chunk_id")
         scored = fusion.base_scores(fusion.visible_only(fused, seen))
-        expansion = self._expansion(queries)
+        expansion = leg("graph", lambda: self._expansion(queries))
         if expansion is None:
             scored = scored.withColumn("graph_boost", F.lit(None).cast("double"))
         else:
             keys = scored.select("query_id", "chunk_id", F.explode("entity_keys").alias("entity_key"))
             scored = scored.join(fusion.graph_boosts(keys, expansion), ["query_id", "chunk_id"], "left")
-        if self.profiles is None or self.facts is None:
+        boosts = leg("profile", lambda: self._profile_boosts(queries))
+        if boosts is None:
             scored = scored.withColumn("profile_boost", F.lit(None).cast("double"))
         else:
-            q = queries.select("query_id", T.entity_key(F.col("text")).alias("query_key"), F.transform(T.query_entities(F.col("text")), lambda x: T.entity_key(x)).alias("entity_keys"))
-            scored = scored.join(profiles.profile_boosts(q, self.profiles, self.facts, self.documents), ["query_id", "memory_id"], "left")
+            scored = scored.join(boosts, ["query_id", "memory_id"], "left")
         combined = fusion.combine(scored, as_of).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
         if self.reranker:
             combined = combined.withColumn("rerank", self.reranker(F.col("query"), F.col("text")))

@@ -1,4 +1,4 @@
-"""ID-1 to ID-14: trait evidence, stability, contradictions, weights, versions, injection.
+"""ID-1 to ID-14: trait evidence, stability, contradictions, weights, versions, injection, incremental update.
 
 Traits, evidence and versions are DataFrames keyed by entity; an order-dependent
 fold is an ``aggregate`` over an entity's sorted evidence.
@@ -18,10 +18,14 @@ FLOOR, DORMANT, PENALTY = 0.2, 0.15, 0.15
 
 
 def evidence(memories: DataFrame, domains: Mapping[str, Sequence[str]] = vocab.DOMAIN_WORDS, traits: Mapping[str, Sequence[str]] = vocab.TRAIT_WORDS) -> DataFrame:
-    """ID-1: (entity_id, memory_id, trait_id, domain_id, strength, matched, detected_at) of memories (entity_id, memory_id, text, detected_at).
+    """ID-1: (entity_id, memory_id, trait_id, domain_id, strength, matched, detected_at) of memories (entity_id, memory_id, text, detected_at;
+    summary, tags and event_type are searched too where there are such columns).
 
     The word lists are literals of the plan: one pass over the memories, no join."""
-    low = F.lower("text")
+    there = {c: F.col(c) for c in ("summary", "text", "event_type") if c in memories.columns}
+    tags = F.array_join("tags", " ") if "tags" in memories.columns else F.lit(None).cast("string")
+    parts = [there.get("summary"), there["text"], tags, there.get("event_type")]
+    low = F.lower(F.concat_ws(" ", *[c for c in parts if c is not None]))
 
     def found(name: str, words: Sequence[str], domain: str | None, factor: float) -> Column:
         n = T.contains_count(low, words)
@@ -209,11 +213,90 @@ def rollback(versions: DataFrame, number: int) -> DataFrame:
     return versions.filter(F.col("version_number") == number)
 
 
-def injection(all_: DataFrame, weighted: DataFrame, k: int = 5) -> DataFrame:
-    """ID-12: a text block an entity: its top traits with confidence, and planning priorities."""
-    line = F.format_string("- %s (%.2f)", F.initcap(F.replace(F.col("trait_id"), F.lit("_"), F.lit(" "))), F.col("confidence"))
-    top = top_traits(all_, k).groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))).alias("t"))
-    plan = weighted.filter("planning > 0.3").groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("planning")).alias("w"), "trait_id"))).alias("p"))
-    both = top.join(plan, "entity_id", "left")
-    names = F.array_join(F.transform("p", lambda x: x["trait_id"]), ", ")
-    return both.select("entity_id", F.concat(F.lit("Traits:\n"), F.array_join(F.transform("t", lambda x: x["l"]), "\n"), F.coalesce(F.concat(F.lit("\nPriorities: "), names), F.lit(""))).alias("block"))
+def label(trait: Column) -> Column:
+    return F.initcap(F.replace(trait, F.lit("_"), F.lit(" ")))
+
+
+def injection(all_: DataFrame, weighted: DataFrame, profiles: DataFrame, least: float = 0.3) -> DataFrame:
+    """ID-12: what an agent is told of an entity: (entity_id, version, global_confidence, core_identity,
+    preferred_style, length_preference, default_pattern, primary_drivers, planning_priorities,
+    emotional_context, active_states, text).
+
+    profiles: entity_id, version, global_confidence; under 0.1 nothing is told.
+    Equal confidences go by the trait's id.  Each part is one aggregate over an
+    entity's traits; traits are bounded, so arrays are small."""
+    sure = F.col("confidence") >= least
+    c, t, d = F.col("confidence"), F.col("trait_id"), F.col("domain_id")
+    style = F.when(t.contains("concise") | t.contains("brief"), "concise").when(t.contains("detailed") | t.contains("thorough"), "detailed").when(t.contains("technical"), "technical")
+    by = lambda keep, *what: F.sort_array(F.collect_list(F.when(keep, F.struct((-c).alias("c"), t.alias("t"), *what))))
+    names = lambda a, f="t": F.transform(a, lambda x: x[f])
+    told = all_.groupBy("entity_id").agg(
+        by(sure & (d == "communication_style") & style.isNotNull(), style.alias("s")).alias("styles"), F.max(F.coalesce(sure & (d == "communication_style"), F.lit(False))).alias("speaks"),
+        by(sure & (d == "decision_patterns") & t.contains("risk")).alias("risks"), F.max(F.coalesce(sure & (d == "decision_patterns"), F.lit(False))).alias("decides"),
+        by(sure & d.isin("motivations", "long_term_drives")).alias("drivers"),
+        F.sort_array(F.collect_set(F.when(F.col("category").isin("temporary", "adaptive"), t))).alias("active_states"),
+    )
+    top = top_traits(all_, 5, least).groupBy("entity_id").agg(names(F.sort_array(F.collect_list(F.struct("pos", t.alias("t"))))).alias("core"))
+    plan = F.sort_array(F.collect_list(F.when(F.col("planning") > 0.3, F.struct((-F.col("planning")).alias("w"), t.alias("t")))))
+    feel = F.sort_array(F.collect_list(F.when(F.col("emotional") > 0.1, F.struct(t.alias("t"), F.col("emotional").alias("w")))))
+    weigh = weighted.groupBy("entity_id").agg(names(plan).alias("plan"), F.map_from_entries(feel).alias("feel"))
+    known = F.col("global_confidence") >= 0.1
+    j = profiles.join(told, "entity_id", "left").join(top, "entity_id", "left").join(weigh, "entity_id", "left")
+    preferred = F.coalesce(F.get("styles", F.lit(0))["s"], F.lit("balanced"))
+    none = F.array().cast("array<string>")
+    out = j.select(
+        "entity_id", "version", F.when(known, F.col("global_confidence")).otherwise(0.0).alias("global_confidence"),
+        F.when(known, F.coalesce("core", none)).otherwise(none).alias("core_identity"),
+        F.when(known & F.col("speaks"), preferred).alias("preferred_style"),
+        F.when(known & F.col("speaks"), F.when(preferred == "concise", "concise").otherwise("detailed")).alias("length_preference"),
+        F.when(known & F.col("decides"), F.coalesce(F.get("risks", F.lit(0))["t"], F.lit("balanced"))).alias("default_pattern"),
+        F.when(known, F.transform(F.slice(names(F.coalesce("drivers", F.array())), 1, 3), label)).otherwise(none).alias("primary_drivers"),
+        F.when(known, F.coalesce("plan", none)).otherwise(none).alias("planning_priorities"),
+        F.when(known, F.col("feel")).alias("emotional_context"), F.when(known, F.coalesce("active_states", none)).otherwise(none).alias("active_states"),
+    )
+    line = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"  {name}: "), value))
+    first = lambda col, n: F.array_join(F.slice(col, 1, n), ", ")
+    text = F.concat_ws(
+        "\n",
+        F.format_string("[identity_injection entity=%s v%d]", F.col("entity_id").cast("string"), "version"),
+        line("Core identity", first(F.transform("core_identity", label), 3)),
+        line("Communication", F.col("preferred_style")), line("Length", F.col("length_preference")),
+        line("Decision style", F.col("default_pattern")), line("Drivers", first("primary_drivers", 2)),
+        line("Planning focus", first("planning_priorities", 2)), F.lit("[/identity_injection]"),
+    )
+    return out.withColumn("text", text)
+
+
+def updated(traits_: DataFrame, known: DataFrame, memories: DataFrame, least: float = 0.7, **words) -> tuple[DataFrame, DataFrame]:
+    """ID-13: traits after new memories, and all evidence with theirs.
+
+    traits_: as ``traits`` makes them; known: the evidence they rest on.  Each
+    new evidence of a trait (not of a domain) reinforces the trait where the
+    entity has it: count, span and stability are made again from all its
+    evidence, the confidence stays.  A trait that it has not is added only for a
+    strength of ``least`` in a memory that shows two things at least, with half
+    its confidence."""
+    new = evidence(memories, **words)
+    shows = F.count(F.lit(1)).over(Window.partitionBy("entity_id", "memory_id"))
+    new = new.withColumn("shows", shows).filter(~F.col("trait_id").startswith("domain_"))
+    have = traits_.select("entity_id", "trait_id")
+    old = new.join(have, ["entity_id", "trait_id"], "left_semi")
+    strong = new.filter((F.col("strength") >= least) & (F.col("shows") >= 2)).join(have, ["entity_id", "trait_id"], "left_anti")
+    first = strong.groupBy("entity_id", "trait_id").agg(F.min_by("strength", F.struct("detected_at", "memory_id")).alias("s"), F.min("domain_id").alias("domain_id"))
+    added = first.select("entity_id", "trait_id", "domain_id", (F.col("s") * 0.5).alias("confidence"))
+    every = known.unionByName(old.unionByName(strong).select(*known.columns))
+    span = (F.unix_micros(F.max("detected_at").cast("timestamp")) - F.unix_micros(F.min("detected_at").cast("timestamp"))) / 86_400_000_000.0
+    seen = every.groupBy("entity_id", "trait_id").agg(F.count(F.lit(1)).alias("evidence_count"), span.alias("span_days"), F.max("detected_at").alias("last_reinforced"))
+    all_ = traits_.select("entity_id", "trait_id", "domain_id", "confidence").unionByName(added).withColumn("category", category(F.col("trait_id")))
+    made = all_.join(seen, ["entity_id", "trait_id"])
+    return made.withColumn("stability", stability(F.col("evidence_count"), F.col("span_days"), F.col("category"))), every
+
+
+def next_version(traits_: DataFrame, versions: DataFrame | None, keep: int = 50) -> DataFrame:
+    """ID-14: an entity's traits as its next version, beside those kept (entity_id, version_number, trait_id, confidence)."""
+    cols = ["entity_id", "version_number", "trait_id", "confidence"]
+    if versions is None:
+        return traits_.withColumn("version_number", F.lit(1)).select(*cols)
+    last = versions.groupBy("entity_id").agg(F.max("version_number").alias("last"))
+    new = traits_.join(last, "entity_id", "left").withColumn("version_number", F.coalesce("last", F.lit(0)) + 1)
+    return snapshots(versions.select(*cols).unionByName(new.select(*cols)), keep)

@@ -163,17 +163,74 @@ def id_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.snapshots(versions_of(Tables(spark, sf_dir)), 2).select("entity_id", "version_number", "trait_id")
 
 
-@query()
+@query(f"""WITH {DRIFT}, i AS (SELECT entity_id, trait_id, CASE change WHEN 'added' THEN 'new:' || trait_id WHEN 'removed' THEN 'removed:' || trait_id ELSE trait_id || CASE WHEN confidence_delta > 0 THEN ':up:' ELSE ':down:' END || printf('%.2f', abs(confidence_delta)) END AS i,
+  row_number() OVER (PARTITION BY entity_id ORDER BY trait_id) AS p FROM dr WHERE change IS NOT NULL)
+SELECT entity_id, string_agg(i, '; ' ORDER BY p) AS summary FROM i WHERE p <= 5 GROUP BY 1""")
 def id_change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-11."""
     return I.change_summary(I.drift(versions_of(Tables(spark, sf_dir))))
 
 
-@query()
+#: Other names and domains for the traits above, so that every part of an injection is told to someone.
+TOLD = FOUND.replace("ELSE 'autonomous' END", "ELSE 'concise_communicator' END").replace(
+    "CASE WHEN event_type IN ('error', 'click') THEN 'emotional_patterns' ELSE 'core_traits' END",
+    "CASE event_type WHEN 'error' THEN 'motivations' WHEN 'click' THEN 'long_term_drives' WHEN 'view' THEN 'decision_patterns' WHEN 'signup' THEN 'decision_patterns' ELSE 'communication_style' END",
+).replace("WHEN trait_id = 'autonomous' THEN 'core' ", "")
+
+
+def told_of(t: Tables) -> DataFrame:
+    trait = F.when(F.col("trait_id") == "autonomous", "concise_communicator").otherwise(F.col("trait_id"))
+    domain = F.when(F.col("trait_id") == "frustration_trigger", "motivations").when(F.col("trait_id") == "excitement_trigger", "long_term_drives").when(F.col("trait_id").startswith("risk"), "decision_patterns").otherwise("communication_style")
+    found = found_of(t).select("entity_id", "memory_id", trait.alias("trait_id"), domain.alias("domain_id"), "strength", "detected_at")
+    return I.traits(found).withColumn("confidence", F.col("initial"))
+
+
+_LABEL = "array_to_string(list_transform(string_split({0}, '_'), lambda x: upper(x[1]) || x[2:]), ' ')"
+
+
+@query(f"""WITH {TOLD}, gc AS (SELECT entity_id, round(avg(confidence), 4) AS g FROM st WHERE confidence >= 0.2 GROUP BY 1),
+p AS (SELECT entity_id, max(coalesce(g, 0)) AS g FROM (SELECT DISTINCT entity_id FROM st) LEFT JOIN gc USING (entity_id) GROUP BY 1),
+w AS (SELECT entity_id, trait_id, round(round(greatest(0, least(1, CASE category WHEN 'temporary' THEN 0.15 ELSE 0.4 END::DOUBLE * CASE domain_id WHEN 'motivations' THEN 1.1 WHEN 'long_term_drives' THEN 1.1 WHEN 'decision_patterns' THEN 0.85 ELSE 0.8 END::DOUBLE * (0.5 * stability + 0.5 * confidence))) * 0.85, 4), 4) AS planning FROM st WHERE confidence >= 0.1),
+top AS (SELECT entity_id, string_agg({_LABEL.format('trait_id')}, ', ' ORDER BY stability DESC, confidence DESC, trait_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY stability DESC, confidence DESC, trait_id) AS rn FROM st WHERE confidence >= 0.3) WHERE rn <= 3 GROUP BY 1),
+sp AS (SELECT entity_id FROM st WHERE domain_id = 'communication_style' AND confidence >= 0.3),
+de AS (SELECT entity_id, arg_min(trait_id, (-confidence, trait_id)) AS v FROM st WHERE domain_id = 'decision_patterns' AND confidence >= 0.3 GROUP BY 1),
+dv AS (SELECT entity_id, string_agg({_LABEL.format('trait_id')}, ', ' ORDER BY confidence DESC, trait_id) AS v FROM st WHERE domain_id IN ('motivations', 'long_term_drives') AND confidence >= 0.3 GROUP BY 1),
+pl AS (SELECT entity_id, string_agg(trait_id, ', ' ORDER BY planning DESC, trait_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY planning DESC, trait_id) AS n FROM w WHERE planning > 0.3) WHERE n <= 2 GROUP BY 1)
+SELECT p.entity_id, concat_ws(chr(10), '[identity_injection entity=' || p.entity_id || ' v1]', CASE WHEN g >= 0.1 THEN '  Core identity: ' || top.v END,
+  CASE WHEN g >= 0.1 AND sp.entity_id IS NOT NULL THEN '  Communication: concise' || chr(10) || '  Length: concise' END, CASE WHEN g >= 0.1 THEN '  Decision style: ' || de.v END,
+  CASE WHEN g >= 0.1 THEN '  Drivers: ' || dv.v END, CASE WHEN g >= 0.1 THEN '  Planning focus: ' || pl.v END, '[/identity_injection]') AS text
+FROM p LEFT JOIN top USING (entity_id) LEFT JOIN sp USING (entity_id) LEFT JOIN de USING (entity_id) LEFT JOIN dv USING (entity_id) LEFT JOIN pl USING (entity_id)""")
 def id_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-12."""
-    t = traits_of(Tables(spark, sf_dir))
-    return I.injection(t, I.weights(t))
+    t = told_of(Tables(spark, sf_dir))
+    who = t.select("entity_id").distinct().join(I.global_confidence(t), "entity_id", "left").fillna(0.0, ["global_confidence"]).withColumn("version", F.lit(1))
+    return I.injection(t, I.weights(t), who).select("entity_id", "text")
+
+
+@query(f"""WITH {EVIDENCE.replace('FROM conversations', "FROM (SELECT conv_id, turn, text || ' ' || role || ' talk' AS text FROM conversations)")},
+o AS (SELECT * FROM ev WHERE turn < 3), n AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS shows FROM ev WHERE turn >= 3),
+t AS (SELECT conv_id, trait_id, round(avg(strength), 4) AS c FROM o GROUP BY 1, 2 HAVING count(*) >= 2),
+m AS (SELECT n.* FROM n WHERE NOT starts_with(trait_id, 'domain_')),
+ol AS (SELECT m.* FROM m SEMI JOIN t USING (conv_id, trait_id)), st AS (SELECT m.* FROM m ANTI JOIN t USING (conv_id, trait_id) WHERE strength >= 0.7 AND shows >= 2),
+al AS (SELECT conv_id, trait_id, c FROM t UNION ALL SELECT conv_id, trait_id, arg_min(strength, turn) * 0.5 FROM st GROUP BY 1, 2),
+ct AS (SELECT conv_id, trait_id, count(*) AS n FROM (SELECT conv_id, trait_id FROM o UNION ALL SELECT conv_id, trait_id FROM ol UNION ALL SELECT conv_id, trait_id FROM st) GROUP BY 1, 2)
+SELECT conv_id AS entity_id, trait_id, round(c, 4) AS confidence, n AS evidence_count FROM al JOIN ct USING (conv_id, trait_id)""")
+def id_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ID-13, ID-1 with tags and event type: later turns of a conversation are new memories."""
+    c = Tables(spark, sf_dir).conversations.select(F.col("conv_id").alias("entity_id"), F.col("turn").alias("memory_id"), "text", F.array("role").alias("tags"), F.lit("talk").alias("event_type"), F.timestamp_seconds(F.col("turn")).alias("detected_at"))
+    known = I.evidence(c.filter("memory_id < 3"), DOMAINS, TRAITS)
+    have = I.traits(known).withColumn("confidence", F.col("initial"))
+    made, _ = I.updated(have, known, c.filter("memory_id >= 3"), domains=DOMAINS, traits=TRAITS)
+    return made.select("entity_id", "trait_id", F.round("confidence", 4).alias("confidence"), "evidence_count")
+
+
+@query(f"""WITH {VERSIONS}, x AS (SELECT entity_id, version_number, trait_id FROM v UNION ALL SELECT v.entity_id, m.n + 1, trait_id FROM v JOIN (SELECT entity_id, max(version_number) AS n FROM v GROUP BY 1) m ON m.entity_id = v.entity_id AND m.n = version_number),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY entity_id ORDER BY version_number DESC) AS n FROM x) SELECT entity_id, version_number::INT AS version_number, trait_id FROM r WHERE n <= 3""")
+def id_next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ID-14, SNK-22."""
+    v = versions_of(Tables(spark, sf_dir))
+    last = v.groupBy("entity_id").agg(F.max("version_number").alias("version_number"))
+    return I.next_version(v.join(last, ["entity_id", "version_number"]).select("entity_id", "trait_id", "confidence"), v, 3).select("entity_id", "version_number", "trait_id")
 
 
 @query("SELECT c_custkey, round(greatest(0, least(1, least(c_nationkey / 10.0::DOUBLE, 1) * 0.4 + least(c_nationkey * 5 / 90.0::DOUBLE, 1) * 0.4 + 0.5 * 0.2 - least((c_nationkey % 4) * 0.2::DOUBLE, 0.6))), 4) AS raw FROM customer")

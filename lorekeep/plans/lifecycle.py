@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.vectors import norm, routed
 from ..operators import lifecycle as L
 from ..operators import profiles, queues, readiness
@@ -386,3 +389,62 @@ def lc_allowed_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     agents = [f"nation_{i}" for i in (1, 2, 3)]
     chunks = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("source_agent", F.lower("n_name"))
     return lexical.filtered(chunks, agents=agents).select("s_suppkey", F.upper("s_name").alias("agent"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS first, label AS collection FROM embeddings WHERE label <> 0")
+def snk_served_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1, SNK-15, SNK-16: two versions of a vector set; the alias points at the second."""
+    from ..sources import sinks
+
+    e = Tables(spark, sf_dir).embeddings.select("vec_id", F.col("embedding").alias("vec"), F.col("label").alias("collection"))
+    home = f"{scratch.root(spark)}/lorekeep/vectors-{uuid.uuid4().hex}"
+    for version, rows in (("1", e), ("2", e.filter("collection <> 0"))):
+        sinks.switch(spark, f"{home}/alias.json", sinks.write_vectors(rows, home, version, 64))
+    return sinks.served(spark, f"{home}/alias.json").select("vec_id", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first"), F.col("collection").cast("int").alias("collection"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')")
+def snk_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-19: rows appended in two writes."""
+    from ..sources import sinks
+
+    e = Tables(spark, sf_dir).events.select("event_id", "event_type")
+    log = f"{scratch.root(spark)}/lorekeep/log-{uuid.uuid4().hex}"
+    for kind in ("click", "error"):
+        sinks.append(e.filter(F.col("event_type") == kind), log)
+    return spark.read.parquet(log)
+
+
+@query("SELECT DISTINCT 'n' || s_nationkey AS src, 'p' || ps AS dst, 'uses' AS relation FROM (SELECT s_nationkey, l_partkey % 100 AS ps FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)")
+def snk_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-21, SRC-10: links written as JSON lines and read again."""
+    from ..sources import sinks
+
+    t = Tables(spark, sf_dir)
+    e = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") % 100).cast("string")).alias("dst"), F.lit("uses").alias("relation")).distinct()
+    path = f"{scratch.root(spark)}/lorekeep/graph-{uuid.uuid4().hex}"
+    sinks.graph_json(e.select(F.col("src").alias("node")).distinct(), e, path)
+    return spark.read.schema("src string, dst string, relation string").json(f"{path}/links")
+
+
+@query("SELECT o_custkey % 200 AS entity_id, (o_orderkey % 3 + 1)::INT AS version_number, o_orderpriority AS trait_id, round(avg(o_totalprice) / 500000, 4) AS confidence FROM orders GROUP BY 1, 2, 3")
+def src_identity_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-11: versions as JSON, a map of traits each, read as rows."""
+    o = Tables(spark, sf_dir).orders
+    key = [(F.col("o_custkey") % 200).cast("string").alias("entity_id"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("version_number")]
+    v = o.groupBy(*key, "o_orderpriority").agg(F.struct(F.round(F.avg("o_totalprice") / 500000, 4).alias("confidence")).alias("t"))
+    path = f"{scratch.root(spark)}/lorekeep/versions-{uuid.uuid4().hex}"
+    v.groupBy("entity_id", "version_number").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "t"))).alias("traits_snapshot")).write.json(path)
+    return vault.identity_versions(spark, path).withColumn("entity_id", F.col("entity_id").cast("long"))
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS query, 'doc' || item_id AS source FROM benchmark")
+def src_golden_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-9: golden queries, a file each, with their expected sources."""
+    b = Tables(spark, sf_dir).benchmark
+    i = F.col("item_id").cast("string")
+    case = F.struct(i.alias("id"), F.col("text").alias("query"), F.array(F.concat(F.lit("doc"), i)).alias("expected_sources"))
+    path = f"{scratch.root(spark)}/lorekeep/golden-{uuid.uuid4().hex}"
+    cases = b.groupBy((F.col("item_id") % 4).alias("part")).agg(F.collect_list(case).alias("queries"))
+    cases.write.partitionBy("part").json(path)
+    return vault.golden_queries(spark, path).select("id", "query", F.explode("expected_sources").alias("source"))

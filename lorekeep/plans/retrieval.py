@@ -397,3 +397,30 @@ def ret_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = t.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"))
     b = t.embeddings.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
     return a.join(b, "a").select("a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 5).alias("cos"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de' OR source = (SELECT min(source) FROM documents)")
+def ret_tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-3: chunks that bear one of the tags asked for."""
+    d = Tables(spark, sf_dir).documents
+    tags = F.filter(F.array("lang", "source"), lambda x: x.isNotNull())
+    least = d.agg(F.min("source")).first()[0]
+    return lexical.filtered(d.select("doc_id", tags.alias("tags")), tags=["de", least]).select("doc_id")
+
+
+@query("""WITH c AS (SELECT l_orderkey % 50 AS query_id, l_orderkey * 10 + l_linenumber AS chunk_id, CASE WHEN l_linenumber <> 7 THEN l_orderkey END AS memory_id, CASE WHEN l_linenumber <> 6 THEN l_orderkey * 2 END AS revision_id,
+  least(1.0, 0.8::DOUBLE * (l_quantity / 50.0::DOUBLE) + 0.2::DOUBLE * l_discount) AS score, l_extendedprice::DOUBLE AS rrf FROM lineitem),
+v AS (SELECT * FROM c JOIN orders ON o_orderkey = memory_id AND o_orderkey * 2 = revision_id WHERE o_orderstatus <> 'F' AND score >= 0.3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rrf DESC, chunk_id) AS pos FROM v)
+SELECT query_id, chunk_id, pos FROM r WHERE pos <= 4""")
+def ret_valid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-6, FLT-7, FLT-9, RET-11, RET-14: candidates without ids or of hidden revisions go, then threshold and limit."""
+    t = Tables(spark, sf_dir)
+    n, key = F.col("l_linenumber"), F.col("l_orderkey")
+    c = t.lineitem.select(
+        (key % 50).alias("query_id"), (key * 10 + n).alias("chunk_id"), F.when(n != 7, key).alias("memory_id"), F.when(n != 6, key * 2).alias("revision_id"),
+        (F.col("l_quantity") / 50.0).alias("score"), F.col("l_extendedprice").cast("double").alias("rrf"), F.col("l_discount").cast("double").alias("rerank"),
+    )
+    seen = t.orders.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("memory_id"), (F.col("o_orderkey") * 2).alias("revision_id"))
+    top = fusion.rerank(fusion.visible_only(c, seen), F.col("rerank"), 4, 0.3)
+    return top.select("query_id", "chunk_id", F.col("final_pos").cast("long").alias("pos"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
@@ -97,18 +97,41 @@ def tx_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", I.content_hash(F.col("text")).alias("content_hash"), F.replace(I.point_id(F.concat(F.lit("c"), i)), F.lit("-"), F.lit("")).alias("point_raw"), I.chunk_label(F.concat(F.lit("d"), i), F.array(F.lit("a"), F.lit("b")), F.lit(3)).alias("label"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('Concepts/' || doc_id || '.md')) AS h FROM documents)
+SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS memory_id FROM h""")
 def tx_memory_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version-5 identifiers (SNK-20); tested against Python's."""
+    """Version-5 identifiers (SNK-20); tested against Python's too."""
     d = Tables(spark, sf_dir).documents.select("doc_id", F.concat(F.lit("Concepts/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     return d.select("doc_id", I.memory_id(F.lit(None).cast("string"), F.col("path")).alias("memory_id"))
 
 
-@query("SELECT item_id, doc_id, CAST((length(lower(d.text)) - length(replace(lower(d.text), 'the', ''))) // 3 + (length(lower(d.text)) - length(replace(lower(d.text), 'que', ''))) // 3 AS BIGINT) AS score FROM benchmark JOIN documents d ON d.doc_id = item_id")
+TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]{{3,}}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from')))"
+
+
+@query(f"""WITH t AS (SELECT conv_id, {TERMS.format('text')} AS ts FROM conversations WHERE turn = 0)
+SELECT c.conv_id, c.turn, coalesce(CAST(list_sum(list_transform(ts, lambda x: (length(lower(c.text)) - length(replace(lower(c.text), x, ''))) // length(x))) AS BIGINT), 0) AS score FROM conversations c JOIN t USING (conv_id)""")
 def tx_term_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-26."""
-    t = Tables(spark, sf_dir)
-    return t.benchmark.select("item_id").join(t.documents, F.col("doc_id") == F.col("item_id")).select("item_id", "doc_id", T.term_score(F.col("text"), F.array(F.lit("the"), F.lit("que"))).alias("score"))
+    """SC-26: each turn by the terms of its conversation's first."""
+    c = Tables(spark, sf_dir).conversations
+    t = c.filter("turn = 0").select("conv_id", T.task_terms(F.col("text")).alias("ts"))
+    return c.join(t, "conv_id").select("conv_id", "turn", T.term_score(F.col("text"), F.col("ts")).alias("score"))
+
+
+_ANY = lambda words, t="t": "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
+_CODING = _ANY(["code", "script", "debug", "error", "refactor", "build"])
+_RESEARCH = _ANY(["explain", "research", "what is", "why", "how does"])
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS t, text FROM documents)
+SELECT doc_id, CASE WHEN {_CODING} THEN 'coding' WHEN {_RESEARCH} THEN 'research' ELSE 'general' END AS task,
+  CASE WHEN {_ANY(["how to", "step", "code", "fix", "debug"])} THEN 'procedural' WHEN contains(t, 'summarize') THEN 'summary' ELSE 'semantic' END AS intent,
+  CASE WHEN {_ANY(["bug", "error", "issue"])} THEN 'issue' WHEN {_ANY(["fix", "patch"])} THEN 'fix' WHEN {_ANY(["architecture", "system"])} THEN 'architecture' WHEN {_ANY(["how to", "step"])} THEN 'procedure' ELSE 'other' END AS kind,
+  concat_ws('|', CASE WHEN {_ANY(["error", "fail"])} THEN 'Identified error pattern requiring structural patch.' END, CASE WHEN contains(t, 'docker') THEN 'Docker environments require port mapping verification.' END, CASE WHEN contains(t, 'step') THEN 'Sequence of operations detected.' END) AS lessons FROM d""")
+def tx_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-18, SC-21, SC-24, SC-28 over whole texts."""
+    d, t = Tables(spark, sf_dir).documents, F.col("text")
+    kind = T.entity_type(t)
+    return d.select("doc_id", T.task_type(t).alias("task"), T.intent(t).alias("intent"), F.when(kind.isin("issue", "fix", "architecture", "procedure"), kind).otherwise("other").alias("kind"), F.array_join(T.lessons(t), "|").alias("lessons"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'coding' WHEN 'view' THEN 'research' ELSE 'general' END AS task, CASE event_type WHEN 'error' THEN 'procedural' WHEN 'view' THEN 'summary' ELSE 'semantic' END AS intent, CASE event_type WHEN 'error' THEN 'coding' ELSE 'research' END AS profile,
@@ -176,6 +199,53 @@ def tx_page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>(.*?)</h1>"), F.lit(1))).alias("heading"), F.regexp_count("html", F.lit('<a href="/[^"]*"')).cast("long").alias("links"))
 
 
+@query("""WITH c AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+b AS (SELECT *, (turn - first) % 2 AS deep, role || turn AS name, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM c)
+SELECT conv_id, turn, 'T' || conv_id || CASE WHEN deep = 1 THEN '/' || lag(name) OVER (PARTITION BY conv_id ORDER BY turn) ELSE '' END || '/' || name AS heading_path,
+  sha256(CASE WHEN turn % 3 = 0 THEN '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) ELSE '' END || flat) AS text FROM b""")
+def tx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-8, WN-7, WN-8: a conversation as a note: turns under headings of two levels, some with a fence that holds a heading."""
+    c = Tables(spark, sf_dir).conversations.withColumn("first", F.min("turn").over(Window.partitionBy("conv_id")))
+    marks = F.when((F.col("turn") - F.col("first")) % 2 == 1, "### ").otherwise("## ")
+    fence = F.when(F.col("turn") % 3 == 0, "```\n# not a heading\n```\n").otherwise("")
+    part = F.concat(marks, "role", F.col("turn").cast("string"), F.lit("\n"), fence, F.trim(F.regexp_replace("text", r"\s+", " ")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n")
+    notes = c.groupBy("conv_id").agg(F.concat(F.lit("# T"), F.first("conv_id").cast("string"), F.lit("\n"), body).alias("body"), F.sort_array(F.collect_list("turn")).alias("turns"))
+    made = chunking.chunks(notes.select(F.col("conv_id").cast("string").alias("memory_id"), F.lit("x.md").alias("path"), "body", F.lit("h").alias("content_hash")), 10**9)
+    at = notes.select("conv_id", F.posexplode("turns").alias("ordinal", "turn"))
+    both = made.join(at, (made["memory_id"] == at["conv_id"].cast("string")) & (made["ordinal"] == at["ordinal"]))
+    return both.select("conv_id", "turn", F.array_join("heading_path", "/").alias("heading_path"), F.sha2(F.substring_index("content", "\n\n", -1), 256).alias("text"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'made_of>' || p_type || '>explicit' WHEN 1 THEN 'sold_by>' || p_name || '>candidate' ELSE '' END AS relationships FROM part""")
+def tx_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-5: alias keys, links as targets, a default status; without a target: none."""
+    n, text = F.col("p_size") % 3, lambda c: F.concat(F.lit("[["), c, F.lit("|alias]]"))
+    one = F.create_map(F.lit("relation"), F.lit("Made-of"), F.lit("object"), text("p_type"))
+    two = F.create_map(F.lit("type"), F.lit("sold by"), F.lit("entity"), F.col("p_name"), F.lit("status"), F.lit("candidate"))
+    none = F.create_map(F.lit("predicate"), F.lit("x"), F.lit("target"), F.lit(" "))
+    made = T.relationships(F.array(F.when(n == 0, one).when(n == 1, two).otherwise(none)))
+    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(F.transform(made, lambda r: F.concat_ws(">", r["predicate"], r["target"], r["status"])), "|").alias("relationships"))
+
+
+@query("""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^\\s]+') AS w FROM documents)
+SELECT doc_id, sha256(array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ')) AS merged FROM l""")
+def tx_merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-6: lists merged in order, each item once: the two halves of a text's words."""
+    w = T.split_words(F.col("text"))
+    half = F.floor(F.size(w) / 2).cast("int")
+    both = F.flatten(F.array(F.slice(w, F.lit(1), half), F.slice(w, half + 1, F.size(w))))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.sha2(F.array_join(F.array_distinct(both), " "), 256).alias("merged"))
+
+
+@query("""WITH s AS (SELECT item_id, ('0x' || left(md5(t), 8))::BIGINT AS h FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark))
+SELECT item_id, (h % 256)::INT AS place, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS value FROM s GROUP BY 1, 2 HAVING value <> 0""")
+def tx_word_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UX-1, RET-3: the offline provider that knows words."""
+    v = Tables(spark, sf_dir).benchmark.select("item_id", udfs.embed_udf(udfs.hashed_embeddings)("text").alias("v"))
+    return v.select("item_id", F.posexplode("v").alias("place", "value")).filter("value <> 0").select("item_id", "place", F.col("value").cast("double").alias("value"))
+
+
 @query()
 def tx_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-1, PRJ-2, PRJ-8 to PRJ-12: notes with front matter and headings, parsed and cut (tested by hand-made notes)."""
@@ -192,7 +262,7 @@ def tx_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", udfs.embed_udf(dim=64, most=200)("text").alias("vec")).select("item_id", F.size("vec").alias("n"), F.round(vectors.norm(F.col("vec")), 3).alias("norm"))
 
 
-@query()
+@query("SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS entity_key FROM part")
 def tx_entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-1: NFKC keys."""
+    """SC-1: NFKC keys; the SQL is their form for ASCII, which the names are."""
     return Tables(spark, sf_dir).part.select("p_partkey", udfs.entity_key_udf()("p_name").alias("entity_key"))

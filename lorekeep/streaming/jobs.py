@@ -1,11 +1,12 @@
-"""ST-1 to ST-11: streaming forms.  Each equals a batch fold over the same events."""
+"""ST-1 to ST-10: streaming forms, each equal to a batch fold over the same events, and the loops that drive them."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -72,19 +73,57 @@ def activate(stream: DataFrame, embed: Callable[[DataFrame], DataFrame], vectors
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def every(n: int, action: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """ST-7: a foreachBatch function that runs ``action`` after each n processed rows."""
-    seen = {"rows": 0}
+def every(n: int, action: Callable[[DataFrame, int], None], counter: str) -> Callable[[DataFrame, int], None]:
+    """ST-7: a foreachBatch function that runs ``action`` after each n processed rows.
+
+    The count is a table under ``counter``, one row a batch, so it outlives a
+    restart; a batch that is replayed overwrites its own row and is counted once."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = seen["rows"]
-        seen["rows"] += batch.count()
-        if seen["rows"] // n > before // n:
+        spark = batch.sparkSession
+        seen = batch.agg(F.count(F.lit(1)).alias("rows"))
+        seen.coalesce(1).write.mode("overwrite").parquet(f"{counter}/batch={batch_id}")
+        rows = spark.read.schema("rows long, batch long").parquet(counter)
+        before, after = rows.agg(F.coalesce(F.sum(F.when(F.col("batch") < batch_id, F.col("rows"))), F.lit(0)), F.sum(F.when(F.col("batch") <= batch_id, F.col("rows")))).first()
+        if after // n > before // n:
             action(batch, batch_id)
 
     return each
 
 
+def poll(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, idle: str = "1 second", reclaim: Callable[[], None] | None = None, reclaim_s: float = 300.0) -> StreamingQuery:
+    """ST-5: the worker's loop: each batch of commands goes to ``work``, the next one is
+    looked for after ``idle``; failed commands are reclaimed every ``reclaim_s`` seconds of the
+    stream's clock."""
+    last = [time.monotonic()]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        work(batch, batch_id)
+        if reclaim is not None and time.monotonic() - last[0] >= reclaim_s:
+            last[0] = time.monotonic()
+            reclaim()
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=idle).start()
+
+
+def reconcile(spark: SparkSession, scan: Callable[[], DataFrame], apply: Callable[[DataFrame], None], checkpoint: str, each: str = "300 seconds") -> StreamingQuery:
+    """ST-6: a full scan when the service starts, and one each 300 seconds after: what the
+    change feed missed is applied then.  The ticks of a rate source are the clock."""
+    apply(scan())
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, n: None if batch.isEmpty() else apply(scan())).option("checkpointLocation", checkpoint).trigger(processingTime=each).start()
+
+
+def wait_for(query: StreamingQuery, seen: Callable[[], bool], timeout_s: float = 30.0, every_s: float = 0.2) -> bool:
+    """ST-10: read after write: returns once ``seen`` is true, or false after the time.
+    What the stream's source has by now is processed first."""
+    end = time.monotonic() + timeout_s
+    query.processAllAvailable()
+    while not (done := seen()) and time.monotonic() < end:
+        time.sleep(every_s)
+    return done
+
+
 def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Extension: tumbling activity counts with a watermark."""
     source = events.withWatermark("ts", late) if events.isStreaming else events

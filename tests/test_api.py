@@ -40,3 +40,13 @@ def test_search(spark):
     assert [r.chunk_id for r in m.search(q, now).collect()] == [1]
     assert m.context(q, now).first().context.startswith("Source: Tasks/a.md\n")
     assert m.summarize(q, now).count() == 1
+
+
+def test_failing_legs_leave_the_others(spark):
+    m, now = memory(spark), F.lit("2024-02-01").cast("timestamp")
+    q = spark.createDataFrame([(7, "docker [[port]]", [1.0, 0.0])], "query_id long, text string, vec array<float>")
+    down = F.raise_error(F.lit("down"))
+    m.vectors = m.vectors.withColumn("vec", F.when(F.col("vec_id") > 0, down).otherwise(F.col("vec")))  # fails when it runs
+    m.claims = m.claims.withColumn("confidence", F.when(F.col("confidence") > 0, down.cast("double")))
+    got = m.search(q, now).collect()
+    assert [r.chunk_id for r in got] == [1] and got[0].rank_sources == ["lexical"]

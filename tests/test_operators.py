@@ -187,7 +187,21 @@ def test_identity_fold_and_summary(spark):
 def test_sinks(spark, tmp_path):
     v = spark.createDataFrame([("c", 1, [1.0]), ("c", 2, None)], "collection string, vec_id long, vec array<float>")
     path = sinks.write_vectors(v, str(tmp_path), "1", 1)
-    assert rows(sinks.switch(spark, "current_vectors", path).select("vec_id", "vec")) == [(1, [1.0]), (2, [0.0])]
+    alias = str(tmp_path / "current.json")
+    sinks.switch(spark, alias, path)
+    assert rows(sinks.served(spark, alias).select("vec_id", "vec")) == [(1, [1.0]), (2, [0.0])]
+    sinks.switch(spark, alias, sinks.write_vectors(v.limit(1), str(tmp_path), "2", 1))
+    assert sinks.served(spark.newSession(), alias).count() == 1  # any reader of the file sees the new version
+    with pytest.raises(Exception, match="(?i)path|schema"):
+        sinks.switch(spark, alias, str(tmp_path / "nothing"))
+    assert sinks.served(spark, alias).count() == 1
+    e = spark.createDataFrame([("a'b", "c", "depends on")], "src string, dst string, relation string")
+    got = sinks.merge_statements(e.selectExpr("src AS node"), e).orderBy("seq").collect()
+    assert [r.statement for r in got] == ["MERGE (:Entity {name: 'a\\'b'})", "MATCH (a:Entity {name: 'a\\'b'}), (b:Entity {name: 'c'}) MERGE (a)-[:DEPENDS_ON]->(b)"]
+    sinks.graph_html(e, str(tmp_path / "g.html"))
+    assert '[["a\'b", "depends on", "c"]]' in (tmp_path / "g.html").read_text()
+    with pytest.raises(ValueError):
+        sinks.graph_html(e.union(e), str(tmp_path / "g.html"), 1)
     sinks.append(v.drop("vec"), str(tmp_path / "log"))
     sinks.append(v.drop("vec"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4

@@ -54,9 +54,23 @@ def test_activation_follows_vectors(spark, tmp_path):
     assert [(r.memory_id, r.revision_id, r.event_type) for r in log.select("memory_id", "revision_id", "event_type").collect()] == [(1, 10, "revision_activated")]
 
 
-def test_every(spark):
+def test_every_counts_over_restarts_and_replays(spark, tmp_path):
     ran = []
-    f = J.every(10, lambda b, i: ran.append(i))
-    for i in range(5):
-        f(spark.range(4), i)
-    assert ran == [2, 4]
+    for i in (0, 1, 2, 2, 3, 4):
+        J.every(10, lambda b, i: ran.append(i), str(tmp_path / "n"))(spark.range(4), i)  # each time a new process, so to say
+    assert ran == [2, 2, 4]
+
+
+def test_loops(spark, tmp_path):
+    rows = [(1, "h", "2024-01-01 00:00:00"), (2, "h", "2024-01-01 00:00:05")]
+    _, stream = events(spark, tmp_path, rows, "memory_id long, content_hash string, ts string")
+    did, again = [], []
+    q = J.poll(stream, lambda b, n: did.extend(r.memory_id for r in b.collect()), str(tmp_path / "cp"), "100 milliseconds", lambda: again.append(1), 0.0)
+    assert J.wait_for(q, lambda: sorted(did) == [1, 2]) and again
+    assert not J.wait_for(q, lambda: False, 0.1, 0.05)
+    q.stop()
+    scans = []
+    r = J.reconcile(spark, lambda: spark.range(3), lambda d: scans.append(d.count()), str(tmp_path / "cp2"), "1 second")
+    assert scans[0] == 3
+    assert J.wait_for(r, lambda: len(scans) > 1)
+    r.stop()
