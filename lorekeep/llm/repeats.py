@@ -1,7 +1,7 @@
-"""Repeated word windows: the machinery under substring and suffix dedup.
+"""Repeated word windows: the machinery under substring dedup, some of it under suffix dedup.
 
-Both operators look for windows of ``length`` words that occur more than once.
-Hashing all windows would move every word of the corpus several times over, so
+Windows of ``length`` words that occur more than once are looked for.  Hashing
+all windows would move every word of the corpus several times over, so
 
 1. anchors (short word runs at selected positions) are hashed, and those that
    occur twice anywhere are kept (``select`` says which positions; any two
@@ -146,10 +146,12 @@ def _anchor_rows(held: list, length: int, select: Callable) -> list[np.ndarray]:
     order = np.argsort(k, kind="stable")
     k, row, pos = k[order], row[order], pos[order]
     same = k[1:] == k[:-1]
-    later, twice = np.append(False, same), np.append(same, False)
+    later, twice = np.append(False, same)[: len(k)], np.append(same, False)[: len(k)]
     state = np.where(later, _PASS, twice).astype(np.int64)
-    k = np.where(later, mixed(row.view(np.uint64) * _B1 + pos.astype(np.uint64)), k)
-    return [_signed(k), row, (pos.astype(np.int64) << 2) | state]
+    first = np.flatnonzero(~later)
+    count = np.zeros(len(k), np.int64)
+    count[first] = np.diff(np.append(first, len(k)))
+    return [_signed(k), row, (pos.astype(np.int64) << 2) | state, count]
 
 
 def _window_rows(held: list, length: int, anchor: int, across: bool) -> list[np.ndarray]:
@@ -229,7 +231,7 @@ def _runs(source: Iterator[pa.RecordBatch], keys: list[str], finish: Callable, s
 def _dup_anchors(t: dict, heads: dict, first: np.ndarray, more: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
     """Anchors that occur twice: decided in their batch, or with a neighbour that is equal."""
     twice = skip | ((t["at"] & 3) == 1) | ~first | more
-    return [t["row"][twice], t["at"][twice] >> 2]
+    return [t["k"][twice], t["row"][twice], t["at"][twice] >> 2]
 
 
 def _earlier(t: dict, heads: dict, first: np.ndarray, more: np.ndarray, skip: np.ndarray) -> list[np.ndarray]:
@@ -246,32 +248,46 @@ def _earlier_across(t: dict, heads: dict, first: np.ndarray, more: np.ndarray, s
     return [row, at >> 32, (at & 0xFFFFFFFF) >> 2, src_row, src_pos]
 
 
-def repeated(rows: DataFrame, length: int, anchor: int, select: Callable, across: bool) -> DataFrame:
-    """Windows of ``length`` words of rows (row, id, text) that occur earlier.
+def anchors(rows: DataFrame, anchor: int, select: Callable) -> DataFrame:
+    """Runs of ``anchor`` words at selected places of rows (row, text): ``k`` (hash), ``row``, ``at``
+    (place and what its batch knows), ``c`` (how many its batch has, at the first; else 0)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("k", "row", "at", "c")])
+    return rows.select("row", "text").mapInArrow(lambda it: _batches(it, lambda held: _anchor_rows(held, anchor, select), schema), "k long, row long, at long, c long")
 
-    Returns a stored table: ``row``, ``pos`` (first of ``n`` places in a row),
-    ``n``, and if ``across`` also ``src_row``, ``src_pos``: an earlier place in
-    another row (then windows that repeat in their own row alone don't count).
-    """
-    spark = rows.sparkSession
-    a_schema = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
-    anchors = rows.select("row", "text").mapInArrow(lambda it: _batches(it, lambda held: _anchor_rows(held, anchor, select), a_schema), "k long, row long, at long")
-    sorted_ = anchors.repartition("k").sortWithinPartitions("k", "row", "at")
-    m_schema = pa.schema([("row", pa.int64()), ("pos", pa.int64())])
-    marks = sorted_.mapInArrow(lambda it: _runs(it, ["k"], _dup_anchors, m_schema), "row long, pos long")
-    with batches_of(spark, 512):
-        marks = stored(marks.groupBy("row").agg(F.collect_list(F.col("pos").cast("int")).alias("marks")), "anchors")
 
+def repeated_anchors(anchors_: DataFrame) -> DataFrame:
+    """(k, row, pos) of anchors that occur twice anywhere.  What a batch decided passes by, dealt out at random."""
+    route = F.when(F.col("at").bitwiseAND(3) == _PASS, F.xxhash64("row", "at")).otherwise(F.col("k"))
+    sorted_ = anchors_.select(route.alias("route"), "k", "row", "at").repartition("route").sortWithinPartitions("route", "row", "at")
+    schema = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("pos", pa.int64())])
+    return sorted_.mapInArrow(lambda it: _runs(it, ["route"], _dup_anchors, schema), "k long, row long, pos long")
+
+
+def windows(near: DataFrame, length: int, anchor: int, across: bool) -> DataFrame:
+    """Windows around marked anchors of near (row, text, marks), hashed whole; ``earlier`` compares them."""
     names = ["k", "k2", "row", "at"] + ["src_row", "src_pos"] * across
-    w_schema = pa.schema([(c, pa.int64()) for c in names])
-    near = rows.select("row", "text").join(marks.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("row", "text", "marks")
-    windows = near.mapInArrow(lambda it: _batches(it, lambda held: _window_rows(held, length, anchor, across), w_schema), ", ".join(f"{c} long" for c in names))
-    sorted_ = windows.repartition("k").sortWithinPartitions("k", "k2", "row", "at")
+    schema = pa.schema([(c, pa.int64()) for c in names])
+    return near.mapInArrow(lambda it: _batches(it, lambda held: _window_rows(held, length, anchor, across), schema), ", ".join(f"{c} long" for c in names))
+
+
+def earlier(windows_: DataFrame, across: bool) -> DataFrame:
+    """Windows (``row``, ``pos``, ``n`` places) that occur earlier; if ``across``, in another row, with that place."""
+    sorted_ = windows_.repartition("k").sortWithinPartitions("k", "k2", "row", "at")
     out = ["row", "pos", "n"] + ["src_row", "src_pos"] * across
-    o_schema = pa.schema([(c, pa.int64()) for c in out])
-    found = sorted_.mapInArrow(lambda it: _runs(it, ["k", "k2"], _earlier_across if across else _earlier, o_schema), ", ".join(f"{c} long" for c in out))
+    schema = pa.schema([(c, pa.int64()) for c in out])
+    return sorted_.mapInArrow(lambda it: _runs(it, ["k", "k2"], _earlier_across if across else _earlier, schema), ", ".join(f"{c} long" for c in out))
+
+
+def repeated(rows: DataFrame, length: int, anchor: int, select: Callable) -> DataFrame:
+    """Windows of ``length`` words of rows (row, id, text) that occur earlier, in
+    another row or their own: a stored table of ``row``, ``pos`` (first of ``n`` places), ``n``."""
+    spark = rows.sparkSession
+    marks = repeated_anchors(anchors(rows, anchor, select)).groupBy("row").agg(F.collect_list(F.col("pos").cast("int")).alias("marks"))
+    with batches_of(spark, 512):
+        marks = stored(marks, "anchors")
+    near = rows.select("row", "text").join(marks.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("row", "text", "marks")
     with batches_of(spark, 512):
-        found = stored(found, "windows")
+        found = stored(earlier(windows(near, length, anchor, across=False), across=False), "windows")
     discard(marks)
     return found
 

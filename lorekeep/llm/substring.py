@@ -46,5 +46,5 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.flatnonzero(inside[np.arange(len(grams)) % period])
 
     rows, _ = keyed(docs, id_col, text_col)
-    found = repeated(rows, window, window - period + 1, select, across=False)
+    found = repeated(rows, window, window - period + 1, select)
     return removal(rows, found, window, id_col, keep_text)

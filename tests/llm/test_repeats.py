@@ -78,12 +78,15 @@ def test_repeated_ids_nulls_and_empty(spark):
     assert [tuple(r) for r in repeated_passages(docs(spark, [long, long], ids=[1, 1])).collect()] == [(1, 0, 60, 1, 0)]
 
 
-def test_passages_are_complete(spark):
-    """Every word that brute force finds in a window with an earlier place is in a passage, and no other."""
+@pytest.mark.parametrize("batch, params", [(1_500_000, {}), (300, {}), (300, {"long_run": 3}), (300, {"hot": 0.0}), (300, {"hot": 0.01, "long_run": 5})])
+def test_passages_are_complete(spark, monkeypatch, batch, params):
+    """Every word that brute force finds in a window with an earlier place is in
+    a passage, and no other, whichever way suffixes take."""
+    monkeypatch.setattr(repeats, "BATCH_WORDS", batch)
     texts = corpus(3)
     want = brute(list(enumerate(texts)), 50, True)
     covered = {}
-    for r in repeated_passages(docs(spark, texts).repartition(5)).collect():
+    for r in repeated_passages(docs(spark, texts).repartition(5), **params).collect():
         covered.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
     assert {i: n for i, (_, n, _) in want.items() if n} == {i: len(x) for i, x in covered.items()}
 
