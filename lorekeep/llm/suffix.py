@@ -15,10 +15,12 @@ same suffixes in all its copies, and a suffix stands for a run of windows.
    are compared, not only hashed.
 3. Windows that overlap on the same line join to passages.
 
-Hot suffixes.  Equal suffixes of a task's batch meet there, and only the first
-goes on.  Starts that more than 1 in 1,000 suffixes have (so fewer than 1,000)
-would still fill a task; their windows are dealt out one by one, by a hash of
-the whole window, as are those of any run of more than LONG_RUN suffixes.
+Hot suffixes.  Suffixes of a task's batch with all words in common meet there,
+and only the first goes on.  Starts that more than 1 in 1,000 suffixes have (so
+fewer than 1,000) would still fill a task.  Their suffixes are sorted by a hash
+of all their words, so that those with all words in common meet; of what is
+left the windows are dealt out one by one, by a hash of the whole window.  So
+are those of any other run of more than LONG_RUN different suffixes.
 """
 
 from __future__ import annotations
@@ -57,14 +59,14 @@ def minimisers(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Suffixes:
-    """Suffixes as columns: ``k`` (hash of the start), ``row``, ``pos``; the places
-    ``low``..``high`` before pos where their windows start; ``words``: hashes of the
-    words from pos on, then of those before it, the nearest first, 0 where no window reaches."""
+    """Suffixes as columns: ``k`` (hash of the start, or of all words if ``hot``), ``row``,
+    ``pos``; the places ``low``..``high`` before pos where their windows start; ``words``: hashes of
+    the words from pos on, then of those before it, the nearest first, 0 where no window reaches."""
 
-    NAMES = ("k", "row", "pos", "low", "high", "words")
+    NAMES = ("k", "row", "pos", "low", "high", "hot", "words")
 
-    def __init__(self, k, row, pos, low, high, words) -> None:
-        self.k, self.row, self.pos, self.low, self.high, self.words = k, row, pos, low, high, words
+    def __init__(self, k, row, pos, low, high, hot, words) -> None:
+        self.k, self.row, self.pos, self.low, self.high, self.hot, self.words = k, row, pos, low, high, hot, words
 
     def __len__(self) -> int:
         return len(self.k)
@@ -88,7 +90,8 @@ def suffixes_of(row: int, h: np.ndarray, marks: np.ndarray, length: int) -> Suff
     held = (at >= first[:, None]) & (at < last[:, None] + length)
     short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     words = np.where(held, short[np.clip(at, 0, len(h) - 1)], np.uint32(0))
-    return Suffixes(grams[place], np.full(len(place), row, np.int64), place, place - last, place - first, words)
+    none = np.zeros(len(place), np.int64)
+    return Suffixes(grams[place], np.full(len(place), row, np.int64), place, place - last, place - first, none, words)
 
 
 def hits(row, pos, n, src_row, src_pos) -> list[np.ndarray]:
@@ -146,7 +149,7 @@ def dealt_out(s: Suffixes, length: int) -> list[np.ndarray]:
     n = s.high - s.low + 1
     i = np.repeat(np.arange(len(s)), n)
     left = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + s.low[i]
-    key, key2 = s.k[i], mixed(s.k[i] + _TWO)
+    key, key2 = np.full(len(i), _ONE), np.full(len(i), _TWO)
     column = np.arange(s.words.shape[1])
     for a in range(0, len(i), 50_000):
         b = slice(a, a + 50_000)
@@ -159,7 +162,7 @@ def dealt_out(s: Suffixes, length: int) -> list[np.ndarray]:
     return [key.view(np.int64), key2.astype(np.int64), s.row[i], s.pos[i] - left, zero, zero, zero]
 
 
-SORTED = pa.schema([("k", pa.int64()), ("words", pa.binary()), ("row", pa.int64()), ("pos", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("src_row", pa.int64()), ("src_pos", pa.int64())])
+SORTED = pa.schema([("k", pa.int64()), ("words", pa.binary()), ("row", pa.int64()), ("pos", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("hot", pa.int64()), ("src_row", pa.int64()), ("src_pos", pa.int64())])
 FOUND = pa.schema([(c, pa.int64()) for c in ("k", "k2", "row", "pos", "n", "src_row", "src_pos")])
 
 
@@ -167,7 +170,7 @@ def _batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _ordered(held: list, length: int) -> Iterator[pa.RecordBatch]:
+def _ordered(held: list, length: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The suffixes of a batch of texts, less those that another one of the batch decides
     (these pass by as windows found: no words, ``high`` their number)."""
     parts = [suffixes_of(row, h, marks, length) for row, h, marks in held]
@@ -182,18 +185,21 @@ def _ordered(held: list, length: int) -> Iterator[pa.RecordBatch]:
     if len(row):
         route = mixed(row.view(np.uint64) * _ONE + pos.astype(np.uint64)).view(np.int64)
         none = pa.array([b""] * len(row), pa.binary())
-        yield _batch([route, none, row, pos, np.zeros(len(row), np.int64), n, src_row, src_pos], SORTED)
-    s = s.take(left)
+        zero = np.zeros(len(row), np.int64)
+        yield _batch([route, none, row, pos, zero, n, zero, src_row, src_pos], SORTED)
+    s, digest = s.take(left), digest[left]
+    s.hot = np.isin(s.k, often).astype(np.int64)
+    s.k = np.where(s.hot > 0, mixed(s.k ^ digest), s.k)
     for a in range(0, len(s), 20_000):
         t = s.take(slice(a, a + 20_000))
         raw = t.words.astype(">u4").tobytes()
         size = 4 * t.words.shape[1]
         words = pa.array([raw[j : j + size] for j in range(0, len(raw), size)], pa.binary())
         zero = np.zeros(len(t), np.int64)
-        yield _batch([t.k.view(np.int64), words, t.row, t.pos, t.low, t.high, zero, zero], SORTED)
+        yield _batch([t.k.view(np.int64), words, t.row, t.pos, t.low, t.high, t.hot, zero, zero], SORTED)
 
 
-def _texts(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _texts(source: Iterator[pa.RecordBatch], length: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Gathers texts (row, text, marks) up to BATCH_WORDS words and yields their suffixes."""
     held, words = [], 0
     for b in source:
@@ -202,16 +208,16 @@ def _texts(source: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             held.append((row, h, marks.values.to_numpy(zero_copy_only=False)))
             words += len(h)
             if words >= repeats.BATCH_WORDS:
-                yield from _ordered(held, length)
+                yield from _ordered(held, length, often)
                 held, words = [], 0
     if held:
-        yield from _ordered(held, length)
+        yield from _ordered(held, length, often)
 
 
 def _compared(source: Iterator[pa.RecordBatch], length: int, long_run: int) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes -> windows found, and windows of long runs to be dealt out (n = 0).
 
-    Memory: a batch and one run of up to ``long_run`` suffixes."""
+    Memory: a batch and one run of up to ``long_run`` different suffixes."""
     wait: Suffixes | None = None
     dealt: np.uint64 | None = None  # the run that is being dealt out
     for b in itertools.chain(source, [None]):
@@ -226,10 +232,15 @@ def _compared(source: Iterator[pa.RecordBatch], length: int, long_run: int) -> I
             on = np.flatnonzero(sizes)
             if len(on):
                 words = np.frombuffer(b"".join(raw.take(pa.array(on)).to_pylist()), ">u4").reshape(len(on), -1).astype(np.uint32)
-                parts.append(Suffixes(cols["k"][on].view(np.uint64), *(cols[c][on] for c in ("row", "pos", "low", "high")), words))
+                parts.append(Suffixes(cols["k"][on].view(np.uint64), *(cols[c][on] for c in ("row", "pos", "low", "high", "hot")), words))
         if not parts:
             continue
         s = Suffixes.joined(parts)
+        same = np.append(False, (s.k[1:] == s.k[:-1]) & (s.words[1:] == s.words[:-1]).all(axis=1))
+        found, left = whole(s, np.arange(len(s)), same)
+        if len(found[0]):
+            yield _batch(found, FOUND)
+        s = s.take(left)
         ready = len(s) if b is None else int(np.flatnonzero(np.append(True, s.k[1:] != s.k[:-1]))[-1])
         if dealt is not None and ready:
             more = s.k[:ready] == dealt
@@ -245,13 +256,11 @@ def _compared(source: Iterator[pa.RecordBatch], length: int, long_run: int) -> I
             for a in range(0, len(wait), 4096):
                 yield _batch(dealt_out(wait.take(slice(a, a + 4096)), length), FOUND)
             wait = None
-        if not len(done):
+        for a in range(0, len(loose := np.flatnonzero(done.hot)), 4096):
+            yield _batch(dealt_out(done.take(loose[a : a + 4096]), length), FOUND)
+        rest = done.take(np.flatnonzero(done.hot == 0))
+        if not len(rest):
             continue
-        same = np.append(False, (done.k[1:] == done.k[:-1]) & (done.words[1:] == done.words[:-1]).all(axis=1))
-        found, left = whole(done, np.arange(len(done)), same)
-        if len(found[0]):
-            yield _batch(found, FOUND)
-        rest = done.take(left)
         alike = rest.k[1:] == rest.k[:-1]
         rest = rest.take(np.flatnonzero(np.append(False, alike) | np.append(alike, False)))
         for part in _runs(rest, long_run):
@@ -279,27 +288,21 @@ def sparse(rows: DataFrame, length: int, long_run: int = LONG_RUN, hot: float =
     with batches_of(spark, 512):
         starts = stored(starts, "starts")
     total = starts.agg(F.sum("c")).first()[0] or 0
-    often = starts.groupBy("k").agg(F.sum("c").alias("n")).filter(F.col("n") > total * hot).select(F.col("k").alias("often"))
-    often = stored(often, "often")  # fewer than 1 / hot
-    marks = repeats.repeated_anchors(starts).join(F.broadcast(often), F.col("k") == F.col("often"), "left")
-    place = F.col("pos").cast("int")
-    one = lambda keep: F.collect_list(F.when(keep, place))
-    marks = marks.groupBy(F.col("row").alias("r")).agg(one(F.col("often").isNull()).alias("marks"), one(F.col("often").isNotNull()).alias("hot"))
-    marks = stored(marks, "marks")
-    near = rows.select("row", "text").join(marks, F.col("row") == F.col("r"))
-
-    kinds = "k long, words binary, row long, pos long, low long, high long, src_row long, src_pos long"
-    suffixes = near.filter(F.size("marks") > 0).select("row", "text", "marks").mapInArrow(lambda it: _texts(it, length), kinds)
+    often = starts.groupBy("k").agg(F.sum("c").alias("n")).filter(F.col("n") > total * hot).select("k").collect()  # fewer than 1 / hot
+    often = np.array([r["k"] for r in often], np.int64).view(np.uint64)
+    marks = repeats.repeated_anchors(starts).groupBy(F.col("row").alias("r")).agg(F.collect_list(F.col("pos").cast("int")).alias("marks"))
+    near = rows.select("row", "text").join(marks, F.col("row") == F.col("r")).select("row", "text", "marks")
+
+    kinds = "k long, words binary, row long, pos long, low long, high long, hot long, src_row long, src_pos long"
+    suffixes = near.mapInArrow(lambda it: _texts(it, length, often), kinds)
     order = suffixes.repartition("k").sortWithinPartitions("k", "words", "row", "pos")
     found = order.mapInArrow(lambda it: _compared(it, length, long_run), "k long, k2 long, row long, pos long, n long, src_row long, src_pos long")
     with batches_of(spark, 512):
         found = stored(found, "suffixes")
     cols = ["row", "pos", "n", "src_row", "src_pos"]
-    windows = repeats.windows(near.filter(F.size("hot") > 0).select("row", "text", F.col("hot").alias("marks")), length, GRAM, across=True)
     loose = found.filter("n = 0").select("k", "k2", "row", (F.shiftleft("pos", 32) + 4).alias("at"), "src_row", "src_pos")
-    with batches_of(spark, 512):
-        rest = stored(repeats.earlier(windows.unionByName(loose), across=True), "windows")
-    discard(starts, often)
+    rest = stored(repeats.earlier(loose, across=True), "windows")
+    discard(starts)
     return found.filter("n > 0").select(*cols).unionByName(rest.select(*cols))
 
 
