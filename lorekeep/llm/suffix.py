@@ -178,7 +178,9 @@ def _ordered(held: list, length: int, often: np.ndarray) -> Iterator[pa.RecordBa
     if not len(s):
         return
     weights = mixed(np.arange(1, s.words.shape[1] + 1, dtype=np.uint64) * _ONE)
-    digest = (s.words.astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+    digest = np.zeros(len(s), np.uint64)
+    for j, weight in enumerate(weights):
+        digest += s.words[:, j] * weight
     order = np.lexsort((s.pos, s.row, digest, s.k))
     same = np.append(False, (s.k[order[1:]] == s.k[order[:-1]]) & (s.words[order[1:]] == s.words[order[:-1]]).all(axis=1))
     (_, _, row, pos, n, src_row, src_pos), left = whole(s, order, same)
@@ -291,6 +293,7 @@ def sparse(rows: DataFrame, length: int, long_run: int = LONG_RUN, hot: float =
     often = starts.groupBy("k").agg(F.sum("c").alias("n")).filter(F.col("n") > total * hot).select("k").collect()  # fewer than 1 / hot
     often = np.array([r["k"] for r in often], np.int64).view(np.uint64)
     marks = repeats.repeated_anchors(starts).groupBy(F.col("row").alias("r")).agg(F.collect_list(F.col("pos").cast("int")).alias("marks"))
+    marks = stored(marks, "marks")  # a stage of its own: Python workers of one step at a time
     near = rows.select("row", "text").join(marks, F.col("row") == F.col("r")).select("row", "text", "marks")
 
     kinds = "k long, words binary, row long, pos long, low long, high long, hot long, src_row long, src_pos long"
@@ -302,7 +305,7 @@ def sparse(rows: DataFrame, length: int, long_run: int = LONG_RUN, hot: float =
     cols = ["row", "pos", "n", "src_row", "src_pos"]
     loose = found.filter("n = 0").select("k", "k2", "row", (F.shiftleft("pos", 32) + 4).alias("at"), "src_row", "src_pos")
     rest = stored(repeats.earlier(loose, across=True), "windows")
-    discard(starts)
+    discard(starts, marks)
     return found.filter("n > 0").select(*cols).unionByName(rest.select(*cols))
 
 
