@@ -25,6 +25,8 @@ DIM = 1024
 SEED = 17
 #: The fit uses at most about so many labelled rows of each language.
 FIT_ROWS = 2000
+#: The table of languages' sizes is broadcast up to so many.
+MOST_BROADCAST = 10_000
 #: Trigrams bound at once, which bounds memory whatever the texts.
 CHUNK = 8192
 #: A script is learned if it has this share of the letters of a language; a text needs half of its letters in learned scripts.
@@ -163,9 +165,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     jobs, however many partitions); the driver gets one row a language."""
     spark = docs.sparkSession
     known = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col])).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(known.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if sizes.count() <= MOST_BROADCAST:  # else labels are many and none has to be small: their texts move
+        sizes = F.broadcast(sizes)
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(sizes.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).filter(draw * F.col("n") < fit_rows).select("lang", "text")
+    sample = known.join(sizes, F.col("lang") == F.col("l")).filter(draw * F.col("n") < fit_rows).select("lang", "text")
 
     def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
