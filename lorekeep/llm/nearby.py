@@ -217,7 +217,7 @@ def open_pairs(members: DataFrame, bags: DataFrame, similar: float) -> DataFrame
     bound drops it.  Shingles of one text alone come first in its order and
     meet nothing, so only shared ones are joined.  Of the members that share a
     shingle, those of the label that has most of them are not paired with
-    each other: one side of the join is the rest, the other all.
+    each other: one of the two is always of the rest.
     """
     own = bags.join(members.select(F.col("rep").alias("r"), "n", "label"), F.col("rep") == F.col("r")).drop("r")
     rows = own.select("rep", "bag").mapInArrow(_shingle_rows, "rep long, s long")
@@ -231,17 +231,17 @@ def open_pairs(members: DataFrame, bags: DataFrame, similar: float) -> DataFrame
     each = stored(each.select("rep", "n", "label", "index", (F.col("alone") + F.col("i")).alias("at"), F.col("x.s").alias("s")), "prefixes")
     labels = each.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("s").alias("t"))
     major = labels.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    both = each.join(major, F.col("s") == F.col("t"))
-    side = lambda d, x: d.select(F.col("s").alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("rep", "n", "label", "index", "at")])
-    x, y = side(both.filter("label <> major"), "1"), side(both, "2")
-    # of two texts the lesser (by size, then by number) meets the other within its index prefix
+    both = each.join(major, F.col("s") == F.col("t")).withColumn("most", F.col("label") == F.col("major"))
+    side = lambda d, x: d.select(*[F.col(c).alias(f"{c}{x}") for c in ("s", "rep", "n", "label", "at", "most")])
+    # of two texts the lesser (by size, then by number) meets the other within its index prefix:
+    # shingles beyond it are on one side of the join only
+    meets = F.when(F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    x, y = side(both.filter("at < index").withColumn("most", F.explode(meets)), "1"), side(both, "2")
     less = F.struct("n1", "rep1") < F.struct("n2", "rep2")
     need = F.ceil((F.col("n1") + F.col("n2")) * (similar / (1 + similar)) - 1e-6)
-    fits = F.when(less, F.col("at1") < F.col("index1")).otherwise(F.col("at2") < F.col("index2"))
     bound = (F.col("n1") - F.col("at1") >= need) & (F.col("n2") - F.col("at2") >= need)
-    near = (F.col("s1") == F.col("s2")) & (F.col("label1") != F.col("label2")) & fits & bound
-    of = lambda c, first: F.when(less == first, F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
-    pairs = x.join(y, near).select(of("rep", True).alias("a"), of("n", True).alias("na"), of("rep", False).alias("b"), of("n", False).alias("nb"))
+    near = (F.col("s1") == F.col("s2")) & (F.col("most1") == F.col("most2")) & (F.col("label1") != F.col("label2")) & less & bound
+    pairs = x.join(y, near).select(F.col("rep1").alias("a"), F.col("n1").alias("na"), F.col("rep2").alias("b"), F.col("n2").alias("nb"))
     return may_pair(pairs.distinct(), bags, similar)
 
 
