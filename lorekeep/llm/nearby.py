@@ -21,8 +21,9 @@ rare ones first, two texts that are similar enough must share one of the first
 few of each.  Members that share one, are in different components and pass the
 bounds of size, place and bitmap (each bit of one that the other lacks is a
 shingle that they don't share) are compared.  That is exact for all pairs of
-such members, whatever the buckets; texts that only have boilerplate in common
-share no rare shingle and so are never paired.
+such members, whatever the buckets.  Texts with more shingles of their own than
+the lesser one's prefix are never paired over common boilerplate; texts just
+below the similarity, with fewer of their own, still meet pair by pair.
 """
 
 from __future__ import annotations
