@@ -13,6 +13,7 @@ from .langid import identify
 from .mixing import MIXING_SQL, curriculum
 from .nearby import near_groups
 from .oracle import NEAR_SQL, SECRETS_SQL, SUBSTRING_SQL
+from .phrases import PHRASES_SQL, collocations
 from .secrets import scan_secrets
 from .sharding import shard_rows
 from .substring import repeated_words
@@ -69,9 +70,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_decontamination, op2_mixing, op3_substring_dedup, op4_exact_dedup, op5_near_dedup,
     op6_language_id, op7_suffix_dedup, op8_sharding, op9_secrets, op10_html_extraction,
+    op12_phrases,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op2_mixing": MIXING_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op4_exact_dedup": EXACT_SQL, "op5_near_dedup": NEAR_SQL, "op9_secrets": SECRETS_SQL}
+SQL = {"op2_mixing": MIXING_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op4_exact_dedup": EXACT_SQL, "op5_near_dedup": NEAR_SQL, "op9_secrets": SECRETS_SQL, "op12_phrases": PHRASES_SQL}
