@@ -36,7 +36,7 @@ CHARS, FEWEST, MOST = 24, 16, 26
 SLICE = 1 << 14
 #: Texts are cut into words so many bytes at a time (a longer text alone), and counts are
 #: put together whenever so many rows have gathered.
-BYTES, ROWS = 8 << 20, 400_000
+BYTES, ROWS = 2 << 20, 200_000
 #: A language's candidates are ranked in so many parts first, so that no task gets more than parts x REPORT of them.
 PARTS = 16
 
