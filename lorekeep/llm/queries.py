@@ -18,6 +18,8 @@ from .secrets import scan_secrets
 from .sharding import shard_rows
 from .substring import repeated_words
 from .suffix import repeated_passages
+from .toxicity import toxicity
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,14 +72,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def whitened_components(rows: DataFrame) -> DataFrame:
+    """A row for each vector and component."""
+    each = whiten(rows).select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "own"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "own.whitened", "own.explained", "identity_error", "deviation_text")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_decontamination, op2_mixing, op3_substring_dedup, op4_exact_dedup, op5_near_dedup,
     op6_language_id, op7_suffix_dedup, op8_sharding, op9_secrets, op10_html_extraction,
-    op12_phrases,
+    op11_toxicity, op12_phrases, op13_whitening,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op2_mixing": MIXING_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op4_exact_dedup": EXACT_SQL, "op5_near_dedup": NEAR_SQL, "op9_secrets": SECRETS_SQL, "op12_phrases": PHRASES_SQL}

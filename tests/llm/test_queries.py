@@ -26,6 +26,8 @@ def test_columns(spark, name):
         "op7_suffix_dedup": {"doc_id": "bigint", "start": "bigint", "n_words": "bigint", "earlier_doc_id": "bigint", "earlier_start": "bigint"},
         "op8_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
         "op10_html_extraction": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+        "op11_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        "op13_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double", "deviation_text": "string"},
     }[name]
     df = QUERIES[name](spark, FOLDER)
     assert dict(df.dtypes) == want and df.count() > 0
