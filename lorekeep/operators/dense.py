@@ -1,4 +1,6 @@
-"""RET-2: dense retrieval: exact top-k by cosine in blocks, or by random-projection buckets."""
+"""RET-2: dense retrieval: exact top-k by cosine in blocks, or by random-projection buckets.
+
+A stored index is in ``vector_index``."""
 
 from __future__ import annotations
 
@@ -9,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .lexical import top_k
 
 #: Vectors of a block, of queries or of those searched; pairs of blocks are multiplied.
 BLOCK = 4096
+#: Query blocks are broadcast so many bytes at a time; a larger batch takes several scans of the vectors.
+BROADCAST = 64 << 20
 #: Cosines are compared to nine decimals, so that equal ones tie on any machine.
 DECIMALS = 9
 
@@ -22,31 +27,37 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def blocks(vectors: DataFrame, id_col: str, prefix: str, provider: Callable | None = None) -> DataFrame:
+def blocks(vectors: DataFrame, id_col: str, prefix: str, provider: Callable | None = None, group: str | None = None) -> DataFrame:
     """Vectors (id, vec) as rows of up to BLOCK vectors of one length: ids, length, matrix.
-    With a ``provider``, (id, text), and texts are embedded on the way."""
+    With a ``provider``, (id, text), and texts are embedded on the way.  With a ``group``
+    (a column of whole numbers), blocks also are of one group."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
 
-        def row(dim: int) -> pa.RecordBatch:
-            ids, parts = zip(*held.pop(dim), strict=True)
-            cols = [pa.array([np.concatenate(ids)], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([np.concatenate(parts).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=[f"{prefix}_ids", f"{prefix}_dim", f"{prefix}_matrix"])
+        def row(key: tuple[int, int]) -> pa.RecordBatch:
+            ids, parts = zip(*held.pop(key), strict=True)
+            cols = [pa.array([np.concatenate(ids)], pa.list_(pa.int64())), pa.array([key[1]], pa.int32()), pa.array([np.concatenate(parts).tobytes()], pa.binary()), pa.array([key[0]], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=[f"{prefix}_ids", f"{prefix}_dim", f"{prefix}_matrix", f"{prefix}_group"])
 
         for b in batches:
             ids = b.column(id_col).to_numpy()
+            groups = b.column(group).to_numpy() if group else np.zeros(len(ids), np.int64)
             for rows, matrix in _matrices(b, provider):
-                dim = matrix.shape[1]
-                for a in range(0, len(rows), BLOCK):
-                    held.setdefault(dim, []).append((ids[rows[a : a + BLOCK]], matrix[a : a + BLOCK]))
-                    if sum(len(x) for x, _ in held[dim]) >= BLOCK:
-                        yield row(dim)
-        for dim in list(held):
-            yield row(dim)
+                for g in np.unique(groups[rows]).tolist():
+                    own = np.flatnonzero(groups[rows] == g)
+                    key = (g, matrix.shape[1])
+                    for a in range(0, len(own), BLOCK):
+                        part = own[a : a + BLOCK]
+                        held.setdefault(key, []).append((ids[rows[part]], matrix[part]))
+                        if sum(len(x) for x, _ in held[key]) >= BLOCK:
+                            yield row(key)
+        for key in list(held):
+            yield row(key)
 
     what = "text" if provider else "vec"
-    return vectors.select(id_col, what).filter(F.col(what).isNotNull()).mapInArrow(pack, f"{prefix}_ids array<long>, {prefix}_dim int, {prefix}_matrix binary")
+    cols = [id_col, what, *([group] if group else [])]
+    return vectors.select(*cols).filter(F.col(what).isNotNull()).mapInArrow(pack, f"{prefix}_ids array<long>, {prefix}_dim int, {prefix}_matrix binary, {prefix}_group long")
 
 
 def _matrices(b: pa.RecordBatch, provider: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -91,20 +102,38 @@ def _scored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[row], vid[col], scores[row, col])], names=["query_id", "vec_id", "score"])
 
 
+def scored_blocks(q: DataFrame, v: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): at most k a query and pair of blocks of one length and group.
+
+    Query blocks go to the vectors, which stay where they are.  They are
+    stored and sized first: up to BROADCAST bytes are broadcast at once, what
+    is more in further rounds, each a scan of the vectors."""
+    q = stored(q, "query-blocks")
+    size = q.agg(F.coalesce(F.sum(F.octet_length("q_matrix")), F.lit(0))).first()[0]
+    rounds = -(-size // BROADCAST) or 1
+    dealt = q.withColumn("_round", F.pmod(F.xxhash64("q_ids"), F.lit(rounds)))
+    out = None
+    for i in range(rounds):
+        part = F.broadcast(dealt.filter(F.col("_round") == i).drop("_round"))
+        pairs = v.join(part, (F.col("q_dim") == F.col("v_dim")) & (F.col("q_group") == F.col("v_group")))
+        one = pairs.mapInArrow(lambda it: _scored(it, k), "query_id long, vec_id long, score double")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 20, provider: Callable | None = None) -> DataFrame:
     """(query_id, vec_id, score, pos): the k vectors of largest cosine a query.
 
     ``queries``: query_id, vec; ``vectors``: vec_id, vec; or, with an embedding
     ``provider`` (texts -> vectors of one length), text in place of vec.  Both go through as
-    blocks of bounded size: one scan of the vectors, every block of queries
-    against every block of them, and k rows a query and pair of blocks are
-    shuffled.  Nothing goes to the driver.  Vectors of another length than
-    the query's are left out; equal scores go by vec_id.
+    blocks of bounded size: every block of queries is broadcast (see
+    ``scored_blocks``) and multiplied with every block of vectors where that
+    is; k rows a query and pair of blocks are shuffled.  Vectors are never
+    shuffled.  Vectors of another length than the query's are left out; equal
+    scores go by vec_id.
     """
     q, v = blocks(queries, "query_id", "q", provider), blocks(vectors, "vec_id", "v", provider)
-    pairs = q.crossJoin(v).filter("q_dim = v_dim")  # the query set in blocks against all rows
-    out = pairs.mapInArrow(lambda it: _scored(it, k), "query_id long, vec_id long, score double")
-    return top_k(out, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    return top_k(scored_blocks(q, v, k), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def lsh_search(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 20, tables: int = 24, bits: int = 10, seed: int = 11) -> DataFrame:
