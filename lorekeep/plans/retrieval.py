@@ -5,6 +5,8 @@ Embeddings have no key into documents; vec_id stands for doc_id and item_id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from ..functions import text as T
 from ..functions import udfs
 from ..functions.vectors import cosine
 from ..operators import compress as C
-from ..operators import dense, fusion, legacy, lexical, profiles, readiness, writing
+from .. import scratch
+from ..operators import dense, fusion, legacy, lexical, positional, profiles, readiness, vector_index, writing
 from .base import Tables, query, stamp
 
 TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -424,3 +427,85 @@ def ret_valid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = t.orders.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("memory_id"), (F.col("o_orderkey") * 2).alias("revision_id"))
     top = fusion.rerank(fusion.visible_only(c, seen), F.col("rerank"), 4, 0.3)
     return top.select("query_id", "chunk_id", F.col("final_pos").cast("long").alias("pos"))
+
+
+@query("SELECT count(*) AS queries, 10 AS k, true AS recall_reached, true AS all_found_exact FROM embeddings WHERE vec_id % 50 = 0")
+def ret_dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-2: a stored index of all embeddings, asked by every fiftieth row: recall at 10 is 0.9 or more, and scores are exact cosines."""
+    e = vectors_of(Tables(spark, sf_dir)).select("vec_id", "vec")
+    index = vector_index.build(e, f"{scratch.root(spark)}/lorekeep/vectors-{uuid.uuid4().hex}", k=10)
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    got = vector_index.search(q, index).select("query_id", "vec_id", F.col("score").alias("found"))
+    both = dense.dense_search(q, e, 10).join(got, ["query_id", "vec_id"], "left")
+    recall = F.count("found") / F.count(F.lit(1))
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.lit(10).alias("k"), (recall >= 0.9).alias("recall_reached"), F.bool_and(F.coalesce(F.col("found") == F.col("score"), F.lit(True))).alias("all_found_exact"))
+
+
+TOKEN_ROWS = """SELECT {0} AS chunk_id, generate_subscripts(ws, 1) - 1 AS place, unnest(ws) AS lexeme FROM (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM {1})"""
+#: Minimal covers by window functions: the last place of each shared lexeme at each place; a cover ends where the least of them has moved.
+COVERS = """
+t AS (SELECT DISTINCT query_id, lexeme FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS lexeme FROM q)),
+h AS (SELECT t.query_id, p.chunk_id, p.lexeme, p.place, row_number() OVER (PARTITION BY t.query_id, p.chunk_id ORDER BY p.place) AS rn FROM t JOIN p USING (lexeme)),
+st AS (SELECT DISTINCT query_id, chunk_id, lexeme AS term FROM h),
+x AS (SELECT query_id, chunk_id, place, rn, max(CASE WHEN lexeme = term THEN place END) OVER w AS last, max(CASE WHEN lexeme = term THEN rn END) OVER w AS last_rn
+      FROM h JOIN st USING (query_id, chunk_id) WINDOW w AS (PARTITION BY query_id, chunk_id, term ORDER BY place)),
+e AS (SELECT query_id, chunk_id, place, rn, min(last) AS first, min(last_rn) AS first_rn FROM x GROUP BY ALL HAVING count(last) = count(*)),
+c AS (SELECT query_id, chunk_id, first, min(place) AS stop, min(rn) - min(first_rn) + 1 AS own FROM e GROUP BY ALL),
+d AS (SELECT query_id, chunk_id, count(*) AS covers, sum(0.1::DOUBLE / (1 + (stop - first + 1 - own)) ORDER BY stop) AS density FROM c GROUP BY ALL)
+SELECT query_id, chunk_id, covers, round(least(0.25::DOUBLE, density), 9) AS density FROM d
+"""
+SENTENCES = "SELECT item_id * 1000 + i AS query_id, s AS text FROM (SELECT item_id, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM (SELECT item_id, string_split_regex(text, '[.!?]+') AS ss FROM benchmark))"
+
+
+def sentences_of(t: Tables) -> DataFrame:
+    """(query_id, text): the parts of benchmark items between . ! and ?"""
+    return t.benchmark.select("item_id", F.posexplode(F.split("text", "[.!?]+")).alias("i", "text")).select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), "text")
+
+
+def _densities(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    found = positional.cover_densities(queries, positional.positions(chunks, queries=queries))
+    return found.select("query_id", "chunk_id", F.col("covers").cast("long").alias("covers"), F.round(F.least(F.lit(lexical.DENSITY_CAP), F.col("density")), 9).alias("density"))
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, string_split_regex(text, '[.!?]+')[1] AS text FROM benchmark), p AS ({TOKEN_ROWS.format('doc_id', 'documents')}), {COVERS}")
+def ret_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-6: cover density of the benchmark items' first sentences in whole documents."""
+    t = Tables(spark, sf_dir)
+    return _densities(t.benchmark.select(F.col("item_id").alias("query_id"), F.get(F.split("text", "[.!?]+"), F.lit(0)).alias("text")), chunks_of(t))
+
+
+@query(f"WITH q AS ({SENTENCES}), p AS ({TOKEN_ROWS.format('conv_id * 1000 + turn', 'conversations')}), {COVERS}")
+def ret_turn_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-6: cover density of all the benchmark items' sentences in turns of conversations."""
+    t = Tables(spark, sf_dir)
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text")
+    return _densities(sentences_of(t), turns)
+
+
+RUNS = """k AS (SELECT doc_id AS chunk_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ' AS run FROM documents),
+q AS (SELECT query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM (""" + SENTENCES + "))"
+
+
+def _web(t: Tables, text) -> DataFrame:
+    """Matches of queries that are made of a sentence's lexemes ``ws``, in documents."""
+    q = sentences_of(t).select("query_id", T.tokens(F.col("text")).alias("ws")).filter("size(ws) >= 3").select("query_id", text.alias("text"))
+    return positional.web_matches(q, positional.positions(chunks_of(t), queries=q))
+
+
+@query(f"WITH {RUNS} SELECT query_id, chunk_id FROM q, k WHERE len(ws) >= 3 AND contains(run, ' ' || array_to_string(ws, ' ') || ' ')")
+def ret_web_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-5: whole sentences as quoted phrases."""
+    return _web(Tables(spark, sf_dir), F.concat(F.lit('"'), F.array_join("ws", " "), F.lit('"')))
+
+
+@query(f"WITH {RUNS} SELECT query_id, chunk_id FROM q, k WHERE len(ws) >= 3 AND contains(run, ' ' || ws[1] || ' ' || ws[2] || ' ') AND NOT contains(run, ' ' || ws[3] || ' ')")
+def ret_web_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-5: a phrase of two words, without a third word."""
+    return _web(Tables(spark, sf_dir), F.expr("concat('\"', ws[0], ' ', ws[1], '\" -', ws[2])"))
+
+
+@query(f"""WITH {RUNS} SELECT query_id, chunk_id FROM q, k WHERE len(ws) >= 3 AND (contains(run, ' ' || ws[1] || ' ' || ws[2] || ' ' || ws[3] || ' ')
+  OR (contains(run, ' ' || ws[-1] || ' ') AND contains(run, ' ' || ws[1] || ' ') AND NOT contains(run, ' ' || ws[2] || ' ' || ws[3] || ' ')))""")
+def ret_web_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-5: a phrase, or two words without a phrase."""
+    return _web(Tables(spark, sf_dir), F.expr("""concat('"', ws[0], ' ', ws[1], ' ', ws[2], '" or "', ws[size(ws) - 1], '" "', ws[0], '" -"', ws[1], ' ', ws[2], '"')"""))
