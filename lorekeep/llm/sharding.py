@@ -1,8 +1,8 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
 1. Rows form blocks.  How many rows of each block go to each shard is drawn
-   exactly: a multivariate hypergeometric draw a block, from the places that
-   the shards still have.  The matrix so has exact row and column sums and the
+   exactly: multivariate hypergeometric draws that split the shards' places
+   between halves of the blocks, down to single ones.  The matrix so has exact row and column sums and the
    law that a uniform permutation of all rows would give it.
 2. Rows of a block are permuted locally and dealt out by the block's counts.
 3. Rows are exchanged, and permuted again in their shard, which gives slots.
@@ -22,14 +22,12 @@ from .base import fresh, running, stored, unit
 SHARDS = 24
 #: The matrix has at most so many rows (65,536 x 24 counts are 13 MB).
 MAX_BLOCKS = 65_536
-#: NumPy's hypergeometric draws are for populations under this.
-MOST_NUMPY = 10**9
 
 
-def drawn_places(rng: np.random.Generator, places: Sequence[int], n: int) -> np.ndarray:
+def drawn_places(rng: np.random.Generator, places: np.ndarray, n: int) -> np.ndarray:
     """How many of n rows each shard gets if they take distinct places at
-    random: the hypergeometric law by its definition, at any population.  Places
-    taken twice are drawn again, so time and memory go with n alone."""
+    random: the hypergeometric law by its definition.  Places taken twice are
+    drawn again, so time and memory go with n alone."""
     ends = np.cumsum(places)
     taken = np.empty(0, np.int64)
     while len(taken) < n:
@@ -37,20 +35,41 @@ def drawn_places(rng: np.random.Generator, places: Sequence[int], n: int) -> np.
     return np.bincount(np.searchsorted(ends, taken, side="right"), minlength=len(ends))
 
 
-def communication_matrix(counts: Sequence[int], places: Sequence[int], seed: int, most_numpy: int = MOST_NUMPY) -> np.ndarray:
-    """Rows to send from each block to each shard: sums are ``counts`` by row, ``places`` by column."""
-    rng, left = np.random.default_rng(seed), np.array(places, dtype=np.int64)
-    out = np.zeros((len(counts), len(left)), dtype=np.int64)
-    for i, n in enumerate(counts):
-        if left.sum() >= most_numpy:
-            out[i] = drawn_places(rng, left, n)
-        else:
-            rest = int(left.sum())
-            for j, place in enumerate(left.tolist()):
-                rest -= place
-                out[i, j] = take = n if not rest else int(rng.hypergeometric(place, rest, n)) if n and place else 0
-                n -= take
-        left -= out[i]
+def drawn(rng: np.random.Generator, places: np.ndarray, n: int) -> np.ndarray:
+    """A multivariate hypergeometric draw of n of all places, at any population up to 64 bits.
+
+    Every place is taken with chance n / all, which is a binomial draw a shard.
+    Given how many they are, the places taken are a uniform choice; so if they
+    are some too many, as many are given back at random, and if too few, as many
+    of the rest are taken.  That is about sqrt(n) single draws, whatever n is."""
+    total = int(places.sum())
+    if n in (0, total):
+        return places * 0 if n == 0 else places.copy()
+    if 2 * n > total:  # few are left: draw those
+        return places - drawn(rng, places, total - n)
+    got = rng.binomial(places, n / total)
+    over = int(got.sum()) - n
+    return got - drawn_places(rng, got, over) if over > 0 else got + drawn_places(rng, places - got, -over)
+
+
+def communication_matrix(counts: Sequence[int], places: Sequence[int], seed: int) -> np.ndarray:
+    """Rows to send from each block to each shard: sums are ``counts`` by row, ``places`` by column.
+
+    The blocks are halved again and again: of the places that a run of blocks
+    has, a draw says which its first half gets.  So there are two draws a
+    block, and the driver's work does not go with the number of rows."""
+    rng = np.random.default_rng(seed)
+    before = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
+    out = np.zeros((len(counts), len(places)), dtype=np.int64)
+    runs = [(0, len(counts), drawn(rng, np.array(places, dtype=np.int64), int(before[-1])))]  # all places, if they are as many as rows
+    while runs:
+        low, high, own = runs.pop()
+        if high - low == 1:
+            out[low] = own
+        elif high > low:
+            middle = (low + high) // 2
+            first = drawn(rng, own, int(before[middle] - before[low]))
+            runs += [(low, middle, first), (middle, high, own - first)]
     return out
 
 
@@ -84,8 +103,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
         F.crc32(text.cast("binary")).alias("crc"),
         (F.xxhash64(*[docs[c] for c in keep]) if keep else F.lit(0).cast("long")).alias("h"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(f"{seed}a"), id_)).alias("key"),
-        F.md5(F.concat_ws(":", F.lit(f"{seed}b"), id_)).alias("key2"),
+        *[F.md5(F.concat_ws(":", F.lit(f"{seed}{x}"), id_, F.xxhash64(text, *[docs[c] for c in keep]).cast("string"))).alias(n) for x, n in (("a", "key"), ("b", "key2"))],
         *[docs[c].alias(n) for c, n in zip(keep, names, strict=True)],
     )
     slim = stored(rows.drop(*names), "slim")

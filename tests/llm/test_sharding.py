@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import zlib
 
 import numpy as np
@@ -15,9 +16,9 @@ def test_matrix_sums():
 
 
 def test_large_populations_have_the_law():
-    """Both ways to draw have the hypergeometric law, and the one for large populations works there."""
-    for most in (10**9, 0):
-        x = [communication_matrix([60], [30, 40, 130], seed, most)[0] for seed in range(3000)]
+    """Draws have the hypergeometric law, as one block or as the first of two, and work for large populations."""
+    for counts in ([60], [60, 140]):
+        x = [communication_matrix(counts, [30, 40, 130], seed)[0] for seed in range(3000)]
         assert np.abs(np.mean(x, axis=0) - np.array([9, 12, 39])).max() < 0.25
         want = 60 * (200 - 60) / 199 * np.array([0.15 * 0.85, 0.2 * 0.8, 0.65 * 0.35])
         assert np.abs(np.var(x, axis=0) / want - 1).max() < 0.12
@@ -25,6 +26,32 @@ def test_large_populations_have_the_law():
     assert m.sum(axis=1).tolist() == [1000, 2000] and abs(m[:, 0].sum() - 750) < 150
 
 
+def test_ten_billion_rows_take_seconds():
+    began = time.monotonic()
+    places = [10**10 // 24 + (j < 10**10 % 24) for j in range(24)]
+    counts = [10**10 // 4096 + (b < 10**10 % 4096) for b in range(4096)]
+    m = communication_matrix(counts, places, 5)
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == places and (m >= 0).all()
+    want = np.outer(counts, places) / 1e10
+    assert abs(((m - want) ** 2 / want).sum() / (4095 * 23) - 1) < 0.03  # chi-square over its degrees of freedom
+    assert time.monotonic() - began < 30
+
+
+def test_deal_follows_the_matrix(spark):
+    """The rows of each block that are sent to each shard are as many as the matrix says: all of it computed again."""
+    texts = [f"t{i}" for i in range(500)]
+    df = docs(spark, texts)
+    blocks = 22  # the root of 500
+    block = {r.doc_id: r.b for r in df.selectExpr("doc_id", f"CAST(pmod(xxhash64(doc_id, crc32(CAST(text AS BINARY))), {blocks}) AS INT) AS b").collect()}
+    got = {r.doc_id: r.shard for r in shard_rows(df, shards=6, seed=3).collect()}
+    counts = np.bincount(list(block.values()), minlength=blocks)
+    m = communication_matrix(counts.tolist(), [84, 84, 83, 83, 83, 83], 3)
+    sent = np.zeros_like(m)
+    for i, s in got.items():
+        sent[block[i], s] += 1
+    assert (sent == m).all()
+
+
 def test_uniform():
     """Each row is as likely in each shard: chi-square over many seeds."""
     counts = np.zeros((3, 4))
