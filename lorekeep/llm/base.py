@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, setting, stored
 
-__all__ = ["SPACES", "WORD", "batches_of", "discard", "fresh", "joined_back", "running", "setting", "small_batches", "stored", "unit"]
+__all__ = ["SPACES", "WORD", "batches_of", "by_size", "discard", "fresh", "joined_back", "running", "setting", "split_join", "stored", "unit"]
 
 # The six characters that separate words, as a regex class.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Characters of texts that a function over a batch works on at once; a longer text is alone.
+CHARS = 2_000_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A group with more than this share of all rows is hot; there are fewer than 1 / HOT of them.
 HOT = 1 / 1000
@@ -28,11 +32,17 @@ def batches_of(spark: SparkSession, rows: int):
     return setting(spark, _BATCH, str(rows) if _fewer(spark, rows) else spark.conf.get(_BATCH))
 
 
-def small_batches(spark: SparkSession, rows: int) -> None:
-    """The same for the rest of the session: for filters over whole documents,
-    which the caller runs, and whose result is too large to be stored first."""
-    if _fewer(spark, rows):
-        spark.conf.set(_BATCH, str(rows))
+def by_size(texts: list[str | None], most: int = CHARS) -> Iterator[tuple[int, int]]:
+    """Cuts a batch into runs (begin, end) of at most ``most`` characters, so that memory goes with them and not with rows."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if size + n > most and i > begin:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def joined_back(rows: DataFrame, groups: DataFrame, key: str, group: str, size: str, total: int) -> DataFrame:
@@ -50,6 +60,24 @@ def joined_back(rows: DataFrame, groups: DataFrame, key: str, group: str, size:
     return large.unionByName(small.join(rest, F.col(key) == F.col(group)))
 
 
+def split_join(rows: DataFrame, groups: DataFrame, key: str, group: str, by: str, least: int = 200) -> DataFrame:
+    """Rows with the columns of their group (rows.key = groups.group), where groups may be wide and keys hot.
+
+    ``rows`` is a stored table; its keys are counted first.  The rows of a key
+    with more than the share HOT of them are dealt, by a hash of ``by``, to so
+    many pieces that none is larger, and the key's group goes to each piece.
+    Hot keys are fewer than 1 / HOT, so their table is small.
+    """
+    most = max(least, int(rows.count() * HOT))
+    n, piece, at = (fresh([*rows.columns, *groups.columns], x) for x in ("_pieces", "_piece", "_at"))
+    hot = rows.groupBy(F.col(key).alias(at)).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(n)).filter(F.col(n) > 1)
+    hot = F.broadcast(stored(hot, "hot"))
+    left = rows.join(hot, F.col(key) == F.col(at), "left").withColumn(piece, F.coalesce(F.pmod(F.xxhash64(by), F.col(n)), F.lit(0))).drop(at, n)
+    right = groups.join(hot, F.col(group) == F.col(at), "left").withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)).cast("long") - 1))).drop(at, n)
+    right = right.withColumnRenamed(piece, at)
+    return left.join(right, (F.col(key) == F.col(group)) & (F.col(piece) == F.col(at))).drop(piece, at)
+
+
 def unit(digest: Column) -> Column:
     """The first 48 bits of a hex digest as a double in [0, 1)."""
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))

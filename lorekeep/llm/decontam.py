@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, small_batches, stored
+from .base import batches_of, by_size, stored
 
 Q = 8
 #: Edits allowed for each character of an item.
@@ -267,7 +267,9 @@ def _looker(shared: Broadcast):
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = shared.value.table()
         for s in batches:
-            yield pd.Series([[{"item_id": i, "edits": e} for i, e in f] for f in search(shared.value, table, s.tolist())], dtype=object)
+            texts = s.tolist()
+            found = [f for a, b in by_size(texts) for f in search(shared.value, table, texts[a:b])]
+            yield pd.Series([[{"item_id": i, "edits": e} for i, e in f] for f in found], dtype=object)
 
     return look
 
@@ -302,8 +304,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     character of it, both normalised (case, and runs of other than letters
     and digits); items of under 8 characters must stand as whole words.
     Null and empty texts or items contain and name nothing; an item with null
-    id has no name to report, though ``decontaminate`` looks for it.  Items
-    that repeat text or id are all reported.  Repeated rows are searched
+    id is reported with a null ``item_id``.  Items that repeat text or id are all reported.  Repeated rows are searched
     each; texts of any length are searched whole; other columns are not read,
     whatever their names; an empty table on either side gives no rows.  No
     shuffle; a benchmark of several blocks takes a pass over the texts each.
@@ -312,7 +313,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for look, _ in lookers(benchmark, rate=rate, block_chars=block_chars):
         found = docs.select(docs[id_col].alias(id_col), F.explode(look(docs[text_col])).alias("f"))
         with batches_of(docs.sparkSession, 256):
-            found = stored(found.filter("f.item_id is not null").select(id_col, "f.item_id", "f.edits"), "items")
+            found = stored(found.select(id_col, "f.item_id", "f.edits"), "items")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -323,7 +324,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     As in ``contamination``, a null or empty text contains nothing and stays.
     With several blocks, what one leaves is stored and searched for the next."""
-    small_batches(docs.sparkSession, 256)
     for look, last in lookers(benchmark, rate=rate, block_chars=block_chars):
         clean = docs.filter(F.size(look(docs[text_col])) == 0)
         docs = clean if last else stored(clean, "clean")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches_of, small_batches, stored
+from .base import batches_of, by_size, stored
 
 DIM = 1024
 SEED = 17
@@ -175,11 +175,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, Counter] = {}
         for b in batches:
-            grams = [trigrams(t) for t in b["text"]]
-            for lang, v, g in zip(b["lang"], bundle(b["text"].tolist(), grams), grams, strict=True):
-                some = len(g[0]) > 0  # the vector, texts with letters, logarithms of their variety
-                sums[lang] = sums.get(lang, 0) + np.append(v.astype(np.float64), [some, np.log(variety(g[1])) if some else 0])
-                seen.setdefault(lang, Counter()).update(scripts(g))
+            texts, langs = b["text"].tolist(), b["lang"].tolist()
+            for begin, end in by_size(texts):
+                grams = [trigrams(t) for t in texts[begin:end]]
+                for lang, v, g in zip(langs[begin:end], bundle(texts[begin:end], grams), grams, strict=True):
+                    some = len(g[0]) > 0  # the vector, texts with letters, logarithms of their variety
+                    sums[lang] = sums.get(lang, 0) + np.append(v.astype(np.float64), [some, np.log(variety(g[1])) if some else 0])
+                    seen.setdefault(lang, Counter()).update(scripts(g))
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()], "scripts": [list(seen[x]) for x in sums], "letters": [list(seen[x].values()) for x in sums]})
 
@@ -221,7 +223,8 @@ def language_of(model: LanguageModel):
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield model.predict(s.tolist())
+            texts = s.tolist()
+            yield pd.concat([pd.DataFrame({"lang_pred": [], "score": []}, dtype=object), *(model.predict(texts[a:b]) for a, b in by_size(texts))], ignore_index=True).astype({"score": float})
 
     return predict
 
@@ -232,7 +235,8 @@ def in_learned_language(model: LanguageModel):
     @F.pandas_udf("boolean")
     def learned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(model.learned(s.tolist()), dtype=bool)
+            texts = s.tolist()
+            yield pd.Series([x for a, b in by_size(texts) for x in model.learned(texts[a:b])], dtype=bool)
 
     return learned
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACES, batches_of, discard, joined_back, stored
+from .base import SPACES, batches_of, by_size, discard, joined_back, split_join, stored
 from .repeats import mixed, window_hashes, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -116,10 +116,13 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
-        bags = [shingles(t, k) for t in texts]
-        hashes = band_hashes(bag_minhash(bags, bands * rows), bands)
-        cut = [h.tolist() if len(s) else [] for h, s in zip(hashes, bags, strict=True)]
-        cols = [b.column("id"), pa.array([text_key(t) for t in texts], pa.binary()), pa.array([len(s) for s in bags], pa.int64()), pa.array(cut, pa.list_(pa.int64()))]
+        cut, sizes = [], []
+        for begin, end in by_size(texts):
+            bags = [shingles(t, k) for t in texts[begin:end]]
+            hashes = band_hashes(bag_minhash(bags, bands * rows), bands)
+            cut += [h.tolist() if len(s) else [] for h, s in zip(hashes, bags, strict=True)]
+            sizes += [len(s) for s in bags]
+        cols = [b.column("id"), pa.array([text_key(t) for t in texts], pa.binary()), pa.array(sizes, pa.int64()), pa.array(cut, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n", "bands"])
 
 
@@ -207,7 +210,8 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def may_pair(pairs: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, na, b, nb) whose bitmaps don't rule them out: (a, b)."""
     sketch = lambda x: bags.select(F.col("rep").alias(f"r{x}"), F.col("bits").alias(f"bits{x}"))
-    both = pairs.join(sketch("1"), F.col("a") == F.col("r1")).join(sketch("2"), F.col("b") == F.col("r2"))
+    pairs = stored(pairs, "pairs")
+    both = split_join(pairs, sketch("2"), "b", "r2", "a").join(sketch("1"), F.col("a") == F.col("r1"))
     return both.filter(may_overlap(F.col("na"), F.col("nb"), F.col("bits1"), F.col("bits2"), similar)).select("a", "b")
 
 
@@ -265,8 +269,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = source.mapInArrow(lambda it: _signed(it, bands, rows, k), f"id {kind}, key binary, n long, bands array<long>")
     with batches_of(docs.sparkSession, 256):
         signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    least = signed.groupBy(F.col("key").alias("g")).agg(F.min("row").alias("rep"))
-    members = stored(signed.select("row", "id", "key").join(least, F.col("key") == F.col("g")).drop("g"), "members")
+    least = stored(signed.groupBy(F.col("key").alias("g")).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")), "least")
+    total = signed.count()
+    members = stored(joined_back(signed.select("row", "id", "key"), least, "key", "g", "copies", total).drop("g", "copies"), "members")
     reps = signed.join(least.select("rep"), F.col("row") == F.col("rep"), "left_semi")
 
     # buckets of at least two texts; a member is central if its buckets are large
@@ -293,7 +298,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = bags.select(F.col("rep").alias("ra"), F.col("bag").alias("ba")), bags.select(F.col("rep").alias("rb"), F.col("bag").alias("bb"))
-        both = pairs.join(one, F.col("a") == F.col("ra")).join(two, F.col("b") == F.col("rb"))
+        pairs = stored(pairs, "maybe")
+        both = split_join(pairs, two, "b", "rb", "a").join(one, F.col("a") == F.col("ra"))
         return stored(both.select("a", "b", overlap("ba", "bb").alias("j")).filter(F.col("j") >= similar).select("a", "b"), "links")
 
     star = buckets.filter((F.col("rep") != F.col("pivot")) & alike(F.col("n"), F.col("pn")))
@@ -308,11 +314,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not new.isEmpty():
         labels = components(links.unionByName(new))
 
-    labelled = stored(members.join(labels, F.col("rep") == F.col("node"), "left").select("row", "id", "key", F.coalesce("label", "rep").alias("class")), "labelled")
+    named = stored(least.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("r"), "copies", F.coalesce("label", "rep").alias("class")), "named")
+    labelled = stored(joined_back(members, named, "rep", "r", "copies", total).select("row", "id", "key", "class"), "labelled")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
     classes = stored(labelled.groupBy(F.col("class").alias("c")).agg(first, F.count(F.lit(1)).alias("class_size")), "classes")
-    discard(signed, members, shared, buckets, bags, members_, new)
-    return joined_back(labelled, classes, "class", "c", "class_size", labelled.count()).select(
+    discard(signed, least, members, named, shared, buckets, bags, members_, new)
+    return joined_back(labelled, classes, "class", "c", "class_size", total).select(
         F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"), F.col("key").alias("text_key")
     )
 

@@ -77,7 +77,7 @@ def test_contamination_and_clean_documents(spark):
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short"), (None, item), (4, item)], "item_id long, text string")
     n = len(ODD)
     got = {(r.doc_id, r.item_id, r.edits) for r in contamination(df, bench).collect()}
-    assert got == {(n, 1, 0), (n, 4, 0), (n + 1, 1, 0), (n + 1, 4, 0)}
+    assert got == {(d, i, 0) for d in (n, n + 1) for i in (1, 4, None)}
     assert sorted(r.doc_id for r in decontaminate(df, bench).collect()) == [*range(n), n + 2, n + 3]
     assert decontaminate(df, bench.limit(0)).count() == len(texts) and contamination(df.limit(0), bench).count() == 0
 
@@ -141,5 +141,5 @@ def test_items_of_any_length_and_null_ids(spark):
     texts = ["So: who is HE then", "今日は天気がいいから", "昨日、今日はとても天気がいいですね。", "Why?", items[4], "whyever look gone", "plain words only"]
     df = docs(spark, texts)
     got = {(r.doc_id, r.item_id, r.edits) for r in contamination(df, bench).collect()}
-    assert got == {(0, 0, 0), (1, 1, 0), (2, 1, 0), (2, 2, 0), (3, 3, 0)}
+    assert got == {(0, 0, 0), (1, 1, 0), (2, 1, 0), (2, 2, 0), (3, 3, 0), (4, None, 0)}
     assert sorted(r.doc_id for r in decontaminate(df, bench).collect()) == [5, 6]
