@@ -9,8 +9,9 @@ are an element's *mass*.  Mass chooses the regions:
 * An element that looks like furniture (by its tag, role or name) is dropped,
   unless it holds most of the page's mass: names advise, ratios decide.
 * What is left is clustered anew.  The region is the article or main elements
-  that hold most of the mass, or else the innermost element that holds all
-  content lines, with those beside it that are no lists of links.
+  that hold most of the mass (lists of links outside of them do not count), or
+  else the innermost element that holds all content lines, with those beside it
+  that are no lists of links.
 * Every line of the region counts, however short.
 """
 
@@ -55,7 +56,12 @@ PERHAPS = set(
 OUTER = {"header", "topbar", "alert", "notice", "notices"}
 NAMES = NOISE | READERS | PERHAPS | OUTER
 #: Words that may stand beside one of these in a compound; any other word makes it a name of its own (side-effects, has-sidebar).
-BESIDE = set("posts articles links list buttons icons bar area box site page".split())
+BESIDE = set("posts articles links list buttons icons bar area box site page container slot wrapper block unit".split())
+#: A compound of a word of each kind names a column at the side.
+SIDES, COLUMNS = set("left right".split()), set("col column rail".split())
+#: Notices are furniture in the article too; an article of these names is another one's teaser; blocks of these belong to the text under them.
+NOTICES, TEASERS, LEADS = set("notice notices".split()), set("teaser teasers related recommended".split()), set("lead intro introduction standfirst abstract".split())
+HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 #: Inside the article an id is mostly a section's title; only these are names of furniture there.
 IDS_INSIDE = READERS | set("ad ads advert advertisement share sharing social related recommended".split())
 UNNAMED = set("html body article main h1 h2 h3 h4 h5 h6".split())
@@ -84,7 +90,7 @@ class Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         # elements; number 0 is the page
-        self.parent, self.tag, self.looks, self.inside = [0], ["html"], [PLAIN], [False]
+        self.parent, self.tag, self.looks, self.inside, self.part = [0], ["html"], [PLAIN], [False], [""]
         # lines: text, tags around it, characters in links, element
         self.texts: list[str] = []
         self.tags: list[int] = []
@@ -119,11 +125,13 @@ class Page(HTMLParser):
             return NEVER
         looks = STRONG if tag in FURNITURE or tag == "header" and not inside else PLAIN
         for k, v in attrs:
-            if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and (v or "").lower() in ROLES:
+            if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and (v or "").lower() in ROLES or k == "style" and HIDDEN.search(v or ""):
                 looks = STRONG
         names = self.names(tag, attrs, inside)
         if names & READERS:
             return SAID
+        if inside and names & NOTICES:
+            looks = max(looks, STRONG)
         return max(looks, CERTAIN if names & NOISE else WEAK if names else PLAIN)
 
     def names(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str]:
@@ -135,7 +143,7 @@ class Page(HTMLParser):
                     if tag == "article" and k == "class" and "comment" in v.split():
                         out.add("comments")  # an article that is a reader's
                     continue
-                known = NAMES - OUTER if inside else NAMES
+                known = NAMES - OUTER | NOTICES if inside else NAMES
                 if inside and k == "id":
                     known = IDS_INSIDE
                 if tag in INLINE:
@@ -144,8 +152,15 @@ class Page(HTMLParser):
                     words = {w for w in re.split(r"[\W_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w}
                     if words <= NAMES | BESIDE:
                         out |= words & known
+                    elif words & SIDES and words & COLUMNS and words <= SIDES | COLUMNS | BESIDE:
+                        out.add("sidebar")
         return out
 
+    def named(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """Whether an element is a teaser of another page, or leads the text under it, by a whole token."""
+        tokens = {x for k, v in attrs if k in ("class", "id") and v for x in v.lower().split()}
+        return "teaser" if tag == "article" and tokens & TEASERS else "lead" if tag not in INLINE and tokens & LEADS else ""
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.seen += 1
         if self.places["head"] and tag not in IN_HEAD:
@@ -168,6 +183,7 @@ class Page(HTMLParser):
         self.parent.append(over)
         self.tag.append(tag)
         self.looks.append(looks)
+        self.part.append(self.named(tag, attrs))
         self.inside.append(self.inside[over] or tag in MAIN)
         self.places[tag].append(len(self.stack))
         if tag not in INLINE:
@@ -292,10 +308,11 @@ def region(page: Page, at: np.ndarray, size: np.ndarray, links: np.ndarray, cont
         article[e] = article[parent[e]] or (e if page.tag[e] in MAIN else 0)
     of = np.array(article)[at]
     mass = size * content
-    if of.any() and 4 * mass[of > 0].sum() >= mass[of == 0].sum():
+    if of.any() and 4 * mass[of > 0].sum() >= (mass * (2 * links < size))[of == 0].sum():
         best = set(of[(of > 0) & content].tolist()) or set(of[of > 0].tolist())
+        best = {e for e in best if page.part[e] != "teaser"} or best
         beside = {parent[e] for e in best}
-        return np.array([e in best or e > 0 and parent[e] in beside for e in of.tolist()])
+        return np.array([e in best or e > 0 and parent[e] in beside and page.part[e] != "teaser" for e in of.tolist()])
     lines = summed(page, at, content.astype(float))
     root = int(np.flatnonzero(lines == content.sum())[-1])  # they are nested, the innermost has the largest number
     while root and page.tag[root] not in BOXES:
@@ -307,10 +324,10 @@ def region(page: Page, at: np.ndarray, size: np.ndarray, links: np.ndarray, cont
     beside = np.array(under)[at]
     inside = beside == root
     if root and (~inside).any():
-        # what stands beside the region joins it, but for lists of links; in the body, only headings do
+        # what stands beside the region joins it, but for lists of links; in the body, only headings and what leads the text do
         text, linked = np.bincount(beside, size, n), np.bincount(beside, links, n)
         for e in set(beside[~inside & (beside > 0)].tolist()):
-            if 2 * linked[e] < text[e] and (not whole or page.tag[e] in HEADINGS):
+            if 2 * linked[e] < text[e] and (not whole or page.tag[e] in HEADINGS or page.part[e] == "lead"):
                 inside |= beside == e
         inside |= (at == parent[root]) & (not whole)
     return inside if root else np.ones(len(at), bool)
@@ -343,7 +360,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html, and pages without content: empty text, 0.  Whole
     pages are read, in time and memory in proportion to them.  Malformed
-    markup is read as far as it goes.  Null ids and urls stay null.  Repeated
+    markup is read as far as it goes.  An ``aside`` is a sidebar wherever it
+    stands, a notice is none of the article, and hidden elements are not read.  Null ids and urls stay null.  Repeated
     rows are extracted each; other columns are not read, whatever their
     names; empty table: no rows.
     """

@@ -135,3 +135,22 @@ def test_planted_pages_precision_and_recall():
 def test_other_columns_do_not_clash(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", 7, "x")], "page_id long, url string, html string, n_chars int, text string")
     assert [tuple(r) for r in extract(df).collect()] == [(1, "u", "a", 1)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body>{MENU}<div class='lead'><p>Intro.</p></div><div class='body'>{FOUR}</div><div>Other line</div></body>", "Intro.\n" + WANT),
+        (f"<body><article>{FOUR}<div class='ad-container'>Buy</div><div id='ad-slot'>Now</div><p>End.</p></article></body>", WANT + "\nEnd."),
+        (f"<body><article>{FOUR}<div class='notice'>We have moved.</div><div class='notice-box'>Mind.</div></article></body>", WANT),
+        (f"<body><article>{FOUR}<div style='display: none'>Unseen</div><p style='color:red'>Seen.</p></article></body>", WANT + "\nSeen."),
+        ("<body><ul>" + "".join(f"<li><a href='/{i}'>A link of some length {i}</a></li>" for i in range(20)) + "</ul><article><h1>T</h1><ul><li>one<li>two</ul>Line.</article></body>", "T\none\ntwo\nLine."),
+        (f"<body><article>{FOUR}</article><article class='teaser'>{PARA}</article></body>", WANT),
+        (f"<body><article class='teaser'>{FOUR}</article></body>", WANT),
+        (f"<body><div class='left-column'>{FOUR}</div><div class='right-col'>{PARA}</div></body>", WANT),
+        (f"<body><article>{FOUR}<aside>{PARA}</aside></article></body>", WANT),
+        (f"<body><div class='notice-of-award content-wrapper'>{FOUR}</div></body>", WANT),
+    ],
+)
+def test_blocks_beside_and_inside(page, want):
+    assert main_text(page) == want
