@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import compress, dense, episodes, fusion, graph, lexical, lifecycle, profiles, readiness, writing
+from .operators import compress, dense, episodes, fusion, graph, lexical, lifecycle, positional, profiles, readiness, vector_index, writing
+from .operators.kept_index import KeptIndex
+from .operators.vector_index import VectorIndex
 from .scratch import stored
 
 log = logging.getLogger(__name__)
@@ -45,6 +47,7 @@ class SearchOptions:
     compress: bool = True
     max_tokens: int = 2000
     default_project: str | None = None
+    syntax: str = "plain"  # "web": phrases in quotes, minus, or; ranked with cover density
 
     def chosen_projects(self) -> tuple[str, ...]:
         """AX-2: a default project is a filter unless one is asked for."""
@@ -56,7 +59,9 @@ class Memory:
     """Tables of a memory: chunks (chunk_id, memory_id, revision_id, text,
     memory_type, project, source_agent, tags, entity_keys, source_file,
     occurred, updated, created, importance), revisions, documents, vectors,
-    entities, aliases, claims, profiles, facts."""
+    entities, aliases, claims, profiles, facts.  With a kept ``index`` of the
+    chunks and a ``vector_index``, searches read those; else postings are made
+    for each batch, and all vectors are compared."""
 
     chunks: DataFrame
     documents: DataFrame
@@ -69,6 +74,8 @@ class Memory:
     facts: DataFrame | None = None
     reranker: Callable[[Column, Column], Column] | None = None
     allowed_agents: tuple[str, ...] = field(default_factory=tuple)
+    index: KeptIndex | None = None
+    vector_index: VectorIndex | None = None
 
     def visible(self, historical: bool = False) -> DataFrame:
         """FLT-1: (memory_id, revision_id) that a search may return."""
@@ -92,6 +99,31 @@ class Memory:
         q = queries.select("query_id", T.entity_key(F.col("text")).alias("query_key"), F.transform(T.query_entities(F.col("text")), lambda x: T.entity_key(x)).alias("entity_keys"))
         return profiles.profile_boosts(q, self.profiles, self.facts, self.documents)
 
+    def _lexical(self, queries: DataFrame, chunks: DataFrame, among: DataFrame | None, syntax: str, k: int) -> tuple[DataFrame, DataFrame | None]:
+        """The k best chunks of the lexical leg, and all its matches (None if they are not made)."""
+        if syntax == "web":
+            if self.index is None:
+                postings = positional.positions(chunks, queries=queries)
+            else:
+                postings = self.index.postings(queries.select(F.explode(T.lexemes(F.col("text"))).alias("lexeme")).distinct())
+                postings = postings if among is None else postings.join(among, "chunk_id", "left_semi")
+            matches = positional.web_search_matches(queries, postings)
+        elif self.index is not None:
+            return self.index.search(queries, k, among=among), None
+        else:
+            matches = lexical.lexical_matches(queries, lexical.index(chunks, queries=queries))
+        return lexical.top_k(matches, ["query_id"], lexical.lexical_order(), k), matches
+
+    def _semantic(self, queries: DataFrame, among: DataFrame | None, chunks: DataFrame, k: int) -> DataFrame:
+        """The k nearest vectors: from the index's lists, or exactly where only some chunks count."""
+        asked = queries.select("query_id", "vec")
+        if self.vector_index is not None and among is None:
+            found = vector_index.search(asked, self.vector_index, k)
+        else:
+            vectors = self.vectors if self.vectors is not None else self.vector_index.rows(queries.sparkSession).select("vec_id", "vec")
+            found = dense.dense_search(asked, vectors.join(chunks.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi"), k)
+        return found.select("query_id", F.lit("semantic").alias("source"), F.col("vec_id").alias("chunk_id"), "pos", "score")
+
     def search(self, queries: DataFrame, as_of: Column, options: SearchOptions = SearchOptions()) -> DataFrame:
         """RET-1 to RET-17.  queries: query_id, text and, for the dense leg, vec.
 
@@ -105,16 +137,13 @@ class Memory:
         seen = self.visible(options.include_historical)
         if options.prefilter:
             chunks = chunks.join(seen, ["memory_id", "revision_id"], "left_semi")
+        some = any((options.memory_types, options.chosen_projects(), options.source_agents, options.tags, self.allowed_agents, options.prefilter))
+        among = chunks.select("chunk_id") if some else None
         k = fusion.over_fetch(options.limit)
-        matches = lexical.lexical_matches(queries, lexical.index(chunks, queries=queries))
-        lists = lexical.top_k(matches, ["query_id"], lexical.lexical_order(), k).select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
-        if self.vectors is not None and "vec" in queries.columns:
-            def semantic() -> DataFrame:
-                vectors = self.vectors.join(chunks.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
-                found = dense.dense_search(queries.select("query_id", "vec"), vectors, k)
-                return found.select("query_id", F.lit("semantic").alias("source"), F.col("vec_id").alias("chunk_id"), "pos", "score")
-
-            found = leg("dense", semantic)
+        top, matches = self._lexical(queries, chunks, among, options.syntax, k)
+        lists = top.select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
+        if "vec" in queries.columns and (self.vectors is not None or self.vector_index is not None):
+            found = leg("dense", lambda: self._semantic(queries, among, chunks, k))
             lists = lists if found is None else lists.unionByName(found)
         fused = fusion.fuse(lists).join(chunks, "chunk_id")
         scored = fusion.base_scores(fusion.visible_only(fused, seen))
@@ -133,7 +162,8 @@ class Memory:
         if self.reranker:
             combined = combined.withColumn("rerank", self.reranker(F.col("query"), F.col("text")))
         else:
-            combined = fusion.heuristic(combined.withColumn("n_chars", F.length("text")), matches)
+            known = self.index.shared(lists, queries) if matches is None else matches
+            combined = fusion.heuristic(combined.withColumn("n_chars", F.length("text")), known)
         top = fusion.rerank(combined, F.col("rerank"), options.limit, options.min_score).withColumn("evidence_ids", F.array(F.concat_ws(":", F.col("memory_id").cast("string"), F.col("revision_id").cast("string"), F.col("chunk_id").cast("string"))))
         out = top.select("query_id", F.col("final_pos").alias("pos"), "chunk_id", "memory_id", "revision_id", "memory_type", "source_file", "text", "score", F.col("importance_out").alias("importance"), "entity_keys", "rank_sources", "evidence_ids")
         return compress.compress(out, options.max_tokens, lists=["entity_keys", "rank_sources", "evidence_ids"]) if options.compress else out

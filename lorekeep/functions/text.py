@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from . import vocab
 
 LINK = r"\[\[(.*?)\]\]"
+#: PRJ-12: what readers take for front matter, and whether they strip the rest.  Fixed values.
+FRONT_MATTER = {
+    "chunker": (r"(?ms)^---\n(.*?)\n---(.*)", True),
+    "distiller": (r"(?s)\A---\n(.*?)\n---\n(.*)", True),
+    "quality": (r"(?s)\A---\n(.*?)\n---\n(.*)", False),
+}
 
 
 def lookup(table: Mapping[str, object], key: Column, default: object) -> Column:
@@ -87,6 +93,17 @@ def string_list(values: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
+def front_matter(text: Column, reader: str) -> Column:
+    """PRJ-12: struct(head, body) as a reader sees a note; without front matter a null head, and the text as it is.
+
+    The chunker takes the first block at the start of any line and drops what is before it; the others only
+    one at the start of the text that ends with a line of its own."""
+    pattern, stripped = FRONT_MATTER[reader]
+    body = F.regexp_extract(text, pattern, 2)
+    found = text.rlike(pattern)
+    return F.struct(F.when(found, F.regexp_extract(text, pattern, 1)).alias("head"), F.when(found, strip(body) if stripped else body).otherwise(text).alias("body"))
+
+
 def relationships(rels: Column) -> Column:
     """PRJ-5: maps with alias keys -> (predicate, target, status)."""
     get = lambda m, *keys: F.coalesce(*[m[k] for k in keys])

@@ -66,17 +66,24 @@ def tier(raw: Column) -> Column:
     return F.when(raw >= 0.8, "core").when(raw >= 0.5, "medium").when(raw >= 0.25, "low").otherwise("unstable")
 
 
-def fold(start: Column, strengths: Column) -> Column:
-    """ID-3, WN-5: for each evidence in order 0.7 c + 0.3 x mean so far, four decimals."""
+def fold(start: Column, strengths: Column, decimals: int | None = 4) -> Column:
+    """ID-3, WN-5: for each evidence in order 0.7 c + 0.3 x mean so far, to four decimals at each step (or without rounding)."""
     zero = F.struct(start.cast("double").alias("c"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
         total, n = acc["sum"] + s, acc["n"] + 1
-        return F.struct(T.clamp(F.round(acc["c"] * 0.7 + total / n * 0.3, 4)).alias("c"), total.alias("sum"), n.alias("n"))
+        c = acc["c"] * 0.7 + total / n * 0.3
+        return F.struct(T.clamp(c if decimals is None else F.round(c, decimals)).alias("c"), total.alias("sum"), n.alias("n"))
 
     return F.aggregate(strengths, zero, step, lambda acc: acc["c"])
 
 
+def strengths(found: DataFrame) -> DataFrame:
+    """(entity_id, trait_id, strengths): each trait's evidence in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("detected_at", "memory_id", "strength"))), lambda e: e["strength"])
+    return found.groupBy("entity_id", "trait_id").agg(ordered.alias("strengths"))
+
+
 def traits(found: DataFrame, least: int = 2) -> DataFrame:
     """ID-2, AG-17: traits with at least two evidences: mean strength, folded confidence, stability."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("detected_at", "memory_id", "strength"))), lambda e: e["strength"])

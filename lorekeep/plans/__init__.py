@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import episodes, graph, identity, kept, lifecycle, retrieval, texts  # noqa: F401  they register
+from . import episodes, graph, identity, kept, lifecycle, retrieval, service, texts  # noqa: F401  they register
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

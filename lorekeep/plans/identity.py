@@ -63,10 +63,20 @@ def id_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ID-3, WN-5: an ordered fold over a trait's evidence.
 
     No SQL: each step rounds to four decimals, and engines break binary ties
-    differently; hand-computed folds are in the tests."""
+    differently; hand-computed folds are in the tests, ``id_smooth_fold`` has SQL."""
     return I.traits(found_of(Tables(spark, sf_dir))).select("entity_id", "trait_id", F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"""WITH RECURSIVE {FOUND}, w AS (SELECT entity_id, trait_id, ss, 0 AS i, list_sum(ss) / len(ss) AS c, 0.0::DOUBLE AS total FROM g
+  UNION ALL SELECT entity_id, trait_id, ss, i + 1, greatest(0, least(1, c * 0.7::DOUBLE + (total + ss[i + 1]) / (i + 1) * 0.3::DOUBLE)), total + ss[i + 1] FROM w WHERE i < len(ss))
+SELECT entity_id, trait_id, round(c, 6) AS confidence FROM w WHERE i = len(ss)""")
+def id_smooth_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ID-3, WN-5: the fold without rounding, from the plain mean on."""
+    s = I.strengths(found_of(Tables(spark, sf_dir))).filter("size(strengths) >= 2")
+    mean = F.aggregate("strengths", F.lit(0.0), lambda a, x: a + x) / F.size("strengths")
+    return s.select("entity_id", "trait_id", F.round(I.fold(mean, F.col("strengths"), None), 6).alias("confidence"))
+
+
 @query(f"""WITH {FOUND}, d AS (SELECT *, entity_id % 60 AS days, CASE category WHEN 'core' THEN 0.001 WHEN 'temporary' THEN 0.03 ELSE 0.01 END::DOUBLE AS rate FROM st),
 x AS (SELECT *, CASE WHEN days > 0 THEN greatest(0.2, confidence - rate * days) ELSE confidence END AS c FROM d)
 SELECT entity_id, trait_id, round(CASE WHEN c < 0.15 THEN 0 ELSE c END, 6) AS confidence, n >= CASE category WHEN 'core' THEN 10 WHEN 'temporary' THEN 1 ELSE 3 END AS reinforced, round(greatest(0.15, confidence - 0.15), 6) AS suppressed,

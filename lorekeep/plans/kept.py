@@ -109,6 +109,13 @@ def st_lost_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timers.leases(e, stamp("2024-03-01")).select("outbox_id", micros(F.col("claimed_at")).alias("claimed_us"), "attempt", micros(F.col("lost_at")).alias("lost_us"))
 
 
+@query("SELECT key, at_us, processed FROM (SELECT user_id AS key, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS processed FROM events) WHERE processed % 10 = 0")
+def st_count_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-7: after each ten events of a user a cycle runs."""
+    e = Tables(spark, sf_dir).events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    return timers.triggers(e).select("key", micros(F.col("ts")).alias("at_us"), "processed")
+
+
 @query("SELECT user_id::VARCHAR AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id AS seq, event_type AS payload FROM events")
 def st_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-8: each user's events one after the other."""

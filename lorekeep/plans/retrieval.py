@@ -102,8 +102,10 @@ def dense_top(t: Tables, k: int) -> DataFrame:
     return dense.dense_search(q, vectors_of(t), k)
 
 
-def fused(t: Tables) -> DataFrame:
-    lex = lexical_top(t, 20).select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
+def fused(t: Tables, top: DataFrame | None = None) -> DataFrame:
+    """Both legs' lists, fused; ``top``: the lexical one, if it has been made."""
+    top = lexical_top(t, 20) if top is None else top
+    lex = top.select("query_id", F.lit("lexical").alias("source"), "chunk_id", "pos", F.col("rank").alias("score"))
     sem = semantic_top(t, 20).select("query_id", F.lit("semantic").alias("source"), "chunk_id", "pos", "score")
     return fusion.fuse(lex.unionByName(sem))
 
@@ -165,20 +167,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 """
 
 
-def hybrid(t: Tables, k: int) -> DataFrame:
+def hybrid(t: Tables, k: int, top: DataFrame | None = None) -> DataFrame:
     """The read path as one plan: both legs, fusion, visibility, scores, boosts, rerank, top k.
 
+    What a candidate shares with its query is counted on the candidates' texts
+    (40 a query at most), so postings are made once.
+
     Documents that ``labels`` marks as poor stand for archived ones; the event
     of the same number dates a document."""
     visible = visible_docs(t)
-    f = fused(t).withColumn("memory_id", F.col("chunk_id")).withColumn("revision_id", F.col("chunk_id"))
+    f = fused(t, top).withColumn("memory_id", F.col("chunk_id")).withColumn("revision_id", F.col("chunk_id"))
     scored = fusion.base_scores(fusion.visible_only(f, visible))
-    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("n_chars"))
+    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = queries_of(t).select("query_id", T.lexemes(F.col("text")).alias("wanted"))
     dated = t.events.select(F.col("event_id").alias("chunk_id"), F.col("ts").alias("created"))
     none = F.lit(None).cast("double")
     full = scored.join(texts, "chunk_id").join(dated, "chunk_id", "left").withColumns({"graph_boost": none, "profile_boost": none, "importance": none, "occurred": F.lit(None).cast("timestamp_ntz"), "updated": F.lit(None).cast("timestamp_ntz")})
-    combined = fusion.heuristic(fusion.combine(full, stamp("2024-02-01")), matches_of(t))
-    final = combined.withColumn("score", S.rerank_blend(F.col("score"), F.col("rerank"))).filter("score >= 0")
+    combined = fusion.combine(full, stamp("2024-02-01")).join(asked, "query_id")
+    shared = F.size(F.array_intersect(T.lexemes(F.col("text")), F.col("wanted")))
+    rr = S.heuristic_rerank(shared, F.size("wanted"), F.length("text"))
+    final = combined.withColumn("score", S.rerank_blend(F.col("score"), rr)).filter("score >= 0")
     return lexical.top_k(final, ["query_id"], [F.desc(F.round("score", 9)), F.desc(F.round("rrf", 12)), F.asc("chunk_id")], k)
 
 
@@ -214,9 +222,10 @@ def expected(t: Tables) -> DataFrame:
 def cases(t: Tables) -> DataFrame:
     """A row for each benchmark item that a visible document holds, with what the lexical leg alone finds first."""
     pair = [F.col("chunk_id").alias(c) for c in ("source_file", "memory_id", "revision_id")]
-    e, seen = expected(t), visible_docs(t)
-    scored = readiness.evaluate(hybrid(t, 5).select("query_id", "pos", *pair), e, seen)
-    alone = lexical_top(t, 20).select("query_id", "pos", *pair).join(seen, ["memory_id", "revision_id"], "left_semi")
+    e, seen = scratch.stored(expected(t), "expected"), visible_docs(t)
+    top = scratch.stored(lexical_top(t, 20), "lexical")
+    scored = readiness.evaluate(hybrid(t, 5, top).select("query_id", "pos", *pair), e, seen)
+    alone = top.select("query_id", "pos", *pair).join(seen, ["memory_id", "revision_id"], "left_semi")
     first = lexical.top_k(alone, ["query_id"], [F.asc("pos")], 1, "p").join(e, ["query_id", "source_file"], "left_semi").select("query_id", F.lit(True).alias("lexical_hit1"))
     return scored.join(first, "query_id", "left").fillna(False, ["lexical_hit1"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders that a scan skips.
@@ -35,6 +35,29 @@ def change_feed(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("ts"), F.decode("content", "UTF-8").alias("raw"))
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """SRC-4, batch: (path, event_type, seq) between two listings (path, content_hash).
+
+    A path that is new and has the content of one that is gone has been moved: its new
+    path comes first (``moved_to``), then the old one (``moved_from``).  If several have that
+    content, they are paired in order of their paths; the rest is created or deleted."""
+    b, a = before.filter(note_path(F.col("path"))), after.filter(note_path(F.col("path")))
+    old, new = b.join(a.select("path"), "path", "left_anti"), a.join(b.select("path"), "path", "left_anti")
+    kept = b.withColumnRenamed("content_hash", "_was").join(a, "path").filter(~F.col("_was").eqNullSafe(F.col("content_hash")))
+    numbered = lambda d: d.withColumn("_n", F.row_number().over(Window.partitionBy("content_hash").orderBy("path")))
+    pairs = numbered(new).select("content_hash", "_n", F.col("path").alias("_to")).join(numbered(old).select("content_hash", "_n", F.col("path").alias("_from")), ["content_hash", "_n"])
+    to, from_ = pairs.select(F.col("_to").alias("path")), pairs.select(F.col("_from").alias("path"))
+    parts = [
+        (kept, "modified", 0), (new.join(to, "path", "left_anti"), "created", 0), (old.join(from_, "path", "left_anti"), "deleted", 0),
+        (to, "moved_to", 0), (from_, "moved_from", 1),
+    ]
+    rows = [d.select("path", F.lit(kind).alias("event_type"), F.lit(seq).alias("seq")) for d, kind, seq in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def golden_queries(spark: SparkSession, path: str) -> DataFrame:
     """SRC-9."""
     schema = "queries array<struct<id:string,query:string,expected_sources:array<string>>>"

@@ -1,4 +1,4 @@
-"""ST-2, ST-3, ST-8, ST-11: keyed state with time: retries, leases, order, expiry.
+"""ST-2, ST-3, ST-7, ST-8, ST-11: keyed state with time: retries, triggers, leases, order, expiry.
 
 Each stream has a batch form over the same events.  Streams run on event
 time: a timer goes off when the watermark passes it, so a replay gives the same rows.
@@ -87,6 +87,12 @@ def retry_stream(attempts: DataFrame, late: str = "10 seconds") -> DataFrame:
     return attempts.withWatermark("ts", late).groupBy("path").applyInPandasWithState(fold, _RETRY, "failures int, due long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def triggers(processed: DataFrame, n: int = 10) -> DataFrame:
+    """ST-7, batch: (key, ts, processed) of the rows (key, ts, seq) after which a key's count reaches a multiple of n."""
+    count = F.row_number().over(Window.partitionBy("key").orderBy("ts", "seq"))
+    return processed.select("key", "ts", "seq", count.alias("processed")).filter(F.col("processed") % n == 0).select("key", "ts", "processed")
+
+
 def leases(messages: DataFrame, now: Column) -> DataFrame:
     """ST-3, batch: (outbox_id, claimed_at, attempt, lost_at) of claims that got no answer in time.
 
