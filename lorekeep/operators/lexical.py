@@ -34,6 +34,11 @@ def lexical_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
     q = queries.select("query_id", T.lexemes(F.col("text")).alias("lexemes"))
     terms = q.select("query_id", F.size("lexemes").alias("n"), F.explode("lexemes").alias("lexeme"))
     hits = terms.join(postings, "lexeme").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared"), F.sum("tf").alias("positions"), F.max("n").alias("n"))
+    return scored(hits)
+
+
+def scored(hits: DataFrame) -> DataFrame:
+    """Coverage, strict match and rank of hits (query_id, chunk_id, shared, positions, n)."""
     coverage = F.col("shared") / F.greatest(F.col("n"), F.lit(1))
     strict = F.col("shared") == F.col("n")
     rank = coverage + F.when(strict, STRICT).otherwise(0.0) + F.least(F.lit(DENSITY_CAP), DENSITY * F.col("positions"))

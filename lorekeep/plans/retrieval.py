@@ -16,7 +16,7 @@ from ..functions import udfs
 from ..functions.vectors import cosine
 from ..operators import compress as C
 from .. import scratch
-from ..operators import dense, fusion, legacy, lexical, positional, profiles, readiness, vector_index, writing
+from ..operators import batch, dense, fusion, legacy, lexical, positional, profiles, readiness, vector_index, writing
 from .base import Tables, query, stamp
 
 TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -498,7 +498,7 @@ q AS (SELECT query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM (
 def _web(t: Tables, text) -> DataFrame:
     """Matches of queries that are made of a sentence's lexemes ``ws``, in documents."""
     q = sentences_of(t).select("query_id", T.tokens(F.col("text")).alias("ws")).filter("size(ws) >= 3").select("query_id", text.alias("text"))
-    return positional.web_matches(q, positional.positions(chunks_of(t), queries=q))
+    return batch.web_matches(q, chunks_of(t))
 
 
 @query(f"WITH {RUNS} SELECT query_id, chunk_id FROM q, k WHERE len(ws) >= 3 AND contains(run, ' ' || array_to_string(ws, ' ') || ' ')")
