@@ -16,7 +16,7 @@ from ..functions import udfs
 from ..functions.vectors import cosine
 from ..operators import compress as C
 from .. import scratch
-from ..operators import batch, dense, fusion, legacy, lexical, positional, profiles, readiness, vector_index, writing
+from ..operators import batch, dense, fusion, legacy, lexical, profiles, readiness, vector_index, writing
 from .base import Tables, query, stamp
 
 TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -472,7 +472,7 @@ def sentences_of(t: Tables) -> DataFrame:
 
 
 def _densities(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    found = positional.cover_densities(queries, positional.positions(chunks, queries=queries))
+    found = batch.cover_densities(queries, chunks)
     return found.select("query_id", "chunk_id", F.col("covers").cast("long").alias("covers"), F.round(F.least(F.lit(lexical.DENSITY_CAP), F.col("density")), 9).alias("density"))
 
 
