@@ -74,12 +74,8 @@ def vectors_of(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.col("embedding").alias("vec"), "label")
 
 
-def matches_of(t: Tables) -> DataFrame:
-    return lexical.lexical_matches(queries_of(t), lexical.index(chunks_of(t), queries=queries_of(t)))
-
-
 def lexical_top(t: Tables, k: int) -> DataFrame:
-    return lexical.top_k(matches_of(t), ["query_id"], lexical.lexical_order(), k)
+    return batch.search(queries_of(t), chunks_of(t), k)
 
 
 def passages_of(t: Tables) -> DataFrame:
@@ -121,7 +117,7 @@ def ret_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ret_lexical_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-5: chunks that hold all lexemes of a query."""
     t = Tables(spark, sf_dir)
-    return matches_of(t).filter("strict").select("query_id", "chunk_id")
+    return batch.strict(queries_of(t), chunks_of(t))
 
 
 @query(f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 5) AS score, pos FROM dn WHERE pos <= 5")
@@ -213,7 +209,7 @@ def visible_docs(t: Tables) -> DataFrame:
 
 def expected(t: Tables) -> DataFrame:
     """Visible documents that hold a passage word for word: candidates share all its lexemes, so no pair is tried that can't."""
-    near = matches_of(t).filter("strict").select("query_id", "chunk_id")
+    near = batch.strict(queries_of(t), chunks_of(t))
     both = near.join(queries_of(t).withColumnRenamed("text", "passage"), "query_id").join(chunks_of(t), "chunk_id")
     held = both.filter(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("source_file"))
     return held.join(visible_docs(t).select(F.col("memory_id").alias("source_file")), "source_file", "left_semi")
