@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import batch
+from .dense import nearest
+from .lexical import top_k
 
 
 def note(text: Column) -> Column:
@@ -59,20 +68,63 @@ def archived_path(path: Column) -> Column:
     return F.when(path.startswith("Archive/"), path).otherwise(F.concat(F.lit("Archive/"), path))
 
 
+#: A term stands within one run of these, so a note's occurrences are those of its runs.
+RUN = re.compile("[a-z0-9_]{3,}")
+#: Runs of notes whose terms a task keeps.
+KEPT_RUNS = 400_000
+
+
+class _Held(dict):
+    """A run of a note -> (code, occurrences) of the terms it holds; forgets all when it has grown."""
+
+    def __init__(self, vocab: list[str]) -> None:
+        self.by: dict[str, list[tuple[int, str]]] = {}
+        for code, term in enumerate(vocab):
+            self.by.setdefault(term[:3], []).append((code, term))
+
+    def __missing__(self, run: str) -> list[tuple[int, int]]:
+        if len(self) > KEPT_RUNS:
+            self.clear()
+        heads = {run[i : i + 3] for i in range(len(run) - 2)}
+        out = self[run] = [(code, run.count(term)) for h in heads for code, term in self.by.get(h, ()) if term in run]
+        return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best notes a task of each batch, by the occurrences of its terms."""
+    blocks = [(ids, terms, _Held(terms.vocab.to_pylist())) for ids, terms in batch.blocks(asked, "own")]
+    for b in batches:
+        low, paths, texts = (batch.column(b, c) for c in ("low", "path", "text"))
+        for ids, terms, held in blocks:
+            tasks, v = len(ids), len(terms.vocab)
+            ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(low).cast(pa.int64()), 0)).to_numpy()
+            for lo, hi in batch.parts(ends, batch.PLACES, batch.CELLS // tasks):
+                found = [(d * v + code, n) for d, t in enumerate(low.slice(lo, hi - lo).to_pylist()) if t for run in RUN.findall(t) for code, n in held[run]]
+                each = np.array(found, np.int64).reshape(-1, 2)
+                cell, at = np.unique(each[:, 0], return_inverse=True)
+                n = np.bincount(at, each[:, 1], len(cell))
+                i, at = batch.expanded(terms.starts, cell % v)
+                score = np.bincount((cell // v)[i] * tasks + terms.query[at], n[i], (hi - lo) * tasks).reshape(hi - lo, tasks)
+                task, row = nearest(score.T, batch.ranks(paths.slice(lo, hi - lo)), k)
+                some = score[row, task] > 0
+                task, row = task[some], row[some]
+                at = pa.array(row + lo)
+                cols = [ids.take(pa.array(task)), pa.array(score[row, task].astype(np.int64)), paths.take(at), texts.take(at)]
+                yield pa.RecordBatch.from_arrays(cols, names=["task_id", "score", "path", "text"])
+
+
 def procedures(tasks: DataFrame, notes: DataFrame, k: int = 4, rules: str = "AGENTS.md") -> DataFrame:
     """RET-20, TK-9: (task_id, pos, block): the rules note first, then notes by term count.
 
-    tasks: task_id, text; notes: path, text.  Terms are joined with the notes'
-    tokens, so a note that shares none is never scored."""
-    from .lexical import top_k
-
-    t = tasks.select("task_id", T.task_terms(F.col("text")).alias("terms"))
-    n = notes.filter(F.col("path") != rules).select("path", F.concat("text", F.lit(" "), F.regexp_extract("path", r"([^/]*?)(\.md)?$", 1)).alias("full"), "text")
-    words = n.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("full"), F.lit("([a-z0-9_]+)"), F.lit(1)))).alias("w"))
-    # a term counts inside longer words too: match on its first three characters, then count
-    grams = words.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - 2)), lambda i: F.substr("w", i, F.lit(3)))).alias("g")).distinct()
-    near = t.select("task_id", "terms", F.explode("terms").alias("term")).select("task_id", "terms", F.substring("term", 1, 3).alias("g")).join(grams, "g").select("task_id", "terms", "path").distinct()
-    scored = near.join(n, "path").withColumn("score", T.term_score(F.col("full"), F.col("terms"))).filter("score > 0")
+    tasks: task_id, text; notes: path, text.  Tasks are broadcast (see
+    ``batch``); a note's runs of letters are searched for all terms at once, as
+    a term counts inside longer words too, and k notes a task and Arrow batch
+    leave their task."""
+    asked = tasks.select(F.col("task_id").alias("query_id"), T.task_terms(F.col("text")).alias("own"))
+    size = F.aggregate(F.coalesce("own", F.array().cast("array<string>")), F.lit(16).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    full = F.concat("text", F.lit(" "), F.regexp_extract("path", r"([^/]*?)(\.md)?$", 1))
+    n = notes.filter(F.col("path") != rules).select("path", F.lower(full).alias("low"), "text")
+    scored = batch.over(asked, size, n, lambda it, table: _counted(it, table, k), f"task_id {tasks.schema['task_id'].dataType.simpleString()}, score long, path string, text string")
     first = notes.filter(F.col("path") == rules).select(F.lit(1 << 62).alias("score"), "path", F.concat(F.lit(f"Source: {rules}\n"), T.excerpt(F.col("text"), 3600)).alias("block"))
     rest = scored.select("task_id", "score", "path", F.concat(F.lit("Source: "), "path", F.lit("\n"), T.excerpt(F.col("text"), 2400)).alias("block"))
     ruled = tasks.select("task_id", F.lit(rules).alias("path")).join(first, "path").select("task_id", "score", "path", "block")

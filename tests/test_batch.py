@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
-from lorekeep.operators import batch, lexical, positional
+from lorekeep.operators import batch, lexical, positional, writing
 
 from .test_kept import corpus, covers, tokens
 
@@ -58,3 +59,22 @@ def test_cover_density_equals_brute_force(spark, small):
     sets = lambda a, b: (len(set(tokens(a)) & set(tokens(b or ""))), len(set(tokens(a))))
     want = {(i, j): (n, round(d, 9), *sets(a, b)) for i, a in queries for j, b in chunks if sets(a, b)[0] for n, d in [covers(a, b)]}
     assert got == want
+
+
+def test_procedures_equal_brute_force(spark, small, monkeypatch):
+    """Terms count inside longer words, without overlaps; before, each task met each note that shares three letters."""
+    monkeypatch.setattr(writing, "KEPT_RUNS", 5)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab_1") for _ in range(rng.randrange(1, 9)))
+    text = lambda n: " ".join(word() + rng.choice(["", "Ä", "."]) for _ in range(n))
+    notes = [(f"Tasks/n{i}_{i % 7}.md", text(rng.randrange(0, 40))) for i in range(80)] + [("Tasks/none.md", None), ("AGENTS.md", "rules aaa")]
+    tasks = [(i, text(n).upper() + " the aaaa aaa") for i, n in enumerate([0, 1, 3, 9, 20])] + [(8, None), (9, "")]
+    got = writing.procedures(spark.createDataFrame(tasks, "task_id long, text string"), spark.createDataFrame(notes, "path string, text string").repartition(3), 6)
+    want = []
+    for i, a in tasks:
+        terms = {x for x in re.findall("[a-z0-9_]{3,}", (a or "").lower()) if x != "the"}
+        full = [(p, f"{t} {p[6:-3]}".lower()) for p, t in notes if t is not None and p != "AGENTS.md"]
+        best = sorted((-sum(f.count(x) for x in terms), p) for p, f in full)
+        want += [(i, n + 1, p) for n, p in enumerate(["AGENTS.md", *(p for s, p in best if s < 0)][:6])]
+    assert sorted((r.task_id, r.pos, r.path) for r in got.collect()) == want
+    assert {r.block for r in got.filter("path = 'AGENTS.md'").collect()} == {"Source: AGENTS.md\nrules aaa"}
