@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .lifecycle import latest
 
+#: Parts of a profile's facts that are joined by a task each.
+SALTS = 32
+
 
 def profile_facts(profiles: DataFrame, facts: DataFrame, documents: DataFrame, historical: bool = False) -> DataFrame:
     """PF-1, JN-10, TK-8: facts of profiles with evidence in a current revision; order is by key, newest first."""
@@ -22,7 +25,11 @@ def profile_boosts(queries: DataFrame, profiles: DataFrame, facts: DataFrame, do
 
     ``queries``: query_id, query_key (normalised text), entity_keys.  Keys are
     matched by their words: an equi-join on the key's first word, then the
-    literal containment test, so no query meets every profile."""
+    literal containment test, so no query meets every profile.
+
+    A profile that many queries name has its facts dealt over SALTS tasks.  A
+    memory that is evidence for several profiles of a query comes with the
+    least of them, so the pairs found need no aggregate."""
     word = F.explode(F.array_distinct(F.split("query_key", " ")))
     q = queries.select("query_id", "query_key", "entity_keys", word.alias("w"))
     p = profiles.select("profile_id", "canonical_key", F.split("canonical_key", " ")[0].alias("w"))
@@ -30,8 +37,13 @@ def profile_boosts(queries: DataFrame, profiles: DataFrame, facts: DataFrame, do
     listed = queries.select("query_id", F.explode("entity_keys").alias("canonical_key")).join(profiles.select("profile_id", "canonical_key"), "canonical_key").select("query_id", "profile_id")
     d = documents.filter("doc_status = 'active'").select(F.col("memory_id").alias("evidence_memory_id"), F.col("current_revision_id").alias("evidence_revision_id"))
     f = facts.filter("status = 'active'").join(d, ["evidence_memory_id", "evidence_revision_id"], "left_semi")
-    hit = inside.unionByName(listed).distinct().join(f, "profile_id")
-    return hit.select("query_id", F.col("evidence_memory_id").alias("memory_id")).distinct().withColumn("profile_boost", F.lit(boost))
+    hit = inside.unionByName(listed).distinct()
+    named = hit.groupBy("query_id").agg(F.collect_list("profile_id").alias("named"))
+    each = hit.join(named, "query_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = f.groupBy("evidence_memory_id").agg(F.collect_set("profile_id").alias("own"))
+    held = own.select("evidence_memory_id", "own", F.explode("own").alias("profile_id"), F.pmod(F.xxhash64("evidence_memory_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    first = held.join(each, ["profile_id", "salt"]).filter(F.col("profile_id") == F.array_min(F.array_intersect("own", "named")))
+    return first.select("query_id", F.col("evidence_memory_id").alias("memory_id"), F.lit(boost).alias("profile_boost"))
 
 
 def memory_status(documents: DataFrame, revisions: DataFrame, jobs: DataFrame, outbox: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ import re
 
 import pytest
 
-from lorekeep.operators import batch, lexical, positional, writing
+from pyspark.sql import functions as F
+
+from lorekeep.api import Memory, SearchOptions
+from lorekeep.operators import batch, lexical, positional, profiles, writing
 
 from .test_kept import corpus, covers, tokens
 
@@ -78,3 +81,29 @@ def test_procedures_equal_brute_force(spark, small, monkeypatch):
         want += [(i, n + 1, p) for n, p in enumerate(["AGENTS.md", *(p for s, p in best if s < 0)][:6])]
     assert sorted((r.task_id, r.pos, r.path) for r in got.collect()) == want
     assert {r.block for r in got.filter("path = 'AGENTS.md'").collect()} == {"Source: AGENTS.md\nrules aaa"}
+
+
+def test_search_of_memory_makes_no_postings(spark):
+    """Before, the API's search joined all pairs that share a lexeme, for the matches and once more for the rerank."""
+    c = spark.createDataFrame([(i, i, i, f"w{i % 3} w1 fox", None, None, None, [], [], f"{i}.md", None, None, None, None) for i in range(9)], "chunk_id long, memory_id long, revision_id long, text string, memory_type string, project string, source_agent string, tags array<string>, entity_keys array<string>, source_file string, occurred timestamp, updated timestamp, created timestamp, importance double")
+    d = c.select("memory_id", F.lit("active").alias("doc_status"), F.col("revision_id").alias("current_revision_id"))
+    r = c.select("memory_id", "revision_id", F.lit("active").alias("state"))
+    q = spark.createDataFrame([(1, "w2 fox bird"), (2, None)], "query_id long, text string")
+    found = Memory(c, d, r).search(q, F.lit("2024-01-01").cast("timestamp"), SearchOptions(limit=3, compress=False))
+    assert [(x.query_id, x.chunk_id) for x in found.orderBy("query_id", "pos").collect()] == [(1, 2), (1, 5), (1, 8)]
+    assert "lexeme" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_boosts_without_an_aggregate_of_pairs(spark):
+    """A memory for two profiles of a query counts once; before, all pairs went through one join key a profile and an aggregate."""
+    rng = random.Random(2)
+    q = [(i, " ".join(f"k{rng.randrange(4)}" for _ in range(3)), [f"k{rng.randrange(6)}"]) for i in range(9)]
+    f = [(f"p{rng.randrange(6)}", rng.choice(["active", "active", "superseded"]), m := rng.randrange(20), m) for _ in range(80)]
+    got = profiles.profile_boosts(
+        spark.createDataFrame(q, "query_id long, query_key string, entity_keys array<string>"), spark.createDataFrame([(f"p{i}", f"k{i}") for i in range(6)], "profile_id string, canonical_key string"),
+        spark.createDataFrame(f, "profile_id string, status string, evidence_memory_id long, evidence_revision_id long"), spark.createDataFrame([(m, "active" if m % 5 else "gone", m) for m in range(20)], "memory_id long, doc_status string, current_revision_id long"),
+    )
+    want = {(i, m) for i, text, keys in q for p, s, m, _ in f if s == "active" and m % 5 and f"k{p[1]}" in [*text.split(), *keys]}
+    assert sorted((r.query_id, r.memory_id) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
