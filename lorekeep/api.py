@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import scores as S
 from .functions import text as T
-from .operators import compress, dense, episodes, fusion, graph, lexical, lifecycle, positional, profiles, readiness, vector_index, writing
+from .operators import batch, compress, dense, episodes, fusion, graph, lexical, lifecycle, positional, profiles, readiness, vector_index, writing
 from .operators.kept_index import KeptIndex
 from .operators.vector_index import VectorIndex
 from .scratch import stored
@@ -111,7 +112,7 @@ class Memory:
         elif self.index is not None:
             return self.index.search(queries, k, among=among), None
         else:
-            matches = lexical.lexical_matches(queries, lexical.index(chunks, queries=queries))
+            return batch.search(queries, chunks, k), None
         return lexical.top_k(matches, ["query_id"], lexical.lexical_order(), k), matches
 
     def _semantic(self, queries: DataFrame, among: DataFrame | None, chunks: DataFrame, k: int) -> DataFrame:
@@ -162,8 +163,13 @@ class Memory:
         if self.reranker:
             combined = combined.withColumn("rerank", self.reranker(F.col("query"), F.col("text")))
         else:
-            known = self.index.shared(lists, queries) if matches is None else matches
-            combined = fusion.heuristic(combined.withColumn("n_chars", F.length("text")), known)
+            combined = combined.withColumn("n_chars", F.length("text"))
+            if matches is None and self.index is None:  # counted on the candidates' texts
+                own = T.lexemes(F.col("query"))
+                rr = S.heuristic_rerank(F.size(F.array_intersect(T.lexemes(F.col("text")), own)), F.size(own), F.col("n_chars"))
+                combined = combined.withColumn("rerank", rr)
+            else:
+                combined = fusion.heuristic(combined, self.index.shared(lists, queries) if matches is None else matches)
         top = fusion.rerank(combined, F.col("rerank"), options.limit, options.min_score).withColumn("evidence_ids", F.array(F.concat_ws(":", F.col("memory_id").cast("string"), F.col("revision_id").cast("string"), F.col("chunk_id").cast("string"))))
         out = top.select("query_id", F.col("final_pos").alias("pos"), "chunk_id", "memory_id", "revision_id", "memory_type", "source_file", "text", "score", F.col("importance_out").alias("importance"), "entity_keys", "rank_sources", "evidence_ids")
         return compress.compress(out, options.max_tokens, lists=["entity_keys", "rank_sources", "evidence_ids"]) if options.compress else out
