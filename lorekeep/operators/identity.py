@@ -88,11 +88,12 @@ def traits(found: DataFrame, least: int = 2) -> DataFrame:
     """ID-2, AG-17: traits with at least two evidences: mean strength, folded confidence, stability."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("detected_at", "memory_id", "strength"))), lambda e: e["strength"])
     span = (F.unix_micros(F.max("detected_at").cast("timestamp")) - F.unix_micros(F.min("detected_at").cast("timestamp"))) / 86_400_000_000.0
+    # added up in order of evidence: a sum in the order of a shuffle may round to another fourth decimal in each run
+    mean = F.aggregate("strengths", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.nullif(F.size(F.filter("strengths", lambda x: x.isNotNull())), F.lit(0))
     out = found.groupBy("entity_id", "trait_id").agg(
-        F.min("domain_id").alias("domain_id"), F.count(F.lit(1)).alias("evidence_count"), F.round(F.avg("strength"), 4).alias("initial"),
-        ordered.alias("strengths"), span.alias("span_days"), F.max("detected_at").alias("last_reinforced"),
+        F.min("domain_id").alias("domain_id"), F.count(F.lit(1)).alias("evidence_count"), ordered.alias("strengths"), span.alias("span_days"), F.max("detected_at").alias("last_reinforced"),
     )
-    out = out.filter(F.col("evidence_count") >= least).withColumn("category", category(F.col("trait_id")))
+    out = out.filter(F.col("evidence_count") >= least).withColumn("initial", F.round(mean, 4)).withColumn("category", category(F.col("trait_id")))
     return out.withColumn("confidence", fold(F.col("initial"), F.col("strengths"))).withColumn("stability", stability(F.col("evidence_count"), F.col("span_days"), F.col("category"))).drop("strengths")
 
 

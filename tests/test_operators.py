@@ -205,3 +205,12 @@ def test_sinks(spark, tmp_path):
     sinks.append(v.drop("vec"), str(tmp_path / "log"))
     sinks.append(v.drop("vec"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_initial_confidence_does_not_depend_on_partitions(spark):
+    """Means that lie on a fifth decimal's tie came out by the order in which partial sums met."""
+    rng = random.Random(3)
+    values = [(e, i, rng.randrange(1, 6000) / 100 / 60) for e in range(1500) for i in range(12)]
+    found = spark.createDataFrame([(e, i, "t", "d", s, i) for e, i, s in values], "entity_id long, memory_id long, trait_id string, domain_id string, strength double, detected_at long")
+    rows = lambda n: {r.entity_id: r.initial for r in identity.traits(found.withColumn("detected_at", F.timestamp_seconds("detected_at")).repartition(n, "memory_id")).select("entity_id", "initial").collect()}
+    assert rows(1) == rows(3) == rows(7)
