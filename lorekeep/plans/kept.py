@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import lexical, rerank, staging
+from ..operators import batch, lexical, rerank, staging
 from ..operators.kept_index import KeptIndex
 from ..sources.commits import CommitLog
 from ..streaming import timers
@@ -142,7 +142,7 @@ SELECT query_id, chunk_id, round(greatest(0, least(1, 0.6::DOUBLE / (1 + exp(-lo
 def ret_model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UX-7, RET-13: the twenty best of each query, scored anew by a pair model in batches."""
     t = Tables(spark, sf_dir)
-    top = lexical_top(t, 20).join(chunks_of(t), "chunk_id").join(queries_of(t).withColumnRenamed("text", "query"), "query_id")
+    top = batch.beside(lexical_top(t, 20), chunks_of(t), "chunk_id").join(queries_of(t).withColumnRenamed("text", "query"), "query_id")
     logit = rerank.model_logits(rerank.overlap_model)(F.col("query"), F.col("text"))
     heuristic = S.heuristic_rerank(F.col("shared"), F.col("n"), F.length("text"))
     scored = top.withColumn("logit", logit).withColumn("coverage", F.least(F.lit(1.0), F.col("coverage")))

@@ -178,7 +178,7 @@ def hybrid(t: Tables, k: int, top: DataFrame | None = None) -> DataFrame:
     asked = queries_of(t).select("query_id", T.lexemes(F.col("text")).alias("wanted"))
     dated = t.events.select(F.col("event_id").alias("chunk_id"), F.col("ts").alias("created"))
     none = F.lit(None).cast("double")
-    full = scored.join(texts, "chunk_id").join(dated, "chunk_id", "left").withColumns({"graph_boost": none, "profile_boost": none, "importance": none, "occurred": F.lit(None).cast("timestamp_ntz"), "updated": F.lit(None).cast("timestamp_ntz")})
+    full = batch.beside(scored, texts, "chunk_id").join(dated, "chunk_id", "left").withColumns({"graph_boost": none, "profile_boost": none, "importance": none, "occurred": F.lit(None).cast("timestamp_ntz"), "updated": F.lit(None).cast("timestamp_ntz")})
     combined = fusion.combine(full, stamp("2024-02-01")).join(asked, "query_id")
     shared = F.size(F.array_intersect(T.lexemes(F.col("text")), F.col("wanted")))
     rr = S.heuristic_rerank(shared, F.size("wanted"), F.length("text"))
@@ -210,7 +210,7 @@ def visible_docs(t: Tables) -> DataFrame:
 def expected(t: Tables) -> DataFrame:
     """Visible documents that hold a passage word for word: candidates share all its lexemes, so no pair is tried that can't."""
     near = batch.strict(queries_of(t), chunks_of(t))
-    both = near.join(queries_of(t).withColumnRenamed("text", "passage"), "query_id").join(chunks_of(t), "chunk_id")
+    both = batch.beside(near, chunks_of(t), "chunk_id").join(queries_of(t).withColumnRenamed("text", "passage"), "query_id")
     held = both.filter(F.col("text").contains(F.col("passage"))).select("query_id", F.col("chunk_id").alias("source_file"))
     return held.join(visible_docs(t).select(F.col("memory_id").alias("source_file")), "source_file", "left_semi")
 
@@ -269,7 +269,7 @@ SELECT query_id, sha256(string_agg('Source: ' || source_file || chr(10) || text,
 def ret_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-19."""
     t = Tables(spark, sf_dir)
-    r = lexical_top(t, 3).join(chunks_of(t), "chunk_id").select("query_id", "pos", F.concat(F.lit("doc"), F.col("chunk_id").cast("string")).alias("source_file"), "text")
+    r = batch.beside(lexical_top(t, 3), chunks_of(t), "chunk_id").select("query_id", "pos", F.concat(F.lit("doc"), F.col("chunk_id").cast("string")).alias("source_file"), "text")
     return C.context(r).select("query_id", F.sha2("context", 256).alias("context"))
 
 
@@ -278,14 +278,14 @@ FROM lx JOIN documents d ON d.doc_id = chunk_id WHERE pos <= 10 GROUP BY 1""")
 def ret_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-22, SC-19."""
     t = Tables(spark, sf_dir)
-    return C.token_total(lexical_top(t, 10).join(chunks_of(t), "chunk_id"))
+    return C.token_total(batch.beside(lexical_top(t, 10), chunks_of(t), "chunk_id"))
 
 
 @query()
 def ret_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-16, RET-17, WN-6, SC-15, SC-20, SET-6: an ordered fold over at most ten results a query."""
     t = Tables(spark, sf_dir)
-    r = lexical_top(t, 10).join(chunks_of(t), "chunk_id").select("query_id", F.col("pos").cast("int").alias("pos"), "chunk_id", "text", F.array(F.col("chunk_id").cast("string")).alias("evidence_ids"))
+    r = batch.beside(lexical_top(t, 10), chunks_of(t), "chunk_id").select("query_id", F.col("pos").cast("int").alias("pos"), "chunk_id", "text", F.array(F.col("chunk_id").cast("string")).alias("evidence_ids"))
     return C.compress(r, budget=600).select("query_id", "pos", "chunk_id", F.length("text").alias("n_chars"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
