@@ -146,7 +146,8 @@ class Memory:
         if "vec" in queries.columns and (self.vectors is not None or self.vector_index is not None):
             found = leg("dense", lambda: self._semantic(queries, among, chunks, k))
             lists = lists if found is None else lists.unionByName(found)
-        fused = fusion.fuse(lists).join(chunks, "chunk_id")
+        lists = stored(lists, "lists")
+        fused = batch.beside(fusion.fuse(lists), chunks, "chunk_id")
         scored = fusion.base_scores(fusion.visible_only(fused, seen))
         expansion = leg("graph", lambda: self._expansion(queries))
         if expansion is None:
